@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .langid import fit_and_identify
 from .mixing import MIX_SQL, mix_sources
 from .simhash import near_duplicates
 
@@ -48,3 +49,9 @@ ORACLES["op5_mixing"] = f"WITH docs AS (SELECT * FROM documents), {MIX_SQL} SELE
 def op9_simhash(spark, sf_dir):
     found = near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op10_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return fit_and_identify(docs).select("doc_id", "held_out", "lang_pred", "score")
