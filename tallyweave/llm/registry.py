@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .langid import fit_and_identify
 from .mixing import MIX_SQL, mix_sources
+from .quality import fit_and_score
 from .simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +56,9 @@ def op9_simhash(spark, sf_dir):
 def op10_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return fit_and_identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op8_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fit_and_score(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
