@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .langid import fit_and_identify
 from .mixing import MIX_SQL, mix_sources
+from .packing import pack_documents
 from .quality import fit_and_score
 from .simhash import near_duplicates
 
@@ -37,6 +38,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the installed public vocabulary ``name`` is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query
 def op5_mixing(spark, sf_dir):
     mixed = mix_sources(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), cap=3.0)
@@ -62,3 +70,9 @@ def op10_language_id(spark, sf_dir):
 def op8_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return fit_and_score(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op2_packing(spark, sf_dir):
+    packed = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), capacity=2048)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
