@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .embeddings import near_vectors
+from .html_text import extract_main_text
 from .langid import fit_and_identify
 from .mixing import MIX_SQL, mix_sources
 from .packing import pack_documents
@@ -76,3 +78,26 @@ def op8_quality(spark, sf_dir):
 def op2_packing(spark, sf_dir):
     packed = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), capacity=2048)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op7_embedding_dedup(spark, sf_dir):
+    found = near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+ORACLES["op7_embedding_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+fit AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM fit a JOIN fit b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS n, vec_id AS r FROM v UNION SELECT reach.n, links.y FROM reach JOIN links ON reach.r = links.x),
+named AS (SELECT n AS vec_id, min(r) AS component_id FROM reach GROUP BY n),
+counted AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM named LEFT JOIN counted ON x = vec_id"""
+
+
+@query
+def op3_html_text(spark, sf_dir):
+    pages = extract_main_text(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
