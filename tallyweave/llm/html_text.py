@@ -33,6 +33,7 @@ FURNITURE = re.compile(
     r"comments?|commentlist|respond|replies|disqus|pagination|pager|tags|toolbar|widgets?|skip|hidden|copyright|legal)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+CUT_TAG = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
 
@@ -141,6 +142,7 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The article of a page, its blocks joined by single spaces."""
     reader = LineReader()
     reader.feed(html or "")
+    reader.rawdata = CUT_TAG.sub("", reader.rawdata)  # a page may end within a tag, which isn't text
     reader.close()
     reader.flush()
     lines = reader.lines
@@ -152,7 +154,8 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     dense = smoothed >= two_clusters(smoothed)
     # an article or main element bounds the search; without one every region may hold content
     inside = [x.article for x in lines] if any(x.article for x in free) else [True] * len(lines)
-    chosen = {x.region for x, d, i in zip(lines, dense, inside, strict=True) if d and i and not x.furniture}
+    # a line that is mostly links may gain from its neighbours, but doesn't speak for its region
+    chosen = {x.region for x, d, i in zip(lines, dense, inside, strict=True) if d and i and not x.furniture and 2 * x.linked < len(x.text)}
     if any(x.article for x in free):
         chosen |= {x.region for x in free if x.article}
     kept = [x.text for x, i in zip(lines, inside, strict=True) if i and not x.furniture and (not chosen or x.region in chosen or x.heading)]
