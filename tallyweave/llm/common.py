@@ -47,12 +47,6 @@ def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def ascii_lower(text: str) -> str:
-    """Lower-case A-Z only."""
-    return text.translate(_LOWER)
-
-
-_LOWER = {c: c + 32 for c in range(65, 91)}
 #: Byte table that lower-cases A-Z.
 LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -69,6 +63,18 @@ def slices(sizes, limit: int):
         yield start, len(sizes)
 
 
+def token_blocks(text: bytes, block: int = 1 << 18):
+    """The words of a text, some 256 KB at a time; bytes split at 0x20 and 0x09-0x0D."""
+    at = 0
+    while at < len(text):
+        end = at + block
+        if end < len(text):
+            while end < len(text) and text[end] not in b" \t\n\v\f\r":
+                end += 1
+        yield text[at:end].split()
+        at = end
+
+
 def byte_column(column) -> tuple[np.ndarray, np.ndarray]:
     """An Arrow string or binary column as (bytes, offsets); null counts as empty."""
     import pyarrow as pa

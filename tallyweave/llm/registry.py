@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .embeddings import near_vectors
+from .hmm_lm import score_texts
 from .html_text import extract_main_text
 from .langid import fit_and_identify
 from .mixing import MIX_SQL, mix_sources
@@ -101,3 +102,8 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component
 def op3_html_text(spark, sf_dir):
     pages = extract_main_text(table(spark, sf_dir, "pages"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op6_hmm_scores(spark, sf_dir):
+    return score_texts(table(spark, sf_dir, "documents"))

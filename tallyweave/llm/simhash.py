@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, cut
+from .common import LOWER_BYTES, cut, token_blocks
 from .components import connected_components
 
 #: Rows of one table bucket that a task compares; larger buckets are split by a second index.
@@ -34,18 +34,6 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(counts * 2 > total).tobytes(), "big") if total else 0
 
 
-def token_blocks(text: bytes, block: int = 1 << 18):
-    """The words of a text, some 256 KB at a time; bytes split at 0x20 and 0x09-0x0D."""
-    at = 0
-    while at < len(text):
-        end = at + block
-        if end < len(text):
-            while end < len(text) and text[end] not in b" \t\n\v\f\r":
-                end += 1
-        yield text[at:end].split()
-        at = end
-
-
 def with_fingerprint(docs: DataFrame, *, text_col: str = "text", words: int = 3) -> DataFrame:
     """Add ``fingerprint`` (the 64 bits as a long); null or wordless text has 0."""
     @F.pandas_udf("long")
