@@ -171,17 +171,21 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, rank
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = 4000, **options) -> FactorisationMachine:
-    """Train on at most ``max_docs`` labelled documents, those of least id hash.
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = 4000, keep_id=None, **options) -> FactorisationMachine:
+    """Train on at most ``max_docs`` labelled documents, those of least id hash among the ids that ``keep_id`` admits.
 
     Features are computed on the executors; the driver receives the sparse rows
     of that bounded sample only.  A null label or id is no label; of several
     labels for one id the largest counts.
     """
-    marks = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__label"))
+    marks = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label"))
+    if keep_id is not None:
+        marks = marks.filter(keep_id(F.col("__id")))
+    chosen = marks.groupBy("__id").agg(F.max("__label").alias("__label")).orderBy(F.xxhash64("__id"), "__id").limit(max_docs)
+    # the ids are chosen before any text moves; only the texts of repeated ids could exceed the bound
     sample = (
         docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary").alias("__text"))
-        .join(marks, "__id")
+        .join(F.broadcast(chosen), "__id")
         .orderBy(F.xxhash64("__id"), "__id", F.xxhash64("__text"))
         .limit(max_docs)
     )
@@ -232,6 +236,6 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held_ou
 
     Returns the columns of ``docs`` plus ``held_out``, ``score``, ``predicted``.
     """
-    apart = id_crc(F.col(id_col)) % folds == held_out
-    model = fit(docs.filter(~apart), labels, id_col=id_col, text_col=text_col, **options)
-    return score(docs.withColumn("held_out", apart), model, text_col=text_col, threshold=threshold)
+    apart = lambda x: id_crc(x) % folds == held_out
+    model = fit(docs, labels, id_col=id_col, text_col=text_col, keep_id=lambda x: ~apart(x), **options)
+    return score(docs.withColumn("held_out", apart(F.col(id_col))), model, text_col=text_col, threshold=threshold)
