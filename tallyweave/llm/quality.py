@@ -26,7 +26,7 @@ BINS = 16
 STATISTICS = ("length", "words", "mean_word", "upper", "digits", "symbols", "lines", "repeated_lines", "repeated_words", "breaks", "non_ascii", "sentence_ends")
 FEATURES = (1 << WORD_BITS) + BINS * len(STATISTICS)
 #: Bytes of text in one vectorised step.
-CHUNK = 4_000_000
+CHUNK = 1_500_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
