@@ -18,6 +18,7 @@ from .langid import fit_and_identify
 from .mixing import MIX_SQL, mix_sources
 from .packing import pack_documents
 from .quality import fit_and_score
+from .repeats import remove_repeats
 from .simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +108,10 @@ def op3_html_text(spark, sf_dir):
 @query
 def op6_hmm_scores(spark, sf_dir):
     return score_texts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_suffix_dedup(spark, sf_dir):
+    found = remove_repeats(table(spark, sf_dir, "documents"), width=200)
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
