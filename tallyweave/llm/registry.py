@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import audio
 from .embeddings import near_vectors
 from .hmm_lm import score_texts
 from .html_text import extract_main_text
@@ -115,3 +116,11 @@ def op4_suffix_dedup(spark, sf_dir):
     found = remove_repeats(table(spark, sf_dir, "documents"), width=200)
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op1_audio_fingerprints(spark, sf_dir):
+    # the media column is rendered from the vectors as it is read, a recording for each
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    prints = audio.with_fingerprint(vectors, audio_col="embedding", decode=audio.melody, more=("id",))
+    return audio.align(prints, F.coalesce(F.col("id") % 50 == 0, F.lit(False))).withColumnRenamed("id", "vec_id")
