@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, cut, token_blocks
@@ -34,14 +34,14 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(counts * 2 > total).tobytes(), "big") if total else 0
 
 
-def with_fingerprint(docs: DataFrame, *, text_col: str = "text", words: int = 3) -> DataFrame:
-    """Add ``fingerprint`` (the 64 bits as a long); null or wordless text has 0."""
+def with_fingerprint(docs: DataFrame, *, text_col: str = "text", words: int = 3, name: str = "fingerprint") -> DataFrame:
+    """Add the fingerprint (64 bits as a long) as column ``name``; null or wordless text has 0."""
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         found = np.fromiter((fingerprint(t, words) for t in texts), np.uint64, len(texts))
         return pd.Series(found.view(np.int64))
 
-    return docs.withColumn("fingerprint", of(F.col(text_col).cast("binary")))
+    return docs.withColumn(name, of(F.col(text_col).cast("binary")))
 
 
 def hamming_links(prints: DataFrame, *, radius: int = 3) -> DataFrame:
@@ -116,6 +116,21 @@ def spanning_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
+def fingerprint_components(rows: DataFrame, *, radius: int = 3) -> DataFrame:
+    """(fingerprint, component_id, first_fingerprint) of a materialised table (doc_id, fingerprint).
+
+    ``first_fingerprint`` is the fingerprint of the component's smallest id, so
+    id and fingerprint together say which row stands for it.
+    """
+    classes = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
+    links = cut(hamming_links(classes.select("fingerprint"), radius=radius), "simhash-links")
+    parts = connected_components(links)
+    joined = classes.join(parts, classes.fingerprint == parts.node, "left").select("fingerprint", "first", F.coalesce("component", "fingerprint").alias("component"))
+    least = F.min(F.struct(F.col("first").isNull(), "first", "fingerprint"))
+    named = joined.groupBy("component").agg(least.alias("m")).select("component", F.col("m.first").alias("component_id"), F.col("m.fingerprint").alias("first_fingerprint"))
+    return joined.join(named, "component").select("fingerprint", "component_id", "first_fingerprint")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
     """One row per document: id, ``fingerprint`` (long) and ``component_id``.
 
@@ -130,10 +145,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     columns are not read.
     """
     rows = cut(with_fingerprint(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), words=words).drop("text"), "simhash")
-    classes = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
-    links = cut(hamming_links(classes.select("fingerprint"), radius=radius), "simhash-links")
-    parts = connected_components(links)
-    joined = classes.join(parts, classes.fingerprint == parts.node, "left").select("fingerprint", "first", F.coalesce("component", "fingerprint").alias("component"))
-    named = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    verdict = joined.join(named, "component").select("fingerprint", "component_id")
+    verdict = fingerprint_components(rows, radius=radius).drop("first_fingerprint")
     return rows.join(verdict, "fingerprint").select(F.col("doc_id").alias(id_col), "fingerprint", "component_id")
+
+
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
+    """The documents without near duplicates: of each component the one of smallest id.
+
+    All columns stay as they are.  Of repeated rows with that id and fingerprint
+    one stays; of documents that all lack an id, one with the smallest fingerprint.
+    """
+    printed = with_fingerprint(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), words=words)
+    rows = cut(printed.drop("text"), "simhash")
+    heads = fingerprint_components(rows, radius=radius).filter("fingerprint = first_fingerprint").select(F.col("fingerprint").alias("__print"), F.col("component_id").alias("__id"))
+    own = with_fingerprint(docs, text_col=text_col, words=words, name="__own")
+    first = own.join(heads, (F.col("__own") == F.col("__print")) & F.col(id_col).eqNullSafe(F.col("__id")))
+    turn = F.row_number().over(Window.partitionBy("__print", "__id").orderBy(F.xxhash64(text_col), text_col))
+    return first.withColumn("__turn", turn).filter("__turn = 1").select(*docs.columns)
