@@ -22,9 +22,16 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def _load() -> None:
+    """Import the modules whose queries register themselves."""
+    from . import validation  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return ORACLES
