@@ -25,7 +25,7 @@ END = b" "
 CLASSES = 32
 #: Text counted in one go, tokens of one batch of sequences, and the longest sequence in training.
 COUNT_BYTES = 16_000_000
-BATCH_TOKENS = 1_500_000
+BATCH_TOKENS = 300_000
 SEGMENT = 512
 LONG_WORD = 40
 
