@@ -18,21 +18,26 @@ ID_FORM = r"(?i)^(?:tt|nm)\d{7,}\z"
 # Date shapes in the order in which they are tried.
 DATE_FORMS = [
     (r"^\d{4}-\d{2}-\d{2}\z", "yyyy-MM-dd"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}\z", "d/M/yyyy"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}\z", "M/d/yyyy"),
+    (r"^\d{8}\z", "yyyyMMdd"),
     (r"^\d{1,2}-\d{1,2}-\d{4}\z", "d-M-yyyy"),
+    (r"^[A-Za-z]{3,9}-\d{1,2}-\d{4}\z", "MMMM-d-yyyy"),
+    (r"^[A-Za-z]{3}-\d{1,2}-\d{4}\z", "MMM-d-yyyy"),
     (r"^\d{1,2}-\d{1,2}-\d{4}\z", "M-d-yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}\z", "M/d/yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}\z", "d/M/yyyy"),
     (r"^\d{4}/\d{1,2}/\d{1,2}\z", "yyyy/M/d"),
-    (r"^\d{1,2} [A-Za-z]{3} \d{4}\z", "d MMM yyyy"),
-    (r"^\d{1,2} [A-Za-z]{4,9} \d{4}\z", "d MMMM yyyy"),
+    (r"^[A-Za-z]{3,9} \d{1,2}, \d{4}\z", "MMMM d, yyyy"),
     (r"^[A-Za-z]{3} \d{1,2}, \d{4}\z", "MMM d, yyyy"),
-    (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}\z", "MMMM d, yyyy"),
+    (r"^\d{1,2} [A-Za-z]{3,9} \d{4}\z", "d MMMM yyyy"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}\z", "d MMM yyyy"),
 ]
 
-# Spellings of one genre.
-GENRE_NAMES = {"sci-fi": "science fiction", "scifi": "science fiction", "sci fi": "science fiction", "science-fiction": "science fiction"}
-# Title kinds by their spellings in datasets and requests.
-TITLE_KINDS = {"movie": "movie", "film": "movie", "tvmovie": "movie", "feature": "movie", "tvseries": "series", "series": "series", "tv show": "series", "show": "series", "tvminiseries": "series", "tvepisode": "episode", "episode": "episode", "videogame": "game", "game": "game"}
+# Spellings of one genre, after all but a-z and 0-9 became spaces.
+GENRE_NAMES = {"scifi": "science fiction", "sci fi": "science fiction", "science fiction": "science fiction", "tv movie": "tv movie", "television movie": "tv movie"}
+# Title kinds by their normalised spellings.
+TITLE_KINDS = {"tvseries": "tvSeries", "tvminiseries": "tvMiniSeries", "tvepisode": "tvEpisode", "tvspecial": "tvSpecial", "tvmovie": "tvMovie", "podcastepisode": "podcastEpisode", "podcastseries": "podcastSeries"}
+# What requests call kinds of titles.
+REQUEST_KINDS = TITLE_KINDS | {"movie": "movie", "series": "tvSeries", "episode": "tvEpisode"}
 
 
 def text(c: Column) -> Column:
@@ -126,11 +131,13 @@ def renamed(c: Column, names: dict[str, str]) -> Column:
 
 
 def genre(c: Column) -> Column:
-    return renamed(squeeze(F.lower(c)), GENRE_NAMES)
+    return renamed(F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " ")), GENRE_NAMES)
 
 
-def title_kind(c: Column) -> Column:
-    return renamed(F.lower(text(c)), TITLE_KINDS)
+def title_kind(c: Column, names: dict[str, str] = TITLE_KINDS) -> Column:
+    """A title's kind in the datasets' spelling; unknown kinds stay as they are."""
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, F.regexp_replace(norm_lookup(c), " ", "")), text(c))
 
 
 def host(c: Column) -> Column:
