@@ -243,7 +243,7 @@ def score_social_hits(hits: DataFrame, *, key: list[str], order: str) -> DataFra
     item = F.struct(order, "band", "score", "url")
     all_hits = scored.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("hits"))
     kept = F.reduce("hits", F.element_at("hits", 1), lambda best, x: F.when(x["band"] > best["band"], x).otherwise(best))
-    return all_hits.select(*key, kept.alias("k")).select(*key, "k.url", "k.score", T.banded(F.col("k.score"), HIT_BANDS, "None").alias("band"))
+    return all_hits.select(*key, kept.alias("__kept")).select(*key, "__kept.url", "__kept.score", T.banded(F.col("__kept.score"), HIT_BANDS, "None").alias("band"))
 
 
 def select_artist(hits: DataFrame, query_id: str, order: str, keywords: dict[str, int]) -> DataFrame:
