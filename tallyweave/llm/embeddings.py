@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +54,67 @@ def spanning_forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
+def linked_pairs(x: np.ndarray, s: np.ndarray, t: int, block: np.ndarray | None, threshold: float) -> np.ndarray:
+    """Which of a bucket's vectors link, as a matrix, without pairs that an earlier table has (or within a block, of two blocks)."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    linked = cosines(x, x) >= threshold
+    np.fill_diagonal(linked, False)
+    if block is not None:
+        linked &= block[:, None] != block[None, :]
+    for earlier in range(t):
+        if not linked.any():
+            break
+        linked &= s[:, earlier, None] != s[None, :, earlier]
+    return linked
+
+
+def bucket_links(threshold: float):
+    """Tasks over members sorted by bucket: links of each class in a bucket, and edges that join them.
+
+    A task holds one bucket (or pair of blocks) at a time.
+    """
+
+    def flush(pieces, out):
+        if sum(len(p[0]) for p in pieces) < 2:
+            return
+        c, n, x, s, b = (np.concatenate([p[i] for p in pieces]) for i in range(5))
+        linked = linked_pairs(x, s, pieces[0][5], b if pieces[0][6] else None, threshold)
+        links = linked.astype(np.float64) @ n
+        some = np.flatnonzero(links)
+        out += [(c[i], None, int(links[i])) for i in some]
+        kept = linked[np.ix_(some, some)]
+        out += [(c[some[i]], c[some[j]], 0) for i, j in spanning_forest(kept)]
+
+    def run(batches):
+        held, name, out = [], None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g1, g2, t, apart, b, c, n, v, s = (batch.column(i) for i in range(9))
+            g1, g2 = np.asarray(g1), np.asarray(g2)
+            starts = np.flatnonzero(np.concatenate(([True], (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1]))))
+            ends = np.append(starts[1:], len(g1))
+            c, n, b = np.array(c.to_pylist(), dtype=object), np.asarray(n), np.asarray(b)
+            (vx, va), (sx, sa) = ((np.asarray(x.flatten()), np.asarray(x.offsets) - x.offsets[0].as_py()) for x in (v, s))
+            for i, j in zip(starts.tolist(), ends.tolist(), strict=True):
+                now = (g1[i], g2[i])
+                if now != name:
+                    flush(held, out)
+                    held, name = [], now
+                held.append((c[i:j], n[i:j], vx[va[i] : va[j]].reshape(j - i, -1), sx[sa[i] : sa[j]].reshape(j - i, -1), b[i:j], t[i].as_py(), apart[i].as_py()))
+            if len(out) >= 20_000:
+                yield pack(out)
+                out = []
+        flush(held, out)
+        if out:
+            yield pack(out)
+
+    def pack(rows):
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], ["a", "b", "links"])
+
+    return run
+
+
 def usable(vector: Column) -> Column:
     """Not null, every component finite, not zero."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -111,33 +173,9 @@ def near_vectors(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "
     met = met.select("c", *key, "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
     members = met.join(signed.select("c", "v", "s", "n"), "c")
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"a": pd.Series(dtype=object), "b": pd.Series(dtype=object), "links": pd.Series(dtype="int64")})
-        if len(group) < 2:
-            return none
-        x = np.stack(group["v"].to_list())
-        x = x / np.abs(x).max(axis=1, keepdims=True)
-        s, t = np.stack(group["s"].to_list()), int(group["t"].iat[0])
-        linked = cosines(x, x) >= threshold
-        np.fill_diagonal(linked, False)
-        if group["lo"].iat[0] != group["hi"].iat[0]:
-            b = group["b"].to_numpy()
-            linked &= b[:, None] != b[None, :]
-        for earlier in range(t):
-            if not linked.any():
-                return none
-            linked &= s[:, earlier, None] != s[None, :, earlier]
-        c, n = np.array(group["c"].to_list(), dtype=object), group["n"].to_numpy()
-        links = linked.astype(np.float64) @ n
-        some = links > 0
-        edges = spanning_forest(linked)
-        return pd.DataFrame({
-            "a": pd.Series([*c[some], *(c[i] for i, _ in edges)], dtype=object),
-            "b": pd.Series([None] * int(some.sum()) + [c[j] for _, j in edges], dtype=object),
-            "links": [*links[some].astype(np.int64), *[0] * len(edges)],
-        })
-
-    found = cut(members.groupBy(*key, "lo", "hi").applyInPandas(compare, "a string, b string, links long"), "vector-links")
+    named = [F.xxhash64(*key, "lo", "hi").alias("g1"), F.xxhash64(F.lit(seed), *key, "lo", "hi").alias("g2")]
+    dealt = members.select(*named, "t", (F.col("lo") != F.col("hi")).alias("apart"), "b", "c", "n", "v", "s").repartition("g1", "g2").sortWithinPartitions("g1", "g2")
+    found = cut(dealt.mapInArrow(bucket_links(threshold), "a string, b string, links long"), "vector-links")
     parts = connected_components(found.filter("b IS NOT NULL").select("a", "b"))
     counted = found.groupBy(F.col("a").alias("c")).agg(F.sum("links").alias("links"))
     joined = classes.select("c", "n", "first").join(parts.withColumnRenamed("node", "c"), "c", "left").join(counted, "c", "left")
