@@ -177,4 +177,4 @@ def extract_main_text(pages: DataFrame, *, html_col: str = "html", sigma: float
     def extract(pages: pd.Series) -> pd.Series:
         return pd.Series([main_text(h, sigma) for h in pages], dtype=object)
 
-    return pages.withColumn("text", extract(F.col(html_col)))
+    return pages.withColumn("text", extract.asNondeterministic()(F.col(html_col)))

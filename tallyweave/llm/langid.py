@@ -206,7 +206,8 @@ def identify(docs: DataFrame, parser: CrossParser, *, text_col: str = "text") ->
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "__lang")]
-    return docs.select(*kept, guess(F.col(text_col)).alias("__lang")).select(*kept, "__lang.lang_pred", "__lang.score")
+    # declared so that a filter on the result doesn't make Spark run it twice
+    return docs.select(*kept, guess.asNondeterministic()(F.col(text_col)).alias("__lang")).select(*kept, "__lang.lang_pred", "__lang.score")
 
 
 def fit_and_identify(docs: DataFrame, *, folds: int = 5, held_out: int = 0, **options) -> DataFrame:

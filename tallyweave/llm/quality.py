@@ -227,7 +227,7 @@ def score(docs: DataFrame, model: FactorisationMachine, *, text_col: str = "text
         return pd.Series(np.concatenate(found))
 
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    scored = docs.select(*kept, of(F.col(text_col).cast("binary")).alias("score"))
+    scored = docs.select(*kept, of.asNondeterministic()(F.col(text_col).cast("binary")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

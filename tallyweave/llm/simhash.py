@@ -41,7 +41,8 @@ def with_fingerprint(docs: DataFrame, *, text_col: str = "text", words: int = 3,
         found = np.fromiter((fingerprint(t, words) for t in texts), np.uint64, len(texts))
         return pd.Series(found.view(np.int64))
 
-    return docs.withColumn(name, of(F.col(text_col).cast("binary")))
+    # declared so that no filter or join on the result makes Spark run it twice
+    return docs.withColumn(name, of.asNondeterministic()(F.col(text_col).cast("binary")))
 
 
 def hamming_links(prints: DataFrame, *, radius: int = 3) -> DataFrame:
