@@ -2,8 +2,8 @@
 
 Audio becomes frames of energy in the twelve pitch classes.  Filters that
 compare areas of this image, read off an integral image, give two bits each,
-packed into one 32-bit integer per frame.  Recordings that share integers vote
-for an offset in a histogram; at the best offset the bit errors decide.
+packed into one 32-bit integer per frame.  Recordings that share pairs of
+integers vote for an offset in a histogram; at the best offset the bit errors decide.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -25,6 +25,8 @@ HOP = 500
 #: Frames that one integer looks at.
 SPAN = 16
 LOWEST, HIGHEST = 110.0, 1760.0
+#: Frames between the two integers that recordings must share to vote for an offset.
+GAP = 8
 #: Filter outputs are cut at these values into four levels, Gray-coded.
 LEVELS = (-0.15, 0.0, 0.15)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
@@ -136,7 +138,13 @@ def with_fingerprint(recordings: DataFrame, *, audio_col: str = "audio", decode:
     return recordings.withColumn("prints", of(audio_col, *more))
 
 
-def align(prints: DataFrame, is_query, *, id_col: str = "id", least_votes: int = 1, least_overlap: int = 16, max_error: float = 0.2) -> DataFrame:
+def landmarks(prints: str) -> Column:
+    """Each integer with the one ``GAP`` frames later, as one long."""
+    count = F.greatest(F.size(prints) - GAP, F.lit(0))
+    return F.zip_with(F.slice(prints, 1, count), F.slice(prints, GAP + 1, count), lambda a, b: F.shiftleft(a, 32).bitwiseOR(b))
+
+
+def align(prints: DataFrame, is_query, *, id_col: str = "id", least_votes: int = 1, least_overlap: int = 16, max_error: float = 0.12) -> DataFrame:
     """Align query recordings with all recordings by their integers.
 
     ``prints`` has an id and ``prints``; ``is_query`` is a condition on it.  One
@@ -145,7 +153,8 @@ def align(prints: DataFrame, is_query, *, id_col: str = "id", least_votes: int =
     query class that fits best ``best_query`` (its smallest query id), ``shift``
     (frames by which the query starts later in it), ``overlap`` and ``bit_error``.
 
-    Two classes are aligned at the offset with most shared integers, at least
+    Integers vote in pairs ``GAP`` frames apart, as a single one says too little.
+    Two classes are aligned at the offset with most shared pairs, at least
     ``least_votes`` (of equal ones the smallest shift); they link if at least
     ``least_overlap`` integers overlap there and at most ``max_error`` of their
     bits differ.  Recordings with equal integers are compared once, as a class,
@@ -159,8 +168,8 @@ def align(prints: DataFrame, is_query, *, id_col: str = "id", least_votes: int =
     classes = cut(classes, "print-classes")
     # votes per pair and offset; a class that is compared with itself needs none
     asked = classes.filter("queries > 0")
-    words = classes.select("c", F.posexplode("prints").alias("at", "word"))
-    sought = asked.select(F.col("c").alias("qc"), F.posexplode("prints").alias("q_at", "word"))
+    words = classes.select("c", F.posexplode(landmarks("prints")).alias("at", "word"))
+    sought = asked.select(F.col("c").alias("qc"), F.posexplode(landmarks("prints")).alias("q_at", "word"))
     votes = words.join(sought, "word").filter("c <> qc").groupBy("c", "qc", (F.col("at") - F.col("q_at")).alias("shift")).agg(F.count("*").alias("votes"))
     best = votes.groupBy("c", "qc").agg(F.max(F.struct("votes", -F.abs("shift"), -F.col("shift"))).alias("b")).select("c", "qc", F.col("b.votes").alias("votes"), (-F.col("b.col3")).alias("shift")).filter(F.col("votes") >= least_votes)
     both = best.join(classes.select("c", F.col("prints").alias("x"), "class_id"), "c").join(asked.select(F.col("c").alias("qc"), F.col("prints").alias("y"), "queries", "query_id"), "qc")
@@ -183,7 +192,7 @@ def align(prints: DataFrame, is_query, *, id_col: str = "id", least_votes: int =
 
 
 def melody(vector, number) -> np.ndarray:
-    """Audio of a vector: a low, middle or high note for each component.
+    """Audio of a vector: a low or a high note for each component.
 
     The recording misses the first notes of the melody, how many its number says,
     so that recordings of like vectors start at different places.
@@ -192,9 +201,8 @@ def melody(vector, number) -> np.ndarray:
         return np.zeros(0, np.float32)
     v = np.array(vector, float)
     v = np.where(np.isfinite(v), v, 0.0)
-    v = v / max(np.sqrt((v**2).mean()), 1e-12)
-    notes = np.searchsorted((-0.6, 0.6), v)[0 if number is None or number != number else 3 * (int(number) % 4) :]
+    notes = (v > 0).astype(int)[0 if number is None or number != number else 3 * (int(number) % 4) :]
     return _NOTES[notes].reshape(-1)
 
 
-_NOTES = np.sin(2 * np.pi * 440 * 2 ** (np.array([-4, 0, 5]) / 12)[:, None] * np.arange(HOP) / RATE).astype(np.float32)
+_NOTES = np.sin(2 * np.pi * 440 * 2 ** (np.array([-4, 3]) / 12)[:, None] * np.arange(HOP) / RATE).astype(np.float32)
