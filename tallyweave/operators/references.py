@@ -272,3 +272,48 @@ def hits_to_results(hits: DataFrame, sitelinks: DataFrame, *, query_id: str, ite
     joined = hits.join(sitelinks.select(item, F.col("article").alias("__a")), item, "left")
     url = F.when(F.col("__a").isNotNull(), F.concat(F.lit("https://en.wikipedia.org/wiki/"), F.replace(F.col("__a"), F.lit(" "), F.lit("_")))).otherwise(F.concat(F.lit("https://www.wikidata.org/wiki/"), F.col(item)))
     return joined.withColumn("url", url).withColumn("position", F.row_number().over(Window.partitionBy(query_id).orderBy(order, item))).drop("__a")
+
+
+def youtube_label_fits(value: Column, title: Column) -> Column:
+    """An @handle, /c/ or /user/ name loosely matches the title; channel ids and blanks fit."""
+    label = F.coalesce(F.nullif(F.regexp_extract(value, r"(?:/c/|/user/|@)([^/?#\s]+)", 1), F.lit("")), F.lit(""))
+    plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    a, b = plain(label), plain(T.norm_title(title))
+    return (a == "") | ((b != "") & (a.contains(b) | b.contains(a)))
+
+
+def table_checks(row_col: str = "row_num", *, entities: DataFrame | None = None, movies: DataFrame | None = None, references: DataFrame | None = None, pages: DataFrame | None = None) -> dict:
+    """The ``refs`` of ``rules.validate`` for the tables at hand.
+
+    ``entities`` as in ``entity_metadata``, ``movies`` as in ``movie_checks``,
+    ``references`` (platform, ref_id, titles, wikidata_id, type) and fetched
+    ``pages`` (url, status, final_url, text).
+    """
+    checks = {}
+
+    def failures(df: DataFrame, message: Column, value: str) -> DataFrame:
+        return df.select(row_col, message.alias("message"), F.col(value).alias("value")).filter("message IS NOT NULL")
+
+    if entities is not None:
+        for check, audit in (("genre_taxonomy_audit", genre_audit), ("date_cross_check", date_audit), ("network_platform_audit", network_audit)):
+            checks[check] = lambda df, r, audit=audit: failures(entity_metadata(df, entities), audit(F.col(r.column), F.col("entity")), r.column)
+    if movies is not None:
+        for check, name in (("movie_us_release_date_match", "release_date"), ("movie_release_type_match", "release_type"), ("movie_genre_match", "genre"), ("rottentomatoes_url_match", "film_page")):
+            checks[check] = lambda df, r, name=name: failures(movie_checks(df, movies).filter(F.col("finding") == name), F.lit(r.message or f"{r.column} does not match the movie reference."), r.column)
+    if references is not None:
+        checks["reference_lookup_match"] = lambda df, r: failures(reference_match(df, references.filter(F.col("platform") == r.platform), value_col=r.column, platform=r.platform), F.col("finding"), r.column)
+        for kind in ("wikipedia", "imdb"):
+
+            def audit_urls(df, r, kind=kind):
+                key = F.lower(wiki_key(F.col(r.column)) if kind == "wikipedia" else T.title_id(F.col(r.column)))
+                ref = references.filter(F.col("platform") == kind).select(F.lower("ref_id").alias("__k"), F.col("titles")[0].alias("__page")).dropDuplicates(["__k"])
+                return failures(df.withColumn("__k", key).join(ref, "__k", "left"), url_audit(F.col(r.column), F.col("title"), F.col("__page"), kind), r.column)
+
+            checks[f"{kind}_url_audit"] = audit_urls
+    if pages is not None:
+        checks["social_reference_reachable"] = lambda df, r: failures(reachable(df, pages, value_col=r.column, platform=r.platform), F.col("finding"), r.column)
+    return checks
+
+
+def wiki_key(c: Column) -> Column:
+    return T.wiki_slug(c)

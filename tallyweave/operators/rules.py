@@ -51,6 +51,12 @@ class Rule:
 #: What a check can't do without.
 NEEDED = {"not_blank_and_not_in": "tokens", "equals": "value", "not_equals": "value", "in": "values", "regex": "pattern", "min": "value", "max": "value", "between": "min_value", "contains": "value", "contains_any": "values", "url_not_contains_if_present": "tokens", "talent_subcategory_format": "tokens", "social_reference_format": "platform"}
 
+#: Checks against reference tables, run by the functions given as ``refs`` (see ``references.table_checks``).
+REFERENCE_CHECKS = [
+    "social_reference_reachable", "reference_lookup_match", "movie_us_release_date_match", "movie_release_type_match", "movie_genre_match", "rottentomatoes_url_match",
+    "genre_taxonomy_audit", "date_cross_check", "network_platform_audit", "wikipedia_url_audit", "imdb_url_audit",
+]
+
 CHECKS: dict[str, Callable[[Column, Rule, datetime.date], tuple[Column, Column]]] = {}
 
 
@@ -68,7 +74,7 @@ def parse_rules(source: str | list | dict) -> list[Rule]:
     known, rules = {f.name for f in fields(Rule)}, []
     for item in data:
         rule = Rule(**{k: v for k, v in item.items() if k in known and k != "when"}, when=[Condition(**c) for c in item.get("when", [])])
-        if rule.check != "unique" and rule.check not in CHECKS:
+        if rule.check not in {"unique", *REFERENCE_CHECKS, *CHECKS}:
             raise ValueError(f"unknown check: {rule.check}")
         need = NEEDED.get(rule.check)
         if need and getattr(rule, need) in (None, [], ""):
@@ -238,26 +244,30 @@ def select_rules(rules: list[Rule], modes: set[str] = frozenset({"full"}), platf
     return kept
 
 
-def validate(df: DataFrame, rules: list[Rule], *, modes: set[str] = frozenset({"full"}), platforms: set[str] | None = None, today: datetime.date | None = None, sheet: str = "sheet", row_col: str = "row_num", aliases: dict[str, str] | None = None) -> DataFrame:
+def validate(df: DataFrame, rules: list[Rule], *, modes: set[str] = frozenset({"full"}), platforms: set[str] | None = None, today: datetime.date | None = None, sheet: str = "sheet", row_col: str = "row_num", aliases: dict[str, str] | None = None, refs: dict[str, Callable[[DataFrame, Rule], DataFrame]] | None = None) -> DataFrame:
     """All issues of a table; rows without a filled cell are skipped.
 
     Row checks share one projection and no shuffle.  ``unique`` rules share one
     window: their normalised values are unpivoted, so a table is shuffled once
-    for all of them, blank values before that left out.
+    for all of them, blank values before that left out.  A rule for any sheet is
+    skipped where the sheet lacks its columns; a rule for this sheet fails.
+    ``refs`` holds for reference checks a function (rows, rule) that returns
+    (row_num, message, value) of failures; checks without one are skipped, as
+    are look-ups whose source is unavailable.
     """
     today = today or datetime.date.today()
     rules = [r for r in select_rules(rules, modes, platforms) if r.sheet in ("*", sheet)]
     data = [c for c in df.columns if c != row_col]
     active = df.filter(_any([~T.is_blank(F.col(f"`{c}`")) for c in data]))
-    checks, unique = [], []
+    checks, unique, joined = [], [], []
     for rule in rules:
         try:
             column = F.col(f"`{resolve(df, rule.column, aliases)}`")
+            gate = reduce(lambda a, b: a & b, [condition(df, c) for c in rule.when], F.lit(True))
         except ValueError:
-            if rule.sheet == "*" and sheet != "sheet":
-                continue  # a rule for any sheet doesn't need the column in each
+            if rule.sheet == "*":
+                continue
             raise
-        gate = reduce(lambda a, b: a & b, [condition(df, c) for c in rule.when], F.lit(True))
         if "missing_only" in modes and "full" not in modes:
             gate = gate & T.is_blank(column)
         if "existing_qa" in modes and "full" not in modes:
@@ -268,10 +278,15 @@ def validate(df: DataFrame, rules: list[Rule], *, modes: set[str] = frozenset({"
             says = rule.message or f"{rule.column} must be unique."
             unique.append(F.when(gate & (value != ""), F.struct(F.lit(rule.column).alias("column"), name.alias("rule"), F.lit(says).alias("message"), column.cast("string").alias("value"), value.alias("key"), F.lit(len(unique)).alias("n"))))
             continue
+        if rule.check in REFERENCE_CHECKS:
+            if rule.check in (refs or {}):
+                failed = refs[rule.check](active.filter(gate), rule)
+                joined.append(failed.select(F.col(row_col).cast("long").alias("row_num"), F.lit(rule.column).alias("column"), name.alias("rule"), "message", F.col("value").cast("string").alias("value")))
+            continue
         passes, says = CHECKS[rule.check](column, rule, today)
         says = F.lit(rule.message) if rule.message and rule.check not in ("url_not_contains_if_present", "social_reference_format") else says
         checks.append(F.when(gate & ~passes, F.struct(F.lit(rule.column).alias("column"), name.alias("rule"), says.alias("message"), column.cast("string").alias("value"))))
-    parts = []
+    parts = joined
     for i in range(0, len(checks), 20):  # arrays of some twenty checks stay within one generated method
         found = F.filter(F.array(*checks[i : i + 20]), lambda x: x.isNotNull())
         parts.append(active.select(F.col(row_col).cast("long").alias("row_num"), F.inline(found)))

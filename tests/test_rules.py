@@ -84,3 +84,17 @@ def test_clean_flagged_and_passed(spark):
     assert R.with_passed_row(found, spark.range(1)).count() == 1
     [r] = R.with_passed_row(found.filter("row_num > 5"), spark.range(1)).collect()
     assert r.message == "All checks passed."
+
+
+def test_reference_checks_run_on_tables_and_skip_without(spark):
+    from tallyweave.operators import references
+
+    df = spark.createDataFrame([(1, "Heat", "movies", "tt0113277", "Comedy"), (2, "Heat", "movies", "tt0113277", "Action"), (3, "Dune", "movies", "tt0000009", "")], "row_num long, title string, title_category string, imdb_id string, genre string")
+    ref = spark.createDataFrame([("imdb", "tt0113277", ["Heat"], None, "movie"), ("imdb", "tt0000009", ["Other"], None, "movie")], "platform string, ref_id string, titles array<string>, wikidata_id string, type string")
+    entities = spark.createDataFrame([("tt0113277", "movie", "heat", ["Action"], "1995-12-15", ["W"], [])], "imdb_id string, kind string, title_norm string, genres array<string>, release_date string, networks array<string>, companies array<string>")
+    rules = [{"column": "genre", "check": "genre_taxonomy_audit"}, {"column": "imdb_id", "check": "reference_lookup_match", "platform": "imdb"}, {"column": "imdb_id", "check": "imdb_url_audit"}, {"column": "title", "check": "required"}, {"column": "elsewhere", "check": "required"}]
+    got = issues(df, rules, refs=references.table_checks(entities=entities, references=ref))
+    assert got == [(1, "genre", "genre_taxonomy_audit"), (3, "genre", "genre_taxonomy_audit"), (3, "imdb_id", "imdb_url_audit"), (3, "imdb_id", "reference_lookup_match")]
+    assert issues(df, rules) == []
+    labels = spark.createDataFrame([("@heatmovie", "Heat"), ("youtube.com/c/other", "Heat"), ("", "Heat"), ("youtube.com/channel/UC1", "Heat")], "v string, t string")
+    assert [r.f for r in labels.select(references.youtube_label_fits(F.col("v"), F.col("t")).alias("f")).collect()] == [True, False, True, True]
