@@ -139,13 +139,18 @@ class FactorisationMachine:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, rank: int = 4, epochs: int = 12, rate: float = 0.05, decay: float = 1e-4, batch: int = 64, seed: int = 7) -> FactorisationMachine:
-    """AdaGrad on the logistic loss, in mini-batches."""
+def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, rank: int = 4, updates: int = 600, rate: float = 0.15, decay: float = 1e-4, batch: int = 64, seed: int = 7) -> FactorisationMachine:
+    """AdaGrad on the logistic loss, in ``updates`` mini-batches or some more.
+
+    Both labels weigh alike as a whole, so that the rarer one isn't outvoted.
+    """
     rng = np.random.default_rng(seed)
     share = np.clip(labels.mean(), 0.01, 0.99) if len(labels) else 0.5
-    model = FactorisationMachine(float(np.log(share / (1 - share))), np.zeros(FEATURES, np.float32), rng.normal(0, 0.02, (FEATURES, rank)).astype(np.float32))
+    weight = np.where(labels > 0.5, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
+    model = FactorisationMachine(0.0, np.zeros(FEATURES, np.float32), rng.normal(0, 0.02, (FEATURES, rank)).astype(np.float32))
     seen_w, seen_v = np.full(FEATURES, 1e-3, np.float32), np.full((FEATURES, rank), 1e-3, np.float32)
-    for _ in range(epochs if len(labels) else 0):
+    epochs = -(-updates // -(-len(labels) // batch)) if len(labels) else 0
+    for _ in range(epochs):
         order = rng.permutation(len(rows))
         for i in range(0, len(order), batch):
             part = order[i : i + batch]
@@ -153,7 +158,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, rank
             column = np.concatenate([rows[j][0] for j in part])
             value = np.concatenate([rows[j][1] for j in part])
             first = np.searchsorted(row, np.arange(len(part)))
-            error = (model.scores(row, column, value, len(part)) - labels[part]).astype(np.float32)
+            error = (model.scores(row, column, value, len(part)) - labels[part]).astype(np.float32) * weight[part]
             vx = model.factors[column] * value[:, None]
             sums = np.add.reduceat(vx, first, axis=0)
             slope = error[row] * value

@@ -47,7 +47,7 @@ def test_held_out_accuracy_and_edge_cases(spark):
     rows = [(i, t, "x") for i, t in enumerate(t for pair in zip(good, bad) for t in pair)]
     labels = [(i, 1 - i % 2) for i, *_ in rows] + [(None, 1), (3, None), (10_000, 0)]
     rows += [(2000, None, None), (2001, "", None), (None, good[0], None), (2002, "word " * 200_000, None), (0, good[0], None)]
-    got = quality.fit_and_score(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS), epochs=8).collect()
+    got = quality.fit_and_score(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS), updates=100).collect()
     assert len(got) == len(rows)
     held = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id < 500]
     assert all(r.held_out == (zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 5 == 0) for r in got)
