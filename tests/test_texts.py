@@ -108,7 +108,7 @@ def test_tickets(spark):
 
 
 def test_page_classes(spark):
-    rows = [("https://facebook.com/unrelatedhandle", "Pristine Brand", ""), ("https://facebook.com/pristine", "Pristine", "an unofficial fanpage"), ("https://facebook.com/pristine", "Pristine", "community group"), ("https://facebook.com/pristine", "Pristine", "Interest page generated automatically"), ("https://facebook.com/brandfrance", "Brand", ""), ("https://facebook.com/brand", "Brand", "Verified  profile"), ("https://facebook.com/brand", "Brand", "")]
+    rows = [("https://facebook.com/unrelatedhandle", "Sample Brand", ""), ("https://facebook.com/sample", "Sample", "an unofficial fanpage"), ("https://facebook.com/sample", "Sample", "community group"), ("https://facebook.com/sample", "Sample", "Interest page generated automatically"), ("https://facebook.com/brandfrance", "Brand", ""), ("https://facebook.com/brand", "Brand", "Verified  profile"), ("https://facebook.com/brand", "Brand", "")]
     got = [(r.page_class, r.page_confidence) for r in K.classify_pages(spark.createDataFrame(rows, "url string, title string, page_text string")).collect()]
     assert got == [("Suspicious/Impersonation", "Low"), ("Fan Page", "High"), ("Community Page", "High"), ("Auto-generated", "High"), ("Official Regional", "Medium"), ("Official", "High"), ("Unable to Verify", "Low")]
 
