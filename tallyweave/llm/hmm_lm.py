@@ -15,7 +15,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, cut, id_crc, slices, token_blocks
@@ -71,15 +71,30 @@ class Vocabulary:
     tokens: int
     distinct: int
     class_size: np.ndarray  # tokens plus words of each class, plus one for a word never seen
+    least_band: int  # of the known words' counts
 
     @property
     def width(self) -> int:
         return self.symbols + CLASSES
 
 
+def count_band() -> Column:
+    """Counts in bands of an eighth of an octave."""
+    return F.floor(F.log2(F.col("c").cast("double")) * 8).cast("int")
+
+
 def vocabulary(words: DataFrame, *, symbols: int, known: int) -> Vocabulary:
-    """Bounded top of the count table, and the totals of the rest."""
-    top = words.orderBy(F.desc("c"), "word").limit(known).toArrow()
+    """The commonest words, at most ``known``, and the totals of the rest.
+
+    A histogram of counts, some hundred rows, tells from which count on words
+    are few enough; no words are sorted.
+    """
+    bands = {r.b: r.v for r in words.groupBy(count_band().alias("b")).agg(F.count("*").alias("v")).collect()}
+    least, room = max(bands, default=0) + 1, known
+    while least - 1 >= min(bands, default=0) and bands.get(least - 1, 0) <= room:
+        least -= 1
+        room -= bands.get(least, 0)
+    top = words.filter(count_band() >= least).toArrow()
     found, counts = top.column("word").to_pylist(), np.asarray(top.column("c"), dtype=np.int64)
     order = sorted(range(len(found)), key=lambda i: (-int(counts[i]), found[i]))
     found, counts = [found[i] for i in order], counts[order]
@@ -91,7 +106,7 @@ def vocabulary(words: DataFrame, *, symbols: int, known: int) -> Vocabulary:
     symbols = min(symbols, len(found))
     for w, c in zip(found[:symbols], counts[:symbols], strict=True):
         size[w[-1] % CLASSES] -= c + 1
-    return Vocabulary(found, counts, symbols, totals.n or 0, totals.v, size)
+    return Vocabulary(found, counts, symbols, totals.n or 0, totals.v, size, least)
 
 
 def encode(docs: DataFrame, vocab: Vocabulary, *, id_col: str, text_col: str) -> DataFrame:
@@ -290,8 +305,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     scored = encoded.select("codes", *kept).mapInArrow(forward, f"rid long, doc_id {id_type}, held_out boolean, n_tokens long, logs double, inner double, known long, model double")
     rare = encoded.select("rid", F.explode("other").alias("word"))
-    least = int(vocab.counts[-1]) if len(vocab.counts) else 0
-    met = rare.join(words.filter(F.col("c") <= least), "word")
+    met = rare.join(words.filter(count_band() < vocab.least_band), "word")
     sums = met.groupBy("rid").agg(F.sum(F.log10(F.col("c") + 1)).alias("more"), F.count("*").alias("found"))
     whole = math.log10(vocab.tokens + vocab.distinct + 1)
     more = F.coalesce("more", F.lit(0.0))
