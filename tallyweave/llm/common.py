@@ -51,6 +51,18 @@ def text_or_empty(text: Column) -> Column:
 LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def release_memory() -> None:
+    """Give what a task has freed back to the system, as a reused Python worker would keep it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # the C library of most Linux systems has it
+        trim(0)
+
+
 def slices(sizes, limit: int):
     """Consecutive ranges of rows whose sizes sum to at most ``limit`` (one row at least)."""
     start = total = 0

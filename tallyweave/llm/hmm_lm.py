@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, cut, id_crc, slices, token_blocks
+from .common import LOWER_BYTES, cut, id_crc, release_memory, slices, token_blocks
 
 #: What ends a text, as a token; no word holds a space.
 END = b" "
@@ -251,6 +251,7 @@ def expected_counts(encoded: DataFrame, model: HiddenMarkovModel) -> tuple[np.nd
                 start, move, emit = shared.value.counts(parts)
                 now = np.concatenate((start[None], move, emit))
                 total = now if total is None else total + now
+            release_memory()
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), *(pa.array(total[:, s].copy()) for s in range(states))], ["row", *(f"s{s}" for s in range(states))])
 

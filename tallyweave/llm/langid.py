@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_crc, slices
+from .common import id_crc, release_memory, slices
 
 #: Letters a model tells apart; the rest share one symbol. 0 is what separates words, 1 any other letter.
 ALPHABET = 64
@@ -203,6 +203,7 @@ def identify(docs: DataFrame, parser: CrossParser, *, text_col: str = "text") ->
         if not found.languages:
             return pd.DataFrame({"lang_pred": [NO_LETTER] * len(texts), "score": np.zeros(len(texts))})
         names, scores = found.predict(list(texts))
+        release_memory()
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "__lang")]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release_memory
 
 CAPACITY = 2048
 #: Groups that the pieces of one length are dealt into, for ranks without a hot group.
@@ -93,6 +93,7 @@ def token_pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
                     column, made = [], []
             if made:
                 yield pack(batch, column, made)
+            release_memory()
 
     def pack(batch, column, made):
         arrays = [pa.array(x, t) for x, t in zip(zip(*made, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]

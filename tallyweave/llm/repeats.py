@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_column, slices
+from .common import byte_column, release_memory, slices
 
 GRAM = 64
 #: Bytes of text hashed in one vectorised step (positions have 24 bits there).
@@ -163,6 +163,8 @@ def anchor_rows(width: int):
             told = h[same[grams[kinds > 1]]]
             zero = np.zeros(len(told), np.int64)
             yield found_batch(told, np.full(len(told), VARIES), zero, zero, zero, zero, zero)
+            del order, owner, p, h, lo, hi, ctx, start, r1, r2
+            release_memory()
 
     return run
 
@@ -276,6 +278,8 @@ def surroundings(width: int):
                     rows = []
             if rows:
                 yield pack(rows)
+                rows = []
+            release_memory()
 
     def pack(rows):
         types = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
@@ -305,6 +309,7 @@ def interval_spans(width: int):
         out += spans(group)
         if out:
             yield pack(out)
+        release_memory()
 
     def pack(rows):
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["r1", "r2", "a", "b"])
@@ -396,6 +401,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             if rows:
                 types = (pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True))], ["doc_id", "n_bytes", "removed", "kept"])
+                del rows
+                release_memory()
 
     out = found.mapInArrow(apply, f"doc_id {id_type}, n_bytes long, removed array<struct<start: long, end: long>>, kept binary")
     return out.withColumnRenamed("doc_id", id_col)

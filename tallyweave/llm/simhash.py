@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, cut, token_blocks
+from .common import LOWER_BYTES, cut, release_memory, token_blocks
 from .components import connected_components
 
 #: Rows of one table bucket that a task compares; larger buckets are split by a second index.
@@ -39,6 +39,7 @@ def with_fingerprint(docs: DataFrame, *, text_col: str = "text", words: int = 3,
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         found = np.fromiter((fingerprint(t, words) for t in texts), np.uint64, len(texts))
+        release_memory()
         return pd.Series(found.view(np.int64))
 
     # declared so that no filter or join on the result makes Spark run it twice
