@@ -321,7 +321,12 @@ SPANS = "r1 long, r2 long, a int, b int"
 
 
 def string_spans(around: DataFrame, width: int) -> DataFrame:
-    """The same spans for grams with very many surroundings: each string around an anchor is counted."""
+    """The same spans for grams with very many surroundings: each string around an anchor is counted.
+
+    A string may hold its gram several times, and then comes once for each; its own
+    anchor is at the same place in it wherever it occurs, so strings are counted by
+    the anchor's place too and one start is counted once.
+    """
 
     def strings(batches):
         for batch in batches:
@@ -332,11 +337,11 @@ def string_spans(around: DataFrame, width: int) -> DataFrame:
                 if lefts:
                     keys = [hashlib.blake2b(text[n - k : n - k + width], digest_size=16).digest() for k in lefts]
                     m = len(lefts)
-                    yield pa.RecordBatch.from_arrays([pa.array([h] * m), pa.array(keys, pa.binary()), pa.array([times] * m, pa.int32()), pa.array([r1] * m), pa.array([r2] * m), pa.array([a - k for k in lefts], pa.int32())], ["h", "key", "times", "r1", "r2", "a"])
+                    yield pa.RecordBatch.from_arrays([pa.array([h] * m), pa.array(keys, pa.binary()), pa.array([times] * m, pa.int32()), pa.array([r1] * m), pa.array([r2] * m), pa.array([a - k for k in lefts], pa.int32()), pa.array(lefts, pa.int32())], ["h", "key", "times", "r1", "r2", "a", "k"])
 
-    each = around.mapInArrow(strings, "h long, key binary, times int, r1 long, r2 long, a int")
-    often = each.groupBy("h", "key").agg(F.sum("times").alias("n")).filter("n > 1")
-    return each.join(often, ["h", "key"], "left_semi").select("r1", "r2", "a", (F.col("a") + width).alias("b"))
+    each = around.mapInArrow(strings, "h long, key binary, times int, r1 long, r2 long, a int, k int")
+    often = each.groupBy("h", "key", "k").agg(F.sum("times").alias("n")).filter("n > 1")
+    return each.join(often, ["h", "key", "k"], "left_semi").select("r1", "r2", "a", (F.col("a") + width).alias("b"))
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 200) -> DataFrame:

@@ -64,6 +64,22 @@ def test_crowded_grams_and_small_steps(spark, monkeypatch):
     check(spark, made, [None if i % 9 == 0 else i // 2 for i in range(len(made))])
 
 
+def test_crowded_grams_that_recur_in_a_string(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "CLASS_ROWS", 2)
+    rng = np.random.default_rng(11)
+    word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    # a run of one character, and a short line four times, whose grams are anchors as their hashes are low
+    hashed = lambda t: int(repeats.gram_hashes(np.frombuffer(t.encode(), np.uint8)).min())
+    middles = [min((chr(c) * 80 for c in range(33, 127)), key=hashed), min((f"- item {i:03}: a line\n" * 4 for i in range(1000)), key=hashed)]
+    for middle in middles:
+        around = [word(300) + middle + word(300) for _ in range(12)]
+        assert not any(plain(around, 200))
+        docs = spark.createDataFrame(list(enumerate(around)), "doc_id long, text string")
+        got = repeats.remove_repeats(docs).select("removed").collect()
+        assert [r.removed for r in got] == [[]] * len(around)
+        check(spark, [*around, *texts(8)[:40]])
+
+
 def test_empty_table(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
