@@ -162,8 +162,8 @@ def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, *, width: int =
     Branch and bound: a node fills bins around the longest length left, as often
     as the counts allow.  The first descent takes the best fit everywhere and is
     the first incumbent.  A branch is pruned when the bins so far plus the bound
-    on the rest reach the incumbent; the search ends at the lower bound, or after
-    ``nodes`` nodes with the incumbent.  Every item is packed in any case.
+    on the rest reach the incumbent; the search ends at the lower bound, or ``nodes``
+    nodes after the first incumbent.  Every item is packed in any case.
     """
     counts = np.asarray(counts, np.int64).copy()
     sizes = np.arange(len(counts))
@@ -183,6 +183,8 @@ def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, *, width: int =
         if best is not None and (bins + bound(left) >= best_bins or visited > nodes):
             continue
         if not left.any():
+            if best is None:
+                visited = 0  # the first descent takes a node per filling, however many lengths there are
             best, best_bins = made, bins
             if bins == least:
                 break

@@ -54,6 +54,22 @@ def test_large_case_is_close_to_the_bound():
     assert sum(f.times for f in got) <= 1.005 * max(counts[1025:].sum(), (counts * np.arange(2049)).sum() / 2048)
 
 
+def test_branches_are_tried_after_a_long_first_descent(monkeypatch):
+    counts = np.bincount(np.random.default_rng(3).integers(1, 2049, 20_000), minlength=2049)
+    counts[1:] += 1  # all 2048 lengths
+    calls, plain = [], packing.completions
+    monkeypatch.setattr(packing, "completions", lambda *a: calls.append(1) or plain(*a))
+    first = packing.bin_completion(counts, nodes=0)
+    descent = len(calls)
+    assert descent == len(first) > packing.NODES
+    assert sum(f.times for f in first) > max(counts[1025:].sum(), -(-(counts * np.arange(2049)).sum() // 2048))
+    calls.clear()
+    got = packing.bin_completion(counts)
+    assert len(calls) > descent
+    assert sum(f.times for f in got) <= sum(f.times for f in first)
+    assert (sum(f.times * np.bincount(f.lengths, minlength=2049) for f in got) == counts).all()
+
+
 def test_encoder_matches_the_tokenizer():
     tokenizer = Tokenizer.from_file(PATH)
     encode = packing.encoder(PATH)
