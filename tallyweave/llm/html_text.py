@@ -33,6 +33,17 @@ FURNITURE = re.compile(
     r"comments?|commentlist|respond|replies|disqus|pagination|pager|tags|toolbar|widgets?|skip|hidden|copyright|legal)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Class names that say what an element has or is about, not what it is.
+MODIFIER = re.compile(r"(?:has|no|not|with|without|category|tag|layout|article|entry|post)[_-]+(?!comments?\Z|comments?[_-])", re.IGNORECASE)
+#: Start tags that imply the end of an open element: which elements they end, and which bound the search for them.
+SCOPE = frozenset("table caption button object template".split())
+IMPLIED = {
+    **{t: (frozenset({"p"}), SCOPE | {"td", "th"}) for t in "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()},
+    "li": (frozenset({"li"}), SCOPE | {"ul", "ol", "menu", "dir", "td", "th"}),
+    **{t: (frozenset({"dt", "dd"}), SCOPE | {"dl", "td", "th"}) for t in ("dt", "dd")},
+    **{t: (frozenset({"td", "th"}), frozenset({"table", "tr"})) for t in ("td", "th")},
+    "tr": (frozenset({"tr"}), frozenset({"table"})),
+}
 CUT_TAG = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
@@ -48,6 +59,7 @@ class Line:
     article: bool
     furniture: bool
     heading: bool
+    mark: int
 
 
 class LineReader(HTMLParser):
@@ -56,44 +68,72 @@ class LineReader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, bool]] = []  # name, furniture, inside an article
+        self.open: list[tuple[str, bool, bool, int]] = []  # name, furniture, inside an article, innermost marked element
         self.regions = [0]
         self.known = 0
+        self.outer = [0]  # of each marked element, the marked one around it; 0 is none
         self.parts: list[str] = []
         self.tags = self.linked = self.anchors = 0
 
     def flush(self):
         text = " ".join("".join(self.parts).split()) if self.parts else ""
         if text:
-            _, furniture, article = self.open[-1] if self.open else ("", False, False)
+            _, furniture, article, mark = self.open[-1] if self.open else ("", False, False, 0)
             heading = any(name in HEADING for name, *_ in self.open[-3:])
-            self.lines.append(Line(text, self.tags, self.linked, self.regions[-1], article, furniture, heading))
+            self.lines.append(Line(text, self.tags, self.linked, self.regions[-1], article, furniture, heading, mark))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
             self.flush()
+        self.imply_end(tag)
         self.tags += 1
         if tag in VOID:
             return
-        _, furniture, article = self.open[-1] if self.open else ("", False, False)
+        _, furniture, article, mark = self.open[-1] if self.open else ("", False, False, 0)
         if not furniture:
-            furniture = tag in NEVER or tag == "header" and not article or self.marked(tag, attrs)
+            furniture = tag in NEVER or tag == "header" and not article or self.hidden(tag, attrs)
+            if not furniture and self.marked(tag, attrs):
+                self.outer.append(mark)
+                mark = len(self.outer) - 1
         if tag in CONTAINER:
             self.known += 1
             self.regions.append(self.known)
         self.anchors += tag == "a"
-        self.open.append((tag, furniture, article or tag in ("article", "main")))
+        self.open.append((tag, furniture, article or tag in ("article", "main"), mark))
 
-    def marked(self, tag, attrs) -> bool:
+    def hidden(self, tag, attrs) -> bool:
         if tag in ("html", "body", "main"):
             return False
-        for name, value in attrs:
-            if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-            if value and (name in ("class", "id") and FURNITURE.search(value) or name == "role" and value in ROLES):
-                return True
-        return False
+        return any(name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES for name, value in attrs)
+
+    def marked(self, tag, attrs) -> bool:
+        if tag in ("html", "body", "main", "article"):
+            return False
+        tokens = [t for name, value in attrs if value and name in ("class", "id") for t in value.split()]
+        return any(FURNITURE.search(t) and not MODIFIER.match(t) for t in tokens)
+
+    def imply_end(self, tag):
+        """Close the open element whose end tag may be left out before ``tag``."""
+        ends, bounds = IMPLIED.get(tag, (None, None))
+        if not ends:
+            return
+        for i in range(len(self.open) - 1, -1, -1):
+            name = self.open[i][0]
+            if name in ends:
+                while len(self.open) > i:
+                    self.close_last()
+                return
+            # only inline elements may stand between
+            if name in bounds or ends == {"p"} and name in BLOCK:
+                return
+
+    def close_last(self) -> str:
+        name, *_ = self.open.pop()
+        if name in CONTAINER:
+            self.regions.pop()
+        self.anchors -= name == "a"
+        return name
 
     def handle_endtag(self, tag):
         if tag in BLOCK:
@@ -102,13 +142,8 @@ class LineReader(HTMLParser):
         # an end without a start is void; one that skips open elements closes them
         if not any(name == tag for name, *_ in self.open):
             return
-        while True:
-            name, *_ = self.open.pop()
-            if name in CONTAINER:
-                self.regions.pop()
-            self.anchors -= name == "a"
-            if name == tag:
-                break
+        while self.close_last() != tag:
+            pass
 
     def handle_data(self, data):
         self.parts.append(data)
@@ -138,6 +173,25 @@ def two_clusters(values: np.ndarray) -> float:
     return at
 
 
+def judge_marks(lines: list[Line], outer: list[int]) -> None:
+    """Lines in elements that class names mark are furniture, unless the element holds most of the page's text or of its article."""
+    open_lines = [x for x in lines if not x.furniture]
+    # with text in an article, that is what counts: comments may be longer
+    bounded = any(x.article for x in open_lines)
+    inside = [0] * len(outer)
+    for x in open_lines:
+        if x.article or not bounded:
+            inside[x.mark] += max(len(x.text) - x.linked, 0)
+    for mark in range(len(outer) - 1, 0, -1):
+        inside[outer[mark]] += inside[mark]
+    total = inside[0]
+    plain = any(not x.mark and (x.article or not bounded) and 2 * x.linked < len(x.text) for x in open_lines)
+    # an element around one of these holds as much, so the innermost decides
+    most = {mark for mark, n in enumerate(inside) if mark == 0 or 2 * n > total and (n == total or not bounded or not plain)}
+    for x in lines:
+        x.furniture = x.furniture or x.mark not in most
+
+
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The article of a page, its blocks joined by single spaces."""
     reader = LineReader()
@@ -146,6 +200,7 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     reader.close()
     reader.flush()
     lines = reader.lines
+    judge_marks(lines, reader.outer)
     free = [x for x in lines if not x.furniture]
     if not free:
         return ""

@@ -23,6 +23,23 @@ def test_pages(page):
     assert main_text(page) == PAGES[page]
 
 
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "layout-nav", "category-social", "tag-legal", "nav", "widget"])
+def test_class_names_around_the_text(name):
+    page = "<div class='%s'><main><article class='post %s'><div class='article-header'><h1>Head</h1></div><p>Body of the page.</p></article></main></div>"
+    assert main_text(page % (name, name)) == "Head Body of the page."
+    assert main_text(f"<body><div class='{name}'><p>Body of the page, with words.</p></div><p>Short.</p>").startswith("Body of the page, with words.")
+
+
+def test_furniture_is_still_dropped_beside_the_text():
+    assert main_text("<article><p>Body of the page.</p><div class='main-nav'>Way</div><div class='post-comments'>" + "<p>A reader says a lot here.</p>" * 9 + "</div></article>") == "Body of the page."
+
+
+def test_implied_ends_of_marked_elements():
+    assert main_text("<article><p class='notice'>Mind this.<p>Body of it.<p>More.</article>") == "Body of it. More."
+    assert main_text("<article><p>Body of it.</p><ul><li class='ad'>Buy<li>One<li>Two <ul><li class='ad'>Buy</ul><li>Three</ul></article>") == "Body of it. One Two Three"
+    assert main_text("<article><p>Body of it.</p><table><tr class='ad'><td>Buy<tr><td class='ad'>Buy<td>Cell</table><dl><dt class='ad'>Buy<dd>Word</dl></article>") == "Body of it. Cell Word"
+
+
 def test_null_and_extra_columns(spark):
     schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("html", T.StringType()), T.StructField("text", T.StringType())])
     rows = [(1, None, "old"), (1, None, "old"), (None, "<article>a" + "<p>word</p>" * 50_000, None)]
