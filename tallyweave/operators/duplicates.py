@@ -93,12 +93,13 @@ def fuzzy_pairs(values: DataFrame, value_col: str, threshold: float = 0.85) -> D
     return pairs.withColumn("similarity", jaro_winkler("a", "b")).filter(F.col("similarity") >= threshold)
 
 
-def fuzzy_duplicates(df: DataFrame, column: str, threshold: float = 0.85, row_col: str = "row_id", max_rounds: int = 50) -> DataFrame:
+def fuzzy_duplicates(df: DataFrame, column: str, threshold: float = 0.85, row_col: str = "row_id") -> DataFrame:
     """Greedy leader clusters: the first row leads, later similar rows that are free join it.
 
     The same clusters as a pass in row order: a text leads once no earlier
     similar text leads or is undecided, and joins its earliest leader.  Rounds
-    decide all texts whose earlier neighbours are decided; each is checkpointed.
+    decide all texts whose earlier neighbours are decided, until none is left (a chain
+    of texts takes a round per link); each is checkpointed.
     Returns the rows in groups of two and more with ``group_row`` and ``similarity``
     (the best of the group with its leader, 4 decimals).
     """
@@ -111,7 +112,8 @@ def fuzzy_duplicates(df: DataFrame, column: str, threshold: float = 0.85, row_co
     # from the later text to the earlier one
     edges = edges.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("v"), F.when(F.col("fa") < F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("u"), "similarity").checkpoint()
     state = first.withColumn("leader", F.lit(None).cast("string")).checkpoint()
-    for _ in range(max_rounds):
+    undecided = None
+    while undecided != 0:
         seen = edges.join(state.select(F.col("v").alias("u"), F.col("first").alias("uf"), F.col("leader").alias("ul")), "u")
         facts = seen.groupBy("v").agg(
             F.min(F.when(F.col("ul") == F.col("u"), F.struct("uf", "u"))).alias("best"),
@@ -122,8 +124,9 @@ def fuzzy_duplicates(df: DataFrame, column: str, threshold: float = 0.85, row_co
         sure = F.col("best").isNotNull() & (free | (F.col("best.uf") < F.col("open")))
         lead = F.coalesce("leader", F.when(sure, F.col("best.u")).when(free & F.col("best").isNull(), F.col("v")))
         state = joined.select("v", "first", lead.alias("leader")).checkpoint()
-        if state.filter("leader IS NULL").isEmpty():
-            break
+        before, undecided = undecided, state.filter("leader IS NULL").count()
+        if undecided and undecided == before:
+            raise RuntimeError(f"{undecided} texts stay undecided")
     score = edges.withColumnRenamed("u", "leader")
     named = state.join(score, ["v", "leader"], "left").join(first.toDF("leader", "group_row"), "leader")
     grouped = rows.join(named.select("v", "group_row", F.coalesce("similarity", F.lit(1.0)).alias("similarity"), (F.col("first") == F.col("group_row")).alias("own")), "v")

@@ -36,6 +36,21 @@ def test_fuzzy_groups_match_the_greedy_pass(spark, seed):
     assert {r.row_id: (r.group_row, r.similarity) for r in got} == want
 
 
+def test_fuzzy_groups_of_a_long_chain(spark):
+    # each text is similar to its neighbours only, and takes a round of its own
+    rng, chain = np.random.default_rng(2), ["abcdefghijklmnopqrst common"]
+    letters = list("abcdefghijklmnopqrstuvwxyz0123456789")
+    while len(chain) < 56:
+        made = list(chain[-1])
+        for k in rng.choice(20, 4, replace=False):
+            made[k] = str(rng.choice(letters))
+        made = "".join(made)
+        if jaro_winkler_of(made, chain[-1]) >= 0.85 and all(jaro_winkler_of(made, t) < 0.85 for t in chain[:-1]):
+            chain.append(made)
+    got = D.fuzzy_duplicates(spark.createDataFrame(list(enumerate(chain)), "row_id long, t string"), "t", 0.85).collect()
+    assert {r.row_id: r.group_row for r in got} == {i: i // 2 * 2 for i in range(56)}
+
+
 def test_conflicts(spark):
     rows = [(2, "Title A", "page1"), (3, "title a", "page2"), (4, "Title B", "shared"), (5, "Title C", "SHARED"), (6, "", None)]
     df = spark.createDataFrame(rows, "row_num long, title string, facebook_page string")
