@@ -3,7 +3,7 @@
 The standard library's parser reports a page as a stream of events; they become
 lines, one per block of text, each with its text-to-tag ratio.  The ratios are
 smoothed with a Gaussian and split into two clusters; regions that hold a line
-of the upper cluster are the content.
+of the upper cluster are the content, with what belongs to them.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td "
     "tfoot th thead title tr ul head script style template noscript iframe select textarea button".split()
 )
-NEVER = frozenset("nav footer aside form script style template noscript iframe object svg canvas select textarea button head title menu dialog search datalist".split())
-CONTAINER = frozenset("article main section div td body blockquote figure".split())
+NEVER = frozenset("nav footer aside script style template noscript iframe object svg canvas select textarea button head title menu dialog search datalist".split())
+CONTAINER = frozenset("article main section div td body blockquote figure ul ol dl table form header".split())
 HEADING = frozenset("h1 h2 h3".split())
 FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|breadcrumbs?|sidebars?|aside|footer\w*|masthead|header|topbar|"
@@ -43,44 +43,70 @@ IMPLIED = {
     **{t: (frozenset({"dt", "dd"}), SCOPE | {"dl", "td", "th"}) for t in ("dt", "dd")},
     **{t: (frozenset({"td", "th"}), frozenset({"table", "tr"})) for t in ("td", "th")},
     "tr": (frozenset({"tr"}), frozenset({"table"})),
+    **{t: (frozenset({"option"}), frozenset({"select", "datalist"})) for t in ("option", "optgroup")},
+    "a": (frozenset({"a"}), SCOPE | {"td", "th"}),
 }
+#: Elements whose text is prose: a form that holds none of them is a form and no wrapper.
+PROSE = frozenset("article main p h1 h2 h3 blockquote".split())
 CUT_TAG = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
 
 @dataclass
 class Line:
-    """One block of text: its words, the tags and link characters in it, and where it stands."""
+    """One block of text: the tags and link characters in it, and where it stands."""
 
     text: str
     tags: int
     linked: int
     region: int
-    article: bool
+    bound: int
     furniture: bool
     heading: bool
     mark: int
 
+    @property
+    def plain(self) -> int:
+        """Characters outside links."""
+        return max(len(self.text) - self.linked, 0)
+
+
+@dataclass
+class Open:
+    """An open element and what its text is part of."""
+
+    name: str
+    furniture: bool
+    bound: int  # 2 in an article element, 1 in a main element, else 0
+    mark: int
+    region: int
+
 
 class LineReader(HTMLParser):
-    """Turns parser events into lines; holds the open elements only."""
+    """Turns parser events into lines; holds the open elements only.
+
+    ``places`` has the positions of the open elements by name, and ``blocks``
+    those of the block elements, so that no event looks through all of them.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, bool, int]] = []  # name, furniture, inside an article, innermost marked element
-        self.regions = [0]
-        self.known = 0
+        self.open: list[Open] = [Open("", False, 0, 0, 0)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.above = [0]  # of each region, the region around it; 0 is the page
         self.outer = [0]  # of each marked element, the marked one around it; 0 is none
+        self.wraps: list[bool] = [True]  # whether a marked element may be a wrapper
         self.parts: list[str] = []
-        self.tags = self.linked = self.anchors = 0
+        self.tags = self.linked = 0
 
     def flush(self):
         text = " ".join("".join(self.parts).split()) if self.parts else ""
         if text:
-            _, furniture, article, mark = self.open[-1] if self.open else ("", False, False, 0)
-            heading = any(name in HEADING for name, *_ in self.open[-3:])
-            self.lines.append(Line(text, self.tags, self.linked, self.regions[-1], article, furniture, heading, mark))
+            now = self.open[-1]
+            heading = any(x.name in HEADING for x in self.open[-3:])
+            self.lines.append(Line(text, self.tags, self.linked, now.region, now.bound, now.furniture, heading, now.mark))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
@@ -90,64 +116,70 @@ class LineReader(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        _, furniture, article, mark = self.open[-1] if self.open else ("", False, False, 0)
+        around = self.open[-1]
+        furniture, mark, region = around.furniture, around.mark, around.region
         if not furniture:
-            furniture = tag in NEVER or tag == "header" and not article or self.hidden(tag, attrs)
-            if not furniture and self.marked(tag, attrs):
+            furniture = tag in NEVER or tag == "header" and not around.bound or self.hidden(tag, attrs)
+            if not furniture and self.marked(tag, attrs, around):
                 self.outer.append(mark)
+                self.wraps.append(tag != "form")
                 mark = len(self.outer) - 1
+            elif tag in PROSE:
+                self.wraps[mark] = True
         if tag in CONTAINER:
-            self.known += 1
-            self.regions.append(self.known)
-        self.anchors += tag == "a"
-        self.open.append((tag, furniture, article or tag in ("article", "main"), mark))
+            self.above.append(region)
+            region = len(self.above) - 1
+        bound = 2 if tag == "article" else max(around.bound, tag == "main")
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCK:
+            self.blocks.append(len(self.open))
+        self.open.append(Open(tag, furniture, bound, mark, region))
 
     def hidden(self, tag, attrs) -> bool:
         if tag in ("html", "body", "main"):
             return False
         return any(name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES for name, value in attrs)
 
-    def marked(self, tag, attrs) -> bool:
-        if tag in ("html", "body", "main", "article"):
+    def marked(self, tag, attrs, around) -> bool:
+        """Whether the element may be furniture: a form, an article in an article, or by its names."""
+        if tag in ("html", "body", "main"):
             return False
-        tokens = [t for name, value in attrs if value and name in ("class", "id") for t in value.split()]
-        return any(FURNITURE.search(t) and not MODIFIER.match(t) for t in tokens)
+        if tag == "form" or tag == "article" and around.bound == 2:
+            return True
+        # the id of a section or a heading is an address for links
+        named = ("class",) if tag == "section" or tag in HEADING else ("class", "id")
+        tokens = [t for name, value in attrs if value and name in named for t in value.split()]
+        return tag != "article" and any(FURNITURE.search(t) and not MODIFIER.match(t) for t in tokens)
 
     def imply_end(self, tag):
         """Close the open element whose end tag may be left out before ``tag``."""
         ends, bounds = IMPLIED.get(tag, (None, None))
         if not ends:
             return
-        for i in range(len(self.open) - 1, -1, -1):
-            name = self.open[i][0]
-            if name in ends:
-                while len(self.open) > i:
-                    self.close_last()
-                return
-            # only inline elements may stand between
-            if name in bounds or ends == {"p"} and name in BLOCK:
-                return
-
-    def close_last(self) -> str:
-        name, *_ = self.open.pop()
-        if name in CONTAINER:
-            self.regions.pop()
-        self.anchors -= name == "a"
-        return name
+        last = lambda names: max((self.places[x][-1] for x in names if self.places.get(x)), default=0)
+        at = last(ends)
+        # no other block may stand between a paragraph and what ends it
+        if at and at > last(bounds) and (ends != {"p"} or self.blocks[-1] == at):
+            self.close_to(at)
+
+    def close_to(self, size: int):
+        while len(self.open) > size:
+            name = self.open.pop().name
+            self.places[name].pop()
+            if name in BLOCK:
+                self.blocks.pop()
 
     def handle_endtag(self, tag):
         if tag in BLOCK:
             self.flush()
         self.tags += 1
         # an end without a start is void; one that skips open elements closes them
-        if not any(name == tag for name, *_ in self.open):
-            return
-        while self.close_last() != tag:
-            pass
+        if self.places.get(tag):
+            self.close_to(self.places[tag][-1])
 
     def handle_data(self, data):
         self.parts.append(data)
-        if self.anchors:
+        if self.places.get("a"):
             self.linked += len(data)
 
 
@@ -173,25 +205,64 @@ def two_clusters(values: np.ndarray) -> float:
     return at
 
 
-def judge_marks(lines: list[Line], outer: list[int]) -> None:
-    """Lines in elements that class names mark are furniture, unless the element holds most of the page's text or of its article."""
+def judge_marks(lines: list[Line], reader: LineReader) -> None:
+    """Lines in marked elements are furniture, unless the element holds most of the page's text or of its article."""
+    outer = reader.outer
     open_lines = [x for x in lines if not x.furniture]
     # with text in an article, that is what counts: comments may be longer
-    bounded = any(x.article for x in open_lines)
+    bounded = any(x.bound for x in open_lines)
     inside = [0] * len(outer)
     for x in open_lines:
-        if x.article or not bounded:
-            inside[x.mark] += max(len(x.text) - x.linked, 0)
+        if x.bound or not bounded:
+            inside[x.mark] += x.plain
+    prose = list(reader.wraps)
     for mark in range(len(outer) - 1, 0, -1):
         inside[outer[mark]] += inside[mark]
+        prose[outer[mark]] |= prose[mark]
     total = inside[0]
-    plain = any(not x.mark and (x.article or not bounded) and 2 * x.linked < len(x.text) for x in open_lines)
+    plain = any(not x.mark and (x.bound or not bounded) and 2 * x.linked < len(x.text) for x in open_lines)
     # an element around one of these holds as much, so the innermost decides
-    most = {mark for mark, n in enumerate(inside) if mark == 0 or 2 * n > total and (n == total or not bounded or not plain)}
+    most = {mark for mark, n in enumerate(inside) if mark == 0 or prose[mark] and 2 * n > total and (n == total or not bounded or not plain)}
     for x in lines:
         x.furniture = x.furniture or x.mark not in most
 
 
+def dense_lines(lines: list[Line], free: list[bool], sigma: float) -> np.ndarray:
+    """Which lines are in the upper of two clusters of smoothed text-to-tag ratios; ``free`` ones make the clusters."""
+    ratio = np.array([x.plain / (x.tags + 1) for x in lines])
+    smoothed = smooth(np.log1p(ratio), sigma)
+    return smoothed >= two_clusters(smoothed[free])
+
+
+def content_regions(lines: list[Line], usable: list[bool], dense: np.ndarray, above: list[int], bounded: bool) -> set[int]:
+    """Regions with a dense line that isn't mostly links, and what belongs to them.
+
+    Regions around one of these do (within an article or main element), and
+    regions in them whose text is not mostly links: short paragraphs, tables,
+    quotations. Lists of links and boxes apart from the content do not.
+    """
+    chosen = {x.region for x, u, d in zip(lines, usable, dense, strict=True) if u and d and 2 * x.linked < len(x.text)}
+    plain, size, within = [0] * len(above), [0] * len(above), [False] * len(above)
+    for x, u in zip(lines, usable, strict=True):
+        if u:
+            plain[x.region] += x.plain
+            size[x.region] += len(x.text)
+            within[x.region] = True
+    for r in range(len(above) - 1, 0, -1):
+        plain[above[r]] += plain[r]
+        size[above[r]] += size[r]
+    if bounded:
+        for r in range(len(above) - 1, 0, -1):
+            if r in chosen and within[above[r]]:
+                chosen.add(above[r])
+    core = set(chosen)
+    for r in range(1, len(above)):  # a region's number is above that of the one around it
+        # the page as a whole holds everything, so being in it says nothing
+        if above[r] in core and (bounded or above[above[r]]) and 2 * plain[r] >= size[r]:
+            core.add(r)
+    return core
+
+
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The article of a page, its blocks joined by single spaces."""
     reader = LineReader()
@@ -200,20 +271,22 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     reader.close()
     reader.flush()
     lines = reader.lines
-    judge_marks(lines, reader.outer)
-    free = [x for x in lines if not x.furniture]
-    if not free:
+    judge_marks(lines, reader)
+    # the innermost kind of element that holds text bounds the search: article, main, or the page
+    bound = max((x.bound for x in lines if not x.furniture), default=0)
+    usable = [not x.furniture and x.bound >= bound for x in lines]
+    if not any(usable):
         return ""
-    ratio = np.array([max(len(x.text) - x.linked, 0) / (x.tags + 1) for x in lines])
-    smoothed = smooth(np.log1p(ratio), sigma)
-    dense = smoothed >= two_clusters(smoothed)
-    # an article or main element bounds the search; without one every region may hold content
-    inside = [x.article for x in lines] if any(x.article for x in free) else [True] * len(lines)
-    # a line that is mostly links may gain from its neighbours, but doesn't speak for its region
-    chosen = {x.region for x, d, i in zip(lines, dense, inside, strict=True) if d and i and not x.furniture and 2 * x.linked < len(x.text)}
-    if any(x.article for x in free):
-        chosen |= {x.region for x in free if x.article}
-    kept = [x.text for x, i in zip(lines, inside, strict=True) if i and not x.furniture and (not chosen or x.region in chosen or x.heading)]
+    dense = dense_lines(lines, usable, sigma)
+    chosen = content_regions(lines, usable, dense, reader.above, bound > 0)
+    # beside an article, what is in the main element must be dense itself
+    main = [not x.furniture and x.bound == 1 for x in lines] if bound == 2 else [False] * len(lines)
+    beside = {x.region for x, m, d in zip(lines, main, dense, strict=True) if m and d and 2 * x.linked < len(x.text)}
+    kept = [
+        x.text
+        for x, u, m in zip(lines, usable, main, strict=True)
+        if u and (x.heading or x.region in chosen or not chosen) or m and (x.heading or x.region in beside)
+    ]
     return " ".join(kept)
 
 
@@ -224,8 +297,15 @@ def extract_main_text(pages: DataFrame, *, html_col: str = "html", sigma: float
     scripts, styles, markup and reader comments.  Character references are
     decoded, white space inside a block becomes one space, blocks are joined in
     page order by one space.  Null, empty and textless pages give the empty
-    text; malformed markup is read as far as it goes; repeated rows give equal
-    texts; an empty table gives an empty result; an existing ``text`` column is replaced.
+    text; malformed markup is read as far as it goes; very long pages and deeply
+    nested or unclosed elements are read whole, in time proportional to their
+    length; repeated rows give equal texts; an empty table gives an empty
+    result; an existing ``text`` column is replaced.
+
+    Dense lines (the upper cluster) select regions, in an article or main
+    element as well: lists of links and boxes that hold no dense line are left
+    out there.  Element names and roles say what is furniture; class names and
+    ids do only for elements that don't hold most of the text.
     """
 
     @F.pandas_udf("string")

@@ -1,6 +1,11 @@
+import math
+import time
+
+import numpy as np
 import pytest
 from pyspark.sql import types as T
 
+from tallyweave.llm import html_text
 from tallyweave.llm.html_text import extract_main_text, main_text
 
 PAGES = {
@@ -40,6 +45,79 @@ def test_implied_ends_of_marked_elements():
     assert main_text("<article><p>Body of it.</p><table><tr class='ad'><td>Buy<tr><td class='ad'>Buy<td>Cell</table><dl><dt class='ad'>Buy<dd>Word</dl></article>") == "Body of it. Cell Word"
 
 
+WRAPPED = {
+    "<div class='content has-sidebar'>%s</div>": "Head Body of the page, with words.",
+    "<article class='post no-sidebar'>%s</article>": "Head Body of the page, with words.",
+    "<article class='post category-social'>%s</article>": "Head Body of the page, with words.",
+    "<main><div id='page-with-banner'>%s</div></main>": "Head Body of the page, with words.",
+    "<body><form id='aspnetForm'><div>%s</div></form></body>": "Head Body of the page, with words.",
+    "<article><p>Before it.</p><section id='login'>%s</section></article>": "Before it. Head Body of the page, with words.",
+    "<div class='sidebar'><a href=1>Way</a></div><p class='share'>Share%s": "Head Body of the page, with words.",
+}
+
+
+@pytest.mark.parametrize("page", WRAPPED)
+def test_wrappers_keep_the_text(page):
+    assert main_text(page % "<h2>Head</h2><p>Body of the page, with words.</p>") == WRAPPED[page]
+
+
+def test_forms_lists_and_nested_articles():
+    assert main_text("<form>Name <input> Mail <input></form>") == ""
+    assert main_text("<article><p>Body of the page, with words.</p><article><p>A reader says so.</p></article></article>") == "Body of the page, with words."
+    assert main_text("<article><p>See <a href=1>one <a href=2>two</a> and then plain words.</p></article>") == "See one two and then plain words."
+    prose = "<p>Body of the page, with many words in it.</p>"
+    assert main_text(f"<main>{prose}<div><a href=1>Other page</a> <a href=2>More of them</a></div>{prose}<p>Ok.</p></main>") == "Body of the page, with many words in it. Body of the page, with many words in it. Ok."
+    assert main_text(f"<main><article>{prose}{prose}</article><div><b>Buy</b></div></main>") == "Body of the page, with many words in it. Body of the page, with many words in it."
+    table = "<table><tr><td>1</td><td>2</td></tr></table><ul><li>A <a href=1>b</a> and more<li>C</ul>"
+    assert main_text(f"<article>{prose}{table}</article>") == "Body of the page, with many words in it. 1 2 A b and more C"
+
+
+def test_ratios_smoothing_and_clusters_by_brute_force():
+    rng = np.random.default_rng(0)
+    for _ in range(30):
+        texts = ["w" * int(rng.integers(1, 90)) for _ in range(int(rng.integers(1, 12)))]
+        tags, links = rng.integers(0, 4, len(texts)), rng.integers(0, 2, len(texts))
+        page = "".join("<p>" + "<b></b>" * int(t) + (f"<a>{x}</a>" if k else x) + "</p>" for x, t, k in zip(texts, tags, links))
+        reader = html_text.LineReader()
+        reader.feed(page)
+        reader.close()
+        reader.flush()
+        # the start tag of a line counts for it, its end tag does not
+        want = [(0 if k else len(x)) / (1 + 1 + 2 * int(t) + 2 * int(k)) for x, t, k in zip(texts, tags, links)]
+        assert [x.plain / (x.tags + 1) for x in reader.lines] == pytest.approx(want)
+        logs = [math.log1p(r) for r in want]
+        for sigma in (0.5, 1.0, 2.5):
+            reach = int(3 * sigma + 0.5)
+            smoothed = []
+            for i in range(len(logs)):
+                near = [(math.exp(-(((i - j) / sigma) ** 2) / 2), logs[j]) for j in range(len(logs)) if abs(i - j) <= reach]
+                smoothed.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
+            assert html_text.smooth(np.array(logs), sigma) == pytest.approx(smoothed)
+            at = html_text.two_clusters(np.array(smoothed))
+            low, high = [x for x in smoothed if x < at], [x for x in smoothed if x >= at]
+            assert high
+            if low:  # every value is nearest to the mean of its own cluster
+                assert at == pytest.approx((sum(low) / len(low) + sum(high) / len(high)) / 2, abs=1e-6)
+
+
+def test_clusters_decide_within_an_article(monkeypatch):
+    prose = "<p>Body of the page, with many words in it.</p>" * 3
+    page = f"<article>{prose}</article><article><p>Hm.</p></article><main>{prose}<div><i>x</i> <a>More to see</a></div></main>"
+    found = main_text(page)
+    monkeypatch.setattr(html_text, "dense_lines", lambda lines, free, sigma: np.ones(len(lines), bool))
+    everything = main_text(page)
+    monkeypatch.setattr(html_text, "dense_lines", lambda lines, free, sigma: np.zeros(len(lines), bool))
+    nothing = main_text(page)
+    assert found != everything and found != nothing and "Hm." in everything and "Hm." not in found
+
+
+@pytest.mark.parametrize("page", ["<b>" * 100_000, "<div>" * 100_000 + "</p>" * 100_000, "<i>" * 50_000 + "<h4>a</h4>" * 50_000, "<li>" * 100_000, "<div class=ad>" * 50_000])
+def test_unclosed_tags_take_linear_time(page):
+    begin = time.process_time()
+    main_text(page)
+    assert time.process_time() - begin < 4
+
+
 def test_null_and_extra_columns(spark):
     schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("html", T.StringType()), T.StructField("text", T.StringType())])
     rows = [(1, None, "old"), (1, None, "old"), (None, "<article>a" + "<p>word</p>" * 50_000, None)]
