@@ -7,6 +7,7 @@ completion; each piece then finds its place from its rank within its length.
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from dataclasses import dataclass
 
@@ -19,11 +20,8 @@ from pyspark.sql import functions as F
 from .common import cut, release_memory
 
 CAPACITY = 2048
-#: Groups that the pieces of one length are dealt into, for ranks without a hot group.
-SALTS = 64
-#: Fillings tried for one bin, and bins tried in all after the first solution.
-WIDTH = 12
-NODES = 1_500
+#: Pieces of one length that are ranked in one group.
+GROUP = 50_000
 
 
 class Encoder:
@@ -31,7 +29,8 @@ class Encoder:
 
     The same vocabulary runs in ``tiktoken``, which is faster.  Its pattern needs
     a look-ahead only for runs of white space, so texts without such runs take a
-    pattern without it.
+    pattern without it.  The file's added tokens are found in texts first, as
+    ``tokenizers`` does.
     """
 
     def __init__(self, path: str):
@@ -42,19 +41,20 @@ class Encoder:
         from tokenizers import pre_tokenizers
 
         with open(path, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
+            content = json.load(file)
+        vocabulary, added = content["model"]["vocab"], {x["content"]: x["id"] for x in content["added_tokens"]}
         # the bytes behind the printable characters that byte-level vocabularies are written in
         shown = sorted(pre_tokenizers.ByteLevel.alphabet(), key=ord)
         plain = [c for c in shown if ord(c) < 256]
         byte = {c: ord(c) for c in plain} | dict(zip((c for c in shown if ord(c) >= 256), (b for b in range(256) if chr(b) not in plain), strict=True))
-        ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if all(c in byte for c in token) and not (token.startswith("<|") and token.endswith("|>"))}
+        ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token not in added and all(c in byte for c in token)}
         words = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
-        self.plain = tiktoken.Encoding("plain", pat_str=words + r"|\s+", mergeable_ranks=ranks, special_tokens={})
-        self.full = tiktoken.Encoding("full", pat_str=words + r"|\s+(?!\S)|\s+", mergeable_ranks=ranks, special_tokens={})
+        self.plain = tiktoken.Encoding("plain", pat_str=words + r"|\s+", mergeable_ranks=ranks, special_tokens=added)
+        self.full = tiktoken.Encoding("full", pat_str=words + r"|\s+(?!\S)|\s+", mergeable_ranks=ranks, special_tokens=added)
         self.run = re.compile(r"\s\s").search
 
     def __call__(self, text: str) -> list[int]:
-        return (self.full if self.run(text) else self.plain).encode_ordinary(text)
+        return (self.full if self.run(text) else self.plain).encode(text, allowed_special="all")
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -112,36 +112,38 @@ class Filling:
     times: int
 
 
-def completions(counts: np.ndarray, room: int, largest: int, width: int = WIDTH) -> list[list[int]]:
+def completions(counts: np.ndarray, room: int, largest: int, *, most: int, width: int, steps: int) -> list[list[int]]:
     """Undominated fillings of ``room`` by lengths up to ``largest`` that are left, least waste first.
 
-    Depth first from long to short lengths.  A branch ends when even a full
-    filling can't beat the ``width`` best ones known; one full filling by one
-    length dominates all others.  A filling is dominated if one or two of its
-    lengths can be exchanged for a single left one that is as long or longer
-    and still fits.
+    Depth first from long to short lengths; fillings that waste over ``most``
+    are left out.  One full filling by one length dominates all others.  A
+    filling is dominated if one or two of its lengths can be exchanged for a
+    single left one that is as long or longer and still fits.  The enumeration
+    ends after ``steps`` steps, or with ``width`` fillings without waste.
     """
     left = np.flatnonzero(counts[: room + 1])
     left = left[(left > 0) & (left <= largest)]
     if not len(left):
-        return [[]]
+        return [[]] if room <= most else []
     if left[-1] == room:
         return [[room]]
     below = np.zeros(room + 1, np.int64)
     below[left] = left
     below = np.maximum.accumulate(below).tolist()
-    smallest, found, steps = int(left[0]), [], 0
+    smallest, found, done, full = int(left[0]), [], 0, 0
 
     def extend(chosen, space, cap):
-        nonlocal steps
-        steps += 1
+        nonlocal done, full
+        done += 1
         x = below[min(space, cap)] if space > 0 else 0
         while x and chosen.count(x) >= counts[x]:
             x = below[x - 1]
         if not x or space < smallest:
-            found.append((space, chosen))
+            if space <= most:
+                found.append((space, chosen))
+                full += space == 0
             return
-        while x and steps < 60 * width and sum(w == 0 for w, _ in found) < width:
+        while x and done < steps and full < width:
             if chosen.count(x) < counts[x]:
                 extend([*chosen, x], space - x, x)
             x = below[x - 1]
@@ -156,55 +158,112 @@ def completions(counts: np.ndarray, room: int, largest: int, width: int = WIDTH)
     return [chosen for _, chosen in best or sorted(found, key=lambda x: (x[0], len(x[1])))[:1]]
 
 
-def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, *, width: int = WIDTH, nodes: int = NODES) -> list[Filling]:
+def best_fit(counts: np.ndarray, capacity: int) -> list[Filling]:
+    """Best-fit decreasing on a histogram of lengths: each item goes where it leaves the least room.
+
+    Bins filled alike are one group, and equal items are placed group by group.
+    """
+    rooms: dict[int, list[Filling]] = {}
+    open_rooms: list[int] = []  # sorted
+
+    def add(room, group):
+        if room not in rooms:
+            bisect.insort(open_rooms, room)
+        rooms.setdefault(room, []).append(group)
+
+    for n in np.flatnonzero(counts)[::-1].tolist():
+        left = int(counts[n])
+        while left:
+            at = bisect.bisect_left(open_rooms, n)
+            if at == len(open_rooms):  # no bin has room: new ones
+                each = min(capacity // n, left)
+                add(capacity - each * n, Filling([n] * each, left // each))
+                left -= left // each * each
+                continue
+            room = open_rooms[at]
+            group = rooms[room].pop()
+            if not rooms[room]:
+                del rooms[room], open_rooms[at]
+            each = min(room // n, left)
+            times = min(group.times, left // each)
+            if times < group.times:
+                add(room, Filling(group.lengths, group.times - times))
+            add(room - each * n, Filling(group.lengths + [n] * each, times))
+            left -= times * each
+    return [f for groups in rooms.values() for f in groups]
+
+
+def bins_needed(counts: np.ndarray, capacity: int) -> int:
+    """A lower bound on the bins for a histogram of lengths.
+
+    For each length a up to half a bin: items that leave less than a need a bin
+    alone; others over half need one each, and what is between a and half fits at
+    best into what these leave.
+    """
+    n, half = len(counts), capacity // 2
+    number = np.concatenate(([0], np.cumsum(counts)))
+    volume = np.concatenate(([0], np.cumsum(counts * np.arange(n))))
+    top = int(number[n] - number[half + 1])
+    a = np.arange(half + 1)
+    beside = volume[capacity - a + 1] - volume[half + 1], number[capacity - a + 1] - number[half + 1]
+    rest = volume[half + 1] - volume[a] - (beside[1] * capacity - beside[0])
+    return top + max(0, int((-(-rest // capacity)).max()))
+
+
+def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, *, width: int = 12, steps: int = 720, nodes: int = 1_500) -> list[Filling]:
     """Pack ``counts[n]`` items of each length n into as few bins as the search finds.
 
-    Branch and bound: a node fills bins around the longest length left, as often
-    as the counts allow.  The first descent takes the best fit everywhere and is
-    the first incumbent.  A branch is pruned when the bins so far plus the bound
-    on the rest reach the incumbent; the search ends at the lower bound, or ``nodes``
-    nodes after the first incumbent.  Every item is packed in any case.
+    Branch and bound: the best-fit solution is the first incumbent.  A node fills
+    bins around the longest length left, as often as the counts allow; fillings
+    that waste more than a better solution may waste are pruned, and so is a branch
+    whose bins and bound on the rest reach the incumbent.  The search
+    ends at the lower bound, or when a descent has reached its end and ``nodes``
+    further nodes were looked at; a node tries at most ``width`` fillings, found in ``steps``
+    steps.  Every item is packed in any case, and never in more bins than best fit takes.
     """
-    counts = np.asarray(counts, np.int64).copy()
-    sizes = np.arange(len(counts))
-
-    def bound(counts):
-        # items over half a bin need one each, and the rest fits at best into what they leave
-        half = int(counts[capacity // 2 + 1 :].sum())
-        return max(half, -(-int((counts * sizes).sum()) // capacity))
-
-    least = bound(counts)
-    best: list[Filling] | None = None
-    best_bins, visited = None, 0
-    # depth first with an explicit stack: the fillings made on the way to a node, and those still to try there
-    stack = [(counts, [], 0, None)]
-    while stack:
-        left, made, bins, options = stack.pop()
-        if best is not None and (bins + bound(left) >= best_bins or visited > nodes):
-            continue
-        if not left.any():
-            if best is None:
-                visited = 0  # the first descent takes a node per filling, however many lengths there are
-            best, best_bins = made, bins
+    counts = np.zeros(capacity + 1, np.int64) + np.pad(np.asarray(counts, np.int64), (0, capacity + 1 - len(counts)))
+    total = int((counts * np.arange(capacity + 1)).sum())
+    best = best_fit(counts, capacity)
+    best_bins = sum(f.times for f in best)
+    least = bins_needed(counts, capacity)
+    # depth first with an explicit stack: the fillings made on the way to a node, its bins and waste, and the fillings still to try there
+    stack = [(counts, (), 0, 0, None)] if best_bins > least else []
+    # nodes count from the end of the first descent, which takes one per filling
+    visited, descended = 0, False
+    while stack and not (descended and visited > nodes):
+        left, made, bins, waste, options = stack.pop()
+        # a solution with one bin less may waste this much
+        most = (best_bins - 1) * capacity - total - waste
+        dead = most < 0 or bins + bins_needed(left, capacity) >= best_bins
+        if not dead and not left.any():
+            best, best_bins, dead, path = [], bins, True, made
+            while path:
+                filling, path = path
+                best.append(filling)
             if bins == least:
                 break
-            continue
-        visited += 1
-        longest = int(np.flatnonzero(left)[-1])
-        if options is None:
+        if not dead and options is None:
+            longest = int(np.flatnonzero(left)[-1])
             rest = left.copy()
             rest[longest] -= 1
-            options = completions(rest, capacity - longest, longest, width)
-        chosen, *others = options
+            options = [[longest, *x] for x in completions(rest, capacity - longest, longest, most=most, width=width, steps=steps)]
+            dead = not options
+        if dead:
+            visited, descended = visited * descended, True
+            continue
+        visited += 1
+        lengths, *others = options
         if others:
-            stack.append((left, made, bins, others))
-        lengths = [longest, *chosen]
+            stack.append((left, made, bins, waste, others))
         used, each = np.unique(lengths, return_counts=True)
         times = int((left[used] // each).min())
+        spare = capacity - sum(lengths)
+        if spare:  # as often as the waste allows, or once, to be pruned by it
+            times = max(1, min(times, most // spare))
         after = left.copy()
         after[used] -= each * times
-        stack.append((after, [*made, Filling(lengths, times)], bins + times, None))
-    return best or []
+        stack.append((after, (Filling(lengths, times), made), bins + times, waste + spare * times, None))
+    return best
 
 
 def places(fillings: list[Filling]) -> pd.DataFrame:
@@ -221,20 +280,22 @@ def places(fillings: list[Filling]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "rank", "each", "sequence", "offset"]).astype(np.int64).sort_values(["length", "rank"], ignore_index=True)
 
 
-def pack_pieces(pieces: DataFrame, *, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece", "ids_crc32")) -> DataFrame:
+def pack_pieces(pieces: DataFrame, *, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece", "ids_crc32"), width: int = 12, steps: int = 720, nodes: int = 1_500) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to a materialised table with a long ``length`` from 1 to ``capacity``.
 
     The driver receives one count per length.  Ranks within a length are counted
-    within ``SALTS`` groups of it and shifted by the sizes of the groups before,
-    so no length gathers in one task.
+    in groups of it, as many as its count asks for, and shifted by the sizes of
+    the groups before, so no length gathers in one task.  ``width``, ``steps``
+    and ``nodes`` bound the search of :func:`bin_completion`, not what is packed.
     """
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
-    groups = cut(salted.groupBy("length", "__salt").agg(F.count("*").alias("n")), "pack-groups")
     counts = np.zeros(capacity + 1, np.int64)
-    for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect():
+    for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():
         counts[r.length] = r.n
-    table = places(bin_completion(counts, capacity))
+    table = places(bin_completion(counts, capacity, width=width, steps=steps, nodes=nodes))
     keys, rank, each, sequence, offset = (table[c].to_numpy() for c in table.columns)
+    groups_of = F.element_at(F.lit((-(-counts // GROUP)).clip(min=1).tolist()), F.col("length").cast("int") + 1)
+    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64(*order), groups_of))
+    groups = cut(salted.groupBy("length", "__salt").agg(F.count("*").alias("n")), "pack-groups")
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     shift = groups.select("length", "__salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__shift"))
     numbered = salted.withColumn("__n", F.row_number().over(Window.partitionBy("length", "__salt").orderBy(*order)) - 1)
@@ -256,13 +317,17 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = CAPACITY, order: tuple[str
     return ranked.select(*names, place("length", "__rank").alias("__at")).select(*names, "__at.sequence_id", "__at.offset")
 
 
-def pack_documents(docs: DataFrame, path: str, *, capacity: int = CAPACITY, keep_ids: bool = False, **options) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, *, capacity: int = CAPACITY, keep_ids: bool = False, width: int = 12, steps: int = 720, nodes: int = 1_500, **options) -> DataFrame:
     """Tokenise, cut and pack whole documents into sequences of at most ``capacity`` tokens.
 
+    Added tokens of the vocabulary that a text spells out get their ids.
+    ``width``, ``steps`` and ``nodes`` bound the search for fewer sequences than
+    best fit gives (see :func:`bin_completion`); everything is packed in any case.
+
     Returns per piece: doc_id, piece, start, length, ids_crc32, (ids,)
     sequence_id, offset.  Sequences are gapless from offset 0.  Null and empty
     texts are one token (the end id); repeated rows and ids are packed once per
     row; null ids stay null; an empty table gives an empty result; other columns
     are not read.
     """
-    return pack_pieces(cut(token_pieces(docs, path, capacity=capacity, keep_ids=keep_ids, **options), "pieces"), capacity=capacity)
+    return pack_pieces(cut(token_pieces(docs, path, capacity=capacity, keep_ids=keep_ids, **options), "pieces"), capacity=capacity, width=width, steps=steps, nodes=nodes)
