@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from .common import cut, release_memory
 
 CAPACITY = 2048
-#: Pieces of one length that are ranked in one group.
+#: Pieces of one length that are ranked in one group, and the least number of groups of a length.
 GROUP = 50_000
+GROUPS = 64
 
 
 class Encoder:
@@ -293,7 +294,7 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = CAPACITY, order: tuple[str
         counts[r.length] = r.n
     table = places(bin_completion(counts, capacity, width=width, steps=steps, nodes=nodes))
     keys, rank, each, sequence, offset = (table[c].to_numpy() for c in table.columns)
-    groups_of = F.element_at(F.lit((-(-counts // GROUP)).clip(min=1).tolist()), F.col("length").cast("int") + 1)
+    groups_of = F.element_at(F.lit((-(-counts // GROUP)).clip(min=GROUPS).tolist()), F.col("length").cast("int") + 1)
     salted = pieces.withColumn("__salt", F.pmod(F.xxhash64(*order), groups_of))
     groups = cut(salted.groupBy("length", "__salt").agg(F.count("*").alias("n")), "pack-groups")
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)

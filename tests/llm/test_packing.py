@@ -147,7 +147,7 @@ def test_pieces_and_places(spark):
 
 
 def test_a_common_length_is_ranked_in_groups(spark, monkeypatch):
-    monkeypatch.setattr(packing, "GROUP", 40)
+    monkeypatch.setattr(packing, "GROUP", 4)
     rows = [(i, i // 7, 64 if i % 3 else 10, i % 5) for i in range(700)]
     got = packing.pack_pieces(spark.createDataFrame(rows, "doc_id long, piece int, length long, ids_crc32 long"), capacity=64).collect()
     assert Counter(r.length for r in got) == Counter(r[2] for r in rows)
