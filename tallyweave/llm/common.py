@@ -38,6 +38,14 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until ``docs`` has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_crc(doc_id: Column) -> Column:
     """CRC-32 of an id written as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

@@ -9,8 +9,6 @@ the length of what it was trained on, wins.
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,93 +16,117 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_crc, release_memory, slices
+from .common import id_crc, release_memory, slices, unused
 
-#: Letters a model tells apart; the rest share one symbol. 0 is what separates words, 1 any other letter.
-ALPHABET = 64
+#: Symbols: what separates words, and a letter that no labelled text has; the letters seen come after these.
 BREAK, OTHER = 0, 1
-#: A phrase also ends at every multiple of this many symbols, so that all parts of a text are parsed at once.
+#: Parts of a text that are parsed at once; their phrases are joined to those of the whole text.
 BLOCK = 512
-#: Symbols parsed in one go by a task.
-CHUNK = 4_000_000
+#: Characters parsed in one go by a task.
+CHUNK = 2_000_000
 NO_LETTER = "und"
-_FLAG = np.int32(1 << 30)
+#: Bits of a state's number in a table entry.
+STATE = 24
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
-class CrossParser:
-    """Automata of all languages in one transition table.
+class Automaton:
+    """All substrings of a text: transitions in a hash table of (state, symbol) with the next state.
 
-    ``table[s, c]`` is the state after symbol ``c`` in state ``s``; where a phrase
-    starts with ``c``, as no match goes on, it has a flag.
+    State 0 is the empty string; ``first`` has its transitions by symbol (0 is none).
     """
 
-    languages: list[str]
-    letters: np.ndarray
-    table: np.ndarray
-    roots: np.ndarray
-    weights: np.ndarray
+    slots: np.ndarray
+    first: np.ndarray
+    trained: int
 
-    def symbols(self, text: str) -> np.ndarray:
-        """Lower-case text as symbols: a run of what isn't a letter is one break."""
-        codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        got = self.letters[np.minimum(codes, len(self.letters) - 1)]
-        again = (got[1:] == BREAK) & (got[:-1] == BREAK)
-        return np.concatenate((got[:1], got[1:][~again]))
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The state after each symbol, -1 where there is none."""
+        key = state * len(self.first) + symbol
+        mask = len(self.slots) - 1
+        at = slot_of(key, mask)
+        got = self.slots.take(at)
+        out = np.where(got >> STATE == key, got & ((1 << STATE) - 1), -1)
+        rest = np.flatnonzero((out < 0) & (got >= 0))
+        while len(rest):  # another key has the slot: the next one
+            at[rest] = (at[rest] + 1) & mask
+            got = self.slots.take(at[rest])
+            hit = got >> STATE == key[rest]
+            out[rest[hit]] = got[hit] & ((1 << STATE) - 1)
+            rest = rest[~hit & (got >= 0)]
+        return out
 
-    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Number of phrases of each text for each language (texts x languages)."""
-        lengths = np.array([len(t) for t in texts], np.int64)
-        blocks = -(-lengths // BLOCK)
-        owner = np.repeat(np.arange(len(texts)), blocks)
-        found = np.zeros((len(texts), len(self.languages)), np.int64)
-        if not len(owner):
-            return found
-        stop = np.cumsum(blocks)
-        # blocks padded to one width; the fullest first, so that a step works on those that reach it
-        matrix = np.zeros((len(owner), BLOCK), np.uint8)
-        flat = matrix.reshape(-1)
-        for t, end, n, k in zip(texts, stop, lengths, blocks, strict=True):
-            at = (end - k) * BLOCK
-            flat[at : at + n] = t
-        size = np.full(len(owner), BLOCK)
-        size[stop[blocks > 0] - 1] = (lengths - (blocks - 1) * BLOCK)[blocks > 0]
-        order = np.argsort(-size, kind="stable")
-        steps = np.ascontiguousarray(matrix[order].T)
-        live = np.searchsorted(-size[order], -np.arange(BLOCK), side="left")
-        count = np.zeros((len(self.languages), len(owner)), np.int32)
-        state = np.repeat(self.roots[:, None], len(owner), axis=1).astype(np.int32)
-        table = self.table.reshape(-1)
-        for i in range(int(size.max())):
-            n = live[i]
-            to = table.take(state[:, :n] * ALPHABET + steps[i, :n])
-            count[:, :n] += to >> 30
-            state[:, :n] = to & (_FLAG - 1)
-        for k in range(len(self.languages)):
-            found[:, k] = np.bincount(owner[order], weights=count[k], minlength=len(texts))
-        return found
+    def parse(self, text: np.ndarray, begin: np.ndarray, end: np.ndarray, known: np.ndarray, mark: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Parse from each ``begin`` until a phrase starts at ``end`` or beyond, or at a place that ``known`` numbers.
+
+        Returns how many phrases started before, and where it stopped.  With
+        ``mark``, phrases are numbered in ``known`` instead, from 1 on for each begin.
+        """
+        count, stop = np.zeros(len(begin), np.int64), end.copy()
+        lane, at, state = np.arange(len(begin)), begin.copy(), np.zeros(len(begin), np.int64)
+        while len(lane):
+            symbol = text.take(at).astype(np.int64)
+            after = self.step(state, symbol)
+            starts = np.flatnonzero((after < 0) | (state == 0))
+            place, who = at[starts], lane[starts]
+            done = place >= end[who]
+            if not mark:
+                done |= known[place] > 0
+            count[who[~done]] += 1
+            if mark:
+                known[place[~done]] = count[who[~done]]
+            after[starts] = self.first[symbol[starts]]
+            if done.any():
+                stop[who[done]] = place[done]
+                live = np.ones(len(lane), bool)
+                live[starts[done]] = False
+                lane, at, after = lane[live], at[live], after[live]
+            state = after
+            at += 1
+        return count, stop
+
+    def phrases(self, text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Phrases of each text, greedily from its start; text i is text[offsets[i]:offsets[i + 1] - 1], and then OTHER.
+
+        All blocks are parsed at once as if a phrase started with each.  A block's
+        phrases truly start where the last one of the block before ends;
+        from there it is parsed until the two parses meet in a phrase, after which they agree.
+        """
+        sizes = np.diff(offsets) - 1
+        blocks = -(-sizes // BLOCK)
+        owner = np.repeat(np.arange(len(sizes)), blocks)
+        number = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        begin = offsets[owner] + number * BLOCK
+        end = np.minimum(begin + BLOCK, offsets[owner + 1] - 1)
+        known = np.zeros(len(text), np.int32)
+        total, leave = self.parse(text, begin, end, known, mark=True)
+        count, stop = total.copy(), leave.copy()
+        entry = begin.copy()
+        again = np.flatnonzero(number > 0)
+        while len(again):
+            # blocks whose entry has changed; the block before may still change itself
+            again = again[entry[again] != stop[again - 1]]
+            entry[again] = stop[again - 1]
+            inside = again[entry[again] < end[again]]
+            beyond = again[entry[again] >= end[again]]
+            count[beyond], stop[beyond] = 0, entry[beyond]
+            some, met = self.parse(text, entry[inside], end[inside], known, mark=False)
+            joined = met < end[inside]
+            count[inside] = some + np.where(joined, total[inside] - known[met] + 1, 0)
+            stop[inside] = np.where(joined, leave[inside], met)
+            following = again + 1
+            following = following[following < len(owner)]
+            again = following[number[following] > 0]
+        return np.bincount(owner, weights=count, minlength=len(sizes)).astype(np.int64)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text."""
-        names, scores = [NO_LETTER] * len(texts), np.zeros(len(texts))
-        symbols = [self.symbols(t) if t else np.zeros(0, np.uint8) for t in texts]
-        known = [i for i, s in enumerate(symbols) if s.any()]
-        for a, b in slices([len(symbols[i]) for i in known], CHUNK):
-            part = known[a:b]
-            cost = self.phrases([symbols[i] for i in part]) * self.weights
-            best = cost.argmin(axis=1)
-            if len(self.languages) > 1:
-                least, second = np.partition(cost, 1, axis=1)[:, :2].T
-                sure = second / (least + second)
-            else:
-                sure = np.ones(len(part))
-            for i, k, s in zip(part, best, sure, strict=True):
-                names[i], scores[i] = self.languages[k], s
-        return names, scores
 
+def slot_of(key: np.ndarray, mask: int) -> np.ndarray:
+    return ((key.astype(np.uint64) * _ODD) >> np.uint64(64 - mask.bit_length())).astype(np.int64)
 
-def suffix_automaton(text: np.ndarray) -> np.ndarray:
-    """Transitions (states x symbols, -1 for none) of the automaton of all substrings of ``text``."""
+
+def suffix_automaton(text: np.ndarray, alphabet: int) -> Automaton:
+    """The automaton of all substrings of ``text``."""
     go: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in text.tolist():
@@ -129,73 +151,120 @@ def suffix_automaton(text: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    table = np.full((len(go), ALPHABET), -1, np.int32)
-    for s, out in enumerate(go):
-        for c, t in out.items():
-            table[s, c] = t
-    return table
-
-
-def train(samples: dict[str, list[str]], max_symbols: int) -> CrossParser:
-    """Automata of the first ``max_symbols`` symbols of each language's sample."""
-    counts = Counter(c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha())
-    letters = np.zeros(0x30000, np.uint8)
-    codes = np.arange(len(letters))
-    letters[[c for c in codes if chr(c).isalpha()]] = OTHER
-    letters[-1] = OTHER  # what lies beyond is taken for letters
-    common = sorted(counts, key=lambda c: (-counts[c], c))[: ALPHABET - 2]
-    for k, c in enumerate(sorted(common)):
-        if ord(c) < len(letters):
-            letters[ord(c)] = k + 2
-    parser = CrossParser(sorted(samples), letters, np.zeros((0, ALPHABET), np.int32), np.zeros(0, np.int32), np.zeros(0))
-    tables, roots, weights, base = [], [], [], 0
-    for name in parser.languages:
-        text = np.concatenate([np.append(parser.symbols(t), BREAK) for t in samples[name] if t] or [np.zeros(0, np.uint8)])[:max_symbols].astype(np.uint8)
-        table = suffix_automaton(text)
-        start = np.where(table[0] >= 0, table[0], 0)
-        done = np.where(table >= 0, table + base, (start + base) | _FLAG)
-        done[0] = (start + base) | _FLAG  # a phrase starts; a symbol that the language lacks is a phrase of its own
-        tables.append(done.astype(np.int32))
-        roots.append(base)
-        weights.append(math.log(len(text) + 2))
-        base += len(table)
-    if not tables:
-        return parser
-    parser.table, parser.roots, parser.weights = np.concatenate(tables), np.array(roots, np.int32), np.array(weights)
-    return parser
-
-
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 64, max_symbols: int = 30_000) -> CrossParser:
-    """Train on a bounded sample: per language the ``max_docs`` labelled texts of least id hash.
-
-    At most ``max_symbols`` symbols per language enter the automaton.  The rank
-    limit is applied before the shuffle, so a language with most of the rows
-    sends a few documents per task.
+    if len(go) >= 1 << STATE:
+        raise ValueError("too much labelled text for one automaton")
+    degree = np.fromiter(map(len, go), np.int64, len(go))
+    symbol = np.fromiter((c for out in go for c in out), np.int64, int(degree.sum()))
+    target = np.fromiter((t for out in go for t in out.values()), np.int64, len(symbol))
+    first = np.zeros(alphabet, np.int64)
+    first[symbol[: degree[0]]] = target[: degree[0]]
+    key = np.repeat(np.arange(len(go)), degree) * alphabet + symbol
+    entry = (key << STATE) | target
+    slots = np.full(1 << max(4, (3 * len(key)).bit_length()), -1, np.int64)
+    at, rest = slot_of(key, len(slots) - 1), np.arange(len(key))
+    while len(rest):  # those that find their slot free take it, one each; the others go on to the next
+        free = rest[slots[at[rest]] < 0]
+        place, which = np.unique(at[free], return_index=True)
+        slots[place] = entry[free[which]]
+        rest = rest[slots[at[rest]] != entry[rest]]
+        at[rest] = (at[rest] + 1) & (len(slots) - 1)
+    return Automaton(slots, first, len(text))
+
+
+@dataclass
+class CrossParser:
+    """An automaton per language, and the symbol of each code point."""
+
+    languages: list[str]
+    letters: np.ndarray
+    automata: list[Automaton]
+
+    def symbols(self, text: str) -> np.ndarray:
+        """Lower-case text as symbols: a run of what isn't a letter is one break."""
+        return symbols(text, self.letters)
+
+    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Number of phrases of each text for each language (texts x languages)."""
+        offsets = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)))
+        flat = np.full(offsets[-1], OTHER, self.letters.dtype)
+        for t, at in zip(texts, offsets, strict=False):
+            flat[at : at + len(t)] = t
+        return np.stack([a.phrases(flat, offsets) for a in self.automata], axis=1)
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text."""
+        names, scores = [NO_LETTER] * len(texts), np.zeros(len(texts))
+        weights = np.log([a.trained + 2 for a in self.automata])
+        for a, b in slices([len(t or "") for t in texts], CHUNK):
+            part = [(i, s) for i, s in ((i, self.symbols(texts[i])) for i in range(a, b) if texts[i]) if s.any()]
+            if not part:
+                continue
+            cost = self.phrases([s for _, s in part]) * weights
+            best = cost.argmin(axis=1)
+            if len(self.languages) > 1:
+                least, second = np.partition(cost, 1, axis=1)[:, :2].T
+                sure = second / (least + second)
+            else:
+                sure = np.ones(len(part))
+            for (i, _), k, s in zip(part, best, sure, strict=True):
+                names[i], scores[i] = self.languages[k], s
+        return names, scores
+
+
+def symbols(text: str, letters: np.ndarray) -> np.ndarray:
+    got = letters[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+    again = (got[1:] == BREAK) & (got[:-1] == BREAK)
+    return np.concatenate((got[:1], got[1:][~again]))
+
+
+def train(samples: dict[str, list[str]]) -> CrossParser:
+    """Automata of each language's sample of whole texts."""
+    seen = sorted({c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha()})
+    letters = np.fromiter((OTHER if chr(c).isalpha() else BREAK for c in range(0x110000)), np.int32, 0x110000)
+    letters[[ord(c) for c in seen]] = np.arange(len(seen)) + OTHER + 1
+    if len(seen) < 1 << 15:
+        letters = letters.astype(np.int16)
+    names, automata = sorted(samples), []
+    for name in names:
+        parts = [np.append(symbols(t, letters), letters.dtype.type(BREAK)) for t in samples[name] if t]
+        automata.append(suffix_automaton(np.concatenate(parts) if parts else np.zeros(0, letters.dtype), len(seen) + OTHER + 1))
+    return CrossParser(names, letters, automata)
+
+
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 64, max_chars: int = 8_192) -> CrossParser:
+    """Train on a bounded sample: per language ``max_docs`` whole labelled texts.
+
+    These are the ones of least id hash among the texts of at most ``max_chars``
+    characters; a language with longer texts only is learned from its shortest
+    one.  The rank limit is applied before the shuffle, so a language with most
+    of the rows sends a few documents per task.
     """
-    order = Window.partitionBy("lang").orderBy("h", "text")
+    order = Window.partitionBy("lang").orderBy("beyond", "h", "text")
+    text = F.col(text_col)
     rows = (
-        docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-        .select(F.col(lang_col).cast("string").alias("lang"), F.substring(F.col(text_col), 1, max_symbols).alias("text"), F.xxhash64(id_col).alias("h"))
+        docs.filter(F.col(lang_col).isNotNull() & text.rlike(r"\p{L}"))
+        .select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(id_col).alias("h"), F.greatest(F.length(text) - max_chars, F.lit(0)).alias("beyond"))
         .withColumn("n", F.row_number().over(order))
-        .filter(F.col("n") <= max_docs)
+        .filter((F.col("n") <= max_docs) & ((F.col("beyond") == 0) | (F.col("n") == 1)))
         .select("lang", "n", "text")
         .collect()
     )
     samples: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.n)):
         samples.setdefault(r.lang, []).append(r.text)
-    return train(samples, max_symbols)
+    return train(samples)
 
 
 def identify(docs: DataFrame, parser: CrossParser, *, text_col: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score`` (0 to 1; a half and more for the winner).
 
-    The whole text is parsed.  Null, empty and letterless texts get ``und`` and
-    score 0; ties go to the language first in code-point order; with no labelled
-    language at all everything is ``und``.  Repeated rows are scored alike; an
-    empty table gives an empty result; existing columns of the two names are replaced.
+    The whole text is parsed, however long.  Null, empty and letterless texts get
+    ``und`` and score 0; ties go to the language first in code-point order; with
+    no labelled language at all everything is ``und``.  Repeated rows are scored
+    alike; an empty table gives an empty result; existing columns of the two names
+    are replaced, all others kept.
     """
-    model = docs.sparkSession.sparkContext.broadcast(parser)  # bounded by languages x max_symbols
+    model = docs.sparkSession.sparkContext.broadcast(parser)  # bounded by languages x max_docs x max_chars
 
     @F.pandas_udf("lang_pred string, score double")
     def guess(texts: pd.Series) -> pd.DataFrame:
@@ -206,9 +275,10 @@ def identify(docs: DataFrame, parser: CrossParser, *, text_col: str = "text") ->
         release_memory()
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "__lang")]
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    name = unused(docs, "found")
     # declared so that a filter on the result doesn't make Spark run it twice
-    return docs.select(*kept, guess.asNondeterministic()(F.col(text_col)).alias("__lang")).select(*kept, "__lang.lang_pred", "__lang.score")
+    return docs.select(*kept, guess.asNondeterministic()(F.col(text_col)).alias(name)).select(*kept, f"{name}.lang_pred", f"{name}.score")
 
 
 def fit_and_identify(docs: DataFrame, *, folds: int = 5, held_out: int = 0, **options) -> DataFrame:

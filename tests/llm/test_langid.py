@@ -10,17 +10,15 @@ SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tex
 
 
 def plain_phrases(text, train):
-    """Greedy longest matches by substring search, with a new phrase at each block."""
-    count = 0
-    for at in range(0, len(text), langid.BLOCK):
-        part = text[at : at + langid.BLOCK].tobytes()
-        i = 0
-        while i < len(part):
-            n = 1
-            while i + n < len(part) + 1 and part[i : i + n] in train:
-                n += 1
-            i += max(1, n - 1) if n <= len(part) - i else len(part) - i
-            count += 1
+    """Greedy longest matches by substring search in the symbols of the labelled texts."""
+    find = lambda part: any(np.array_equal(train[i : i + len(part)], part) for i in np.flatnonzero(train[: len(train) - len(part) + 1] == part[0]))
+    count = i = 0
+    while i < len(text):
+        n = 1
+        while i + n <= len(text) and find(text[i : i + n]):
+            n += 1
+        i += max(1, n - 1)
+        count += 1
     return count
 
 
@@ -28,16 +26,45 @@ def plain_phrases(text, train):
 def test_phrases_match_substring_search(seed):
     rng = np.random.default_rng(seed)
     make = lambda letters, n: "".join(rng.choice(list(letters), n))
-    samples = {"x": [make("abc ", 300), make("abc", 50)], "y": [make("bcd ", 400)]}
-    parser = langid.train(samples, 100_000)
-    texts = [make("abcd ", n) for n in (1, 2, 17, 511, 512, 513, 1700)] + ["zzz", "aaaa zé", "b"]
+    samples = {"x": [make("abc ", 300), make("abc", 50)], "y": [make("bcd ", 400)], "z": ["a" * 700]}
+    parser = langid.train(samples)
+    texts = [make("abcd ", n) for n in (1, 2, 17, 511, 512, 513, 5000)] + ["zzz", "aaaa zé", "b", "a" * 3000, samples["x"][0] * 9, "b" * 511 + "a" * 700 + "b" * 900]
     symbols = [parser.symbols(t) for t in texts]
     got = parser.phrases(symbols)
     for k, name in enumerate(parser.languages):
-        train = np.concatenate([np.append(parser.symbols(t), 0) for t in samples[name]]).astype(np.uint8).tobytes()
+        train = np.concatenate([np.append(parser.symbols(t), 0) for t in samples[name]])
         assert got[:, k].tolist() == [plain_phrases(s, train) for s in symbols]
 
 
+def test_languages_with_thousands_of_letters():
+    rng = np.random.default_rng(5)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
+    common = 1 / np.arange(1, 3001)
+    orders = {"one": common, "two": common[::-1], "three": np.roll(common, 1500)}
+    make = lambda p, n: "".join(rng.choice(letters, n, p=p / p.sum()))
+    latin = {f"l{i}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 3000, p=rng.dirichlet(np.ones(27))))] for i in range(5)}
+    parser = langid.train({k: [make(p, 200) for _ in range(30)] for k, p in orders.items()} | latin)
+    for name, p in orders.items():
+        assert parser.predict([make(p, 120) for _ in range(40)])[0] == [name] * 40
+
+
+def test_letters_of_all_planes():
+    parser = langid.train({"x": ["abc abc"], "y": ["\U00020000\U00020001 \U00030000"]})
+    assert parser.predict(["\U000e0041\U000e0042", "\U000f0001", "\u0301", "1", "\U00030000"])[0] == ["und"] * 4 + ["y"]
+    assert "und" not in parser.predict(["\U00030001", "\U0001d400"])[0]  # letters that no label has
+
+
+def test_sample_has_whole_texts(spark, monkeypatch):
+    rows = [(i, f"text {'abcdefgh'[i]} " * 3, "aa") for i in range(8)] + [(20, "long " * 30, "aa"), (21, "only a long text " * 9, "bb"), (22, "only a longer text " * 9, "bb"), (23, None, "cc"), (24, "12", "cc")]
+    taken = {}
+    monkeypatch.setattr(langid, "train", lambda samples: taken.update(samples))
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_docs=5, max_chars=60)
+    texts = {r[1] for r in rows}
+    assert {k: len(v) for k, v in taken.items()} == {"aa": 5, "bb": 1}
+    assert all(t in texts and not t.startswith("long") for v in taken.values() for t in v)
+    assert taken["bb"] == ["only a long text " * 9]
+
+
 def test_edge_cases(spark):
     words = {"aa": "the of and with from this that", "bb": "der die und mit von ist nicht"}
     rng = np.random.default_rng(0)
