@@ -13,6 +13,9 @@ place in it.  So a suffix array over these anchors only, split by their first
    with a stack visits its intervals.  In each, the members' left extensions are
    compared: where they differ or agree tells how far each member's repeat
    reaches.  All occurrences of an interval are reported, not just neighbours.
+3. A gram with many different surroundings is split: the strings that have the
+   gram at places lo to hi share lo bytes before it and all but hi after it, so
+   members that differ there have none of these strings in common.
 """
 
 from __future__ import annotations
@@ -29,8 +32,10 @@ from .common import byte_column, release_memory, slices
 GRAM = 64
 #: Bytes of text hashed in one vectorised step (positions have 24 bits there).
 CHUNK = 1_000_000
-#: Surroundings of one gram that one task compares; more are compared string by string.
-CLASS_ROWS = 20_000
+#: Surroundings that are compared as one class; a larger class is split by what its members share.
+CLASS_ROWS = 1_000
+#: Into how many a class is split, and parts that the rows of a large class are dealt into.
+SPLIT, SALTS = 6, 64
 
 # kinds of rows on the way: one occurrence, several (one shown), a span, an edge alone or for several, and "this gram varies"
 ONE, SEVERAL, SPAN, EDGE, EDGES, VARIES = range(6)
@@ -170,20 +175,24 @@ def anchor_rows(width: int):
 
 
 def judge(batches):
-    """Tasks over rows sorted by (h, ctx): spans and edges; a gram's rows are held until the next gram."""
-    tail = None
+    """Tasks over rows sorted by h: spans and edges; a gram's rows (two a batch of texts at most) are held until the next gram."""
+    held: list[list[np.ndarray]] = []
     for batch in batches:
         now = [np.asarray(c) for c in batch.columns]
-        if tail is not None:
-            now = [np.concatenate(x) for x in zip(tail, now, strict=True)]
         if not len(now[0]):
             continue
-        cut = int(np.searchsorted(now[0], now[0][-1], side="left"))
-        tail = [x[cut:].copy() for x in now]
-        if cut:
-            yield judged([x[:cut] for x in now])
-    if tail is not None and len(tail[0]):
-        yield judged(tail)
+        last = now[0][-1]
+        if held and held[-1][0][-1] == last:
+            held.append(now)
+            continue
+        cut = int(np.searchsorted(now[0], last, side="left"))
+        held.append([x[:cut] for x in now])
+        done = [np.concatenate(x) for x in zip(*held, strict=True)]
+        held = [[x[cut:].copy() for x in now]]
+        if len(done[0]):
+            yield judged(done)
+    if held:
+        yield judged([np.concatenate(x) for x in zip(*held, strict=True)])
 
 
 def judged(columns):
@@ -258,7 +267,14 @@ def maximal_repeats(members: list[tuple[bytes, bytes, int]], width: int):
                     yield i, reach, depth
 
 
-SURROUNDING = "h long, before binary, after binary, times int, r1 long, r2 long, a int"
+SURROUNDING = "h long, heavy boolean, lo int, hi int, before binary, after binary, times int, r1 long, r2 long, a int"
+PART = "key binary, lo int, hi int, before binary, after binary, times int, r1 long, r2 long, a int"
+
+
+def rows_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+    return pa.RecordBatch.from_arrays([pa.array(x, kinds[t]) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
 def surroundings(width: int):
@@ -269,85 +285,103 @@ def surroundings(width: int):
         for batch in batches:
             rows = []
             for text, r1, r2, edges in zip(*(batch.column(c) for c in ("text", "r1", "r2", "edges")), strict=True):
-                raw = text.as_buffer().to_pybytes()
+                raw, r1, r2 = text.as_buffer(), r1.as_py(), r2.as_py()
                 for e in edges.as_py():
                     a = e["a"]
-                    rows.append((e["h"], raw[max(0, a - back) : a][::-1], raw[a : a + width], 2 if e["kind"] == EDGES else 1, r1.as_py(), r2.as_py(), a))
+                    lo, hi = max(0, a - back), min(len(raw), a + width)
+                    rows.append((e["h"], e["heavy"], 0, back, raw[lo:a].to_pybytes()[::-1], raw[a:hi].to_pybytes(), 2 if e["kind"] == EDGES else 1, r1, r2, a))
+                    if len(rows) >= 20_000:
+                        yield rows_batch(rows, SURROUNDING)
+                        rows = []
+            if rows:
+                yield rows_batch(rows, SURROUNDING)
+            release_memory()
+
+    return run
+
+
+def narrower(width: int):
+    """Tasks over surroundings: a row for each part of the places lo to hi, with what all strings at these places share as a key."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for lo, hi, before, after, *more in zip(*(batch.column(c).to_pylist() for c in ("lo", "hi", "before", "after", "times", "r1", "r2", "a")), strict=True):
+                step = -(-(hi - lo + 1) // SPLIT)
+                for first in range(lo, hi + 1, step):
+                    last = min(first + step - 1, hi)
+                    if len(before) >= first and len(after) >= width - last:
+                        shared = before[:first][::-1] + after[: width - last]
+                        rows.append((hashlib.blake2b(shared, digest_size=16).digest(), first, last, before, after, *more))
                 if len(rows) >= 20_000:
-                    yield pack(rows)
+                    yield rows_batch(rows, PART)
                     rows = []
             if rows:
-                yield pack(rows)
-                rows = []
+                yield rows_batch(rows, PART)
             release_memory()
 
-    def pack(rows):
-        types = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["h", "before", "after", "times", "r1", "r2", "a"])
-
     return run
 
 
-def interval_spans(width: int):
-    """Tasks over surroundings sorted by gram: the spans of its maximal repeats."""
+SPANS = "r1 long, r2 long, a int, b int"
+
+
+def interval_spans(width: int, keys: int):
+    """Tasks over surroundings sorted by class (the first ``keys`` columns): the spans of its maximal repeats."""
 
     def spans(group):
-        for i, reach, depth in maximal_repeats([(g[1], g[2], g[3]) for g in group], width):
-            yield group[i][4], group[i][5], group[i][6] - reach, group[i][6] + depth
+        for i, reach, depth in maximal_repeats([g[:3] for g in group], width):
+            *_, r1, r2, a = group[i]
+            yield r1, r2, a - reach, a + depth
 
     def run(batches):
-        group, out = [], []
+        group, name, out = [], None, []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and group[0][0] != row[0]:
+                if name != row[:keys]:
                     out += spans(group)
-                    group = []
-                group.append(row)
+                    group, name = [], row[:keys]
+                group.append(row[keys:])
                 if len(out) >= 20_000:
-                    yield pack(out)
+                    yield rows_batch(out, SPANS)
                     out = []
         out += spans(group)
         if out:
-            yield pack(out)
+            yield rows_batch(out, SPANS)
         release_memory()
 
-    def pack(rows):
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["r1", "r2", "a", "b"])
-
     return run
 
 
-SPANS = "r1 long, r2 long, a int, b int"
-
+def with_heavy(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, bool]:
+    """Add ``heavy``, true for the rows of classes of more than ``CLASS_ROWS``, and say whether there are any.
 
-def string_spans(around: DataFrame, width: int) -> DataFrame:
-    """The same spans for grams with very many surroundings: each string around an anchor is counted.
-
-    A string may hold its gram several times, and then comes once for each; its own
-    anchor is at the same place in it wherever it occurs, so strings are counted by
-    the anchor's place too and one start is counted once.
+    Classes are counted before the shuffle; the few large ones are met in
+    ``SALTS`` parts, so none gathers in a task.
     """
+    from .common import cut
+
+    large = rows.groupBy(*keys).agg(F.count("*").alias("m")).filter(F.col("m") > CLASS_ROWS)
+    large = cut(large.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("heavy")), "large-classes")
+    if large.isEmpty():
+        return rows.withColumn("heavy", F.lit(None).cast("boolean")), False
+    salted = rows.withColumn("salt", F.pmod("r1", F.lit(SALTS)).cast("int"))
+    return salted.join(large, [*keys, "salt"], "left").drop("salt"), True
 
-    def strings(batches):
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h, before, after, times, r1, r2, a = row
-                text, n = before[::-1] + after, len(before)
-                lefts = [k for k in range(n + 1) if len(after) >= width - k]
-                if lefts:
-                    keys = [hashlib.blake2b(text[n - k : n - k + width], digest_size=16).digest() for k in lefts]
-                    m = len(lefts)
-                    yield pa.RecordBatch.from_arrays([pa.array([h] * m), pa.array(keys, pa.binary()), pa.array([times] * m, pa.int32()), pa.array([r1] * m), pa.array([r2] * m), pa.array([a - k for k in lefts], pa.int32()), pa.array(lefts, pa.int32())], ["h", "key", "times", "r1", "r2", "a", "k"])
 
-    each = around.mapInArrow(strings, "h long, key binary, times int, r1 long, r2 long, a int, k int")
-    often = each.groupBy("h", "key", "k").agg(F.sum("times").alias("n")).filter("n > 1")
-    return each.join(often, ["h", "key", "k"], "left_semi").select("r1", "r2", "a", (F.col("a") + width).alias("b"))
+def class_spans(around: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Spans of the classes that are compared as a whole."""
+    rows = around.select(*keys, "before", "after", "times", "r1", "r2", "a")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(interval_spans(width, len(keys)), SPANS)
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 200) -> DataFrame:
     """``docs`` as (doc_id, text binary, spans array<struct<a,b>>): what strings of ``width`` bytes that start twice cover.
 
     Texts are UTF-8 bytes, null is empty.  The spans overlap and are unordered.
+    Whole surroundings of anchors are equal if a 64-bit hash of the gram and
+    another of the surroundings are, and strings at the last split if 128-bit
+    hashes are; everything else is compared byte by byte.
     """
     from .common import cut
 
@@ -358,13 +392,26 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = rows.withColumns({"r1": F.xxhash64("doc_id", "text"), "r2": F.xxhash64(F.lit(1), "text", "doc_id")})
     seen = rows.filter(F.octet_length("text") >= width).select("r1", "r2", "text").mapInArrow(anchor_rows(width), FOUND)
     found = cut(seen.repartition("h").sortWithinPartitions("h").mapInArrow(judge, FOUND).select("h", "kind", "r1", "r2", "a", "b"), "repeats")
-    edges = found.filter(F.col("kind").isin(EDGE, EDGES))
-    crowded = edges.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > CLASS_ROWS).select("h", F.lit(True).alias("crowded"))
-    by_row = edges.groupBy("r1", "r2").agg(F.collect_list(F.struct("h", "a", "kind")).alias("edges"))
-    around = cut(rows.join(by_row, ["r1", "r2"]).mapInArrow(surroundings(width), SURROUNDING).join(crowded, "h", "left"), "surroundings")
-    calm = around.filter("crowded IS NULL").drop("crowded").repartition("h").sortWithinPartitions("h").mapInArrow(interval_spans(width), SPANS)
-    crowd = string_spans(around.filter("crowded").drop("crowded"), width)
-    spans = found.filter(F.col("kind") == SPAN).select("r1", "r2", "a", "b").unionByName(calm).unionByName(crowd)
+    edges, some = with_heavy(found.filter(F.col("kind").isin(EDGE, EDGES)).drop("b"), ["h"])
+    by_row = edges.groupBy("r1", "r2").agg(F.collect_list(F.struct("h", "a", "kind", "heavy")).alias("edges"))
+    around = cut(rows.join(by_row, ["r1", "r2"]).mapInArrow(surroundings(width), SURROUNDING), "surroundings")
+    parts = [class_spans(around.filter("heavy IS NULL"), ["h"], width)]
+    places = width - GRAM + 1
+    while some:  # split the large classes until each has one place, and so one string
+        places = -(-places // SPLIT)
+        each = cut(around.filter("heavy").mapInArrow(narrower(width), PART), "class-parts")
+        around, some = with_heavy(each, ["key", "lo"])
+        if places > 1:
+            around = cut(around, "class-parts")
+            parts.append(class_spans(around.filter("heavy IS NULL"), ["key", "lo"], width))
+        else:
+            often = around.filter("heavy IS NULL").groupBy("key", "lo").agg(F.sum("times").alias("n")).filter("n > 1")
+            repeated = around.filter("heavy IS NULL").join(often, ["key", "lo"], "left_semi").unionByName(around.filter("heavy"))
+            parts.append(repeated.select("r1", "r2", (F.col("a") - F.col("lo")).alias("a"), (F.col("a") - F.col("lo") + width).alias("b")))
+            some = False
+    spans = found.filter(F.col("kind") == SPAN).select("r1", "r2", "a", "b")
+    for part in parts:
+        spans = spans.unionByName(part)
     spans = spans.groupBy("r1", "r2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     return rows.join(spans, ["r1", "r2"], "left").select("doc_id", "text", "spans")
 

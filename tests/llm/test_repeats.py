@@ -57,8 +57,10 @@ def test_matches_counting_every_string(spark, seed):
     check(spark, texts(seed))
 
 
-def test_crowded_grams_and_small_steps(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "CLASS_ROWS", 2)
+@pytest.mark.parametrize("rows,split", [(1, 6), (2, 3), (5, 50)])
+def test_crowded_grams_and_small_steps(spark, monkeypatch, rows, split):
+    monkeypatch.setattr(repeats, "CLASS_ROWS", rows)
+    monkeypatch.setattr(repeats, "SPLIT", split)
     monkeypatch.setattr(repeats, "CHUNK", 700)
     made = texts(7)
     check(spark, made, [None if i % 9 == 0 else i // 2 for i in range(len(made))])
