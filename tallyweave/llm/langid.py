@@ -9,6 +9,7 @@ the length of what it was trained on, wins.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,115 +19,175 @@ from pyspark.sql import functions as F
 
 from .common import id_crc, release_memory, slices, unused
 
-#: Symbols: what separates words, and a letter that no labelled text has; the letters seen come after these.
+#: What separates words, and a letter that no labelled text has; codes of the letters seen use the symbols after these.
 BREAK, OTHER = 0, 1
+#: Symbols of an alphabet, and how many of them are left for letters that take several.
+ALPHABET, DIGITS = 64, 32
 #: Parts of a text that are parsed at once; their phrases are joined to those of the whole text.
-BLOCK = 512
-#: Characters parsed in one go by a task.
-CHUNK = 2_000_000
+BLOCK = 1024
+#: Symbols parsed in one go by a task, over all languages.
+CHUNK = 32_000_000
 NO_LETTER = "und"
-#: Bits of a state's number in a table entry.
-STATE = 24
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Marks a transition that starts a phrase.
+_FLAG = np.int32(1 << 30)
+
+
+def letter_codes(counts: dict[str, int]) -> np.ndarray:
+    """Symbols of each code point, most significant first, 0 before and after them for short ones (0x110000 x length).
+
+    Each letter has a code of its own: one symbol for the commonest, and where an
+    alphabet has no room for all, several digits for each of the others.
+    """
+    common = sorted(counts, key=lambda c: (-counts[c], c))
+    single = common if len(common) <= ALPHABET - 2 else common[: ALPHABET - DIGITS - 2]
+    others, length = sorted(set(common) - {*single}), 1
+    while others and DIGITS**length < len(others):
+        length += 1
+    codes = np.zeros((0x110000, length), np.uint8)
+    codes[[c for c in range(0x110000) if chr(c).isalpha()], 0] = OTHER
+    for k, c in enumerate(sorted(single)):
+        codes[ord(c), 0] = k + 2
+    for k, c in enumerate(others):
+        codes[ord(c)] = [ALPHABET - DIGITS + k // DIGITS**i % DIGITS for i in reversed(range(length))]
+    return codes
+
+
+def symbols(text: str, codes: np.ndarray) -> np.ndarray:
+    """Lower-case text as symbols: a run of what isn't a letter is one break."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    got = codes[points, 0]
+    keep = np.concatenate(([True], (got[1:] != BREAK) | (got[:-1] != BREAK)))[: len(got)]
+    if codes.shape[1] == 1:
+        return got[keep]
+    each = codes[points[keep]]
+    used = each != BREAK
+    used[:, 0] = True
+    return each[used]
 
 
 @dataclass
-class Automaton:
-    """All substrings of a text: transitions in a hash table of (state, symbol) with the next state.
+class CrossParser:
+    """Automata of all languages in one transition table.
 
-    State 0 is the empty string; ``first`` has its transitions by symbol (0 is none).
+    ``table[s, c]`` is the state after symbol ``c`` in state ``s``; where a phrase
+    starts with ``c``, as no match goes on, it has a flag.
     """
 
-    slots: np.ndarray
-    first: np.ndarray
-    trained: int
-
-    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """The state after each symbol, -1 where there is none."""
-        key = state * len(self.first) + symbol
-        mask = len(self.slots) - 1
-        at = slot_of(key, mask)
-        got = self.slots.take(at)
-        out = np.where(got >> STATE == key, got & ((1 << STATE) - 1), -1)
-        rest = np.flatnonzero((out < 0) & (got >= 0))
-        while len(rest):  # another key has the slot: the next one
-            at[rest] = (at[rest] + 1) & mask
-            got = self.slots.take(at[rest])
-            hit = got >> STATE == key[rest]
-            out[rest[hit]] = got[hit] & ((1 << STATE) - 1)
-            rest = rest[~hit & (got >= 0)]
-        return out
-
-    def parse(self, text: np.ndarray, begin: np.ndarray, end: np.ndarray, known: np.ndarray, mark: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Parse from each ``begin`` until a phrase starts at ``end`` or beyond, or at a place that ``known`` numbers.
-
-        Returns how many phrases started before, and where it stopped.  With
-        ``mark``, phrases are numbered in ``known`` instead, from 1 on for each begin.
-        """
-        count, stop = np.zeros(len(begin), np.int64), end.copy()
-        lane, at, state = np.arange(len(begin)), begin.copy(), np.zeros(len(begin), np.int64)
-        while len(lane):
-            symbol = text.take(at).astype(np.int64)
-            after = self.step(state, symbol)
-            starts = np.flatnonzero((after < 0) | (state == 0))
-            place, who = at[starts], lane[starts]
-            done = place >= end[who]
-            if not mark:
-                done |= known[place] > 0
-            count[who[~done]] += 1
-            if mark:
-                known[place[~done]] = count[who[~done]]
-            after[starts] = self.first[symbol[starts]]
-            if done.any():
-                stop[who[done]] = place[done]
-                live = np.ones(len(lane), bool)
-                live[starts[done]] = False
-                lane, at, after = lane[live], at[live], after[live]
-            state = after
-            at += 1
-        return count, stop
-
-    def phrases(self, text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Phrases of each text, greedily from its start; text i is text[offsets[i]:offsets[i + 1] - 1], and then OTHER.
+    languages: list[str]
+    codes: np.ndarray
+    table: np.ndarray
+    roots: np.ndarray
+    trained: np.ndarray
+
+    def symbols(self, text: str) -> np.ndarray:
+        return symbols(text, self.codes)
+
+    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Number of phrases of each text for each language (texts x languages), greedily from its start.
 
         All blocks are parsed at once as if a phrase started with each.  A block's
         phrases truly start where the last one of the block before ends;
         from there it is parsed until the two parses meet in a phrase, after which they agree.
         """
-        sizes = np.diff(offsets) - 1
-        blocks = -(-sizes // BLOCK)
-        owner = np.repeat(np.arange(len(sizes)), blocks)
-        number = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        begin = offsets[owner] + number * BLOCK
-        end = np.minimum(begin + BLOCK, offsets[owner + 1] - 1)
-        known = np.zeros(len(text), np.int32)
-        total, leave = self.parse(text, begin, end, known, mark=True)
-        count, stop = total.copy(), leave.copy()
-        entry = begin.copy()
-        again = np.flatnonzero(number > 0)
+        lengths = np.array([len(t) for t in texts], np.int64)
+        blocks = lengths // BLOCK + 1  # what pads the last one ends its text
+        last = np.cumsum(blocks)
+        owner = np.repeat(np.arange(len(texts)), blocks)
+        rows, kinds = len(owner), len(self.languages)
+        flat = np.full(rows * BLOCK, OTHER, np.uint8)
+        for t, end, n, k in zip(texts, last, lengths, blocks, strict=True):
+            flat[(end - k) * BLOCK : (end - k) * BLOCK + n] = t
+        begin = np.arange(rows) * BLOCK
+        size = np.full(rows, BLOCK)
+        size[last - 1] = lengths % BLOCK
+        # the fullest blocks first, so that a step works on those that reach it
+        order = np.argsort(-size, kind="stable")
+        rank = np.empty(rows, np.int64)
+        rank[order] = np.arange(rows)
+        steps = np.ascontiguousarray(flat.reshape(rows, BLOCK)[order].T)
+        live = np.searchsorted(-size[order], -np.arange(BLOCK), side="left")
+        # a number for each phrase of a block, from 1 on, where it starts
+        number, total = np.zeros((BLOCK, kinds, rows), np.int16), np.zeros((kinds, rows), np.int16)
+        state = np.repeat(self.roots[:, None], rows, axis=1).astype(np.int32)
+        table, width = self.table.reshape(-1), self.table.shape[1]
+        for i in range(int(size.max())):
+            n = live[i]
+            to = table.take(state[:, :n] * width + steps[i, :n])
+            new = to >= _FLAG
+            total[:, :n] += new
+            np.multiply(total[:, :n], new, out=number[i, :, :n])
+            state[:, :n] = to & (_FLAG - 1)
+        total = total.astype(np.int64)
+
+        def follow(kind, at, state, row, until):
+            """Parse on in some languages and blocks until a phrase starts that ``until`` accepts: phrases before it, and its place."""
+            count, stop, lane = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.arange(len(at))
+            while len(lane):
+                to = table.take(state * width + flat.take(at))
+                new = np.flatnonzero(to >> 30)
+                done = until(kind[new], at[new], row[new])
+                count[lane[new[~done]]] += 1
+                state = to & (_FLAG - 1)
+                if done.any():
+                    stop[lane[new[done]]] = at[new[done]]
+                    rest = np.ones(len(lane), bool)
+                    rest[new[done]] = False
+                    kind, at, state, row, lane = kind[rest], at[rest], state[rest], row[rest], lane[rest]
+                at = at + 1
+            return count, stop
+
+        kind, row = np.divmod(np.arange(kinds * rows), rows)
+        count = total[:, rank].reshape(-1)
+        whole = count.copy()
+        _, stop = follow(kind, (begin + size)[row], state[:, rank].reshape(-1), row, lambda k, at, r: np.ones(len(at), bool))
+        leave, entry = stop.copy(), begin[row]
+        inner = np.ones(rows, bool)
+        inner[last - blocks] = False
+        met = lambda k, at: number[at % BLOCK, k, rank[at // BLOCK]]
+        again = np.flatnonzero(inner[row])
         while len(again):
             # blocks whose entry has changed; the block before may still change itself
             again = again[entry[again] != stop[again - 1]]
             entry[again] = stop[again - 1]
-            inside = again[entry[again] < end[again]]
-            beyond = again[entry[again] >= end[again]]
+            finish = begin[row[again]] + size[row[again]]
+            inside, beyond = again[entry[again] < finish], again[entry[again] >= finish]
             count[beyond], stop[beyond] = 0, entry[beyond]
-            some, met = self.parse(text, entry[inside], end[inside], known, mark=False)
-            joined = met < end[inside]
-            count[inside] = some + np.where(joined, total[inside] - known[met] + 1, 0)
-            stop[inside] = np.where(joined, leave[inside], met)
-            following = again + 1
-            following = following[following < len(owner)]
-            again = following[number[following] > 0]
-        return np.bincount(owner, weights=count, minlength=len(sizes)).astype(np.int64)
-
+            k, r = kind[inside], row[inside]
+            some, place = follow(k, entry[inside], self.roots[k].astype(np.int32), r, lambda k, at, r: (at >= begin[r] + size[r]) | (met(k, at) > 0))
+            joined = place < begin[r] + size[r]
+            same = met(k, np.where(joined, place, begin[r]))
+            count[inside] = some + np.where(joined, whole[inside] - same + 1, 0)
+            stop[inside] = np.where(joined, leave[inside], place)
+            again = again + 1
+            again = again[again < len(row)]
+            again = again[inner[row[again]]]
+        found = np.zeros((len(texts), kinds), np.int64)
+        for k in range(kinds):
+            found[:, k] = np.bincount(owner, weights=count[k * rows : (k + 1) * rows], minlength=len(texts))
+        return found
 
-def slot_of(key: np.ndarray, mask: int) -> np.ndarray:
-    return ((key.astype(np.uint64) * _ODD) >> np.uint64(64 - mask.bit_length())).astype(np.int64)
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text."""
+        names, scores = [NO_LETTER] * len(texts), np.zeros(len(texts))
+        weights = np.log(self.trained + 2)
+        for a, b in slices([len(t or "") for t in texts], CHUNK // len(self.languages)):
+            part = [(i, s) for i, s in ((i, self.symbols(texts[i])) for i in range(a, b) if texts[i]) if s.any()]
+            if not part:
+                continue
+            cost = self.phrases([s for _, s in part]) * weights
+            best = cost.argmin(axis=1)
+            if len(self.languages) > 1:
+                least, second = np.partition(cost, 1, axis=1)[:, :2].T
+                sure = second / (least + second)
+            else:
+                sure = np.ones(len(part))
+            for (i, _), k, s in zip(part, best, sure, strict=True):
+                names[i], scores[i] = self.languages[k], s
+        return names, scores
 
 
-def suffix_automaton(text: np.ndarray, alphabet: int) -> Automaton:
-    """The automaton of all substrings of ``text``."""
+def suffix_automaton(text: np.ndarray, width: int = ALPHABET) -> np.ndarray:
+    """Transitions (states x symbols, -1 for none) of the automaton of all substrings of ``text``."""
     go: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in text.tolist():
@@ -151,87 +212,34 @@ def suffix_automaton(text: np.ndarray, alphabet: int) -> Automaton:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    if len(go) >= 1 << STATE:
-        raise ValueError("too much labelled text for one automaton")
-    degree = np.fromiter(map(len, go), np.int64, len(go))
-    symbol = np.fromiter((c for out in go for c in out), np.int64, int(degree.sum()))
-    target = np.fromiter((t for out in go for t in out.values()), np.int64, len(symbol))
-    first = np.zeros(alphabet, np.int64)
-    first[symbol[: degree[0]]] = target[: degree[0]]
-    key = np.repeat(np.arange(len(go)), degree) * alphabet + symbol
-    entry = (key << STATE) | target
-    slots = np.full(1 << max(4, (3 * len(key)).bit_length()), -1, np.int64)
-    at, rest = slot_of(key, len(slots) - 1), np.arange(len(key))
-    while len(rest):  # those that find their slot free take it, one each; the others go on to the next
-        free = rest[slots[at[rest]] < 0]
-        place, which = np.unique(at[free], return_index=True)
-        slots[place] = entry[free[which]]
-        rest = rest[slots[at[rest]] != entry[rest]]
-        at[rest] = (at[rest] + 1) & (len(slots) - 1)
-    return Automaton(slots, first, len(text))
-
-
-@dataclass
-class CrossParser:
-    """An automaton per language, and the symbol of each code point."""
-
-    languages: list[str]
-    letters: np.ndarray
-    automata: list[Automaton]
-
-    def symbols(self, text: str) -> np.ndarray:
-        """Lower-case text as symbols: a run of what isn't a letter is one break."""
-        return symbols(text, self.letters)
-
-    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Number of phrases of each text for each language (texts x languages)."""
-        offsets = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)))
-        flat = np.full(offsets[-1], OTHER, self.letters.dtype)
-        for t, at in zip(texts, offsets, strict=False):
-            flat[at : at + len(t)] = t
-        return np.stack([a.phrases(flat, offsets) for a in self.automata], axis=1)
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text."""
-        names, scores = [NO_LETTER] * len(texts), np.zeros(len(texts))
-        weights = np.log([a.trained + 2 for a in self.automata])
-        for a, b in slices([len(t or "") for t in texts], CHUNK):
-            part = [(i, s) for i, s in ((i, self.symbols(texts[i])) for i in range(a, b) if texts[i]) if s.any()]
-            if not part:
-                continue
-            cost = self.phrases([s for _, s in part]) * weights
-            best = cost.argmin(axis=1)
-            if len(self.languages) > 1:
-                least, second = np.partition(cost, 1, axis=1)[:, :2].T
-                sure = second / (least + second)
-            else:
-                sure = np.ones(len(part))
-            for (i, _), k, s in zip(part, best, sure, strict=True):
-                names[i], scores[i] = self.languages[k], s
-        return names, scores
-
-
-def symbols(text: str, letters: np.ndarray) -> np.ndarray:
-    got = letters[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
-    again = (got[1:] == BREAK) & (got[:-1] == BREAK)
-    return np.concatenate((got[:1], got[1:][~again]))
+    table = np.full((len(go), width), -1, np.int32)
+    for s, out in enumerate(go):
+        for c, t in out.items():
+            table[s, c] = t
+    return table
 
 
 def train(samples: dict[str, list[str]]) -> CrossParser:
     """Automata of each language's sample of whole texts."""
-    seen = sorted({c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha()})
-    letters = np.fromiter((OTHER if chr(c).isalpha() else BREAK for c in range(0x110000)), np.int32, 0x110000)
-    letters[[ord(c) for c in seen]] = np.arange(len(seen)) + OTHER + 1
-    if len(seen) < 1 << 15:
-        letters = letters.astype(np.int16)
-    names, automata = sorted(samples), []
+    codes = letter_codes(Counter(c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha()))
+    names, width = sorted(samples), int(codes.max()) + 1
+    tables, roots, trained, base = [np.zeros((0, width), np.int32)], [], [], 0
     for name in names:
-        parts = [np.append(symbols(t, letters), letters.dtype.type(BREAK)) for t in samples[name] if t]
-        automata.append(suffix_automaton(np.concatenate(parts) if parts else np.zeros(0, letters.dtype), len(seen) + OTHER + 1))
-    return CrossParser(names, letters, automata)
-
-
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 64, max_chars: int = 8_192) -> CrossParser:
+        text = np.concatenate([np.append(symbols(t, codes), np.uint8(BREAK)) for t in samples[name] if t] or [np.zeros(0, np.uint8)])
+        table = suffix_automaton(text, width)
+        start = np.where(table[0] >= 0, table[0], 0)
+        done = np.where(table >= 0, table + base, (start + base) | _FLAG)
+        done[0] = (start + base) | _FLAG  # a phrase starts; a symbol that the language lacks is a phrase of its own
+        tables.append(done.astype(np.int32))
+        roots.append(base)
+        trained.append(len(text))
+        base += len(table)
+    if base * width >= 1 << 31:
+        raise ValueError("too much labelled text for one table: lower max_docs or max_chars")
+    return CrossParser(names, codes, np.concatenate(tables), np.array(roots, np.int32), np.array(trained))
+
+
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 24, max_chars: int = 8_192) -> CrossParser:
     """Train on a bounded sample: per language ``max_docs`` whole labelled texts.
 
     These are the ones of least id hash among the texts of at most ``max_chars``
