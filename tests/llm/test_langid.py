@@ -31,7 +31,7 @@ def test_phrases_match_substring_search(seed):
     symbols = [parser.symbols(t) for t in texts]
     got = parser.phrases(symbols)
     for k, name in enumerate(parser.languages):
-        train = np.concatenate([np.append(parser.symbols(t), 0) for t in samples[name]])
+        train = np.concatenate([np.append(parser.symbols(t), np.uint8(0)) for t in samples[name]])
         assert got[:, k].tolist() == [plain_phrases(s.tobytes(), train.tobytes()) for s in symbols]
 
 
