@@ -6,6 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Nodes whose minimum is broadcast: fewer than this many have more than that share of all edges.
+HOT = 5_000
+#: Edges of one node that a task meets in any case.
+FEW = 1_000
+
+
+def with_least(edges: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) with the least v of their u as ``m``, and these minima (u, m).
+
+    Minima are taken map-side first.  A node with more than ``total / HOT`` of
+    the ``total`` edges meets its minimum by broadcast (there are fewer than
+    ``HOT`` such nodes), so its edges don't gather in a task.
+    """
+    limit = max(FEW, -(-total // HOT))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hot = least.filter(F.col("n") > limit).select("u", "m")
+    met = edges.join(F.broadcast(hot), "u", "left")
+    rest = met.filter("m IS NULL").select("u", "v").join(least.filter(F.col("n") <= limit).select("u", "m"), "u")
+    return met.filter("m IS NOT NULL").select("u", "v", "m").union(rest.select("u", "v", "m")), least.select("u", "m")
+
+
 def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable node for every node that has an edge.
 
@@ -21,21 +42,19 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
     """
     a, b = edges.columns[:2]
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct().checkpoint()
-    before = None
+    state = before = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     for _ in range(max_rounds):
-        both = now.union(now.select("v", "u"))
+        if not state[0]:
+            break
         # large star: larger neighbours of a node move to the smallest of its neighbourhood
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        met, _ = with_least(now.union(now.select("v", "u")), 2 * state[0])
+        large = met.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("m")).distinct().withColumnRenamed("m", "v")
         # small star: smaller neighbours and the node itself move to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(least, "u")
-        after = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u > v").distinct().checkpoint()
-        state = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        now = after
+        hung, least = with_least(large, 2 * state[0])
+        now = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u > v").distinct().checkpoint()
+        before, state = state, now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == before:
             break
-        before = state
     else:
         raise RuntimeError(f"no convergence in {max_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

@@ -85,3 +85,16 @@ def test_components_of_long_paths(spark):
     path = [(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (600, 600), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(path, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500}
+
+
+def test_components_with_hot_nodes(spark, monkeypatch):
+    from tallyweave.llm import components
+
+    monkeypatch.setattr(components, "FEW", 3)
+    monkeypatch.setattr(components, "HOT", 20)
+    rng = np.random.default_rng(2)
+    edges = [(int(h), int(x)) for h in (50, 700) for x in rng.integers(0, 400, 150) + 500 * (h > 500)] + [(int(x), int(x) + 1) for x in rng.integers(1000, 1300, 200)]
+    nodes = {n for e in edges for n in e}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = plain_components(edges, nodes)
+    assert got == {n: c for n, c in want.items() if any(n in e and e[0] != e[1] for e in edges)}
