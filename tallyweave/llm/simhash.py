@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, cut, release_memory, token_blocks
+from .common import LOWER_BYTES, cut, release_memory, token_blocks, unused
 from .components import connected_components
 
 #: Rows of one table bucket that a task compares; larger buckets are split by a second index.
@@ -51,51 +52,75 @@ def hamming_links(prints: DataFrame, *, radius: int = 3) -> DataFrame:
 
     ``prints`` has distinct longs in its first column.  Of the two 32-bit halves
     one differs in at most ``radius // 2`` bits, so each fingerprint looks in
-    each half's table at every key of that Hamming ball; what it finds there is
-    compared in full.  A bucket returns a spanning forest of its links rather
-    than all pairs.  A bucket beyond ``BUCKET_ROWS`` is split by the same
-    argument over the quarters of the other half, so its parts hold few
-    fingerprints and no link is lost.
+    each half's table at the keys of a Hamming ball; what it finds there is
+    compared in full.  Where two keys differ in bits that one of them all has,
+    the other finds it by setting bits, so with a radius of one a ball need only
+    hold the keys with a bit more; otherwise it is whole.  A bucket
+    returns a spanning forest of its links rather than all pairs.  A bucket
+    beyond ``BUCKET_ROWS`` is split by the same argument over the quarters of the
+    other half, so its parts hold few fingerprints and no link is lost.
     """
     x = prints.columns[0]
     each = radius // 2
     prints = prints.select(F.col(x).alias("x"))
-    tables = prints.select(
-        "x",
-        F.explode(F.array(
-            F.struct(F.lit(0).alias("t"), F.shiftrightunsigned("x", 32).alias("k")),
-            F.struct(F.lit(1).alias("t"), F.col("x").bitwiseAND(0xFFFFFFFF).alias("k")),
-        )).alias("e"),
-    ).select("x", "e.t", "e.k")
-    probes = tables.select("t", F.explode(ball("k", 32, each)).alias("k"), "x")
+    low = F.col("x").bitwiseAND(0xFFFFFFFF)
+    # a key is 33 bits: the table, and a half
+    halves = prints.select("x", F.explode(F.array(F.shiftrightunsigned("x", 32), low.bitwiseOR(1 << 32))).alias("k"))
+    probes = halves.select(F.explode(ball("k", 32, each, upper=each == 1)).alias("k"), "x")
     # keys that own nothing can't give a link: a prober stays only beside an owner of the key
-    owners = tables.groupBy("t", "k").agg(F.count("*").alias("owners"))
-    met = probes.join(owners, ["t", "k"], "left_semi")
-    size = met.groupBy("t", "k").agg(F.count("*").alias("n")).filter("n > 1")
-    met = met.join(size, ["t", "k"])
-    small = met.filter(F.col("n") <= BUCKET_ROWS).select("t", "k", F.lit(0).alias("u"), F.lit(0).cast("long").alias("q"), "x")
-    other = F.when(F.col("t") == 0, F.col("x").bitwiseAND(0xFFFFFFFF)).otherwise(F.shiftrightunsigned("x", 32))
-    large = met.filter(F.col("n") > BUCKET_ROWS).select("t", "k", "x", F.explode(F.array(
+    owners = halves.groupBy("k").agg(F.count("*").alias("owners"))
+    met = probes.join(owners, "k", "left_semi")
+    size = met.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
+    met = met.join(size, "k")
+    small = met.filter(F.col("n") <= BUCKET_ROWS).select("k", F.lit(0).alias("u"), F.lit(0).cast("long").alias("q"), "x")
+    other = F.when(F.col("k") < (1 << 32), low).otherwise(F.shiftrightunsigned("x", 32))
+    large = met.filter(F.col("n") > BUCKET_ROWS).select("k", "x", F.explode(F.array(
         F.struct(F.lit(1).alias("u"), F.shiftright(other, 16).alias("q")),
         F.struct(F.lit(2).alias("u"), other.bitwiseAND(0xFFFF).alias("q")),
-    )).alias("e")).select("t", "k", "e.u", "e.q", "x")
-    large = large.select("t", "k", "u", F.explode(ball("q", 16, each)).alias("q"), "x")
-
-    def forest(key, group):
-        if len(group) < 2:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        values = np.unique(group["x"].to_numpy())
-        return pd.DataFrame(spanning_links(values, radius), columns=["a", "b"], dtype=np.int64)
-
-    return small.union(large).groupBy("t", "k", "u", "q").applyInPandas(forest, "a long, b long").distinct()
-
-
-def ball(key: str, bits: int, radius: int):
-    """All keys within ``radius`` bits of an unsigned ``bits``-wide key, as an array column."""
+    )).alias("e")).select("k", "e.u", "e.q", "x")
+    large = large.select("k", "u", F.explode(ball("q", 16, each)).alias("q"), "x")
+
+    def forests(batches):
+        """Tasks over buckets in key order, one held at a time."""
+        held, name = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, u, q, x = (np.asarray(c) for c in batch.columns)
+            first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (u[1:] != u[:-1]) | (q[1:] != q[:-1]))))
+            links = []
+            for i, j in zip(first.tolist(), [*first[1:].tolist(), len(k)], strict=True):
+                now = (k[i], u[i], q[i])
+                if now != name:
+                    links += forest(held)
+                    held, name = [], now
+                held.append(x[i:j].copy())
+            if links:
+                yield pack(links)
+        links = forest(held)
+        if links:
+            yield pack(links)
+
+    def forest(held):
+        values = held[0] if len(held) == 1 else np.concatenate(held) if held else []
+        return spanning_links(np.unique(values), radius) if len(values) > 1 else []
+
+    def pack(links):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
+
+    keys = ["k", "u", "q"]
+    return small.union(large).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(forests, "a long, b long").distinct()
+
+
+def ball(key: str, bits: int, radius: int, upper: bool = False):
+    """All keys within ``radius`` bits of an unsigned ``bits``-wide key, as an array column; ``upper``: that have all its bits."""
     from itertools import combinations
 
     masks = [sum(1 << i for i in flip) for r in range(radius + 1) for flip in combinations(range(bits), r)]
-    return F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: F.col(key).bitwiseXOR(m))
+    masks = F.array(*[F.lit(m).cast("long") for m in masks])
+    if upper:
+        masks = F.filter(masks, lambda m: F.col(key).bitwiseAND(m) == 0)
+    return F.transform(masks, lambda m: F.col(key).bitwiseXOR(m))
 
 
 def spanning_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -155,12 +180,16 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """The documents without near duplicates: of each component the one of smallest id.
 
     All columns stay as they are.  Of repeated rows with that id and fingerprint
-    one stays; of documents that all lack an id, one with the smallest fingerprint.
+    one stays; of documents that all lack an id, one with the smallest
+    fingerprint.  Fingerprints are computed once; a 128-bit hash of id and text
+    then names the row that stays.
     """
-    printed = with_fingerprint(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), words=words)
+    a, b = unused(docs, "row_a"), unused(docs, "row_b")
+    name = [F.xxhash64(id_col, text_col), F.xxhash64(F.lit(1), text_col, id_col)]
+    printed = with_fingerprint(docs.select(F.col(id_col).alias("doc_id"), name[0].alias("a"), name[1].alias("b"), F.col(text_col).alias("text")), words=words)
     rows = cut(printed.drop("text"), "simhash")
-    heads = fingerprint_components(rows, radius=radius).filter("fingerprint = first_fingerprint").select(F.col("fingerprint").alias("__print"), F.col("component_id").alias("__id"))
-    own = with_fingerprint(docs, text_col=text_col, words=words, name="__own")
-    first = own.join(heads, (F.col("__own") == F.col("__print")) & F.col(id_col).eqNullSafe(F.col("__id")))
-    turn = F.row_number().over(Window.partitionBy("__print", "__id").orderBy(F.xxhash64(text_col), text_col))
-    return first.withColumn("__turn", turn).filter("__turn = 1").select(*docs.columns)
+    heads = fingerprint_components(rows, radius=radius).filter("fingerprint = first_fingerprint").select("fingerprint", "component_id")
+    heads = rows.join(heads, "fingerprint").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    heads = heads.groupBy("fingerprint").agg(F.min(F.struct("a", "b")).alias("row")).select(F.col("row.a").alias(a), F.col("row.b").alias(b))
+    first = docs.withColumns({a: name[0], b: name[1]}).join(heads, [a, b], "left_semi")
+    return first.dropDuplicates([a, b]).select(*docs.columns)
