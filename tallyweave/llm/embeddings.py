@@ -15,6 +15,8 @@ from .components import connected_components
 
 #: Vectors of one bucket compared in one task; a larger bucket is compared block by block.
 BLOCK = 2048
+#: Sign bits of a vector's sketch, in 64-bit words.
+SKETCH = 4
 
 
 def tables_for(threshold: float, bits: int, recall: float) -> int:
@@ -35,7 +37,10 @@ def signatures(vectors: np.ndarray, tables: int, bits: int, seed: int) -> np.nda
     return signs @ (1 << np.arange(bits, dtype=np.int64))
 
 
-def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def cosines(x: np.ndarray, y: np.ndarray, scale: bool = False) -> np.ndarray:
+    """Cosines of rows; with ``scale``, of vectors whose squares may not fit a double."""
+    if scale:
+        x, y = (v / np.abs(v).max(axis=1, keepdims=True) for v in (x, y))
     return (x @ y.T) / np.outer(np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1)))
 
 
@@ -54,58 +59,93 @@ def spanning_forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def linked_pairs(x: np.ndarray, s: np.ndarray, t: int, block: np.ndarray | None, threshold: float) -> np.ndarray:
-    """Which of a bucket's vectors link, as a matrix, without pairs that an earlier table has (or within a block, of two blocks)."""
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    linked = cosines(x, x) >= threshold
-    np.fill_diagonal(linked, False)
-    if block is not None:
-        linked &= block[:, None] != block[None, :]
-    for earlier in range(t):
-        if not linked.any():
-            break
-        linked &= s[:, earlier, None] != s[None, :, earlier]
-    return linked
+def sketch_limit(threshold: float) -> int:
+    """Differing sketch bits of which a pair at the threshold has more once in some 10^9 times (six standard deviations)."""
+    bits, p = 64 * SKETCH, math.acos(threshold) / math.pi
+    return math.ceil(bits * p + 6 * math.sqrt(bits * p * (1 - p)))
+
+
+def part_of(column):
+    """A function of i and j: rows i to j of an Arrow column, lists of one bucket as a matrix."""
+    if pa.types.is_list(column.type):
+        values, at = np.asarray(column.flatten()), np.asarray(column.offsets) - column.offsets[0].as_py()
+        return lambda i, j: values[at[i] : at[j]].reshape(j - i, -1)
+    values = np.array(column.to_pylist(), dtype=object) if pa.types.is_string(column.type) else np.asarray(column)
+    return lambda i, j: values[i:j]
+
+
+def groups_of(batches, columns: int):
+    """Members of one bucket (equal first two columns) at a time, from rows in bucket order: lists of ``columns`` arrays."""
+    held, name = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        g1, g2 = (np.asarray(batch.column(i)) for i in range(2))
+        starts = np.flatnonzero(np.concatenate(([True], (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1]))))
+        parts = [part_of(batch.column(i)) for i in range(2, 2 + columns)]
+        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(g1)], strict=True):
+            if (g1[i], g2[i]) != name:
+                if held:
+                    yield name, [np.concatenate(x) for x in zip(*held, strict=True)]
+                held, name = [], (g1[i], g2[i])
+            held.append([part(i, j) for part in parts])
+    if held:
+        yield name, [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def bucket_survivors(threshold: float):
+    """Tasks over (bucket, table, blocks differ, block, class, sketch): the members with another whose sketch is near."""
+    limit = sketch_limit(threshold)
 
+    def run(batches):
+        for (g1, g2), (t, apart, b, c, sketch) in groups_of(batches, 5):
+            words = np.ascontiguousarray(sketch).view(np.uint64)
+            near = np.zeros(len(c), bool)
+            for i in range(len(c)):  # a row at a time, against those after it
+                other = np.bitwise_count(words[i + 1 :] ^ words[i]).sum(axis=1, dtype=np.int64) <= limit
+                if apart[0]:
+                    other &= b[i + 1 :] != b[i]
+                near[i] |= other.any()
+                near[i + 1 :] |= other
+            at = np.flatnonzero(near)
+            if len(at):
+                n = len(at)
+                arrays = [pa.array(x) for x in (np.full(n, g1), np.full(n, g2), t[at], apart[at], b[at])]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(c[at].tolist(), pa.string())], ["g1", "g2", "t", "apart", "b", "c"])
+
+    return run
 
-def bucket_links(threshold: float):
-    """Tasks over members sorted by bucket: links of each class in a bucket, and edges that join them.
 
-    A task holds one bucket (or pair of blocks) at a time.
+def bucket_links(threshold: float, tables: int, bits: int, seed: int):
+    """Tasks over (bucket, table, blocks differ, block, class, count, vector): links of each class, and edges that join them.
+
+    A task holds one bucket (or pair of blocks) at a time.  Only vectors that
+    link get their signatures again, to leave pairs to the first table where they meet.
     """
 
-    def flush(pieces, out):
-        if sum(len(p[0]) for p in pieces) < 2:
+    def links_of(t, apart, b, c, n, x, out):
+        linked = cosines(x, x, scale=True) >= threshold
+        np.fill_diagonal(linked, False)
+        if apart[0]:
+            linked &= b[:, None] != b[None, :]
+        some = np.flatnonzero(linked.any(axis=1))
+        if not len(some):
             return
-        c, n, x, s, b = (np.concatenate([p[i] for p in pieces]) for i in range(5))
-        linked = linked_pairs(x, s, pieces[0][5], b if pieces[0][6] else None, threshold)
-        links = linked.astype(np.float64) @ n
-        some = np.flatnonzero(links)
-        out += [(c[i], None, int(links[i])) for i in some]
-        kept = linked[np.ix_(some, some)]
-        out += [(c[some[i]], c[some[j]], 0) for i, j in spanning_forest(kept)]
+        linked, s = linked[np.ix_(some, some)], signatures(x[some], tables, bits, seed)
+        for earlier in range(t[0]):
+            linked &= s[:, earlier, None] != s[None, :, earlier]
+        links = linked.astype(np.float64) @ n[some]
+        out += [(c[i], None, int(k)) for i, k in zip(some, links, strict=True) if k]
+        out += [(c[some[i]], c[some[j]], 0) for i, j in spanning_forest(linked)]
 
     def run(batches):
-        held, name, out = [], None, []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            g1, g2, t, apart, b, c, n, v, s = (batch.column(i) for i in range(9))
-            g1, g2 = np.asarray(g1), np.asarray(g2)
-            starts = np.flatnonzero(np.concatenate(([True], (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1]))))
-            ends = np.append(starts[1:], len(g1))
-            c, n, b = np.array(c.to_pylist(), dtype=object), np.asarray(n), np.asarray(b)
-            (vx, va), (sx, sa) = ((np.asarray(x.flatten()), np.asarray(x.offsets) - x.offsets[0].as_py()) for x in (v, s))
-            for i, j in zip(starts.tolist(), ends.tolist(), strict=True):
-                now = (g1[i], g2[i])
-                if now != name:
-                    flush(held, out)
-                    held, name = [], now
-                held.append((c[i:j], n[i:j], vx[va[i] : va[j]].reshape(j - i, -1), sx[sa[i] : sa[j]].reshape(j - i, -1), b[i:j], t[i].as_py(), apart[i].as_py()))
+        out = []
+        for _, (t, apart, b, c, n, x) in groups_of(batches, 6):
+            if len(c) > 1:
+                links_of(t, apart, b, c, n, x, out)
             if len(out) >= 20_000:
                 yield pack(out)
                 out = []
-        flush(held, out)
         if out:
             yield pack(out)
 
@@ -128,7 +168,8 @@ def near_vectors(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "
     vectors, in double precision, is at least ``threshold``.  Every pair that
     meets in one of the tables is verified, so no link is below it; ``tables_for``
     gives as many tables as find a pair at the threshold with ``recall``, and
-    closer pairs more surely.
+    closer pairs more surely.  In a bucket, sketches of 256 sign bits are compared
+    first; they leave out a pair at the threshold once in some 10^9 times.
 
     Equal vectors of a label are one class with a count before anything is
     compared.  A pair is counted in the first table where it meets.  A bucket
@@ -151,31 +192,34 @@ def near_vectors(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "
     bits = bits or bits_for(largest)
     tables = tables_for(threshold, bits, recall)
 
-    @F.pandas_udf("array<long>")
-    def signs(vectors: pd.Series) -> pd.Series:
-        out, widths = [None] * len(vectors), vectors.map(len)
+    @F.pandas_udf("s array<long>, sketch array<long>")
+    def signs(vectors: pd.Series) -> pd.DataFrame:
+        out, sketch, widths = [None] * len(vectors), [None] * len(vectors), vectors.map(len)
         for width in widths.unique():
             at = np.flatnonzero(widths == width)
-            found = signatures(np.stack(vectors.iloc[at].to_list()), tables, bits, seed)
-            for i, s in zip(at, found, strict=True):
-                out[i] = s
-        return pd.Series(out, dtype=object)
-
-    signed = classes.withColumn("width", F.size("v")).withColumn("s", signs("v"))
-    signed = cut(signed, "signed")
+            stacked = np.stack(vectors.iloc[at].to_list())
+            stacked = stacked / np.abs(stacked).max(axis=1, keepdims=True)
+            planes = np.random.default_rng([seed + 1, width]).normal(size=(width, 64 * SKETCH))
+            near = np.packbits(stacked @ planes > 0, axis=1).view(np.int64)
+            for i, s, k in zip(at, signatures(stacked, tables, bits, seed), near, strict=True):
+                out[i], sketch[i] = s, k
+        return pd.DataFrame({"s": out, "sketch": sketch})
+
+    # ids, signatures and sketches meet; vectors follow only where a sketch has another near it
+    signed = cut(classes.select("c", "label", F.size("v").alias("width"), signs("v").alias("x")).select("c", "label", "width", "x.s", "x.sketch"), "signed")
     key = ["label", "width", "t", "sig"]
-    placed = signed.select("c", "label", "width", F.posexplode("s").alias("t", "sig"))
+    placed = signed.select("c", "label", "width", "sketch", F.posexplode("s").alias("t", "sig"))
     sizes = placed.groupBy(*key).agg(F.count("*").alias("m")).filter("m > 1")
     met = placed.join(sizes, key)
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("c"), blocks).cast("int")
     met = met.withColumn("b", mine).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    met = met.select("c", *key, "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
-    members = met.join(signed.select("c", "v", "s", "n"), "c")
-
-    named = [F.xxhash64(*key, "lo", "hi").alias("g1"), F.xxhash64(F.lit(seed), *key, "lo", "hi").alias("g2")]
-    dealt = members.select(*named, "t", (F.col("lo") != F.col("hi")).alias("apart"), "b", "c", "n", "v", "s").repartition("g1", "g2").sortWithinPartitions("g1", "g2")
-    found = cut(dealt.mapInArrow(bucket_links(threshold), "a string, b string, links long"), "vector-links")
+    low, high = F.least("b", "o"), F.greatest("b", "o")
+    bucket = [F.xxhash64(*key, low, high).alias("g1"), F.xxhash64(F.lit(seed), *key, low, high).alias("g2")]
+    met = met.select(*bucket, "t", (low != high).alias("apart"), "b", "c", "sketch").repartition("g1", "g2").sortWithinPartitions("g1", "g2")
+    near = cut(met.mapInArrow(bucket_survivors(threshold), "g1 long, g2 long, t int, apart boolean, b int, c string"), "near-vectors")
+    dealt = near.join(classes.select("c", "n", "v"), "c").select("g1", "g2", "t", "apart", "b", "c", "n", "v").repartition("g1", "g2").sortWithinPartitions("g1", "g2")
+    found = cut(dealt.mapInArrow(bucket_links(threshold, tables, bits, seed), "a string, b string, links long"), "vector-links")
     parts = connected_components(found.filter("b IS NOT NULL").select("a", "b"))
     counted = found.groupBy(F.col("a").alias("c")).agg(F.sum("links").alias("links"))
     joined = classes.select("c", "n", "first").join(parts.withColumnRenamed("node", "c"), "c", "left").join(counted, "c", "left")

@@ -75,3 +75,16 @@ def test_recall_of_pairs_at_the_threshold():
 
 def test_empty_table(spark):
     assert embeddings.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_recall_of_the_operator_at_the_threshold(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(800, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=x.shape)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.931 * x + np.sqrt(1 - 0.931**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    table = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate((x, y)))]
+    got = embeddings.near_vectors(spark.createDataFrame(table, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.component_id for r in got} <= set(range(800))  # no vector is linked with one that isn't its partner
+    assert sum(r.n_links for r in got) >= 0.995 * 1600
