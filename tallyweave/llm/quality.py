@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .common import byte_column, id_crc, slices
 
@@ -24,7 +25,9 @@ WORD_BITS = 14
 BINS = 16
 #: Structure statistics, each cut into ``BINS`` bins.
 STATISTICS = ("length", "words", "mean_word", "upper", "digits", "symbols", "lines", "repeated_lines", "repeated_words", "breaks", "non_ascii", "sentence_ends")
-FEATURES = (1 << WORD_BITS) + BINS * len(STATISTICS)
+#: Hashed values of metadata columns.
+META = 1 << 12
+FEATURES = (1 << WORD_BITS) + BINS * len(STATISTICS) + META
 #: Bytes of text in one vectorised step.
 CHUNK = 1_500_000
 
@@ -67,8 +70,8 @@ def _size_bins(n) -> np.ndarray:
     return np.minimum(np.log2(np.asarray(n) + 1.0), BINS - 1).astype(np.int64)
 
 
-def features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows of the texts raw[at[i]:at[i+1]]: (row, feature, value), by row."""
+def features(raw: np.ndarray, at: np.ndarray, meta: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse rows of the texts raw[at[i]:at[i+1]]: (row, feature, value), by row; ``meta`` has hashed metadata (texts x columns)."""
     docs = len(at) - 1
     padded = np.concatenate((raw, np.array([10], np.uint8)))
     edge = np.zeros(len(raw) + 1, bool)
@@ -114,6 +117,10 @@ def features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     row = np.concatenate((row, np.repeat(np.arange(docs), len(STATISTICS))))
     column = np.concatenate((column, bins.reshape(-1)))
     value = np.concatenate((value, np.ones(bins.size)))
+    if meta is not None and meta.size:
+        row = np.concatenate((row, np.repeat(np.arange(docs), meta.shape[1])))
+        column = np.concatenate((column, (meta + (FEATURES - META)).reshape(-1)))
+        value = np.concatenate((value, np.ones(meta.size)))
     order = np.argsort(row, kind="stable")
     return row[order], column[order], value[order].astype(np.float32)
 
@@ -176,71 +183,88 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, rank
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = 4000, keep_id=None, **options) -> FactorisationMachine:
+def metadata_bins(docs: DataFrame, columns: tuple[str, ...]):
+    """Metadata as hashed bins, an array<int> column: values as they are, numbers by sign and power of two; a null is a value of its own."""
+    bins = []
+    for name in columns:
+        value = F.col(name)
+        if isinstance(docs.schema[name].dataType, NumericType):
+            value = F.concat(F.signum(value).cast("int").cast("string"), F.lit(":"), F.floor(F.log2(F.abs(value.cast("double")) + 1)).cast("string"))
+        bins.append(F.pmod(F.xxhash64(F.lit(name), F.coalesce(value.cast("string"), F.lit(""))), F.lit(META)).cast("int"))
+    return F.array(*bins) if bins else F.array().cast("array<int>")
+
+
+def _chunks(texts, meta):
+    """Runs of texts of bounded size: ((bytes, offsets, metadata), range of rows)."""
+    raw, at = byte_column(texts)
+    if isinstance(meta, pa.ChunkedArray):
+        meta = meta.combine_chunks()
+    bins = np.asarray(meta.flatten()).reshape(len(texts), -1) if len(texts) else np.zeros((0, 0), np.int64)
+    for a, b in slices(np.diff(at).tolist(), CHUNK):
+        yield (raw[at[a] : at[b]], at[a : b + 1] - at[a], bins[a:b].astype(np.int64)), slice(a, b)
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", metadata: tuple[str, ...] = (), max_docs: int = 4000, keep_id=None, **options) -> FactorisationMachine:
     """Train on at most ``max_docs`` labelled documents, those of least id hash among the ids that ``keep_id`` admits.
 
-    Features are computed on the executors; the driver receives the sparse rows
-    of that bounded sample only.  A null label or id is no label; of several
-    labels for one id the largest counts.
+    Features are computed where the texts are; sparse rows alone are ordered and
+    reach the driver, those of that bounded sample only.  A null label or id is
+    no label; of several labels for one id the largest counts.
     """
-    marks = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label"))
+    marks = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     if keep_id is not None:
-        marks = marks.filter(keep_id(F.col("__id")))
-    chosen = marks.groupBy("__id").agg(F.max("__label").alias("__label")).orderBy(F.xxhash64("__id"), "__id").limit(max_docs)
-    # the ids are chosen before any text moves; only the texts of repeated ids could exceed the bound
-    sample = (
-        docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary").alias("__text"))
-        .join(F.broadcast(chosen), "__id")
-        .orderBy(F.xxhash64("__id"), "__id", F.xxhash64("__text"))
-        .limit(max_docs)
-    )
+        marks = marks.filter(keep_id(F.col("id")))
+    # the ids are chosen before any text is read: a bounded table
+    chosen = marks.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_docs)
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), metadata_bins(docs, metadata).alias("meta")).join(F.broadcast(chosen), "id")
+    sample = sample.select("text", "meta", "label", F.xxhash64("id").alias("h"), F.xxhash64("text").alias("k"))
 
     def vectors(batches):
         for got in batches:
-            for texts, columns in _chunks(got.column(0)):
+            for texts, columns in _chunks(got.column(0), got.column(1)):
                 row, column, value = features(*texts)
-                first = np.searchsorted(row, np.arange(len(texts[1])))
+                first = np.append(np.searchsorted(row, np.arange(len(texts[1]) - 1)), len(row))
                 lists = lambda x, first=first: pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(x))
-                yield pa.RecordBatch.from_arrays([lists(column.astype(np.int32)), lists(value), got.column(1).slice(columns.start, columns.stop - columns.start)], ["column", "value", "label"])
+                rest = [got.column(i).slice(columns.start, columns.stop - columns.start) for i in (2, 3, 4)]
+                yield pa.RecordBatch.from_arrays([lists(column.astype(np.int32)), lists(value), *rest], ["column", "value", "label", "h", "k"])
 
-    got = sample.select("__text", "__label").mapInArrow(vectors, "column array<int>, value array<float>, label int").toArrow()
+    sparse = sample.mapInArrow(vectors, "column array<int>, value array<float>, label int, h long, k long")
+    # only the rows of repeated ids could exceed the bound
+    got = sparse.orderBy("h", "k").limit(max_docs).select("column", "value", "label").toArrow()
     rows = [(np.asarray(c.values), np.asarray(v.values)) for c, v in zip(got.column("column"), got.column("value"), strict=True)]
     return train(rows, np.asarray(got.column("label"), dtype=np.float32), **options)
 
 
-def _chunks(column):
-    """Runs of texts of bounded size: ((bytes, offsets), range of rows)."""
-    raw, at = byte_column(column)
-    for a, b in slices(np.diff(at).tolist(), CHUNK):
-        yield (raw[at[a] : at[b]], at[a : b + 1] - at[a]), slice(a, b)
-
-
-def score(docs: DataFrame, model: FactorisationMachine, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+def score(docs: DataFrame, model: FactorisationMachine, *, text_col: str = "text", metadata: tuple[str, ...] = (), threshold: float = 0.3) -> DataFrame:
     """Add ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on).
 
-    Null and empty texts are scored by their (empty) structure; whole texts are
-    read; repeated rows score alike; an empty table gives an empty result;
-    existing columns of the two names are replaced.
+    ``metadata`` names the columns that the model was fitted with.  Null and
+    empty texts are scored by their (empty) structure and metadata; whole texts
+    are read, very long ones too, one at a time; repeated rows score alike; an
+    empty table gives an empty result; existing columns of the two names are
+    replaced, all others kept.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x (rank + 1) floats
 
     @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
+    def of(texts: pd.Series, meta: pd.Series) -> pd.Series:
         found = [np.zeros(0)]
-        for chunk, _ in _chunks(pa.array(texts, pa.binary())):
+        bins = pa.array(list(meta), pa.list_(pa.int32()))
+        for chunk, _ in _chunks(pa.array(texts, pa.binary()), bins):
             found.append(shared.value.scores(*features(*chunk), len(chunk[1]) - 1))
         return pd.Series(np.concatenate(found))
 
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    scored = docs.select(*kept, of.asNondeterministic()(F.col(text_col).cast("binary")).alias("score"))
+    scored = docs.select(*kept, of.asNondeterministic()(F.col(text_col).cast("binary"), metadata_bins(docs, metadata)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def fit_and_score(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **options) -> DataFrame:
+def fit_and_score(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = (), threshold: float = 0.3, **options) -> DataFrame:
     """Learn from documents whose id's CRC-32 mod ``folds`` isn't ``held_out``; score all.
 
+    ``metadata`` names columns of ``docs`` that are features beside the text.
     Returns the columns of ``docs`` plus ``held_out``, ``score``, ``predicted``.
     """
     apart = lambda x: id_crc(x) % folds == held_out
-    model = fit(docs, labels, id_col=id_col, text_col=text_col, keep_id=lambda x: ~apart(x), **options)
-    return score(docs.withColumn("held_out", apart(F.col(id_col))), model, text_col=text_col, threshold=threshold)
+    model = fit(docs, labels, id_col=id_col, text_col=text_col, metadata=metadata, keep_id=lambda x: ~apart(x), **options)
+    return score(docs.withColumn("held_out", apart(F.col(id_col))), model, text_col=text_col, metadata=metadata, threshold=threshold)

@@ -73,8 +73,8 @@ def op10_language_id(spark, sf_dir):
 
 @query
 def op8_quality(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return fit_and_score(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    return fit_and_score(docs, table(spark, sf_dir, "labels"), metadata=("n_chars",)).select("doc_id", "held_out", "score", "predicted")
 
 
 @query
