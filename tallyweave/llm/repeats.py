@@ -268,7 +268,7 @@ def maximal_repeats(members: list[tuple[bytes, bytes, int]], width: int):
 
 
 SURROUNDING = "h long, heavy boolean, lo int, hi int, before binary, after binary, times int, r1 long, r2 long, a int"
-PART = "key binary, lo int, hi int, before binary, after binary, times int, r1 long, r2 long, a int"
+PART = "key binary, whole binary, lo int, hi int, before binary, after binary, times int, r1 long, r2 long, a int"
 
 
 def rows_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -301,7 +301,11 @@ def surroundings(width: int):
 
 
 def narrower(width: int):
-    """Tasks over surroundings: a row for each part of the places lo to hi, with what all strings at these places share as a key."""
+    """Tasks over surroundings: a row for each part of the places lo to hi, cut to what strings at these places can reach.
+
+    ``key`` names what all these strings share, ``whole`` the surroundings that are left.
+    """
+    name = lambda *parts: hashlib.blake2b(b"".join(parts), digest_size=16).digest()
 
     def run(batches):
         for batch in batches:
@@ -311,8 +315,9 @@ def narrower(width: int):
                 for first in range(lo, hi + 1, step):
                     last = min(first + step - 1, hi)
                     if len(before) >= first and len(after) >= width - last:
-                        shared = before[:first][::-1] + after[: width - last]
-                        rows.append((hashlib.blake2b(shared, digest_size=16).digest(), first, last, before, after, *more))
+                        x, y = before[:last], after[: width - first]
+                        key, whole = name(x[:first][::-1], y[: width - last]), name(len(x).to_bytes(4), x[::-1], y)
+                        rows.append((key, whole, first, last, x, y, *more))
                 if len(rows) >= 20_000:
                     yield rows_batch(rows, PART)
                     rows = []
@@ -353,15 +358,17 @@ def interval_spans(width: int, keys: int):
     return run
 
 
-def with_heavy(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, bool]:
+def with_heavy(rows: DataFrame, keys: list[str], counts: DataFrame | None = None) -> tuple[DataFrame, bool]:
     """Add ``heavy``, true for the rows of classes of more than ``CLASS_ROWS``, and say whether there are any.
 
-    Classes are counted before the shuffle; the few large ones are met in
-    ``SALTS`` parts, so none gathers in a task.
+    Classes are counted before the shuffle (or in ``counts``, with their size as
+    ``m``); the few large ones are met in ``SALTS`` parts, so none gathers in a task.
     """
     from .common import cut
 
-    large = rows.groupBy(*keys).agg(F.count("*").alias("m")).filter(F.col("m") > CLASS_ROWS)
+    if counts is None:
+        counts = rows.groupBy(*keys).agg(F.count("*").alias("m"))
+    large = counts.filter(F.col("m") > CLASS_ROWS)
     large = cut(large.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("heavy")), "large-classes")
     if large.isEmpty():
         return rows.withColumn("heavy", F.lit(None).cast("boolean")), False
@@ -400,15 +407,18 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     while some:  # split the large classes until each has one place, and so one string
         places = -(-places // SPLIT)
         each = cut(around.filter("heavy").mapInArrow(narrower(width), PART), "class-parts")
-        around, some = with_heavy(each, ["key", "lo"])
-        if places > 1:
-            around = cut(around, "class-parts")
-            parts.append(class_spans(around.filter("heavy IS NULL"), ["key", "lo"], width))
-        else:
-            often = around.filter("heavy IS NULL").groupBy("key", "lo").agg(F.sum("times").alias("n")).filter("n > 1")
-            repeated = around.filter("heavy IS NULL").join(often, ["key", "lo"], "left_semi").unionByName(around.filter("heavy"))
-            parts.append(repeated.select("r1", "r2", (F.col("a") - F.col("lo")).alias("a"), (F.col("a") - F.col("lo") + width).alias("b")))
-            some = False
+        # equal surroundings are repeats as a whole, and one of them stands for all from here on
+        one = F.first(F.struct("key", "hi", "before", "after", "r1", "r2", "a")).alias("one")
+        kept = cut(each.groupBy("whole", "lo").agg(F.count("*").alias("m"), F.sum("times").cast("int").alias("times"), one), "class-parts")
+        told, _ = with_heavy(each, ["whole", "lo"], kept)
+        often = kept.filter((F.col("times") > 1) & (F.col("m") <= CLASS_ROWS)).select("whole", "lo")
+        told = told.filter("heavy").drop("heavy").unionByName(told.filter("heavy IS NULL").drop("heavy").join(often, ["whole", "lo"], "left_semi"))
+        parts.append(told.select("r1", "r2", (F.col("a") - F.octet_length("before")).alias("a"), (F.col("a") + F.octet_length("after")).alias("b")))
+        if places == 1:
+            break
+        around, some = with_heavy(kept.select("lo", "times", "one.*"), ["key", "lo"])
+        around = cut(around, "class-parts")
+        parts.append(class_spans(around.filter("heavy IS NULL"), ["key", "lo"], width))
     spans = found.filter(F.col("kind") == SPAN).select("r1", "r2", "a", "b")
     for part in parts:
         spans = spans.unionByName(part)
