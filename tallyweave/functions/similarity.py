@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -47,3 +50,142 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's ratio; the order of the arguments matters."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+#: Texts compared with each other in one task; more are dealt out as pairs of blocks.
+BLOCK = 2_000
+
+
+class LetterPlaces:
+    """Texts with the places of each letter as the bits of an integer, for texts of at most 64 characters."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        self.index = {c: k for k, c in enumerate(sorted({c for t in texts for c in t}))}
+        self.places = np.zeros((len(self.index) + 1, len(texts)), np.uint64)  # the last row is for letters that no text has
+        for i, t in enumerate(texts):
+            for j, c in enumerate(t[:64]):
+                self.places[self.index[c], i] |= np.uint64(1 << j)
+        self.windows = np.zeros((64, 64), np.uint64)  # place of the letter, reach
+        for r in range(64):
+            for i in range(64):
+                lo, hi = max(i - r, 0), min(i + r, 63)
+                self.windows[i, r] = ((1 << (hi - lo + 1)) - 1) << lo
+
+    def jaro_winkler(self, x: str, first: int, threshold: float) -> Iterator[tuple[int, float]]:
+        """Texts from number ``first`` on whose similarity with ``x`` reaches the threshold, as :func:`jaro_winkler_of` gives it."""
+        sizes = self.sizes[first:]
+        exact = (sizes > 64) if len(x) <= 64 else np.ones(len(sizes), bool)
+        for j in np.flatnonzero(exact).tolist():
+            found = jaro_winkler_of(x, self.texts[first + j])
+            if found >= threshold:
+                yield first + j, found
+        if len(x) > 64 or exact.all() or not x:
+            return
+        reach = np.clip(np.maximum(sizes, len(x)) // 2 - 1, 0, 63)
+        used, same = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.int64)
+        hits = []
+        for i, c in enumerate(x):
+            k = self.index.get(c, len(self.index))
+            free = self.places[k, first:] & self.windows[i].take(reach) & ~used
+            used |= free & (~free + np.uint64(1))
+            hits.append((k, free != 0))
+            same += hits[-1][1]
+        # nothing can be above this: all matches in order, four common first letters
+        jaro = np.where(same > 0, (same / len(x) + same / np.maximum(sizes, 1) + 1) / 3, 0)
+        some = np.flatnonzero(~exact & (jaro + 0.4 * (1 - jaro) >= threshold))
+        if not len(some):
+            return
+        rest, swapped = used[some], np.zeros(len(some), np.int64)
+        for k, hit in hits:
+            low = np.where(hit[some], rest & (~rest + np.uint64(1)), np.uint64(0))
+            swapped += hit[some] & ((self.places[k, first + some] & low) == 0)
+            rest ^= low
+        m, n = same[some], sizes[some]
+        jaro = (m / len(x) + m / n + (m - swapped // 2) / m) / 3.0
+        for j, value in zip((first + some).tolist(), jaro.tolist(), strict=True):
+            y = self.texts[j]
+            if x == y:
+                value = 1.0
+            else:
+                prefix = 0
+                while prefix < min(4, len(x), len(y)) and x[prefix] == y[prefix]:
+                    prefix += 1
+                value += prefix * 0.1 * (1.0 - value)
+            if value >= threshold:
+                yield j, value
+
+
+def common_letters(left: list[str], right: list[str]) -> np.ndarray:
+    """How many letters each two texts share, repeats counted (left x right): difflib's ratio can't count more."""
+    index = {c: k for k, c in enumerate(sorted({c for t in (*left, *right) for c in t}))}
+
+    def counts(texts):
+        table = np.zeros((len(texts), len(index)), np.int32)
+        for i, t in enumerate(texts):
+            np.add.at(table[i], [index[c] for c in t], 1)
+        return table
+
+    a, b = counts(left), counts(right)
+    return sum((np.minimum.outer(a[:, k], b[:, k]) for k in range(len(index))), np.zeros((len(left), len(right)), np.int32))
+
+
+def _blocks(count: int) -> int:
+    return max(1, -(-count // BLOCK))
+
+
+def jaro_winkler_pairs(texts: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (a < b) of the distinct texts in the first column whose Jaro-Winkler similarity reaches ``threshold``.
+
+    Texts are dealt into blocks of some ``BLOCK``, and a task compares two of
+    them, letter places as bits, a text against a block at a time: only pairs
+    that reach the threshold leave it. Every pair is compared, so the work is
+    quadratic in the number of distinct texts, as the definition is.
+    """
+    column = texts.columns[0]
+    blocks = _blocks(texts.count())
+    dealt = texts.select(F.col(column).alias("v"), F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int").alias("own"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("v", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("v", key=lambda c: c.map(str.encode))
+        own, table = group["own"].to_numpy(), LetterPlaces(group["v"].tolist())
+        found = [
+            (x, table.texts[j], value)
+            for i, x in enumerate(table.texts)
+            for j, value in table.jaro_winkler(x, i + 1, threshold)
+            if key[0] == key[1] or own[i] != own[j]
+        ]
+        return pd.DataFrame(found, columns=["a", "b", "similarity"])
+
+    return dealt.groupBy("lo", "hi").applyInPandas(compare, "a string, b string, similarity double")
+
+
+def ratio_pairs(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
+    """All pairs (target, entry) of texts of the two first columns whose difflib ratio reaches ``cutoff``.
+
+    Blocks of some ``BLOCK`` of each side meet in a task; pairs with too few
+    common letters for the cutoff are left out before difflib compares.
+    """
+    a, b = left.columns[0], right.columns[0]
+    rows, columns = _blocks(left.count()), _blocks(right.count())
+    side = lambda df, c, n: df.select(F.col(c).alias("v"), F.pmod(F.xxhash64(c), F.lit(n)).cast("int").alias("own"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    one = side(left, a, rows).select("v", F.col("own").alias("r"), every(columns).alias("c"))
+    two = side(right, b, columns).select("v", every(rows).alias("r"), F.col("own").alias("c"))
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        targets, entries = x["v"].tolist(), y["v"].tolist()
+        if not targets or not entries:
+            return pd.DataFrame({"target": [], "entry": [], "score": []})
+        most = 2.0 * common_letters(targets, entries) / np.maximum(np.add.outer([len(t) for t in targets], [len(e) for e in entries]), 1)
+        found = []
+        for i, j in np.argwhere(most >= cutoff).tolist():
+            score = SequenceMatcher(None, targets[i], entries[j]).ratio()
+            if score >= cutoff:
+                found.append((targets[i], entries[j], score))
+        return pd.DataFrame(found, columns=["target", "entry", "score"])
+
+    return one.groupBy("r", "c").cogroup(two.groupBy("r", "c")).applyInPandas(compare, "target string, entry string, score double")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.similarity import jaro_winkler
+from ..functions.similarity import jaro_winkler_pairs
 
 # The columns whose values belong to one entity.
 HANDLE_COLUMNS = ["facebook_page", "twitter_handle", "instagram_user", "youtube_channel_username", "tiktok_user", "wikidata_id", "imdb_id"]
@@ -69,28 +69,12 @@ def conflict_messages(df: DataFrame, conflicts: DataFrame, most: int = 20) -> Da
 
 
 def fuzzy_pairs(values: DataFrame, value_col: str, threshold: float = 0.85) -> DataFrame:
-    """Pairs (a < b) of distinct normalised texts with Jaro-Winkler similarity from ``threshold`` on.
+    """All pairs (a < b) of distinct texts with Jaro-Winkler similarity from ``threshold`` on.
 
-    Blocks: texts that share a token, their first three characters, or both the
-    first character and the sorted letters' first four.  A block's pairs are
-    compared once; the similarity runs on Arrow batches.  Tokens that occur in
-    very many texts make large blocks: they join by equality, so that skew is
-    split by adaptive execution.
+    Every two texts are compared, in blocks, so none is missed; nulls and empty texts have no pair.
     """
     v = values.select(F.col(value_col).alias("v")).filter("v IS NOT NULL AND v <> ''").distinct()
-    letters = F.array_join(F.slice(F.array_sort(F.split(F.regexp_replace("v", " ", ""), "")), 1, 4), "")
-    keys = F.array_distinct(F.concat(
-        F.transform(F.filter(F.split("v", " "), lambda w: F.length(w) > 1), lambda w: F.concat(F.lit("t:"), w)),
-        F.array(F.concat(F.lit("p:"), F.substring("v", 1, 3)), F.concat(F.lit("l:"), F.substring("v", 1, 1), letters)),
-    ))
-    blocked = v.select("v", F.explode(keys).alias("k"))
-    a, b = blocked.select(F.col("v").alias("a"), "k"), blocked.select(F.col("v").alias("b"), "k")
-    # similarity needs common letters: lengths that differ too much can't reach the threshold
-    longest = F.greatest(F.length("a"), F.length("b"))
-    shortest = F.least(F.length("a"), F.length("b"))
-    most = (2.0 + shortest / longest) / 3.0  # Jaro if all letters of the shorter match in order
-    pairs = a.join(b, "k").filter((F.col("a") < F.col("b")) & (most + 0.4 * (1 - most) >= threshold)).select("a", "b").distinct()
-    return pairs.withColumn("similarity", jaro_winkler("a", "b")).filter(F.col("similarity") >= threshold)
+    return jaro_winkler_pairs(v, threshold)
 
 
 def fuzzy_duplicates(df: DataFrame, column: str, threshold: float = 0.85, row_col: str = "row_id") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.similarity import sequence_ratio
+from ..functions.similarity import ratio_pairs, sequence_ratio
 
 # What stands for nothing in audited cells, and the years that dates may have.
 PLACEHOLDERS = ["-", "N/A", "#NA"]
@@ -173,17 +173,12 @@ def studio_type(names: Column) -> Column:
 def fuzzy_roster_match(names: DataFrame, roster: DataFrame, *, name_col: str = "name", roster_col: str = "name", cutoff: float = 0.85) -> DataFrame:
     """Each distinct name with its roster entry: equal in any case, else the most similar from ``cutoff`` on.
 
-    Only names without an equal entry are compared, and only with entries that
-    share a word or the first three letters and whose length allows the cutoff.
+    Names without an equal entry are compared with every entry, in blocks; of entries alike the last in code-point order counts.
     """
     n = names.select(F.lower(F.trim(name_col)).alias("target")).filter("target <> ''").distinct()
     r = roster.select(F.lower(F.trim(roster_col)).alias("entry")).filter("entry <> ''").distinct()
     exact = n.join(r, F.col("target") == F.col("entry")).select("target", "entry", F.lit(1.0).alias("score"))
-    keys = lambda c: F.array_distinct(F.concat(F.transform(T.tokens(F.col(c)), lambda w: F.concat(F.lit("w:"), w)), F.array(F.concat(F.lit("p:"), F.substring(c, 1, 3)))))
-    rest = n.join(exact.select("target"), "target", "left_anti").select("target", F.explode(keys("target")).alias("k"))
-    a, b = F.length("target"), F.length("entry")
-    pairs = rest.join(r.select("entry", F.explode(keys("entry")).alias("k")), "k").filter(2.0 * F.least(a, b) / (a + b) >= cutoff).select("target", "entry").distinct()
-    near = pairs.withColumn("score", sequence_ratio("target", "entry")).filter(F.col("score") >= cutoff)
+    near = ratio_pairs(n.join(exact.select("target"), "target", "left_anti"), r, cutoff)
     best = near.groupBy("target").agg(F.max_by(F.struct("entry", "score"), F.struct("score", "entry")).alias("b")).select("target", "b.entry", "b.score")
     return exact.unionByName(best).withColumn("score", F.round("score", 3))
 

@@ -37,18 +37,28 @@ def duplicate_conflicts(spark, sf_dir):
     return D.duplicate_conflicts(parts)
 
 
-@query("fuzzy_pairs", """
-WITH v AS (SELECT DISTINCT trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS v FROM part),
-k AS (SELECT v, unnest(list_distinct(list_concat(list_transform(list_filter(string_split(v, ' '), lambda w: len(w) > 1), lambda w: 't:' || w), ['p:' || substr(v, 1, 3)]))) AS k FROM v WHERE v <> '')
-SELECT DISTINCT a.v AS a, b.v AS b, round(jaro_winkler_similarity(a.v, b.v), 6) AS similarity FROM v a JOIN v b ON a.v < b.v WHERE jaro_winkler_similarity(a.v, b.v) >= 0.85
-AND (EXISTS (SELECT 1 FROM k x JOIN k y ON x.k = y.k WHERE x.v = a.v AND y.v = b.v) OR (substr(a.v, 1, 1) = substr(b.v, 1, 1) AND
-list_sort(string_split(replace(a.v, ' ', ''), ''))[1:4] = list_sort(string_split(replace(b.v, ' ', ''), ''))[1:4]))""")
+NORM = "trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query("fuzzy_pairs", f"""
+WITH v AS (SELECT DISTINCT {NORM} AS v FROM part)
+SELECT a.v AS a, b.v AS b, round(jaro_winkler_similarity(a.v, b.v), 6) AS similarity FROM v a JOIN v b ON a.v < b.v WHERE a.v <> '' AND jaro_winkler_similarity(a.v, b.v) >= 0.85""")
 def fuzzy_pairs(spark, sf_dir):
     names = table(spark, sf_dir, "part").select(T.norm_lookup(F.col("p_name")).alias("v"))
     return D.fuzzy_pairs(names, "v", 0.85).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("fuzzy_groups")
+# the greedy pass, a text at a time: it joins the earliest leader that is similar, or leads
+@query("fuzzy_groups", f"""
+WITH RECURSIVE v AS (SELECT {NORM} AS v, min(p_partkey) AS first FROM part GROUP BY 1 HAVING v <> ''),
+o AS (SELECT v, first, row_number() OVER (ORDER BY first) AS i FROM v),
+g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS leaders, CAST(NULL AS VARCHAR) AS v, CAST(NULL AS VARCHAR) AS leader
+UNION ALL SELECT s.i, CASE WHEN s.m IS NULL THEN list_append(s.leaders, s.v) ELSE s.leaders END, s.v, coalesce(s.m, s.v)
+FROM (SELECT o.i, o.v, g.leaders, list_filter(g.leaders, lambda l: jaro_winkler_similarity(least(l, o.v), greatest(l, o.v)) >= 0.85)[1] AS m FROM g JOIN o ON o.i = g.i + 1) s),
+n AS (SELECT g.v, g.leader, o.first AS group_row, round(jaro_winkler_similarity(least(g.v, g.leader), greatest(g.v, g.leader)), 12) AS s FROM g JOIN o ON g.leader = o.v),
+r AS (SELECT p_partkey AS row_id, group_row, s FROM part JOIN n ON n.v = {NORM}),
+b AS (SELECT group_row, max(s) FILTER (WHERE row_id <> group_row) AS s FROM r GROUP BY 1 HAVING count(*) > 1)
+SELECT row_id, group_row, round(b.s, 4) AS similarity FROM r JOIN b USING (group_row)""")
 def fuzzy_groups(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), "p_name")
     if not spark.sparkContext.getCheckpointDir():

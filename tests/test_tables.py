@@ -1,5 +1,8 @@
 """Duplicates, profiles, health, comparison, look-up."""
 
+import random
+from difflib import SequenceMatcher
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -158,3 +161,27 @@ def test_resolve_lists_keeps_order_and_unknown_ids(spark):
     rows = spark.createDataFrame([(1, "2, 462,1,2")], "r int, l string")
     names = spark.createDataFrame([("1", "one"), ("2", "two")], "id string, name string")
     assert L.resolve_lists(rows, names, row_id="r", list_col="l", id_col="id", name_col="name").first().names == "two; 462; one; two"
+
+
+def test_every_similar_pair_is_found(spark, monkeypatch):
+    from itertools import combinations
+
+    from tallyweave.functions import similarity as S
+
+    monkeypatch.setattr(S, "BLOCK", 40)
+    rng = random.Random(3)
+    stems = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 14))) for _ in range(25)]
+    names = {"catherine", "katherine", "a", "ab", "é", "x" * 70, "x" * 71, "y" + "x" * 70, "", *stems}
+    while len(names) < 160:
+        word = list(rng.choice(stems))
+        word[rng.randrange(len(word))] = rng.choice("abcdefgh ")
+        names.add("".join(word))
+    pairs = D.fuzzy_pairs(spark.createDataFrame([(n,) for n in names] * 2 + [(None,)], "v string"), "v", 0.85).collect()
+    want = {(a, b): S.jaro_winkler_of(a, b) for a, b in combinations(sorted(names - {""}), 2)}
+    assert {(r.a, r.b): round(r.similarity, 12) for r in pairs} == {k: round(v, 12) for k, v in want.items() if v >= 0.85}
+    assert ("catherine", "katherine") in {(r.a, r.b) for r in pairs} and len(pairs) == len({(r.a, r.b) for r in pairs})
+
+    targets, entries = sorted(names - {""})[:90], sorted(names - {""})[70:]
+    near = S.ratio_pairs(spark.createDataFrame([(n,) for n in targets], "t string"), spark.createDataFrame([(n,) for n in entries], "e string"), 0.85).collect()
+    want = {(a, b): SequenceMatcher(None, a, b).ratio() for a in targets for b in entries}
+    assert {(r.target, r.entry): r.score for r in near} == {k: v for k, v in want.items() if v >= 0.85}
