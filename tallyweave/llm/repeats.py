@@ -358,22 +358,31 @@ def interval_spans(width: int, keys: int):
     return run
 
 
-def with_heavy(rows: DataFrame, keys: list[str], counts: DataFrame | None = None) -> tuple[DataFrame, bool]:
-    """Add ``heavy``, true for the rows of classes of more than ``CLASS_ROWS``, and say whether there are any.
+def heavy_classes(rows: DataFrame, keys: list[str], counts: DataFrame | None = None) -> DataFrame | None:
+    """Classes of more than ``CLASS_ROWS`` rows, each in ``SALTS`` parts; None if there are none.
 
     Classes are counted before the shuffle (or in ``counts``, with their size as
-    ``m``); the few large ones are met in ``SALTS`` parts, so none gathers in a task.
+    ``m``), and their rows meet the few large ones in parts, so none gathers in a task.
     """
     from .common import cut
 
     if counts is None:
         counts = rows.groupBy(*keys).agg(F.count("*").alias("m"))
     large = counts.filter(F.col("m") > CLASS_ROWS)
-    large = cut(large.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("heavy")), "large-classes")
-    if large.isEmpty():
+    large = cut(large.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), "large-classes")
+    return None if large.isEmpty() else large
+
+
+def salted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.pmod("r1", F.lit(SALTS)).cast("int"))
+
+
+def with_heavy(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, bool]:
+    """Add ``heavy``, true for the rows of large classes and else null, and say whether there are any."""
+    large = heavy_classes(rows, keys)
+    if large is None:
         return rows.withColumn("heavy", F.lit(None).cast("boolean")), False
-    salted = rows.withColumn("salt", F.pmod("r1", F.lit(SALTS)).cast("int"))
-    return salted.join(large, [*keys, "salt"], "left").drop("salt"), True
+    return salted(rows).join(large.withColumn("heavy", F.lit(True)), [*keys, "salt"], "left").drop("salt"), True
 
 
 def class_spans(around: DataFrame, keys: list[str], width: int) -> DataFrame:
@@ -410,9 +419,11 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         # equal surroundings are repeats as a whole, and one of them stands for all from here on
         one = F.first(F.struct("key", "hi", "before", "after", "r1", "r2", "a")).alias("one")
         kept = cut(each.groupBy("whole", "lo").agg(F.count("*").alias("m"), F.sum("times").cast("int").alias("times"), one), "class-parts")
-        told, _ = with_heavy(each, ["whole", "lo"], kept)
         often = kept.filter((F.col("times") > 1) & (F.col("m") <= CLASS_ROWS)).select("whole", "lo")
-        told = told.filter("heavy").drop("heavy").unionByName(told.filter("heavy IS NULL").drop("heavy").join(often, ["whole", "lo"], "left_semi"))
+        told = each.join(often, ["whole", "lo"], "left_semi")
+        large = heavy_classes(each, ["whole", "lo"], kept)
+        if large is not None:
+            told = told.unionByName(salted(each).join(large, ["whole", "lo", "salt"], "left_semi").drop("salt"))
         parts.append(told.select("r1", "r2", (F.col("a") - F.octet_length("before")).alias("a"), (F.col("a") + F.octet_length("after")).alias("b")))
         if places == 1:
             break
