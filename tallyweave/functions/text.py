@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 EDGES = r"(?U)^\s+|\s+$"
 URL_FORM = (
@@ -220,3 +223,40 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
     """1 - distance / longer length; 1 for equal texts, 0 if one is empty."""
     longer = F.greatest(F.length(a), F.length(b))
     return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(1.0 - F.levenshtein(a, b) / longer)
+
+
+# What a bare reference may look like on each platform, and the address it stands for.
+REFERENCE_URLS = {
+    "facebook": (r".+", "https://www.facebook.com/", ""),
+    "twitter": (r"[A-Za-z0-9_]{1,15}", "https://x.com/", ""),
+    "instagram": (r"[A-Za-z0-9._]{1,30}", "https://www.instagram.com/", "/"),
+    "tiktok": (r"[A-Za-z0-9._]{1,50}", "https://www.tiktok.com/@", ""),
+    "wikidata": (r"Q\d+", "https://www.wikidata.org/wiki/", ""),
+}
+
+
+def reference_url(platform: str, value: Column) -> Column:
+    """The address that a handle, id or page name of a platform means; addresses stay, null where the form doesn't fit."""
+    v = text(value)
+    handle = F.regexp_replace(v, r"^[@/]+", "") if platform == "facebook" else F.regexp_replace(F.regexp_replace(v, "^@+", ""), r"^/+|/+\z", "")
+    if platform == "youtube":
+        channel = F.when(v.startswith("@"), F.concat(F.lit("https://www.youtube.com/"), F.regexp_replace(v, r"^/+|/+\z", "")))
+        made = channel.when(v.rlike(r"^[A-Za-z0-9._-]{1,100}\z"), F.concat(F.lit("https://www.youtube.com/@"), v))
+    elif platform == "wikipedia":
+        # a name in a path: spaces are underscores, and slashes stay
+        made = F.concat(F.lit("https://en.wikipedia.org/wiki/"), F.replace(F.replace(F.url_encode(F.replace(v, F.lit(" "), F.lit("_"))), F.lit("%2F"), F.lit("/")), F.lit("*"), F.lit("%2A")))
+    elif platform == "imdb":
+        made = F.when(v.rlike(r"^tt\d{7,}\z"), F.concat(F.lit("https://www.imdb.com/title/"), v, F.lit("/"))).when(v.rlike(r"^nm\d{7,}\z"), F.concat(F.lit("https://www.imdb.com/name/"), v, F.lit("/")))
+    elif platform in REFERENCE_URLS:
+        form, before, after = REFERENCE_URLS[platform]
+        bare = F.upper(v) if platform == "wikidata" else handle
+        made = F.when(bare.rlike(rf"^(?:{form})\z"), F.concat(F.lit(before), bare, F.lit(after)))
+    else:
+        raise ValueError(f"unknown platform: {platform}")
+    return F.when(v == "", None).when(F.lower(v).rlike("^https?://"), v).otherwise(made)
+
+
+@F.pandas_udf(StringType())
+def ascii_letters(texts: pd.Series) -> pd.Series:
+    """Text without accents (compatibility decomposition) and without what is not ASCII after that."""
+    return pd.Series([None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode() for t in texts], dtype=object)

@@ -228,3 +228,71 @@ def profile_pages(pages: DataFrame, *, page_id: str = "page_id", html: str = "ht
     field = lambda n: F.regexp_extract(F.coalesce(html, F.lit("")), rf'"{n}"\s*:\s*"((?:[^"\\]|\\.)*)"', 1)
     about = F.regexp_extract(F.coalesce(html, F.lit("")), r'(?is)<meta[^>]*property="og:description"[^>]*content="([^"]*)"', 1)
     return pages.select(page_id, field("category_name").alias("category_name"), field("business_category_name").alias("business_category"), field("biography").alias("biography"), unescape(about).alias("description"))
+
+
+# Lines of a programme's classification.
+PRIME_TIME, OTHER_TIME = "Daypart - Prime Time (8:00pm-11:00pm (M-Sat) / 7:00pm-11:00pm (Sun))", "Daypart - Other"
+PROGRAM_TYPES = [("movie", "Program Type - Movie"), ("limited series", "Program Type - Mini-Series"), ("new series", "Program Type - Series")]
+OTHER_PROGRAM = "Program Type - Other"
+ENGLISH, OTHER_LANGUAGE = "Language Type - English", "Language Type - Other"
+FOREIGN = ["foreign", "international"]
+GENRE_NAMES = {"Sci-Fi": "Sci Fi", "Rom-Com": "Rom Com"}
+TWO_GENRES = ["action-adventure", "action adventure"]
+
+
+def daypart(text: Column) -> Column:
+    """Prime time if any time of day in the text is from 7 to before 11 in the evening."""
+    times = F.regexp_extract_all(text, F.lit(r"(?i)\b((?:1[0-2]|[1-9])(?::\d{2})?\s*[ap])\b"), F.lit(1))
+    evening = lambda t: F.lower(t).endswith("p") & F.regexp_extract(t, r"^(\d+)", 1).try_cast("int").between(7, 10)
+    return F.when(F.exists(times, evening), PRIME_TIME).otherwise(OTHER_TIME)
+
+
+def network_names(lines: Column) -> Column:
+    """Networks of a cell's lines, without air times, dates and marks, each once, joined by "; "."""
+    clean = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?i)^Streaming\s*\(([^)]+)\)\z", "$1"), r"(?is)\b(?:1[0-2]|[1-9])(?::\d{2})?\s*[ap]\b.*\z|\btbd\b|\s*\[\s*app/VOD only\s*\]\s*", "")
+    edges = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\s*\(\d{1,2}/\d{1,2}\)\s*\z", ""), r"(?U)\s+", " "), "^[ \\-/,\u00a0]+|[ \\-/,\u00a0]+\\z", "")
+    return F.array_join(F.array_distinct(F.filter(F.transform(lines, lambda x: edges(clean(x))), lambda x: x != "")), "; ")
+
+
+def tv_classification(pages: DataFrame, *, page_id: str = "page_id", body: str = "body", base_year: str = "base_year") -> DataFrame:
+    """Programmes of calendar pages with their classification, a row each.
+
+    h2 sets the year and h3 the date, as in :func:`premiere_items`; a table row
+    has the programme in its second cell and networks with air times in its
+    third. The first line under the title, up to a colon, has genres between
+    slashes: "foreign" or "international" there says the language.
+    """
+    blocks = page_blocks(pages, r"(?is)<h2[^>]*>.*?</h2>|<h3[^>]*>.*?</h3>|<tr[^>]*>.*?</tr>", page_id, body).join(pages.select(page_id, F.col(base_year).alias("page_year")), page_id)
+    kind = F.lower(F.substring("block", 1, 3))
+    year = F.regexp_extract("block", r"\b(20\d{2})\b", 1)
+    rows = blocks.withColumns({"heading": carried(F.when(kind == "<h3", plain_text(F.col("block"))), page_id), "own_year": carried(F.when((kind == "<h2") & (year != ""), year), page_id)}).filter(kind == "<tr")
+    cells = F.regexp_extract_all("block", F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1))
+    rows = rows.withColumn("cells", cells).filter(F.size("cells") >= 2).withColumns({"data": F.col("cells")[1], "network_cell": F.coalesce(F.try_element_at("cells", F.lit(3)), F.lit(""))})
+    rows = rows.withColumns({"lines": plain_text(F.col("data"), lines=True), "network_lines": plain_text(F.col("network_cell"), lines=True)})
+    code = F.replace(F.regexp_extract(F.col("cells")[0], r'(?is)<shortcode[^>]*api="([^"]*)"', 1), F.lit("&quot;"), F.lit('"'))
+    strong = plain_text(F.regexp_extract("data", r"(?is)<(?:strong|b|a)\b[^>]*>(.*?)</(?:strong|b|a)>", 1))
+    link = F.regexp_extract("data", r"(?is)<a [^>]*href=[\"']([^\"']+)[\"']", 1)
+    rows = rows.withColumns({
+        "title": F.coalesce(F.nullif(strong, F.lit("")), F.get_json_object(code, "$.title"), F.try_element_at("lines", F.lit(1)), F.lit("")),
+        "url": F.when(link.startswith("/"), F.concat(F.lit("https://www.metacritic.com"), link)).otherwise(link),
+        "month": F.regexp_extract(F.coalesce("heading", F.lit("")), DATE_IN_TEXT, 1), "day": F.regexp_extract(F.coalesce("heading", F.lit("")), DATE_IN_TEXT, 2),
+        "year": F.regexp_extract(F.coalesce("heading", F.lit("")), DATE_IN_TEXT, 3), "base_year": F.coalesce(F.col("own_year").cast("int"), F.col("page_year")),
+    }).filter("title <> ''")
+    # what a line says beside the title, trailers and price marks
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?i)\b(?:color\s+|b&w\s+)?trailer\b", ""), r"^\(\$\)\s*", "")
+    after = lambda x: F.when(F.lower(x).startswith(F.lower("title")), F.substring(x, F.length("title") + 1, F.length(x))).otherwise(x)
+    edges = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?U)\s+", " "), "^[ \\-:\u00a0]+|[ \\-:\u00a0]+\\z", "")
+    said = F.filter(F.transform("lines", lambda x: edges(F.substring_index(edges(after(bare(x))), ":", 1))), lambda x: (x != "") & (F.lower(x) != F.lower("title")))
+    parts = F.filter(F.transform(F.split(F.coalesce(F.try_element_at(said, F.lit(1)), F.lit("")), "/"), edges), lambda x: x != "")
+    names = F.create_map(*[F.lit(x) for pair in GENRE_NAMES.items() for x in pair])
+    genres = F.flatten(F.transform(F.filter(parts, lambda x: ~F.lower(x).isin(FOREIGN)), lambda x: F.when(F.lower(x).isin(TWO_GENRES), F.array(F.lit("Action"), F.lit("Adventure"))).otherwise(F.array(F.coalesce(F.try_element_at(names, x), x)))))
+    marks = F.transform(F.regexp_extract_all("data", F.lit(r'(?is)<img\b[^>]*\balt="([^"]*)"'), F.lit(1)), F.lower)
+    program = F.when(F.col("data").rlike(r'(?i)["/]movie/'), PROGRAM_TYPES[0][1])
+    for word, name in PROGRAM_TYPES:
+        program = program.when(F.array_join(marks, "\n").contains(word), name)
+    rows = rows.withColumns({
+        "network": network_names(F.col("network_lines")), "daypart": daypart(plain_text(F.col("network_cell"))), "program_type": program.otherwise(OTHER_PROGRAM),
+        "language_type": F.when(F.exists(parts, lambda x: F.lower(x).isin(FOREIGN)), OTHER_LANGUAGE).otherwise(ENGLISH), "genres": genres,
+    })
+    genre = lambda i: F.coalesce(F.try_element_at("genres", F.lit(i)), F.lit("")).alias(f"genre_{i}")
+    return rolled_dates(rows, page_id, "base_year").select(page_id, "pos", F.coalesce("release_date", F.lit("")).alias("release_date"), "title", "url", "network", "daypart", "program_type", "language_type", genre(1), genre(2), genre(3))

@@ -236,3 +236,23 @@ def fresh_reference(cached: DataFrame, live: DataFrame, key: str, now: Column, d
     stale_ok = F.col("c").isNotNull() & F.col("c.ok") & ~F.coalesce(F.col("n.ok"), F.lit(False))
     pick = F.when(fresh | stale_ok, F.col("c")).otherwise(F.coalesce("n", "c"))
     return c.join(n, key, "full_outer").select(key, pick.alias("r")).select(key, "r.*")
+
+
+def bulk_enrich(rows: DataFrame, titles: DataFrame, *, row_col: str, title: str, year: str, category: str, id_col: str, primary_norm: str, original_norm: str, kind_col: str, year_col: str, carry: dict[str, str]) -> DataFrame:
+    """Rows with the best match of their title: ``enriched_`` columns and ``enrich_status``.
+
+    The year is the first four digits of its column; the category says movie or
+    tv. ``carry`` maps enriched names to columns of ``titles``. Status: not_found,
+    matched, or multiple where the two best scores are equal. Matches are joined by row id.
+    """
+    kind = F.lower(F.coalesce(F.col(category).cast("string"), F.lit("")))
+    queries = rows.select(
+        F.col(row_col).alias("q"), T.norm_lookup(F.col(title)).alias("norm"), F.when(kind.contains("movie"), "movie").when(kind.contains("tv"), "tv").otherwise("any").alias("kind"),
+        F.regexp_extract(F.coalesce(F.col(year).cast("string"), F.lit("")), r"\b(\d{4})\b", 1).try_cast("int").alias("year"),
+    ).filter("norm <> ''")
+    found = scored_title_matches(queries, titles, query_id="q", query_norm="norm", want_kind="kind", want_year="year", id_col=id_col, primary_norm=primary_norm, original_norm=original_norm, kind_col=kind_col, year_col=year_col, most=2)
+    best = found.groupBy("q").agg(F.min_by(id_col, "match_rank").alias("id"), F.max("score").alias("score"), F.count_if(F.col("match_rank") == 2).alias("more"), F.min("score").alias("low"))
+    known = titles.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"enriched_{n}") for n, c in carry.items()])
+    status = F.when(F.col("id").isNull(), "not_found").when((F.col("more") > 0) & (F.col("low") == F.col("score")), "multiple").otherwise("matched")
+    joined = rows.join(best.withColumnRenamed("q", row_col), row_col, "left").join(known, "id", "left")
+    return joined.select(*rows.columns, F.col("id").alias("enriched_id"), *[f"enriched_{n}" for n in carry], status.alias("enrich_status"))

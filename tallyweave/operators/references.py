@@ -183,6 +183,27 @@ def fuzzy_roster_match(names: DataFrame, roster: DataFrame, *, name_col: str = "
     return exact.unionByName(best).withColumn("score", F.round("score", 3))
 
 
+def chart_new_entries(chart: DataFrame, roster: DataFrame, *, name: str = "name", last_week: str = "last_week", fill: tuple[str, ...] = (), cutoff: float = 0.85) -> DataFrame:
+    """New entries of a chart (last week "-" or blank) with their roster match.
+
+    Adds ``in_roster``, ``roster_match`` and ``score``; the columns ``fill`` are
+    taken from the roster where the chart has none. Of roster rows that are equal in any case the first by name counts.
+    """
+    new = chart.filter(F.trim(F.coalesce(F.col(last_week).cast("string"), F.lit(""))).isin("", "-", "\u2013", "\u2014", "NEW"))
+    target = F.lower(F.trim(name))
+    match = fuzzy_roster_match(new, roster, name_col=name, roster_col="name", cutoff=cutoff)
+    entry = roster.groupBy(F.lower(F.trim("name")).alias("entry")).agg(F.min(F.struct("name", *fill)).alias("r"))
+    joined = new.withColumn("target", target).join(match.join(entry, "entry"), "target", "left")
+    kept = [c for c in new.columns if c not in fill]
+    filled = [F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")) if c in new.columns else F.lit(None), F.col("r").getField(c)).alias(c) for c in fill]
+    return joined.select(*kept, *filled, F.col("r").isNotNull().alias("in_roster"), F.coalesce(F.col("r")["name"], F.lit("")).alias("roster_match"), F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def chart_totals(entries: DataFrame) -> DataFrame:
+    """How many new entries there are, and how many of them no roster has."""
+    return entries.agg(F.count("*").alias("new_entries"), F.count_if(~F.col("in_roster")).alias("not_in_roster"))
+
+
 def title_similarity(query: Column, candidate: Column) -> Column:
     """1.2 for equal titles; at least .9 if one holds the other; else .7 of the ratio and .3 of the word overlap."""
     plain = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "))

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, fields
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -247,9 +247,9 @@ def select_rules(rules: list[Rule], modes: set[str] = frozenset({"full"}), platf
 def validate(df: DataFrame, rules: list[Rule], *, modes: set[str] = frozenset({"full"}), platforms: set[str] | None = None, today: datetime.date | None = None, sheet: str = "sheet", row_col: str = "row_num", aliases: dict[str, str] | None = None, refs: dict[str, Callable[[DataFrame, Rule], DataFrame]] | None = None) -> DataFrame:
     """All issues of a table; rows without a filled cell are skipped.
 
-    Row checks share one projection and no shuffle.  ``unique`` rules share one
-    window: their normalised values are unpivoted, so a table is shuffled once
-    for all of them, blank values before that left out.  A rule for any sheet is
+    Row checks share one scan and no shuffle.  ``unique`` rules share one count of
+    values: they are unpivoted, counted map-side and met with those that occur
+    twice; blank values are left out before that.  A rule for any sheet is
     skipped where the sheet lacks its columns; a rule for this sheet fails.
     ``refs`` holds for reference checks a function (rows, rule) that returns
     (row_num, message, value) of failures; checks without one are skipped, as
@@ -287,14 +287,16 @@ def validate(df: DataFrame, rules: list[Rule], *, modes: set[str] = frozenset({"
         says = F.lit(rule.message) if rule.message and rule.check not in ("url_not_contains_if_present", "social_reference_format") else says
         checks.append(F.when(gate & ~passes, F.struct(F.lit(rule.column).alias("column"), name.alias("rule"), says.alias("message"), column.cast("string").alias("value"))))
     parts = joined
-    for i in range(0, len(checks), 20):  # arrays of some twenty checks stay within one generated method
-        found = F.filter(F.array(*checks[i : i + 20]), lambda x: x.isNotNull())
-        parts.append(active.select(F.col(row_col).cast("long").alias("row_num"), F.inline(found)))
+    if checks:
+        # one scan for all; arrays of some twenty checks stay within one generated method
+        found = [F.filter(F.array(*checks[i : i + 20]), lambda x: x.isNotNull()) for i in range(0, len(checks), 20)]
+        parts.append(active.select(F.col(row_col).cast("long").alias("row_num"), F.inline(F.concat(*found))))
     if unique:
         found = F.filter(F.array(*unique), lambda x: x.isNotNull())
         each = active.select(F.col(row_col).cast("long").alias("row_num"), F.inline(found))
-        times = F.count("*").over(Window.partitionBy("n", "key"))
-        parts.append(each.withColumn("times", times).filter("times > 1").select("row_num", "column", "rule", "message", "value"))
+        # counted map-side, so that a common value doesn't gather in a task
+        often = each.groupBy("n", "key").agg(F.count("*").alias("times")).filter("times > 1").select("n", "key")
+        parts.append(each.join(often, ["n", "key"], "left_semi").select("row_num", "column", "rule", "message", "value"))
     if not parts:
         raise ValueError("no rule applies")
     issues = reduce(DataFrame.unionByName, parts)

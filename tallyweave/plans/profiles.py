@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import duplicates as D
 from ..operators import profile as P
-from .common import table
+from .common import table, with_checkpoints
 from .registry import query
 
 
@@ -61,10 +61,7 @@ b AS (SELECT group_row, max(s) FILTER (WHERE row_id <> group_row) AS s FROM r GR
 SELECT row_id, group_row, round(b.s, 4) AS similarity FROM r JOIN b USING (group_row)""")
 def fuzzy_groups(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), "p_name")
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyweave-"))
+    with_checkpoints(spark)
     return D.fuzzy_duplicates(parts, "p_name", 0.85)
 
 

@@ -15,7 +15,7 @@ from ..operators import scoring as S
 from ..operators import tickets as K
 from ..sources import files
 from ..streaming import queries as Z
-from .common import table
+from .common import scratch_dir, table
 from .registry import query
 
 
@@ -274,20 +274,18 @@ def _is_folder(spark, path: str) -> bool:
 
 
 def _folder(spark) -> str:
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyweave-")
-    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/streams/{uuid.uuid4().hex}"
 
 
 @query("stream_activity_windows", """SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS events FROM events GROUP BY 1, 2""")
 def stream_activity_windows(spark, sf_dir):
     folder = _folder(spark)
     counts = Z.activity_windows(_stream(spark, sf_dir), at="ts", kind="event_type", length="1 day", late="60 days")
-    name = "w" + uuid.uuid4().hex
-    counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    # each batch is the whole result, and replaces the one before
+    sink = counts.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/out"))
+    sink.outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     start = F.expr("timestampadd(MICROSECOND, unix_micros(window_start), TIMESTAMP_NTZ '1970-01-01 00:00:00')")
-    return spark.table(name).select(start.alias("window_start"), "event_type", "events")
+    return spark.read.parquet(f"{folder}/out").select(start.alias("window_start"), "event_type", "events")
 
 
 @query("stream_validate", "SELECT event_id AS row_num, 'event_type' AS \"column\", 'kind' AS rule FROM events WHERE event_type NOT IN ('click', 'view') UNION ALL SELECT event_id, 'value', 'amount' FROM events WHERE NOT (value BETWEEN 1 AND 50)")

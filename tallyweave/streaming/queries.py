@@ -80,12 +80,19 @@ def run_available(stream: DataFrame, folder: str, mode: str = "append") -> None:
     stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
-def delta_stream(stream: DataFrame, folder: str, keys: list[str]) -> None:
-    """Per micro-batch: the last table with the batch's rows in place of those with equal keys, written as a new version."""
+def delta_stream(stream: DataFrame, folder: str, keys: list[str], order: list[str]) -> None:
+    """Per micro-batch: the last table with the batch's rows in place of those with equal keys, written as a new version.
+
+    Of a batch's rows with equal keys the last by the columns ``order`` (and then
+    by the other columns) counts. A version is a whole table: for tables
+    much larger than their batches, give the batches more time to gather.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.dropDuplicates(keys)
+        rest = [c for c in batch.columns if c not in keys and c not in order]
+        last = F.max_by(F.struct(*batch.columns), F.struct(*order, *rest)).alias("row")
+        rows = batch.groupBy(*keys).agg(last).select("row.*")
         if number:
             old = spark.read.parquet(f"{folder}/v{number - 1}")
             rows = old.join(rows.select(*keys), keys, "left_anti").unionByName(rows)

@@ -187,7 +187,7 @@ def test_streams(spark, tmp_path):
     assert sorted((r.key, r.occurrence) for r in spark.read.parquet(str(tmp_path / "u/out")).collect()) == [("a", 2), ("a", 3)]
     Z.run_available(Z.dedupe_stream(stream, keys=["k"], at="ts"), str(tmp_path / "d"))
     assert spark.read.parquet(str(tmp_path / "d/out")).count() == 2
-    Z.delta_stream(stream.drop("ts"), str(tmp_path / "delta"), ["k"])
+    Z.delta_stream(stream.drop("ts"), str(tmp_path / "delta"), ["k"], [c for c in stream.drop("ts").columns if c != "k"])
     assert spark.read.parquet(str(tmp_path / "delta/v0")).count() == 2
 
 
