@@ -2,8 +2,8 @@
 
 Audio becomes frames of energy in the twelve pitch classes.  Filters that
 compare areas of this image, read off an integral image, give two bits each,
-packed into one 32-bit integer per frame.  Recordings that share pairs of
-integers vote for an offset in a histogram; at the best offset the bit errors decide.
+packed into one 32-bit integer per frame.  Recordings that share integers, up to
+a bit, vote for offsets in a histogram; at these offsets the bit errors decide.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import io
 import wave
 from collections.abc import Callable
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .simhash import ball
 
 RATE = 4000
 FRAME = 1024
@@ -25,8 +27,6 @@ HOP = 500
 #: Frames that one integer looks at.
 SPAN = 16
 LOWEST, HIGHEST = 110.0, 1760.0
-#: Frames between the two integers that recordings must share to vote for an offset.
-GAP = 8
 #: Filter outputs are cut at these values into four levels, Gray-coded.
 LEVELS = (-0.15, 0.0, 0.15)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
@@ -128,7 +128,8 @@ def with_fingerprint(recordings: DataFrame, *, audio_col: str = "audio", decode:
 
     ``decode`` turns a value of ``audio_col`` (and of the columns ``more``) into
     samples at ``RATE``.  Null, undecodable and too short audio has no integers.
-    Integers of silent or unchanging frames are kept like any other.
+    Integers of silent or unchanging frames are kept like any other.  Repeated
+    rows get equal integers; an existing ``prints`` column is replaced; an empty table gives an empty result.
     """
 
     @F.pandas_udf("array<long>")
@@ -139,12 +140,12 @@ def with_fingerprint(recordings: DataFrame, *, audio_col: str = "audio", decode:
 
 
 def landmarks(prints: str) -> Column:
-    """Each integer with the one ``GAP`` frames later, as one long."""
-    count = F.greatest(F.size(prints) - GAP, F.lit(0))
-    return F.zip_with(F.slice(prints, 1, count), F.slice(prints, GAP + 1, count), lambda a, b: F.shiftleft(a, 32).bitwiseOR(b))
+    """Integers with their places, where a run of equal ones starts: silence and steady tones are one each."""
+    places = F.transform(prints, lambda x, i: F.struct(i.alias("at"), x.alias("word")))
+    return F.filter(places, lambda p: (p["at"] == 0) | (F.get(prints, p["at"] - 1) != p["word"]))
 
 
-def align(prints: DataFrame, is_query, *, id_col: str = "id", least_votes: int = 1, least_overlap: int = 16, max_error: float = 0.12) -> DataFrame:
+def align(prints: DataFrame, is_query, *, id_col: str = "id", least_votes: int = 1, least_overlap: int = 24, max_error: float = 0.15, flips: int = 1) -> DataFrame:
     """Align query recordings with all recordings by their integers.
 
     ``prints`` has an id and ``prints``; ``is_query`` is a condition on it.  One
@@ -153,13 +154,17 @@ def align(prints: DataFrame, is_query, *, id_col: str = "id", least_votes: int =
     query class that fits best ``best_query`` (its smallest query id), ``shift``
     (frames by which the query starts later in it), ``overlap`` and ``bit_error``.
 
-    Integers vote in pairs ``GAP`` frames apart, as a single one says too little.
-    Two classes are aligned at the offset with most shared pairs, at least
-    ``least_votes`` (of equal ones the smallest shift); they link if at least
+    An integer of a query votes for an offset with every integer of other
+    recordings that differs in at most ``flips`` bits.  A link without such a pair
+    is missed: of links up to an error of 0.15, one flip finds over 0.9, and of those up to
+    0.2 two flips do (sixteen times as many probes).  At each offset with
+    ``least_votes`` or more, classes link if at least
     ``least_overlap`` integers overlap there and at most ``max_error`` of their
-    bits differ.  Recordings with equal integers are compared once, as a class,
-    and an integer counts once per class and place.  Recordings without integers
-    align with none; null ids are never best; an empty table gives an empty result.
+    bits differ; the offset with least errors counts.  Recordings with equal integers are compared once, as a class,
+    and a run of equal integers votes by its start.  Recordings without integers
+    align with none; null ids are never best; repeated rows are recordings of
+    their own; very long recordings are aligned whole; other columns are not
+    read, whatever their names; an empty table gives an empty result.
     """
     rows = prints.select(F.col(id_col).alias("id"), "prints", is_query.alias("q"))
     name = F.concat(F.hex(F.xxhash64("prints")), F.lit("-"), F.hex(F.xxhash64(F.lit(1), "prints")))
@@ -168,15 +173,18 @@ def align(prints: DataFrame, is_query, *, id_col: str = "id", least_votes: int =
     classes = cut(classes, "print-classes")
     # votes per pair and offset; a class that is compared with itself needs none
     asked = classes.filter("queries > 0")
-    words = classes.select("c", F.posexplode(landmarks("prints")).alias("at", "word"))
-    sought = asked.select(F.col("c").alias("qc"), F.posexplode(landmarks("prints")).alias("q_at", "word"))
+    words = classes.select("c", F.inline(landmarks("prints")))
+    sought = asked.select(F.col("c").alias("qc"), F.inline(landmarks("prints")))
+    sought = sought.select("qc", F.col("at").alias("q_at"), F.explode(ball("word", 32, flips)).alias("word"))
     votes = words.join(sought, "word").filter("c <> qc").groupBy("c", "qc", (F.col("at") - F.col("q_at")).alias("shift")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("c", "qc").agg(F.max(F.struct("votes", -F.abs("shift"), -F.col("shift"))).alias("b")).select("c", "qc", F.col("b.votes").alias("votes"), (-F.col("b.col3")).alias("shift")).filter(F.col("votes") >= least_votes)
-    both = best.join(classes.select("c", F.col("prints").alias("x"), "class_id"), "c").join(asked.select(F.col("c").alias("qc"), F.col("prints").alias("y"), "queries", "query_id"), "qc")
+    voted = votes.filter(F.col("votes") >= least_votes)
+    both = voted.join(classes.select("c", F.col("prints").alias("x"), "class_id"), "c").join(asked.select(F.col("c").alias("qc"), F.col("prints").alias("y"), "queries", "query_id"), "qc")
     overlap = F.least(F.size("x"), F.size("y") + F.col("shift")) - F.greatest(F.lit(0), F.col("shift"))
     both = both.withColumn("overlap", overlap).filter(F.col("overlap") >= least_overlap)
     aligned = F.zip_with(F.slice("x", F.greatest(F.col("shift"), F.lit(0)) + 1, F.col("overlap")), F.slice("y", F.greatest(-F.col("shift"), F.lit(0)) + 1, F.col("overlap")), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
     both = both.withColumn("bit_error", F.aggregate(aligned, F.lit(0), lambda n, x: n + x) / (32.0 * F.col("overlap"))).filter(F.col("bit_error") <= max_error)
+    least = F.min(F.struct("bit_error", (-F.col("overlap")).alias("less"), F.abs("shift").alias("far"), "shift")).alias("b")
+    both = both.groupBy("c", "qc").agg(least, F.first("queries").alias("queries"), F.first("query_id").alias("query_id")).select("c", "qc", "b.shift", (-F.col("b.less")).alias("overlap"), "b.bit_error", "queries", "query_id")
     own = asked.select("c", F.col("c").alias("qc"), F.lit(0).alias("shift"), F.size("prints").alias("overlap"), F.lit(0.0).alias("bit_error"), "queries", "query_id")
     linked = both.select("c", "qc", "shift", "overlap", "bit_error", "queries", "query_id").unionByName(own)
     found = linked.groupBy("c").agg(
@@ -192,7 +200,7 @@ def align(prints: DataFrame, is_query, *, id_col: str = "id", least_votes: int =
 
 
 def melody(vector, number) -> np.ndarray:
-    """Audio of a vector: a low or a high note for each component.
+    """Audio of a vector: for each component one of twelve notes, by where it lies among normal numbers of the vector's size.
 
     The recording misses the first notes of the melody, how many its number says,
     so that recordings of like vectors start at different places.
@@ -201,8 +209,11 @@ def melody(vector, number) -> np.ndarray:
         return np.zeros(0, np.float32)
     v = np.array(vector, float)
     v = np.where(np.isfinite(v), v, 0.0)
-    notes = (v > 0).astype(int)[0 if number is None or number != number else 3 * (int(number) % 4) :]
-    return _NOTES[notes].reshape(-1)
+    v = v / max(np.abs(v).max(), 1e-300)
+    size = np.sqrt((v * v).mean())
+    notes = np.searchsorted(_EDGES, v / size if size else v)
+    return _NOTES[notes[0 if number is None or number != number else 3 * (int(number) % 4) :]].reshape(-1)
 
 
-_NOTES = np.sin(2 * np.pi * 440 * 2 ** (np.array([-4, 3]) / 12)[:, None] * np.arange(HOP) / RATE).astype(np.float32)
+_EDGES = [NormalDist().inv_cdf(k / 12) for k in range(1, 12)]
+_NOTES = np.sin(2 * np.pi * 220 * 2 ** (np.arange(12) / 12)[:, None] * np.arange(HOP) / RATE).astype(np.float32)

@@ -79,5 +79,51 @@ def test_alignment(spark):
             assert r.bit_error == min(errors)[0]
 
 
+def test_recall_of_distorted_recordings(spark):
+    rng = np.random.default_rng(9)
+    made = {}
+    for k in range(60):
+        x = tune(100 + k, 90)
+        start = int(rng.integers(0, 20 * audio.HOP))  # not at a frame
+        y = x[start : start + int(rng.integers(45, 70)) * audio.HOP]
+        y = y + rng.normal(0, [0.1, 0.3, 0.6, 1.0, 1.4][k % 5], len(y)) + 0.3 * (k % 4) / 3 * tune(500 + k, 90)[: len(y)]
+        made |= {50 * k: x, 50 * k + 1: y / abs(y).max()}
+    made |= {7: np.zeros(40_000), 8: np.zeros(30_000), 9: np.sin(np.arange(50_000) * 0.7), 50 * 60: np.zeros(35_000)}
+    prints = audio.with_fingerprint(spark.createDataFrame([(i, wav(s)) for i, s in made.items()], "id long, audio binary")).cache()
+    got = [{r.id: r for r in audio.align(prints, F.col("id") % 50 == 0, max_error=e, flips=n).collect()} for e, n in ((0.15, 1), (0.2, 2))]
+    ints = {r.id: np.array(r.prints, np.int64) for r in prints.collect()}
+    least = {}
+    for i, a in ints.items():
+        for q, b in ints.items():
+            if q % 50 == 0 and q != i:
+                for s in range(24 - len(b), len(a) - 23):
+                    u, v = a[max(s, 0) :], b[max(-s, 0) :]
+                    n = min(len(u), len(v))
+                    if n >= 24:
+                        least[i, q] = min(least.get((i, q), 1), np.bitwise_count(u[:n] ^ v[:n]).sum() / 32 / n)
+    for most, found in zip((0.15, 0.2), got):
+        links = {pair for pair, e in least.items() if e <= most}
+        assert len(links) > 25 and all(found[i].n_links <= sum(x == i for x, _ in links) for i in ints)
+        assert sum(r.n_links for r in found.values()) >= 0.9 * len(links)
+    assert {(50 * k + 1, 50 * k) for k in range(60) if k % 5 < 2} <= links  # the lighter distortions are links
+    prints.unpersist()
+
+
+def test_landmarks_start_runs(spark):
+    rows = spark.createDataFrame([(1, [5, 5, 5, 7, 7, 5])], "id int, prints array<long>")
+    got = rows.select(audio.landmarks("prints").alias("m")).first().m
+    assert [(m["at"], m.word) for m in got] == [(0, 5), (3, 7), (5, 5)]
+
+
+def test_melodies_tell_vectors_apart():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(2, 64))
+    near = x + rng.normal(0, 0.02, 64)
+    a, b, c = (audio.fingerprint(audio.chroma(audio.melody(v, 0))) for v in (x, near, y))
+    error = lambda u, v: np.bitwise_count(u ^ v).sum() / 32 / len(u)
+    assert error(a, b) < 0.12 and error(a, c) > 0.3
+    assert len(audio.melody(None, 1)) == len(audio.melody([], 1)) == 0 and len(audio.melody([0.0, np.nan], None)) == 2 * audio.HOP
+
+
 def test_empty_table(spark):
     assert audio.align(audio.with_fingerprint(spark.createDataFrame([], SCHEMA)), F.col("id") % 50 == 0).count() == 0
