@@ -145,7 +145,7 @@ def landmarks(prints: str) -> Column:
     return F.filter(places, lambda p: (p["at"] == 0) | (F.get(prints, p["at"] - 1) != p["word"]))
 
 
-def align(prints: DataFrame, is_query, *, id_col: str = "id", least_votes: int = 1, least_overlap: int = 24, max_error: float = 0.15, flips: int = 1) -> DataFrame:
+def align(prints: DataFrame, is_query, *, id_col: str = "id", least_votes: int = 1, least_overlap: int = 24, max_error: float = 0.14, flips: int = 1) -> DataFrame:
     """Align query recordings with all recordings by their integers.
 
     ``prints`` has an id and ``prints``; ``is_query`` is a condition on it.  One
@@ -156,7 +156,7 @@ def align(prints: DataFrame, is_query, *, id_col: str = "id", least_votes: int =
 
     An integer of a query votes for an offset with every integer of other
     recordings that differs in at most ``flips`` bits.  A link without such a pair
-    is missed: of links up to an error of 0.15, one flip finds over 0.9, and of those up to
+    is missed: of links up to an error of 0.14 one flip finds over 0.9, and of those up to
     0.2 two flips do (sixteen times as many probes).  At each offset with
     ``least_votes`` or more, classes link if at least
     ``least_overlap`` integers overlap there and at most ``max_error`` of their
