@@ -14,7 +14,7 @@ from .common import cut
 from .components import connected_components
 
 #: Vectors of one bucket compared in one task; a larger bucket is compared block by block.
-BLOCK = 2048
+BLOCK = 512
 #: Sign bits of a vector's sketch, in 64-bit words.
 SKETCH = 4
 
@@ -99,14 +99,13 @@ def bucket_survivors(threshold: float):
 
     def run(batches):
         for (g1, g2), (t, apart, b, c, sketch) in groups_of(batches, 5):
-            words = np.ascontiguousarray(sketch).view(np.uint64)
-            near = np.zeros(len(c), bool)
-            for i in range(len(c)):  # a row at a time, against those after it
-                other = np.bitwise_count(words[i + 1 :] ^ words[i]).sum(axis=1, dtype=np.int64) <= limit
-                if apart[0]:
-                    other &= b[i + 1 :] != b[i]
-                near[i] |= other.any()
-                near[i + 1 :] |= other
+            # signs as 1 and -1: a product counts equal bits less different ones
+            signs = np.unpackbits(np.ascontiguousarray(sketch).view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+            close = signs @ signs.T >= 64 * SKETCH - 2 * limit
+            if apart[0]:
+                close &= b[:, None] != b[None, :]
+            np.fill_diagonal(close, False)
+            near = close.any(axis=1)
             at = np.flatnonzero(near)
             if len(at):
                 n = len(at)
