@@ -16,10 +16,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, a single machine) a folder is made once
-    per session.
+    Where the setting is absent on a single machine (tests), a folder is made once
+    per session; on a cluster that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not path:
         path = getattr(spark, "_tallyweave_shared", None) or tempfile.mkdtemp(prefix="tallyweave-")
         spark._tallyweave_shared = path
@@ -38,6 +40,12 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_tables(spark: SparkSession) -> None:
+    """Delete all intermediate tables in the shared folder; results that were not written elsewhere are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def unused(docs: DataFrame, name: str) -> str:
     """``name``, with underscores after it until ``docs`` has no such column."""
     taken = {c.lower() for c in docs.columns}

@@ -12,8 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, unused
 
+#: Sources whose rows are broadcast; more are met by a shuffle, each in ``SALTS`` parts.
+MOST_SOURCES = 100_000
+SALTS = 64
 #: Hash bits of one histogram level and the number of levels; together 60 bits.
 LEVEL_BITS = 12
 LEVELS = 5
@@ -60,6 +63,20 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], cap: float) ->
     return table.select("source", "source_size", target.alias("target"))
 
 
+def join_sources(rows: DataFrame, source: Column, h: Column, table: DataFrame, name: str, few: bool, how: str = "inner") -> DataFrame:
+    """Rows with the row of their source in ``table`` (source in the column ``name``).
+
+    A table of few sources is broadcast; of many, every source is in ``SALTS``
+    parts, by hash, so that a source with most of the rows doesn't gather in a task.
+    """
+    if few:
+        return rows.join(F.broadcast(table), source.eqNullSafe(F.col(name)), how)
+    a, b = unused(rows, "salt_a"), unused(rows, "salt_b")
+    parts = table.withColumn(b, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = rows.withColumn(a, F.pmod(h, F.lit(SALTS)).cast("int")).join(parts, source.eqNullSafe(F.col(name)) & (F.col(a) == F.col(b)), how)
+    return met.drop(a, b)
+
+
 def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How many copies of each document the mix takes.
 
@@ -80,13 +97,14 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0)
         docs.select(F.col(source_col).cast("string").alias("source"), order_hash(F.col(id_col)).alias("h"), word_count(F.col(text_col)).alias("size")),
         "mix-sizes",
     )
-    limits = cut(mix_thresholds(slim, weights, cap), "mix-thresholds")
-    return apply_mix(docs, limits, id_col=id_col, text_col=text_col, source_col=source_col)
+    totals = cut(slim.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    few = totals.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES
+    limits = cut(mix_thresholds(slim, totals, weights, cap, few), "mix-thresholds")
+    return apply_mix(docs, limits, few, id_col=id_col, text_col=text_col, source_col=source_col)
 
 
-def mix_thresholds(slim: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
+def mix_thresholds(slim: DataFrame, totals: DataFrame, weights: tuple[float, ...], cap: float, few: bool) -> DataFrame:
     """One row per source: size, target, base copies, and the hash below which one more is taken."""
-    totals = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals, weights, cap).select(
         F.col("source").alias("s"), "source_size", "target",
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int").alias("base"),
@@ -94,8 +112,7 @@ def mix_thresholds(slim: DataFrame, weights: tuple[float, ...], cap: float) -> D
     bound = targets.select("s", "budget", F.lit(0).cast("long").alias("prefix"), F.lit(0.0).alias("below"), F.lit(0).cast("long").alias("inside"))
     for level in range(1, LEVELS + 1):
         shift = LEVEL_BITS * (LEVELS - level)
-        part = F.shiftright("h", shift + LEVEL_BITS) == F.col("prefix")
-        at = slim.filter("size > 0").join(F.broadcast(bound.drop("inside")), F.col("source").eqNullSafe(F.col("s")) & part)
+        at = join_sources(slim.filter("size > 0"), F.col("source"), F.col("h"), bound.drop("inside"), "s", few).filter(F.shiftright("h", shift + LEVEL_BITS) == F.col("prefix"))
         hist = at.groupBy("s", "budget", "below", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("inside"))
         run = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         below = F.col("below") + F.coalesce(F.sum("inside").over(run), F.lit(0))
@@ -106,17 +123,18 @@ def mix_thresholds(slim: DataFrame, weights: tuple[float, ...], cap: float) -> D
         )
     # a threshold is exclusive; the document at the boundary is taken if at least half of it fits
     last = bound.select(F.col("s").alias("b"), (F.col("prefix") + F.when(F.col("budget") - F.col("below") >= F.col("inside") / 2, 1).otherwise(0)).alias("threshold"))
-    return targets.join(F.broadcast(last), F.col("s").eqNullSafe(F.col("b")), "left").select("s", "source_size", "target", "base", F.coalesce("threshold", F.lit(0).cast("long")).alias("threshold"))
+    return targets.join(F.broadcast(last) if few else last, F.col("s").eqNullSafe(F.col("b")), "left").select("s", "source_size", "target", "base", F.coalesce("threshold", F.lit(0).cast("long")).alias("threshold"))
 
 
-def apply_mix(docs: DataFrame, limits: DataFrame, *, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """Filter by the thresholds: one row per source is broadcast, no document moves."""
+def apply_mix(docs: DataFrame, limits: DataFrame, few: bool, *, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """Filter by the thresholds: with few sources their rows are broadcast, and no document moves."""
     names = [c for c in docs.columns if c != "mix"]
-    limits = limits.select(*[F.col(c).alias(f"__mix_{c}") for c in limits.columns])
-    copies = F.col("__mix_base") + F.when(order_hash(F.col(id_col)) < F.col("__mix_threshold"), 1).otherwise(0)
-    joined = docs.join(F.broadcast(limits), F.col(source_col).cast("string").eqNullSafe(F.col("__mix_s")), "left")
-    size = word_count(F.col(text_col))
-    mix = F.struct(size.alias("size"), F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), copies.cast("int").alias("copies"), (size * copies).alias("taken"))
+    new = {c: unused(docs, f"mix_{c}") for c in limits.columns}
+    limits = limits.select(*[F.col(c).alias(n) for c, n in new.items()])
+    h, size = order_hash(F.col(id_col)), word_count(F.col(text_col))
+    joined = join_sources(docs, F.col(source_col).cast("string"), h, limits, new["s"], few, "left")
+    copies = F.col(new["base"]) + F.when(h < F.col(new["threshold"]), 1).otherwise(0)
+    mix = F.struct(size.alias("size"), F.col(new["source_size"]).alias("source_size"), F.col(new["target"]).alias("target"), copies.cast("int").alias("copies"), (size * copies).alias("taken"))
     return joined.withColumn("mix", mix).select(*names, "mix")
 
 

@@ -66,3 +66,10 @@ def test_single_source_and_empty(spark):
     check(spark, [(1, "a b c", "x"), (2, "d", "x")])
     check(spark, [(1, None, None)])
     assert mixing.mix_sources(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_many_sources_are_met_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 40))), rng.choice(["a", "b", "hot", "hot", "hot"]).item()) for i in range(120)]
+    check(spark, rows + [(500, "null source", None), (501, None, "a")])
