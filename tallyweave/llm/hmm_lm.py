@@ -272,6 +272,26 @@ def train(encoded: DataFrame, unigram: np.ndarray, *, states: int, parts: int, p
     return model
 
 
+#: A word with more than this share of all looked-up words meets its count by broadcast.
+HOT = 5_000
+#: Occurrences of one word that a task looks up in any case.
+FEW = 10_000
+
+
+def with_counts(rare: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """(rid, word, c) of the words that ``counts`` (word, c) has, of ``total`` words in ``rare``.
+
+    Words that occur very often, known or not, are fewer than ``HOT`` by their
+    number; these meet their counts by broadcast, so none gathers in a task.
+    """
+    limit = max(FEW, -(-total // HOT))
+    often = rare.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("word")
+    hot = often.join(counts.select("word", "c"), "word", "left").withColumn("hot", F.lit(True))
+    met = rare.join(F.broadcast(hot), "word", "left")
+    rest = met.filter("hot IS NULL").select("rid", "word").join(counts.select("word", "c"), "word")
+    return met.filter("hot AND c IS NOT NULL").select("rid", "word", "c").unionByName(rest)
+
+
 def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2, symbols: int = 4096, known: int = 200_000, states: int = 8, parts: int = 4, passes: int = 1, seed: int = 3) -> DataFrame:
     """Log10 probability of each whole text under a word HMM and under its unigram base.
 
@@ -280,7 +300,9 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Counts cover every training token.  The commonest ``known`` words (a fixed
     bound) are looked up in the tasks; the others are joined with the count
-    table, so no vocabulary is held whole anywhere.  Null and empty texts are
+    table, so no vocabulary is held whole anywhere.  Training restarts at every
+    ``SEGMENT``-th token of a text, so the start probabilities are also learned
+    within texts; scores run through whole texts, however long.  Null and empty texts are
     the end token alone; repeated rows count each and score alike; with no
     training row nothing is known and the base is 0; an empty table gives an
     empty result; other columns are not read.
@@ -306,7 +328,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     scored = encoded.select("codes", *kept).mapInArrow(forward, f"rid long, doc_id {id_type}, held_out boolean, n_tokens long, logs double, inner double, known long, model double")
     rare = encoded.select("rid", F.explode("other").alias("word"))
-    met = rare.join(words.filter(count_band() < vocab.least_band), "word")
+    met = with_counts(rare, words.filter(count_band() < vocab.least_band), encoded.agg(F.sum(F.size("other"))).first()[0] or 0)
     sums = met.groupBy("rid").agg(F.sum(F.log10(F.col("c") + 1)).alias("more"), F.count("*").alias("found"))
     whole = math.log10(vocab.tokens + vocab.distinct + 1)
     more = F.coalesce("more", F.lit(0.0))

@@ -57,7 +57,10 @@ def rows():
     return made + [(900, None, None), (901, "", None), (None, "The THE unseen-word-%s" % ("y" * 60), None), (3, texts[3], None), (902, ("y" * 60 + " of ") * 3000, None)]
 
 
-def test_scores(spark):
+@pytest.mark.parametrize("few", [10_000, 2])
+def test_scores(spark, monkeypatch, few):
+    monkeypatch.setattr(hmm_lm, "FEW", few)
+    monkeypatch.setattr(hmm_lm, "HOT", 100 if few == 2 else 5_000)
     table = rows()
     got = hmm_lm.score_texts(spark.createDataFrame(table, SCHEMA), symbols=8, known=20, states=2).collect()
     tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
