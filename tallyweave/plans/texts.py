@@ -12,6 +12,7 @@ from ..operators import changes as C
 from ..operators import extract as X
 from ..operators import history as H
 from ..operators import scoring as S
+from ..operators import taxonomy as Y
 from ..operators import tickets as K
 from ..sources import files
 from ..streaming import queries as Z
@@ -147,16 +148,31 @@ def ticket_decisions(spark, sf_dir):
     return K.apply_decisions(tickets, events).select("ticket_id", "status")
 
 
-def _class_sql() -> str:
-    cases = " ".join(f"WHEN regexp_matches(t, '\\b(?:{'|'.join(words)})\\b') THEN '{label}'" for label, words in K.PROFILE_CLASSES)
-    return f"WITH d AS (SELECT c_custkey, lower(c_name || ' ' || CASE c_custkey % 6 WHEN 0 THEN 'singer' WHEN 1 THEN 'burger place' WHEN 2 THEN 'she is an actress' WHEN 3 THEN 'big bank' ELSE c_mktsegment END) AS t FROM customer) SELECT c_custkey, CASE {cases} END AS category FROM d"
-
-
-@query("classify_profiles", _class_sql())
+@query("classify_profiles", r"""
+WITH p AS (SELECT * FROM (VALUES (0, 'Talent', 'Gender - Woman|Talent Subtype - Musician - Rapper|Talent Type - Musician'), (1, 'Restaurants', 'Restaurant Category - Coffee|Restaurant Type - Fast Casual'),
+(2, 'Talent', 'Gender - Woman|Talent Subtype - Actress|Talent Type - Actress'), (3, NULL, ''), (4, 'Talent', 'Gender - Man|Talent Subtype - Athlete - Cricket|Talent Type - Athlete'), (5, 'Fashion', 'Shoes'),
+(6, 'Breweries', 'Beverage Type - Beer'), (7, 'Video Game Publishers', ''), (8, 'TV Network', 'Region - NA|Location: Country - United States'), (9, 'Talent', 'Gender - UNVERIFIED|Talent Subtype - Internet Personality - Influencer|Talent Type - Internet Personality'),
+(10, 'Travel', 'Travel Type - Cruise Lines'), (11, 'Retail', 'Retail Type - Retailer')) t(m, category, s))
+SELECT c_custkey, category, replace(s, '|', chr(10)) AS sub_category FROM customer JOIN p ON c_custkey % 12 = m""")
 def classify_profiles(spark, sf_dir):
-    m = F.col("c_custkey") % 6
-    about = F.when(m == 0, "singer").when(m == 1, "burger place").when(m == 2, "she is an actress").when(m == 3, "big bank").otherwise(F.col("c_mktsegment"))
-    return K.classify_profiles(table(spark, sf_dir, "customer").withColumn("about", about), ["c_name", "about"]).select("c_custkey", "category")
+    about = ["Rapper and dancer, she/her", "A COFFEE place", "actress", "Bank of numbers", "his cricket player page", "running shoe maker", "craft beer", "video game developer", "Official TV network", "public figure", "cruise line", "corner shop"]
+    m = (F.col("c_custkey") % 12 + 1).cast("int")
+    rows = table(spark, sf_dir, "customer").withColumn("about", F.element_at(F.array(*[F.lit(a) for a in about]), m))
+    return Y.classify_profiles(rows, ["about"]).select("c_custkey", "category", "sub_category")
+
+
+@query("classify_reference", r"""
+WITH p AS (SELECT * FROM (VALUES (0, 'Talent', 'Gender - Woman|Talent Subtype - Musician - Singer|Talent Type - Musician'), (1, 'Movies', 'Release Year - 1999|Studio - Major'), (2, 'Talent', 'Gender - Man|Talent Subtype - Athlete - Tennis|Talent Type - Athlete'),
+(3, 'CPG', ''), (4, 'Breweries', 'Beverage Type - Beer'), (5, 'TV Shows', 'Program Type - Series|Program Type - Reality TV'), (6, 'Talent', 'Gender - Non-Binary|Talent Subtype - Actor|Talent Type - Actor'), (7, 'Retail', 'Retail Type - Retailer')) t(m, category, s))
+SELECT s_suppkey, category, replace(s, '|', chr(10)) AS sub_category FROM supplier JOIN p ON s_suppkey % 8 = m""")
+def classify_reference(spark, sf_dir):
+    given = [
+        ("a", "", [], {"P31": ["Q5"], "P21": ["Q6581072"], "P106": ["Q177220"]}), ("b", "A 1999 Disney feature.", ["1999 films"], {}), ("c", "He is a pro.", ["1990 births"], {"P641": ["Q1914"], "P106": ["Q10833314"]}), ("d", "A thing", [], {}),
+        ("e", "Makes beer", ["Breweries of the north"], {}), ("f", "A reality television series", [], {}), ("g", "", ["Living people"], {"P21": ["Q189125"], "P106": ["Q33999"]}), ("h", "", ["Supermarkets of the south"], {}),
+    ]
+    kinds = spark.createDataFrame([(i, *g) for i, g in enumerate(given)], "m long, title string, extract string, categories array<string>, claims map<string,array<string>>")
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 8).cast("long").alias("m")).join(F.broadcast(kinds), "m")
+    return Y.classify_reference(rows).select("s_suppkey", "category", "sub_category")
 
 
 @query("align_taxonomy", """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment WHEN c_custkey % 3 = 1 THEN 'AUTOMOBILE' ELSE 'Other' END AS aligned FROM customer""")

@@ -15,20 +15,21 @@ from tallyweave.operators import extract as X
 from tallyweave.operators import history as H
 from tallyweave.operators import references as R
 from tallyweave.operators import scoring as S
+from tallyweave.operators import taxonomy as Y
 from tallyweave.operators import tickets as K
 from tallyweave.sources import files
 from tallyweave.streaming import queries as Z
 
 
 def test_entity_scores_prefer_the_trusted_exact_match(spark):
-    rows = [("Avatar", "Avatar", "film", "en.wikipedia.org", 8.0), ("Avatar", "Avatar Fan Zone", "fans", "x.com", 8.0), ("Avatar", "Other", "", "x.com", 8.0)]
+    rows = [("Meridian", "Meridian", "film", "en.wikipedia.org", 8.0), ("Meridian", "Meridian Fan Zone", "fans", "x.com", 8.0), ("Meridian", "Other", "", "x.com", 8.0)]
     got = S.score_entities(spark.createDataFrame(rows, "name string, label string, description string, source_domain string, score double")).orderBy(F.desc("score")).collect()
-    assert [(r.label, r.score) for r in got] == [("Avatar", 68.0), ("Avatar Fan Zone", 38.0), ("Other", -21.5)]
+    assert [(r.label, r.score) for r in got] == [("Meridian", 68.0), ("Meridian Fan Zone", 38.0), ("Other", -21.5)]
 
 
 def test_profile_scores(spark):
     schema = "name string, canonical_name string, source_domain string, display_name string, title string, snippet string, handle string, account_labels array<string>, negative_hints array<string>"
-    rows = [("Nintendo", "Nintendo", "en.wikipedia.org", "Nintendo", "Nintendo", "Official channel", "nintendo", ["official"], []), ("Nintendo", "Nintendo", "en.wikipedia.org", "Nintendo Fan", "Nintendo Fan", "unofficial", "nfan", [], ["fan", "unofficial"])]
+    rows = [("Quillworks", "Quillworks", "en.wikipedia.org", "Quillworks", "Quillworks", "Official channel", "quillworks", ["official"], []), ("Quillworks", "Quillworks", "en.wikipedia.org", "Quillworks Fan", "Quillworks Fan", "unofficial", "qfan", [], ["fan", "unofficial"])]
     got = S.score_profiles(spark.createDataFrame(rows, schema)).collect()
     assert got[0].score >= 60 and got[0].status == "found" and got[1].status == "not_found"
 
@@ -36,14 +37,14 @@ def test_profile_scores(spark):
 def test_title_pages(spark):
     schema = "q int, query_title string, title_type string, year int, site string, url string, page_title string, snippet string, position int"
     rows = [
-        (1, "Faces of Death", "movie", 2026, "imdb", "https://www.imdb.com/title/tt0000002/reviews", "Faces of Death (2026) - IMDb", "2026 film", 2),
-        (1, "Faces of Death", "movie", 2026, "imdb", "https://m.imdb.com/title/tt0000001/", "Faces of Death (1978) - IMDb", "1978 film", 1),
-        (1, "Faces of Death", "movie", 2026, "metacritic", "https://www.metacritic.com/movie/faces-of-death/details/", "Faces of Death Details - Metacritic", "2026", 1),
-        (1, "Faces of Death", "movie", 2026, "wikipedia", "https://de.wikipedia.org/wiki/X", "X", "", 1),
+        (1, "Night of Glass", "movie", 2026, "imdb", "https://www.imdb.com/title/tt0000002/reviews", "Night of Glass (2026) - IMDb", "2026 film", 2),
+        (1, "Night of Glass", "movie", 2026, "imdb", "https://m.imdb.com/title/tt0000001/", "Night of Glass (1978) - IMDb", "1978 film", 1),
+        (1, "Night of Glass", "movie", 2026, "metacritic", "https://www.metacritic.com/movie/night-of-glass/details/", "Night of Glass Details - Metacritic", "2026", 1),
+        (1, "Night of Glass", "movie", 2026, "wikipedia", "https://de.wikipedia.org/wiki/X", "X", "", 1),
     ]
     got = S.score_title_pages(spark.createDataFrame(rows, schema), query_id="q").collect()
     best = {r.site: r.page_url for r in got if r.rank == 1}
-    assert best == {"imdb": "https://imdb.com/title/tt0000002", "metacritic": "https://metacritic.com/movie/faces-of-death"}
+    assert best == {"imdb": "https://imdb.com/title/tt0000002", "metacritic": "https://metacritic.com/movie/night-of-glass"}
 
 
 def test_profile_candidates_and_links(spark):
@@ -62,13 +63,14 @@ def test_social_hits_are_replaced_by_a_better_band_only(spark):
 
 
 def test_premiere_pages(spark):
-    body = """<h3>MON / April 20</h3><table><tr><td><shortcode api="{&quot;metaScore&quot;:64,&quot;title&quot;:&quot;Tow&quot;}"></shortcode></td><td><a href="https://www.metacritic.com/movie/tow/">Tow</a><br>(Roadside)<br>Drama</td><td>RENT/BUY</td></tr>
-    <tr><td></td><td><a href="/movie/bonus/">Bonus Feature</a><br>(Studio)<br>Comedy</td><td>Special Event</td></tr></table><h2>2027 releases</h2><h3>FRI / January 15, 2027</h3>
-    <table><tr><td>&nbsp;</td><td><strong>The Beekeeper 2</strong><br>(Amazon)<br>Action</td><td><strong>WIDE</strong></td></tr></table>"""
-    pages = spark.createDataFrame([(1, "movies", body, 2026)], "page_id int, section string, body string, base_year int")
+    first = '<tr><td><shortcode api="{&quot;metaScore&quot;:81,&quot;title&quot;:&quot;Lanterns&quot;}"></shortcode></td><td><a href="https://www.metacritic.com/movie/lanterns/">Lanterns</a><br>(Harbour)<br>Mystery</td><td>RENT/BUY</td></tr>'
+    second = '<tr><td></td><td><a href="/movie/out-takes/">Out-takes</a><br>(Quay)<br>Farce</td><td>Festival</td></tr>'
+    third = "<tr><td>-</td><td><b>Harvest Moon IV</b><br>(Orchard)<br>Fable</td><td>LIMITED</td></tr>"
+    body = f"<h3>TUE / June 9</h3><table>{first}{second}</table><h2>Films of 2031</h2><h3>WED / March 5, 2031</h3><table>{third}</table>"
+    pages = spark.createDataFrame([(1, "movies", body, 2030)], "page_id int, section string, body string, base_year int")
     got = X.premiere_items(pages).orderBy("pos").collect()
     assert [(r.title, r.release_date, r.provider, r.details, r.availability, r.metascore) for r in got] == [
-        ("Tow", "2026-04-20", "Roadside", "Drama", "RENT/BUY", 64), ("Bonus Feature", "2026-04-20", "Studio", "Comedy", "Special Event", None), ("The Beekeeper 2", "2027-01-15", "Amazon", "Action", "WIDE", None),
+        ("Lanterns", "2030-06-09", "Harbour", "Mystery", "RENT/BUY", 81), ("Out-takes", "2030-06-09", "Quay", "Farce", "Festival", None), ("Harvest Moon IV", "2031-03-05", "Orchard", "Fable", "LIMITED", None),
     ]
 
 
@@ -99,9 +101,9 @@ def test_identity_and_mojibake(spark):
 
 
 def test_tickets(spark):
-    texts = ["Ticket #34481\nFrom: Acme\nPlease add the creator https://instagram.com/a. and https://tiktok.com/@b", "brand set upload attached #555", "hello", "new influencer please #777", None]
+    texts = ["Ticket #90210\nFrom: Borealis\nPlease add the creator https://instagram.com/a. and https://tiktok.com/@b", "brand set upload attached #555", "hello", "new influencer please #777", None]
     got = K.ticket_qa(K.validate_tickets(K.classify_tickets(K.parse_tickets(spark.createDataFrame(list(enumerate(texts)), "i int, raw_text string"))))).orderBy("i").collect()
-    assert (got[0].ticket_id, got[0].client, got[0].platforms, got[0].urls[0]) == ("34481", "Acme", ["Instagram", "TikTok"], "https://instagram.com/a")
+    assert (got[0].ticket_id, got[0].client, got[0].platforms, got[0].urls[0]) == ("90210", "Borealis", ["Instagram", "TikTok"], "https://instagram.com/a")
     assert [r.request_type for r in got] == ["Talent Addition", "Brand Set Upload", "Other", "Talent Addition", "Other"]
     assert [r.confidence for r in got] == ["high", "high", "medium", "low", "medium"]
     assert got[3].qa["No blocking validation errors"] is False and got[0].qa["URLs parsed"] is True
@@ -114,10 +116,12 @@ def test_page_classes(spark):
 
 
 def test_taxonomy(spark):
-    rows = [("Taylor Swift", "", [], {"P31": ["Q5"], "P21": ["Q6581072"], "P106": ["Q177220"]}), ("Nike", "shoes company", [], {})]
-    got = K.classify_reference(spark.createDataFrame(rows, "title string, extract string, categories array<string>, claims map<string,array<string>>")).collect()
-    assert (got[0].category, got[0].sub_category.split("\n")) == ("Talent", ["Gender - Woman", "Musician", "Musician - Singer"])
-    assert got[1].category == "Fashion"
+    rows = [("Ada Mora", "", [], {"P31": ["Q5"], "P21": ["Q6581072"], "P106": ["Q177220"]}), ("Stride", "maker of apparel", [], {})]
+    got = Y.classify_reference(spark.createDataFrame(rows, "title string, extract string, categories array<string>, claims map<string,array<string>>")).collect()
+    assert (got[0].category, got[0].sub_category) == ("Talent", "Gender - Woman\nTalent Subtype - Musician - Singer\nTalent Type - Musician")
+    assert (got[1].category, got[1].sub_category) == ("Fashion", "Women's Apparel")
+    profiles = spark.createDataFrame([(1, "Film actor, he/him"), (2, "nothing to see"), (3, None)], "i int, bio string")
+    assert [(r.category, r.sub_category) for r in Y.classify_profiles(profiles, ["bio"]).orderBy("i").collect()] == [("Talent", "Gender - Man\nTalent Subtype - Actor\nTalent Type - Actor"), (None, ""), (None, "")]
     taxonomy = spark.createDataFrame([("Talent", 0), ("Movies and TV", 1)], "category string, position int")
     df = spark.createDataFrame([(1, "talent", "a\nb\nc"), (2, "tv", ""), (3, "x", "s"), (4, "Talent", "a")], "r int, category string, sub_category string")
     assert {r.r: r.aligned for r in K.align_to_taxonomy(df, taxonomy, "category").collect()} == {1: "Talent", 2: "Movies and TV", 3: "Other", 4: "Talent"}
