@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import cut
+from tallyweave.llm.common import cut, unused
 from tallyweave.llm.langid import NO_LETTER, fit_and_identify
 from tallyweave.llm.mixing import mix_sources
 from tallyweave.llm.packing import pack_documents
@@ -56,7 +56,7 @@ def valid_text(raw):
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at weights 5, 2, 1 in turn; a document appears as often as the mix takes it."""
     mixed = mix_sources(docs, weights=(5.0, 2.0, 1.0), cap=3.0).filter("mix.copies > 0")
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("mix.copies")))).select(*docs.columns)
+    return mixed.withColumn(unused(mixed, "copy"), F.explode(F.sequence(F.lit(1), F.col("mix.copies")))).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
