@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import html as html_lib
 
 import pandas as pd
@@ -71,33 +72,38 @@ def rolled_dates(rows: DataFrame, page_id: str, base_year: str) -> DataFrame:
 
     Without an explicit year, a date before the last one by six months or more
     (or January after December) is in the next year.  The year carries from row
-    to row, so each page is folded in order; pages are small and independent.
+    to row, so pages are dealt out and their rows read in order, one at a time.
     """
     months = {m.lower(): i + 1 for i, m in enumerate(MONTHS.split("|"))}
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("pos", ignore_index=True)
-        year, last, out = None, None, []
-        for month, day, explicit, base in zip(page["month"], page["day"], page["year"], page["base_year"], strict=True):
-            year = int(base) if year is None else year
-            if not isinstance(month, str) or month.lower() not in months:
-                out.append(None)
-                continue
-            try:
-                y = int(explicit) if explicit == explicit and explicit not in (None, "") else year
-                now = pd.Timestamp(year=y, month=months[month.lower()], day=int(day))
-                if explicit in (None, "") and last is not None and now < last and (last.month - now.month >= 6 or (last.month, now.month) == (12, 1)):
-                    now = now.replace(year=y + 1)
-            except ValueError:
-                out.append(None)
-                continue
-            year, last = now.year, now
-            out.append(now.strftime("%Y-%m-%d"))
-        page["release_date"] = pd.Series(out, dtype=object)
-        return page[["page_id", "pos", "release_date"]]
+    def dated(month, day, explicit, year, last):
+        y = int(explicit) if explicit not in (None, "") else year
+        now = datetime.date(y, months[month.lower()], int(day))
+        if explicit in (None, "") and last is not None and now < last and (last.month - now.month >= 6 or (last.month, now.month) == (12, 1)):
+            now = now.replace(year=y + 1)
+        return now
+
+    def fold(batches):
+        """Rows in page order; a page's year and last date are carried from row to row, over batches too."""
+        page, year, last = None, None, None
+        for batch in batches:
+            out = []
+            for page_id, month, day, explicit, base in zip(*(batch[c].tolist() for c in ("page_id", "month", "day", "year", "base_year")), strict=True):
+                if page_id != page:
+                    page, year, last = page_id, None if base is None or base != base else int(base), None
+                now = None
+                if isinstance(month, str) and month.lower() in months:
+                    try:
+                        now = dated(month, day, explicit, year, last)
+                        year, last = now.year, now
+                    except (ValueError, TypeError):  # no such day, or no year to start from
+                        now = None
+                out.append(None if now is None else now.isoformat())
+            yield pd.DataFrame({"page_id": batch["page_id"], "pos": batch["pos"], "release_date": pd.Series(out, dtype=object, index=batch.index)})
 
     given = rows.select(F.col(page_id).cast("string").alias("page_id"), "pos", "month", "day", "year", F.col(base_year).alias("base_year"))
-    dates = given.groupBy("page_id").applyInPandas(fold, "page_id string, pos int, release_date string")
+    ordered = given.repartition("page_id").sortWithinPartitions("page_id", "pos")
+    dates = ordered.mapInPandas(fold, "page_id string, pos int, release_date string")
     return rows.join(dates, (rows[page_id].cast("string") == dates["page_id"]) & (rows["pos"] == dates["pos"]), "left").drop(dates["page_id"]).drop(dates["pos"])
 
 

@@ -263,8 +263,8 @@ def clean_request(title: Column) -> Column:
 
 
 def with_overrides(requests: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Requests (title) cleaned, or as a small table of overrides (title, search_title, kind) says."""
-    joined = requests.join(F.broadcast(overrides.select("title", F.struct(F.col("search_title").alias("title"), "kind").alias("__o"))), "title", "left")
+    """Requests (title) cleaned, or as a table of overrides (title, search_title, kind) says."""
+    joined = requests.join(overrides.select("title", F.struct(F.col("search_title").alias("title"), "kind").alias("__o")), "title", "left")
     return joined.withColumn("__r", F.coalesce("__o", clean_request(F.col("title")))).select(*requests.columns, F.col("__r.title").alias("search_title"), F.col("__r.kind").alias("search_kind"))
 
 
