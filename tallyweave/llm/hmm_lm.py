@@ -23,8 +23,9 @@ from .common import LOWER_BYTES, cut, id_crc, release_memory, slices, token_bloc
 #: What ends a text, as a token; no word holds a space.
 END = b" "
 CLASSES = 32
-#: Text counted in one go, tokens of one batch of sequences, and the longest sequence in training.
+#: Text counted in one go, text encoded in one go, tokens of one batch of sequences, and the longest sequence in training.
 COUNT_BYTES = 16_000_000
+ENCODE_BYTES = 4_000_000
 BATCH_TOKENS = 300_000
 SEGMENT = 512
 LONG_WORD = 40
@@ -52,6 +53,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 if size >= COUNT_BYTES:
                     yield table(seen)
                     seen, size = Counter(), 0
+            release_memory()
         if seen:
             yield table(seen)
 
@@ -123,7 +125,7 @@ def encode(docs: DataFrame, vocab: Vocabulary, *, id_col: str, text_col: str) ->
         code_of[v.symbols :] = v.symbols + kind[v.symbols :]
         log_class = np.log10(v.class_size)
         for batch in batches:
-            rows = []
+            rows, first, size = [], 0, 0
             for text in batch.column(1):
                 raw = (text.as_buffer().to_pybytes() if text.is_valid else b"").translate(LOWER_BYTES)
                 codes, other, logs, inner, known = [], [], 0.0, 0.0, 0
@@ -145,9 +147,18 @@ def encode(docs: DataFrame, vocab: Vocabulary, *, id_col: str, text_col: str) ->
                     codes.append(code.astype("<u2"))
                 codes = np.concatenate(codes)
                 rows.append((len(codes), codes.tobytes(), float(logs), float(inner), known, other))
-            arrays = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary())), strict=True)] if rows else None
-            if arrays:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_tokens", "codes", "logs", "inner", "known", "other"])
+                size += len(raw)
+                if size >= ENCODE_BYTES:  # what is held doesn't depend on the batch
+                    yield pack(batch.column(0).slice(first, len(rows)), rows)
+                    rows, first, size = [], first + len(rows), 0
+            if rows:
+                yield pack(batch.column(0).slice(first, len(rows)), rows)
+            del rows
+            release_memory()
+
+    def pack(ids, rows):
+        types = (pa.int64(), pa.binary(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()))
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True))], ["doc_id", "n_tokens", "codes", "logs", "inner", "known", "other"])
 
     schema = f"doc_id {id_type}, n_tokens long, codes binary, logs double, inner double, known long, other array<binary>"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)

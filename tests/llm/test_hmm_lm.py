@@ -61,6 +61,7 @@ def rows():
 def test_scores(spark, monkeypatch, few):
     monkeypatch.setattr(hmm_lm, "FEW", few)
     monkeypatch.setattr(hmm_lm, "HOT", 100 if few == 2 else 5_000)
+    monkeypatch.setattr(hmm_lm, "ENCODE_BYTES", 700 if few == 2 else 4_000_000)
     table = rows()
     got = hmm_lm.score_texts(spark.createDataFrame(table, SCHEMA), symbols=8, known=20, states=2).collect()
     tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
