@@ -16,6 +16,7 @@ from .embeddings import near_vectors
 from .hmm_lm import score_texts
 from .html_text import extract_main_text
 from .langid import fit_and_identify
+from .manifest import manifest
 from .mixing import MIX_SQL, mix_sources
 from .packing import pack_documents
 from .quality import fit_and_score
@@ -124,3 +125,12 @@ def op1_audio_fingerprints(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     prints = audio.with_fingerprint(vectors, audio_col="embedding", decode=audio.melody, more=("id",))
     return audio.align(prints, F.coalesce(F.col("id") % 50 == 0, F.lit(False))).withColumnRenamed("id", "vec_id")
+
+
+@query
+def op13_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    # where 2 divides the checksum of the id, the text loses its line ends
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    edits = {"text": F.when(even, F.translate("text", "\n", "")).otherwise(F.col("text"))}
+    return manifest(docs, edits=edits).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
