@@ -217,3 +217,35 @@ def rows_type(docs: DataFrame, id_col: str) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
     return to_arrow_type(docs.schema[id_col].dataType)
+
+
+#: The manifest of ``documents`` as DuckDB SQL: both trees as recursive tables, the checksum of ids bit by bit.
+MANIFEST_SQL = r"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, *, CASE WHEN doc_id IS NULL THEN NULL ELSE
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) END AS crc FROM documents),
+edited AS (SELECT *, CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS text2 FROM docs),
+fields AS (SELECT r, doc_id, source, text, text2, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+    || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head FROM edited),
+leaves AS (SELECT r, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(text2) || ':' || text2, '-')) AS leaf2 FROM fields),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+tree AS (SELECT source, 0 AS level, pos, leaf AS digest, n FROM placed
+    UNION ALL SELECT source, level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (n + 2) // 3 FROM tree WHERE n > 1 GROUP BY source, level, pos // 3, n),
+tops AS (SELECT source, digest AS subroot, level AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+upper AS (SELECT 0 AS level, pos, subroot AS digest, n FROM tops
+    UNION ALL SELECT level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (n + 2) // 3 FROM upper WHERE n > 1 GROUP BY level, pos // 3, n),
+nodes AS (SELECT source, false AS up, level, pos, digest, n FROM tree UNION ALL SELECT NULL, true, level, pos, digest, n FROM upper),
+runs AS (SELECT source, up, level, pos // 3 AS run, list(struct_pack(pos, digest) ORDER BY pos) AS members FROM nodes WHERE n > 1 GROUP BY ALL),
+ups AS (SELECT a.r, a.doc_id, a.leaf, a.leaf2, a.source, a.pos, t.subroot, t.height, t.pos AS top, (SELECT digest FROM upper WHERE n = 1) AS root, (SELECT max(level) FROM upper) AS upper_height
+    FROM placed a JOIN tops t ON a.source IS NOT DISTINCT FROM t.source),
+steps AS (SELECT u.r, s.i AS step, s.i >= u.height AS up, CASE WHEN s.i >= u.height THEN s.i - u.height ELSE s.i END AS level,
+    CAST(CASE WHEN s.i >= u.height THEN u.top // CAST(3 ** (s.i - u.height) AS BIGINT) ELSE u.pos // CAST(3 ** s.i AS BIGINT) END AS BIGINT) AS place, u.source
+    FROM ups u, LATERAL (SELECT unnest(range(u.height + u.upper_height)) AS i) s),
+sides AS (SELECT s.r, s.step, coalesce(list_aggregate(list_transform(list_filter(m.members, lambda x: x.pos < s.place), lambda x: x.digest), 'string_agg', ''), '') AS lefts,
+    coalesce(list_aggregate(list_transform(list_filter(m.members, lambda x: x.pos > s.place), lambda x: x.digest), 'string_agg', ''), '') AS rights
+    FROM steps s JOIN runs m ON m.up = s.up AND m.level = s.level AND m.run = s.place // 3 AND (s.up OR m.source IS NOT DISTINCT FROM s.source)),
+proofs AS (SELECT r, list(struct_pack(l := lefts, r := rights) ORDER BY step) AS path, string_agg(lefts || rights, '' ORDER BY step) AS proof FROM sides GROUP BY r)
+SELECT u.doc_id, u.leaf, u.subroot, u.root, sha256(coalesce(p.proof, '')) AS proof_sha256,
+    list_reduce(list_prepend(struct_pack(l := u.leaf2, r := ''), coalesce(p.path, [])), lambda a, b: struct_pack(l := sha256(b.l || a.l || b.r), r := '')).l AS folded_root,
+    list_reduce(list_prepend(struct_pack(l := u.leaf2, r := ''), coalesce(p.path, [])), lambda a, b: struct_pack(l := sha256(b.l || a.l || b.r), r := '')).l = u.root AS verified
+FROM ups u LEFT JOIN proofs p ON p.r = u.r"""

@@ -16,11 +16,12 @@ from .embeddings import near_vectors
 from .hmm_lm import score_texts
 from .html_text import extract_main_text
 from .langid import fit_and_identify
-from .manifest import manifest
+from .manifest import MANIFEST_SQL, manifest
 from .mixing import MIX_SQL, mix_sources
 from .packing import pack_documents
 from .quality import fit_and_score
 from .repeats import remove_repeats
+from .reversed_search import SEARCH_SQL, rank_documents
 from .simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +135,14 @@ def op13_manifest(spark, sf_dir):
     even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
     edits = {"text": F.when(even, F.translate("text", "\n", "")).otherwise(F.col("text"))}
     return manifest(docs, edits=edits).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+ORACLES["op13_manifest"] = MANIFEST_SQL
+
+
+@query
+def op12_reversed_search(spark, sf_dir):
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), most=10)
+
+
+ORACLES["op12_reversed_search"] = SEARCH_SQL
