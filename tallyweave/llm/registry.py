@@ -19,6 +19,7 @@ from .langid import fit_and_identify
 from .manifest import MANIFEST_SQL, manifest
 from .mixing import MIX_SQL, mix_sources
 from .packing import pack_documents
+from .pii import KINDS, find_personal_data, span_list
 from .quality import fit_and_score
 from .repeats import remove_repeats
 from .reversed_search import SEARCH_SQL, rank_documents
@@ -146,3 +147,11 @@ def op12_reversed_search(spark, sf_dir):
 
 
 ORACLES["op12_reversed_search"] = SEARCH_SQL
+
+
+@query
+def op11_pii(spark, sf_dir):
+    found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("pii", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]  # base spans; ``spans`` has all
+    return found.select("doc_id", *counts, F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("pii")).alias("spans"))

@@ -175,11 +175,10 @@ def rank_documents(docs: DataFrame, items: DataFrame, *, most: int = 10, id_col:
     Empty tables give an empty result.  Other columns are ignored.
     """
     item_type = items.schema[item_col].dataType
-    schema = f"item {item_type.simpleString()}, doc long, score long"
     terms = cut(item_terms(items, item_col, item_text_col), "search-items")
     held = terms.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0
     blocks = -(-held // MOST_BYTES)
-    found = docs.sparkSession.createDataFrame([], schema)
+    found = terms.limit(0).select("item", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("long").alias("score"))
     for block in range(blocks):
         rows = terms.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).sort("item", "term").collect()  # some MOST_BYTES
         if not rows:
