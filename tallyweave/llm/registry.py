@@ -153,5 +153,5 @@ ORACLES["op12_reversed_search"] = SEARCH_SQL
 def op11_pii(spark, sf_dir):
     found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("pii", lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]  # base spans; ``spans`` has all
-    return found.select("doc_id", *counts, F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("pii")).alias("spans"))
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("pii")).alias("spans"))
