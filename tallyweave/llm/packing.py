@@ -23,6 +23,8 @@ CAPACITY = 2048
 #: Pieces of one length that are ranked in one group, and the least number of groups of a length.
 GROUP = 50_000
 GROUPS = 64
+#: White-space characters in a row from which a text goes through ``tokenizers``, as a look-ahead can't be tried at so many places.
+LONG_RUN = 100_000
 
 
 class Encoder:
@@ -30,8 +32,8 @@ class Encoder:
 
     The same vocabulary runs in ``tiktoken``, which is faster.  Its pattern needs
     a look-ahead only for runs of white space, so texts without such runs take a
-    pattern without it.  The file's added tokens are found in texts first, as
-    ``tokenizers`` does.
+    pattern without it, and texts with very long runs ``tokenizers`` itself.  The
+    file's added tokens are found in texts first, as ``tokenizers`` does.
     """
 
     def __init__(self, path: str):
@@ -52,9 +54,16 @@ class Encoder:
         words = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
         self.plain = tiktoken.Encoding("plain", pat_str=words + r"|\s+", mergeable_ranks=ranks, special_tokens=added)
         self.full = tiktoken.Encoding("full", pat_str=words + r"|\s+(?!\S)|\s+", mergeable_ranks=ranks, special_tokens=added)
-        self.run = re.compile(r"\s\s").search
+        self.path, self.slow = path, None
+        self.run, self.runs = re.compile(r"\s\s").search, re.compile(r"\s{2,}").finditer
 
     def __call__(self, text: str) -> list[int]:
+        if len(text) >= LONG_RUN and any(r.end() - r.start() >= LONG_RUN for r in self.runs(text)):
+            if self.slow is None:
+                from tokenizers import Tokenizer
+
+                self.slow = Tokenizer.from_file(self.path)
+            return self.slow.encode(text, add_special_tokens=False).ids
         return (self.full if self.run(text) else self.plain).encode(text, allowed_special="all")
 
 

@@ -119,6 +119,16 @@ def test_encoder_matches_the_tokenizer():
         assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("run", [" ", "\n", " \n\t\u2003"])
+def test_very_long_white_space(spark, run):
+    want, long = Tokenizer.from_file(PATH), run * (2_000_000 // len(run))
+    for text in (long, "a" + long + "b c", "word" + long, long + "word", "x  y" + long + "<|endoftext|> z"):
+        assert packing.encoder(PATH)(text) == want.encode(text, add_special_tokens=False).ids
+    rows = spark.createDataFrame([(1, long, None), (2, "short", None)], SCHEMA)
+    got = packing.pack_documents(rows, PATH).collect()
+    assert sum(r.length for r in got if r.doc_id == 1) == len(want.encode(long, add_special_tokens=False).ids) + 1
+
+
 def test_pieces_and_places(spark):
     rng = np.random.default_rng(4)
     rows = [(i, " ".join("w%d" % x for x in rng.integers(0, 500, int(rng.integers(1, 900)))), "clash") for i in range(60)]
