@@ -33,6 +33,10 @@ FURNITURE = re.compile(
     r"comments?|commentlist|respond|replies|disqus|pagination|pager|tags|toolbar|widgets?|skip|hidden|copyright|legal)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Of these, the names of what is not the article however much text it has.
+APART = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|cookies?|consent|gdpr|share\w*|sharing|comments?|commentlist|respond|replies|disqus)(?:$|[\s_-])", re.IGNORECASE)
+#: How a sentence ends.
+SENTENCE_END = re.compile(r"[.!?\u2026\u3002][\"'\u00bb\u201c\u201d\u2019)\]]*\Z")
 #: Class names that say what an element has or is about, not what it is.
 MODIFIER = re.compile(r"(?:has|no|not|with|without|category|tag|layout|article|entry|post)[_-]+(?!comments?\Z|comments?[_-])", re.IGNORECASE)
 #: Start tags that imply the end of an open element: which elements they end, and which bound the search for them.
@@ -48,7 +52,7 @@ IMPLIED = {
 }
 #: Elements whose text is prose: a form that holds none of them is a form and no wrapper.
 PROSE = frozenset("article main p h1 h2 h3 blockquote".split())
-CUT_TAG = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
+TAG_START = re.compile(r"<[a-zA-Z/!?]")
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
 
@@ -96,8 +100,10 @@ class LineReader(HTMLParser):
         self.places: dict[str, list[int]] = {}
         self.blocks: list[int] = []
         self.above = [0]  # of each region, the region around it; 0 is the page
+        self.articles: set[int] = set()  # regions of article elements
         self.outer = [0]  # of each marked element, the marked one around it; 0 is none
         self.wraps: list[bool] = [True]  # whether a marked element may be a wrapper
+        self.apart: list[bool] = [False]  # whether it is, or is in, one that can't be
         self.parts: list[str] = []
         self.tags = self.linked = 0
 
@@ -123,12 +129,15 @@ class LineReader(HTMLParser):
             if not furniture and self.marked(tag, attrs, around):
                 self.outer.append(mark)
                 self.wraps.append(tag != "form")
+                self.apart.append(self.apart[mark] or self.named(attrs, ("class", "id"), APART) and tag != "article")
                 mark = len(self.outer) - 1
             elif tag in PROSE:
                 self.wraps[mark] = True
         if tag in CONTAINER:
             self.above.append(region)
             region = len(self.above) - 1
+            if tag == "article":
+                self.articles.add(region)
         bound = 2 if tag == "article" else max(around.bound, tag == "main")
         self.places.setdefault(tag, []).append(len(self.open))
         if tag in BLOCK:
@@ -146,10 +155,13 @@ class LineReader(HTMLParser):
             return False
         if tag == "form" or tag == "article" and around.bound == 2:
             return True
-        # the id of a section or a heading is an address for links
-        named = ("class",) if tag == "section" or tag in HEADING else ("class", "id")
-        tokens = [t for name, value in attrs if value and name in named for t in value.split()]
-        return tag != "article" and any(FURNITURE.search(t) and not MODIFIER.match(t) for t in tokens)
+        # the id of a section or a heading is an address for links, but says what can't be the article
+        names = ("class",) if tag == "section" or tag in HEADING else ("class", "id")
+        return tag != "article" and (self.named(attrs, names, FURNITURE) or tag == "section" and self.named(attrs, ("id",), APART))
+
+    def named(self, attrs, names, pattern) -> bool:
+        tokens = [t for name, value in attrs if value and name in names for t in value.split()]
+        return any(pattern.search(t) and not MODIFIER.match(t) for t in tokens)
 
     def imply_end(self, tag):
         """Close the open element whose end tag may be left out before ``tag``."""
@@ -206,9 +218,14 @@ def two_clusters(values: np.ndarray) -> float:
 
 
 def judge_marks(lines: list[Line], reader: LineReader) -> None:
-    """Lines in marked elements are furniture, unless the element holds most of the page's text or of its article."""
-    outer = reader.outer
-    open_lines = [x for x in lines if not x.furniture]
+    """Lines in marked elements are furniture, unless the element holds most of the page's text or of its article.
+
+    Comments, adverts and the like stay furniture, unless the page has no other text.
+    """
+    outer, apart = reader.outer, reader.apart
+    open_lines = [x for x in lines if not x.furniture and not apart[x.mark]]
+    if not any(x.plain for x in open_lines):
+        open_lines, apart = [x for x in lines if not x.furniture], [False] * len(apart)
     # with text in an article, that is what counts: comments may be longer
     bounded = any(x.bound for x in open_lines)
     inside = [0] * len(outer)
@@ -222,7 +239,7 @@ def judge_marks(lines: list[Line], reader: LineReader) -> None:
     total = inside[0]
     plain = any(not x.mark and (x.bound or not bounded) and 2 * x.linked < len(x.text) for x in open_lines)
     # an element around one of these holds as much, so the innermost decides
-    most = {mark for mark, n in enumerate(inside) if mark == 0 or prose[mark] and 2 * n > total and (n == total or not bounded or not plain)}
+    most = {mark for mark, n in enumerate(inside) if not apart[mark] and (mark == 0 or prose[mark] and 2 * n > total and (n == total or not bounded or not plain))}
     for x in lines:
         x.furniture = x.furniture or x.mark not in most
 
@@ -234,14 +251,30 @@ def dense_lines(lines: list[Line], free: list[bool], sigma: float) -> np.ndarray
     return smoothed >= two_clusters(smoothed[free])
 
 
-def content_regions(lines: list[Line], usable: list[bool], dense: np.ndarray, above: list[int], bounded: bool) -> set[int]:
+def prose_regions(lines: list[Line], usable: list[bool]) -> set[int]:
+    """Regions of plain prose: at least half of their lines (headings apart) are sentences, and few of their letters are links."""
+    sentences, others = {}, {}
+    for x, u in zip(lines, usable, strict=True):
+        if u and not x.heading:
+            is_prose = 4 * x.linked < len(x.text) and SENTENCE_END.search(x.text)
+            kind = sentences if is_prose else others
+            kind[x.region] = kind.get(x.region, 0) + 1
+    return {r for r, n in sentences.items() if n >= others.get(r, 0)}
+
+
+def content_regions(lines: list[Line], usable: list[bool], dense: np.ndarray, above: list[int], articles: set[int], bounded: bool) -> set[int]:
     """Regions with a dense line that isn't mostly links, and what belongs to them.
 
+    Plain prose beside one of these, in the same element, belongs to it, but
+    another article does not.
+
     Regions around one of these do (within an article or main element), and
     regions in them whose text is not mostly links: short paragraphs, tables,
     quotations. Lists of links and boxes apart from the content do not.
     """
     chosen = {x.region for x, u, d in zip(lines, usable, dense, strict=True) if u and d and 2 * x.linked < len(x.text)}
+    beside = {above[r] for r in chosen if r}
+    chosen |= {r for r in prose_regions(lines, usable) if r and r not in articles and above[r] in beside}
     plain, size, within = [0] * len(above), [0] * len(above), [False] * len(above)
     for x, u in zip(lines, usable, strict=True):
         if u:
@@ -267,7 +300,9 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The article of a page, its blocks joined by single spaces."""
     reader = LineReader()
     reader.feed(html or "")
-    reader.rawdata = CUT_TAG.sub("", reader.rawdata)  # a page may end within a tag, which isn't text
+    # a page may end within a tag, which isn't text
+    cut = TAG_START.search(reader.rawdata, reader.rawdata.rfind(">") + 1)
+    reader.rawdata = reader.rawdata[: cut.start()] if cut else reader.rawdata
     reader.close()
     reader.flush()
     lines = reader.lines
@@ -278,18 +313,23 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     if not any(usable):
         return ""
     dense = dense_lines(lines, usable, sigma)
-    chosen = content_regions(lines, usable, dense, reader.above, bound > 0)
+    chosen = content_regions(lines, usable, dense, reader.above, reader.articles, bound > 0)
     # beside an article, what is in the main element must be dense itself
     main = [not x.furniture and x.bound == 1 for x in lines] if bound == 2 else [False] * len(lines)
     beside = {x.region for x, m, d in zip(lines, main, dense, strict=True) if m and d and 2 * x.linked < len(x.text)}
     kept = [
         x.text
         for x, u, m in zip(lines, usable, main, strict=True)
-        if u and (x.heading or x.region in chosen or not chosen) or m and (x.heading or x.region in beside)
+        if u and (title(x) or x.region in chosen or not chosen) or m and (title(x) or x.region in beside)
     ]
     return " ".join(kept)
 
 
+def title(line: Line) -> bool:
+    """Whether a line is a heading of its own; a heading that is a link belongs to a list of other pages."""
+    return line.heading and 2 * line.linked < len(line.text)
+
+
 def extract_main_text(pages: DataFrame, *, html_col: str = "html", sigma: float = 1.0) -> DataFrame:
     """Add ``text``: the main text of each page, from the whole of its HTML.
 

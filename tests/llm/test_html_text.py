@@ -124,3 +124,39 @@ def test_null_and_extra_columns(spark):
     got = extract_main_text(spark.createDataFrame(rows, schema)).collect()
     assert [r.text for r in got] == ["", "", "a" + " word" * 50_000]
     assert extract_main_text(spark.createDataFrame([], schema)).count() == 0
+
+
+def prose(count, size, word="Word"):
+    return "".join(f"<p>{(word + ' ') * (size // (len(word) + 1))}{word}.</p>" for _ in range(count))
+
+
+def test_comments_never_replace_the_article():
+    for name in ('class="comments"', 'id="comments"'):
+        for tag in ("div", "section"):
+            page = f'<body><div class="story">{prose(9, 60)}</div><{tag} {name}>{prose(33, 70, "Remark")}</{tag}></body>'
+            assert "Remark" not in main_text(page) and main_text(page).count("Word.") == 9
+            page = f"<body><article>{prose(3, 60)}</article><{tag} {name}>{prose(33, 70, 'Remark')}</{tag}></body>"
+            assert "Remark" not in main_text(page) and main_text(page).count("Word.") == 3
+    # unless the page has nothing else
+    assert main_text(f'<body><div id="comments">{prose(3, 60)}</div></body>').count("Word.") == 3
+
+
+def test_short_prose_beside_long_prose_stays():
+    for outer in ("main", "body"):
+        page = f"<{outer}><section>{prose(5, 400)}</section><section>{prose(3, 68, 'Short')}</section></{outer}>"
+        assert main_text(page).count("Short.") == 3 and main_text(page).count("Word.") == 5
+    page = "".join(f"<div>{'This is a sentence. ' * n}End {n}.</div>" for n in (9, 3, 8, 2, 10))
+    assert [f"End {n}." in main_text(f"<body>{page}</body>") for n in (9, 3, 8, 2, 10)] == [True] * 5
+
+
+def test_headings_of_link_boxes_go():
+    box = "<div><h2><a href=x>Other story one</a></h2><h2><a href=y>Other story two</a></h2></div>"
+    text = main_text(f"<main><article><h1>The title</h1>{prose(5, 200)}</article>{box}</main>")
+    assert "Other" not in text and text.startswith("The title")
+
+
+def test_a_cut_tag_takes_linear_time():
+    began = time.time()
+    main_text('<a x="' + "<b " * 350_000 + ">")
+    assert main_text("<p>Some text here.</p><a <b <c") == "Some text here."
+    assert time.time() - began < 5
