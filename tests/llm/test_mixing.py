@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import types as T
 
 from tallyweave.llm import mixing
@@ -33,28 +34,31 @@ def check(spark, rows):
     for _, t, s in rows:
         sizes[s] = sizes.get(s, 0) + size(t)
     targets = plain_targets(sizes)
-    key = lambda i: int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:15], 16)
+    key = lambda i, t: int(hashlib.md5(f"{'' if i is None else i}\x1f{t or ''}".encode()).hexdigest()[:15], 16)
     want = []
     for s in sizes:
-        mine = [(i, size(t)) for i, t, x in rows if x == s]
         base = int(targets[s] / sizes[s]) if sizes[s] else 0
-        budget, below, threshold = targets[s] - base * sizes[s], 0, 0
-        for h in sorted({key(i) for i, n in mine if n}):
-            inside = sum(n for i, n in mine if key(i) == h)
-            if below + inside > budget:
-                threshold = h + (budget - below >= inside / 2)
-                break
-            below += inside
-        for i, n in mine:
-            copies = base + (key(i) < threshold)
-            want.append((i, s, n, sizes[s], round(targets[s], 6), copies, n * copies))
-    assert sorted(((*r[:4], round(r[4], 6), *r[5:]) for r in got), key=str) == sorted(want, key=str)
+        budget, below = targets[s] - base * sizes[s], 0
+        for _, i, n in sorted(((key(i, t), i, size(t)) for i, t, x in rows if x == s and size(t)), key=lambda r: r[0]):
+            copies = base + (below + n / 2 <= budget)  # a row is taken once more if half of it fits
+            below += n
+            want.append((i, s, n, sizes[s], round(float(targets[s]), 6), copies, n * copies))
+        want += [(i, s, 0, sizes[s], round(float(targets[s]), 6), None, 0) for i, t, x in rows if x == s and not size(t)]
+    got = [(*r[:4], round(r[4], 6), r[5] if r[2] else None, r[6]) for r in got]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
     for s in sizes:
-        biggest = max(sum(size(t) for j, t, x in rows if j == i and x == s) for i, _, x in rows if x == s)
+        biggest = max(size(t) for _, t, x in rows if x == s)
         assert abs(sum(r[6] for r in got if r[1] == s) - targets[s]) <= biggest / 2 + 1e-6
         assert all(r[6] <= 3 * r[2] for r in got)
 
 
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_repeated_and_null_ids(spark, doc_id):
+    # equal documents of three sources, and texts that differ under one id
+    check(spark, [(doc_id, "ten words " * 5, s) for s in "abc" for _ in range(50)])
+    check(spark, [(doc_id, "word " * (n % 9 + 1) + str(n % 20), s) for s in ("a", "b", None) for n in range(60)])
+
+
 def test_matches_brute_force(spark):
     rng = np.random.default_rng(1)
     rows = [(i, " ".join(["w"] * int(rng.integers(0, 60))), rng.choice(["a", "b", "b", "b", "Z", "é", "hot", "hot", "hot", "tiny"], 1)[0].item()) for i in range(300)]
