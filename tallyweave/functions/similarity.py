@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -52,140 +53,229 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-#: Texts compared with each other in one task; more are dealt out as pairs of blocks.
+#: Texts of one side that a task compares; more of like length and first letter are dealt out as several blocks.
 BLOCK = 2_000
+#: Lengths above this are banded, and first letters are hashed, so that there are some 3000 kinds of texts at most.
+EXACT_LENGTHS, FIRST_LETTERS = 64, 16
+KEYS = ["u", "i", "w", "j"]
 
 
-class LetterPlaces:
-    """Texts with the places of each letter as the bits of an integer, for texts of at most 64 characters."""
+class Letters:
+    """The texts of a block as arrays: lengths, letters by place, and how often each letter occurs."""
 
-    def __init__(self, texts: list[str]):
-        self.texts = texts
-        self.sizes = np.array([len(t) for t in texts], np.int64)
-        self.index = {c: k for k, c in enumerate(sorted({c for t in texts for c in t}))}
-        self.places = np.zeros((len(self.index) + 1, len(texts)), np.uint64)  # the last row is for letters that no text has
+    def __init__(self, texts: list[str], index: dict[str, int]):
+        self.texts, self.sizes = texts, np.array([len(t) for t in texts], np.int64)
+        self.counts: dict[int, dict[int, int]] = {}
+        self.codes = np.full((len(texts), 64), -1, np.int32)
         for i, t in enumerate(texts):
-            for j, c in enumerate(t[:64]):
-                self.places[self.index[c], i] |= np.uint64(1 << j)
-        self.windows = np.zeros((64, 64), np.uint64)  # place of the letter, reach
-        for r in range(64):
-            for i in range(64):
-                lo, hi = max(i - r, 0), min(i + r, 63)
-                self.windows[i, r] = ((1 << (hi - lo + 1)) - 1) << lo
-
-    def jaro_winkler(self, x: str, first: int, threshold: float) -> Iterator[tuple[int, float]]:
-        """Texts from number ``first`` on whose similarity with ``x`` reaches the threshold, as :func:`jaro_winkler_of` gives it."""
-        sizes = self.sizes[first:]
-        exact = (sizes > 64) if len(x) <= 64 else np.ones(len(sizes), bool)
-        for j in np.flatnonzero(exact).tolist():
-            found = jaro_winkler_of(x, self.texts[first + j])
-            if found >= threshold:
-                yield first + j, found
-        if len(x) > 64 or exact.all() or not x:
-            return
-        reach = np.clip(np.maximum(sizes, len(x)) // 2 - 1, 0, 63)
-        used, same = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.int64)
-        hits = []
-        for i, c in enumerate(x):
-            k = self.index.get(c, len(self.index))
-            free = self.places[k, first:] & self.windows[i].take(reach) & ~used
-            used |= free & (~free + np.uint64(1))
-            hits.append((k, free != 0))
-            same += hits[-1][1]
-        # nothing can be above this: all matches in order, four common first letters
-        jaro = np.where(same > 0, (same / len(x) + same / np.maximum(sizes, 1) + 1) / 3, 0)
-        some = np.flatnonzero(~exact & (jaro + 0.4 * (1 - jaro) >= threshold))
-        if not len(some):
-            return
-        rest, swapped = used[some], np.zeros(len(some), np.int64)
-        for k, hit in hits:
-            low = np.where(hit[some], rest & (~rest + np.uint64(1)), np.uint64(0))
-            swapped += hit[some] & ((self.places[k, first + some] & low) == 0)
-            rest ^= low
-        m, n = same[some], sizes[some]
-        jaro = (m / len(x) + m / n + (m - swapped // 2) / m) / 3.0
-        for j, value in zip((first + some).tolist(), jaro.tolist(), strict=True):
-            y = self.texts[j]
-            if x == y:
-                value = 1.0
-            else:
-                prefix = 0
-                while prefix < min(4, len(x), len(y)) and x[prefix] == y[prefix]:
-                    prefix += 1
-                value += prefix * 0.1 * (1.0 - value)
-            if value >= threshold:
-                yield j, value
-
-
-def common_letters(left: list[str], right: list[str]) -> np.ndarray:
-    """How many letters each two texts share, repeats counted (left x right): difflib's ratio can't count more."""
+            codes = [index[c] for c in t]
+            self.codes[i, : min(len(t), 64)] = codes[:64]
+            for k in codes:
+                held = self.counts.setdefault(k, {})
+                held[i] = held.get(i, 0) + 1
+
+
+def letters_of(left: list[str], right: list[str]) -> tuple[Letters, Letters]:
     index = {c: k for k, c in enumerate(sorted({c for t in (*left, *right) for c in t}))}
+    return Letters(left, index), Letters(right, index)
 
-    def counts(texts):
-        table = np.zeros((len(texts), len(index)), np.int32)
-        for i, t in enumerate(texts):
-            np.add.at(table[i], [index[c] for c in t], 1)
-        return table
 
-    a, b = counts(left), counts(right)
-    return sum((np.minimum.outer(a[:, k], b[:, k]) for k in range(len(index))), np.zeros((len(left), len(right)), np.int32))
+def common_letters(a: Letters, b: Letters) -> np.ndarray:
+    """How many letters each two texts share, repeats counted (left x right): no similarity can match more."""
+    most = max([0, *a.sizes.tolist(), *b.sizes.tolist()])
+    total = np.zeros((len(a.texts), len(b.texts)), np.uint8 if most < 256 else np.int32)
+    for k, held in a.counts.items():
+        other = b.counts.get(k)
+        if not other:
+            continue
+        x, y = np.array(list(held.values()), total.dtype), np.array(list(other.values()), total.dtype)
+        shared = np.minimum.outer(x, y)
+        if shared.shape == total.shape:
+            total[np.ix_(list(held), list(other))] += shared
+        else:
+            total[np.array(list(held))[:, None], np.array(list(other))] += shared
+    return total
+
+
+def common_prefix(a: Letters, b: Letters) -> np.ndarray:
+    """How many of the first four letters each two texts share from the start."""
+    same = np.ones((len(a.texts), len(b.texts)), bool)
+    found = np.zeros(same.shape, np.int8)
+    for place in range(4):
+        x, y = a.codes[:, place], b.codes[:, place]
+        same &= (x[:, None] == y) & (x >= 0)[:, None]
+        found += same
+    return found
+
+
+def _windows() -> np.ndarray:
+    """Bits of the places that a letter may match at, by its place and the reach."""
+    table = np.zeros((64, 64), np.uint64)
+    for i in range(64):
+        for r in range(64):
+            lo, hi = max(i - r, 0), min(i + r, 63)
+            table[i, r] = ((1 << (hi - lo + 1)) - 1) << lo
+    return table
+
+
+def jaro_winkler_of_pairs(a: Letters, b: Letters, i: np.ndarray, j: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+    """:func:`jaro_winkler_of` for pairs of texts of up to 64 letters, letter places as bits, all pairs at a time."""
+    alphabet = 1 + max([0, *a.counts, *b.counts])
+    places = np.zeros((alphabet + 1, len(b.texts)), np.uint64)  # the last row is for places beyond a text
+    for place in range(64):
+        held = np.flatnonzero(b.codes[:, place] >= 0)
+        places[b.codes[held, place], held] |= np.uint64(1 << place)
+    windows, one = _windows(), np.uint64(1)
+    n, m = a.sizes[i], b.sizes[j]
+    reach = np.clip(np.maximum(n, m) // 2 - 1, 0, 63)
+    used, same, hits = np.zeros(len(i), np.uint64), np.zeros(len(i), np.int64), []
+    for place in range(int(n.max(initial=0))):
+        k = a.codes[i, place]
+        free = places[k, j] & windows[place, reach] & ~used
+        used |= free & (~free + one)
+        hits.append(free != 0)
+        same += hits[-1]
+    rest, swapped = used.copy(), np.zeros(len(i), np.int64)
+    for place, hit in enumerate(hits):
+        low = np.where(hit, rest & (~rest + one), np.uint64(0))
+        swapped += hit & ((places[a.codes[i, place], j] & low) == 0)
+        rest ^= low
+    with np.errstate(divide="ignore", invalid="ignore"):
+        jaro = np.where(same > 0, (same / n + same / m + (same - swapped // 2) / same) / 3.0, 0.0)
+    return jaro + prefix * 0.1 * (1.0 - jaro)
+
+
+def near_jaro_winkler(left: list[str], right: list[str] | None, threshold: float) -> list[tuple[str, str, float]]:
+    """Pairs of a block's texts with those of another (or among themselves) from ``threshold`` on.
+
+    The text that is smaller in code-point order comes first, as the order can matter to the similarity.
+    """
+    order = lambda texts: sorted(texts, key=str.encode)
+    a, b = letters_of(order(left), order(left if right is None else right))
+    shared, prefix = common_letters(a, b).astype(np.float32), common_prefix(a, b)
+    # all common letters matched, none out of order
+    most = (shared / np.maximum(a.sizes, 1)[:, None].astype(np.float32) + shared / np.maximum(b.sizes, 1).astype(np.float32) + 1) / 3
+    most += np.float32(0.1) * prefix * (1 - most)
+    able = (most >= threshold - 1e-4) & (shared > 0)
+    first = np.searchsorted(np.array([t.encode().hex() for t in b.texts], object), [t.encode().hex() for t in a.texts], side="right")
+    above = np.arange(len(b.texts)) >= first[:, None]  # the other text is larger
+    found = near_of(a, b, *np.nonzero(able & above), prefix, threshold)
+    return found if right is None else found + near_of(b, a, *np.nonzero((able & ~above).T), prefix.T, threshold)
+
+
+def near_of(a: Letters, b: Letters, i: np.ndarray, j: np.ndarray, prefix: np.ndarray, threshold: float) -> list[tuple[str, str, float]]:
+    short = (a.sizes[i] <= 64) & (b.sizes[j] <= 64)
+    value = np.array([0.0 if s else jaro_winkler_of(a.texts[x], b.texts[y]) for s, x, y in zip(short.tolist(), i.tolist(), j.tolist(), strict=True)])
+    if short.any():
+        value[short] = jaro_winkler_of_pairs(a, b, i[short], j[short], prefix[i[short], j[short]])
+    near = value >= threshold
+    return [(a.texts[x], b.texts[y], v) for x, y, v in zip(i[near].tolist(), j[near].tolist(), value[near].tolist(), strict=True)]
+
+
+def near_ratio(left: list[str], right: list[str], cutoff: float) -> list[tuple[str, str, float]]:
+    a, b = letters_of(left, right)
+    most = 2.0 * common_letters(a, b) / np.maximum(np.add.outer(a.sizes, b.sizes), 1)
+    found = []
+    for i, j in np.argwhere(most >= cutoff).tolist():
+        score = SequenceMatcher(None, left[i], right[j]).ratio()
+        if score >= cutoff:
+            found.append((left[i], right[j], score))
+    return found
+
+
+def kinds_of_text(texts: DataFrame) -> DataFrame:
+    """The texts of the first column as ``v`` with their length ``n``, its band and the hash of the first letter."""
+    v, n = F.col(texts.columns[0]), F.length(texts.columns[0])
+    band = F.when(n <= EXACT_LENGTHS, n).otherwise(EXACT_LENGTHS + F.floor(F.log(n / EXACT_LENGTHS) / np.log(1.1))).cast("int")
+    return texts.select(v.alias("v"), n.alias("n"), band.alias("band"), F.pmod(F.xxhash64(F.substring(v, 1, 1)), F.lit(FIRST_LETTERS)).cast("int").alias("first"))
+
 
+@dataclass
+class Unit:
+    """Texts of near lengths: the range of lengths, the first letters (as bits), and in how many blocks they are dealt."""
 
-def _blocks(count: int) -> int:
-    return max(1, -(-count // BLOCK))
+    low: int
+    high: int
+    firsts: int
+    blocks: int
+
+
+def make_units(kinds: DataFrame) -> tuple[list[Unit], DataFrame]:
+    """Kinds of texts put together until a block is full, and large kinds in several blocks; with the texts in them."""
+    counted = sorted(kinds.groupBy("band", "first").agg(F.count("*").alias("c"), F.min("n").alias("low"), F.max("n").alias("high")).collect())  # a row per kind
+    units, named, size = [], [], 0
+    for r in counted:
+        if units and size + r.c <= BLOCK:
+            size, last = size + r.c, units[-1]
+            units[-1] = Unit(min(last.low, r.low), max(last.high, r.high), last.firsts | 1 << r.first, 1)
+        else:
+            size = r.c
+            units.append(Unit(r.low, r.high, 1 << r.first, -(-r.c // BLOCK)))
+        named.append((r.band, r.first, len(units) - 1, units[-1].blocks))
+    table = kinds.sparkSession.createDataFrame(named, "band int, first int, unit int, blocks int")
+    dealt = kinds.join(F.broadcast(table), ["band", "first"])  # a row per kind
+    return units, dealt.select("v", "unit", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"))
+
+
+def unit_pairs(spark: SparkSession, left: list[Unit], right: list[Unit], reach: Callable[[float, bool], bool], once: bool) -> DataFrame:
+    """The pairs of units whose texts can be similar: ``reach`` judges the best ratio of lengths and whether first letters can agree."""
+    pairs = []
+    for u, a in enumerate(left):
+        for w, b in enumerate(right):
+            if once and w < u:
+                continue
+            ratio = 1.0 if a.low <= b.high and b.low <= a.high else min(a.high, b.high) / max(a.low, b.low, 1)
+            if reach(ratio, bool(a.firsts & b.firsts)):
+                pairs.append((u, w, a.blocks, b.blocks))
+    return spark.createDataFrame(pairs, "u int, w int, ub int, wb int")
+
+
+def meet(left: DataFrame, right: DataFrame, pairs: DataFrame, once: bool) -> tuple[DataFrame, DataFrame]:
+    """Both sides once for each pair of blocks (u, i, w, j) that they are in; a block doesn't meet itself or a pair of blocks twice."""
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = left.withColumnRenamed("unit", "u").join(pairs, "u").select("u", F.col("block").alias("i"), "w", every("wb").alias("j"), "v")
+    two = right.withColumnRenamed("unit", "w").join(pairs, "w").select("u", every("ub").alias("i"), "w", F.col("block").alias("j"), "v")
+    if once:
+        one, two = one.filter("u < w OR i <= j"), two.filter("u < w OR i < j")
+    return one, two.select(*[F.col(c).alias(f"{c}2") for c in two.columns])
 
 
 def jaro_winkler_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     """All pairs (a < b) of the distinct texts in the first column whose Jaro-Winkler similarity reaches ``threshold``.
 
-    Texts are dealt into blocks of some ``BLOCK``, and a task compares two of
-    them, letter places as bits, a text against a block at a time: only pairs
-    that reach the threshold leave it. Every pair is compared, so the work is
-    quadratic in the number of distinct texts, as the definition is.
+    Every two texts that can reach it are compared: with no letter matched out of
+    order, m common letters of lengths p and q give (m/p + m/q + 1) / 3, and the
+    prefix adds a tenth of what is missing for each of four letters.  So texts meet, in blocks,
+    only where the ratio of their lengths allows the threshold - a wider range where
+    first letters agree -, and in a task the letters in common are counted for whole
+    blocks before places are looked at.  The work left is quadratic in the texts of like length.
     """
-    column = texts.columns[0]
-    blocks = _blocks(texts.count())
-    dealt = texts.select(F.col(column).alias("v"), F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int").alias("own"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.select("v", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-
-    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("v", key=lambda c: c.map(str.encode))
-        own, table = group["own"].to_numpy(), LetterPlaces(group["v"].tolist())
-        found = [
-            (x, table.texts[j], value)
-            for i, x in enumerate(table.texts)
-            for j, value in table.jaro_winkler(x, i + 1, threshold)
-            if key[0] == key[1] or own[i] != own[j]
-        ]
+    spark = texts.sparkSession
+    units, dealt = make_units(kinds_of_text(texts))
+    # without a common first letter there is no prefix; with all four, Jaro need only reach (t - 0.4) / 0.6
+    least = {False: 3 * threshold - 2, True: 3 * (threshold - 0.4) / 0.6 - 2}
+    one, two = meet(dealt, dealt, unit_pairs(spark, units, units, lambda ratio, first: ratio >= least[first] - 1e-9, True), True)
+
+    def compare(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        itself = key[0] == key[2] and key[1] == key[3]
+        found = near_jaro_winkler(x["v"].tolist(), None if itself else y["v2"].tolist(), threshold) if len(x) and (itself or len(y)) else []
         return pd.DataFrame(found, columns=["a", "b", "similarity"])
 
-    return dealt.groupBy("lo", "hi").applyInPandas(compare, "a string, b string, similarity double")
+    return one.groupBy(KEYS).cogroup(two.groupBy([f"{k}2" for k in KEYS])).applyInPandas(compare, "a string, b string, similarity double")
 
 
 def ratio_pairs(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
     """All pairs (target, entry) of texts of the two first columns whose difflib ratio reaches ``cutoff``.
 
-    Blocks of some ``BLOCK`` of each side meet in a task; pairs with too few
+    Blocks meet only where the lengths allow it (2 * shorter / sum), and pairs with too few
     common letters for the cutoff are left out before difflib compares.
     """
-    a, b = left.columns[0], right.columns[0]
-    rows, columns = _blocks(left.count()), _blocks(right.count())
-    side = lambda df, c, n: df.select(F.col(c).alias("v"), F.pmod(F.xxhash64(c), F.lit(n)).cast("int").alias("own"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    one = side(left, a, rows).select("v", F.col("own").alias("r"), every(columns).alias("c"))
-    two = side(right, b, columns).select("v", every(rows).alias("r"), F.col("own").alias("c"))
+    spark = left.sparkSession
+    (some, targets), (others, entries) = make_units(kinds_of_text(left)), make_units(kinds_of_text(right))
+    one, two = meet(targets, entries, unit_pairs(spark, some, others, lambda ratio, _: 2 * ratio / (1 + ratio) >= cutoff - 1e-9, False), False)
 
     def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        targets, entries = x["v"].tolist(), y["v"].tolist()
-        if not targets or not entries:
-            return pd.DataFrame({"target": [], "entry": [], "score": []})
-        most = 2.0 * common_letters(targets, entries) / np.maximum(np.add.outer([len(t) for t in targets], [len(e) for e in entries]), 1)
-        found = []
-        for i, j in np.argwhere(most >= cutoff).tolist():
-            score = SequenceMatcher(None, targets[i], entries[j]).ratio()
-            if score >= cutoff:
-                found.append((targets[i], entries[j], score))
+        found = near_ratio(x["v"].tolist(), y["v2"].tolist(), cutoff) if len(x) and len(y) else []
         return pd.DataFrame(found, columns=["target", "entry", "score"])
 
-    return one.groupBy("r", "c").cogroup(two.groupBy("r", "c")).applyInPandas(compare, "target string, entry string, score double")
+    return one.groupBy(KEYS).cogroup(two.groupBy([f"{k}2" for k in KEYS])).applyInPandas(compare, "target string, entry string, score double")

@@ -110,18 +110,40 @@ def match_score(matched_on: Column, kind: Column, want: Column, year: Column, wa
     return (F.when(matched_on == "primary_title", 100).otherwise(92) + F.coalesce(F.try_element_at(weights, kind), F.lit(0)) + agree + near + F.when(same_title, 18).otherwise(0)).cast("double")
 
 
+def title_forms(titles: DataFrame, *, id_col: str, primary_norm: str, original_norm: str, kind_col: str, year_col: str, most: int) -> DataFrame:
+    """The titles that can be among the best ``most`` of any query: (norm, by_primary, kind, year, id).
+
+    Titles of one name, kind and year score alike, so the first ids of each such
+    group are enough; ranks are cut before the shuffle, and what is left of a very
+    common name is bounded by its kinds and years.
+    """
+    form = lambda rows, norm: rows.select(F.col(norm).alias("norm"), F.lit(norm == primary_norm).alias("by_primary"), T.title_kind(F.col(kind_col)).alias("kind"), F.col(year_col).cast("int").alias("year"), F.col(id_col).alias("id"))
+    own, other = form(titles, primary_norm), form(titles.filter(~F.col(original_norm).eqNullSafe(F.col(primary_norm))), original_norm)
+    group = Window.partitionBy("norm", "by_primary", "kind", "year").orderBy("id")
+    return own.unionByName(other).filter("norm <> ''").withColumn("turn", F.row_number().over(group)).filter(F.col("turn") <= most).drop("turn")
+
+
+def best_titles(keys: DataFrame, titles: DataFrame, *, id_col: str, primary_norm: str, original_norm: str, kind_col: str, year_col: str, most: int) -> DataFrame:
+    """The best ``most`` titles of each distinct (norm, want_kind, want_year): with id, matched_on, score and match_rank."""
+    forms = title_forms(titles, id_col=id_col, primary_norm=primary_norm, original_norm=original_norm, kind_col=kind_col, year_col=year_col, most=most)
+    met = keys.filter("norm <> ''").distinct().join(forms, "norm")
+    matched_on = F.when(F.col("by_primary"), "primary_title").otherwise("original_title")
+    score = match_score(matched_on, F.col("kind"), F.col("want_kind"), F.col("year"), F.col("want_year"), F.col("by_primary"))
+    rank = F.row_number().over(Window.partitionBy("norm", "want_kind", "want_year").orderBy(F.desc("score"), F.coalesce("year", F.lit(0)).desc(), "id"))
+    ranked = met.withColumns({"matched_on": matched_on, "score": score}).filter("score >= 0").withColumn("match_rank", rank)
+    return ranked.filter(F.col("match_rank") <= most).select("norm", "want_kind", "want_year", "id", "matched_on", "score", "match_rank")
+
+
 def scored_title_matches(queries: DataFrame, titles: DataFrame, *, query_id: str, query_norm: str, want_kind: str, want_year: str, id_col: str, primary_norm: str, original_norm: str, kind_col: str, year_col: str, most: int = 10) -> DataFrame:
     """The best ``most`` titles of each query by ``match_score``; negative scores are dropped.
 
-    Order: score, newest year, id.  Every match is scored before the cut.
+    Order: score, newest year, id.  Every match is scored before the cut, once
+    for queries of equal title, kind and year.
     """
-    found = title_matches(queries, titles, query_id=query_id, query_norm=query_norm, id_col=id_col, primary_norm=primary_norm, original_norm=original_norm, carry=[kind_col, year_col, primary_norm])
-    q = queries.select(query_id, F.col(query_norm).alias("__q"), F.col(want_kind).alias("__kind"), F.col(want_year).cast("int").alias("__year"))
-    joined = found.join(q, query_id)
-    score = match_score(F.col("matched_on"), T.title_kind(F.col(kind_col)), F.col("__kind"), F.col(year_col).cast("int"), F.col("__year"), F.col(primary_norm) == F.col("__q"))
-    scored = joined.withColumn("score", score).filter("score >= 0")
-    rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), F.coalesce(F.col(year_col).cast("int"), F.lit(0)).desc(), F.col(id_col)))
-    return scored.withColumn("match_rank", rank).filter(F.col("match_rank") <= most).select(query_id, id_col, "matched_on", "score", "match_rank")
+    asked = queries.select(F.col(query_id).alias("asked"), F.col(query_norm).alias("norm"), F.col(want_kind).alias("want_kind"), F.col(want_year).cast("int").alias("want_year"))
+    best = best_titles(asked.drop("asked"), titles, id_col=id_col, primary_norm=primary_norm, original_norm=original_norm, kind_col=kind_col, year_col=year_col, most=most)
+    joined = asked.join(best.withColumnsRenamed({"want_kind": "k", "want_year": "y", "norm": "n"}), (F.col("norm") == F.col("n")) & F.col("want_kind").eqNullSafe(F.col("k")) & F.col("want_year").eqNullSafe(F.col("y")))
+    return joined.select(F.col("asked").alias(query_id), F.col("id").alias(id_col), "matched_on", "score", "match_rank")
 
 
 def match_status(matches: DataFrame, query_id: str, *, found: float = 150, gap: float = 8, uncertain: float = 110, found_with_year: float | None = None, year_match: Column | None = None) -> DataFrame:
@@ -243,16 +265,19 @@ def bulk_enrich(rows: DataFrame, titles: DataFrame, *, row_col: str, title: str,
 
     The year is the first four digits of its column; the category says movie or
     tv. ``carry`` maps enriched names to columns of ``titles``. Status: not_found,
-    matched, or multiple where the two best scores are equal. Matches are joined by row id.
+    matched, or multiple where the two best scores are equal. Each distinct (title,
+    kind, year) is looked up once; rows take its match by that key (``row_col`` may repeat).
     """
     kind = F.lower(F.coalesce(F.col(category).cast("string"), F.lit("")))
-    queries = rows.select(
-        F.col(row_col).alias("q"), T.norm_lookup(F.col(title)).alias("norm"), F.when(kind.contains("movie"), "movie").when(kind.contains("tv"), "tv").otherwise("any").alias("kind"),
-        F.regexp_extract(F.coalesce(F.col(year).cast("string"), F.lit("")), r"\b(\d{4})\b", 1).try_cast("int").alias("year"),
-    ).filter("norm <> ''")
-    found = scored_title_matches(queries, titles, query_id="q", query_norm="norm", want_kind="kind", want_year="year", id_col=id_col, primary_norm=primary_norm, original_norm=original_norm, kind_col=kind_col, year_col=year_col, most=2)
-    best = found.groupBy("q").agg(F.min_by(id_col, "match_rank").alias("id"), F.max("score").alias("score"), F.count_if(F.col("match_rank") == 2).alias("more"), F.min("score").alias("low"))
+    key = {
+        "norm": T.norm_lookup(F.col(title)), "want_kind": F.when(kind.contains("movie"), "movie").when(kind.contains("tv"), "tv").otherwise("any"),
+        "want_year": F.regexp_extract(F.coalesce(F.col(year).cast("string"), F.lit("")), r"\b(\d{4})\b", 1).try_cast("int"),
+    }
+    found = best_titles(rows.select(*[c.alias(n) for n, c in key.items()]), titles, id_col=id_col, primary_norm=primary_norm, original_norm=original_norm, kind_col=kind_col, year_col=year_col, most=2)
+    best = found.groupBy("norm", "want_kind", "want_year").agg(F.min_by("id", "match_rank").alias("id"), F.max("score").alias("score"), F.count_if(F.col("match_rank") == 2).alias("more"), F.min("score").alias("low"))
     known = titles.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"enriched_{n}") for n, c in carry.items()])
+    best = best.join(known, "id").select(F.struct("norm", "want_kind", F.coalesce("want_year", F.lit(-1)).alias("want_year")).alias("__key"), "id", "score", "more", "low", *[f"enriched_{n}" for n in carry])
     status = F.when(F.col("id").isNull(), "not_found").when((F.col("more") > 0) & (F.col("low") == F.col("score")), "multiple").otherwise("matched")
-    joined = rows.join(best.withColumnRenamed("q", row_col), row_col, "left").join(known, "id", "left")
-    return joined.select(*rows.columns, F.col("id").alias("enriched_id"), *[f"enriched_{n}" for n in carry], status.alias("enrich_status"))
+    asked = F.struct(key["norm"].alias("norm"), key["want_kind"].alias("want_kind"), F.coalesce(key["want_year"], F.lit(-1)).alias("want_year"))
+    joined = rows.select(F.struct(*rows.columns).alias("__row"), asked.alias("__key")).join(best, "__key", "left")
+    return joined.select(*[F.col("__row").getField(c).alias(c) for c in rows.columns], F.col("id").alias("enriched_id"), *[f"enriched_{n}" for n in carry], status.alias("enrich_status"))

@@ -185,3 +185,22 @@ def test_every_similar_pair_is_found(spark, monkeypatch):
     near = S.ratio_pairs(spark.createDataFrame([(n,) for n in targets], "t string"), spark.createDataFrame([(n,) for n in entries], "e string"), 0.85).collect()
     want = {(a, b): SequenceMatcher(None, a, b).ratio() for a in targets for b in entries}
     assert {(r.target, r.entry): r.score for r in near} == {k: v for k, v in want.items() if v >= 0.85}
+
+
+def test_blocks_meet_only_where_lengths_allow_it(spark, monkeypatch):
+    from tallyweave.functions import similarity as S
+
+    monkeypatch.setattr(S, "BLOCK", 50)
+    rng = random.Random(5)
+    texts = sorted({"".join(rng.choices("abcdefghij", k=rng.randint(3, 60))) for _ in range(1500)})
+    rows = spark.createDataFrame([(t,) for t in texts], "v string")
+    units, dealt = S.make_units(S.kinds_of_text(rows))
+    assert sum(r["count"] for r in dealt.groupBy("unit", "block").count().collect()) == len(texts)
+    one, two = S.meet(dealt, dealt, S.unit_pairs(spark, units, units, lambda ratio, first: ratio >= (0.55 if not first else 0.25), True), True)
+    blocks = sum(u.blocks for u in units)
+    assert one.count() + two.count() < 0.9 * len(texts) * blocks
+    # the order of the two texts can matter; pairs of blocks keep the smaller one first
+    left, right = texts[::2], texts[1::2]
+    got = {(a, b): v for a, b, v in S.near_jaro_winkler(left, right, 0.7)}
+    want = {(min(a, b), max(a, b)): S.jaro_winkler_of(min(a, b), max(a, b)) for a in left for b in right}
+    assert got == pytest.approx({k: v for k, v in want.items() if v >= 0.7})
