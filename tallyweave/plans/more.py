@@ -129,23 +129,32 @@ def bulk_enrich(spark, sf_dir):
     return got.select("row_id", "enriched_id", "enriched_start_year", "enrich_status")
 
 
-PACK = rules.parse_rules(rule_pack.default_rules(companies=["Own A"], tv_companies=["Own A", "Own TV"], own_set="Own Brands", view_set="View", wide_set="Wide", film_set="Film"))
+PACK = rules.parse_rules(rule_pack.default_rules(companies=["Own A", "Own B", "Own C"], tv_companies=["Own A", "Own TV"], own_set="Own Brands", view_set="View", wide_set="Wide", film_set="Film"))
 
 
 @query("default_rules", r"""
-WITH o AS (SELECT o_orderkey AS k, o_orderkey % 4 AS m FROM orders)
-SELECT k AS row_num, 'title' AS "column", 'Title is blank or a placeholder.' AS message FROM o WHERE m = 1
-UNION ALL SELECT k, 'title_category', 'Title category is not in the approved list.' FROM o WHERE m = 2
+WITH o AS (SELECT o_orderkey AS k, o_orderkey % 4 AS m FROM orders),
+f AS (SELECT k AS row_num, 'title' AS "column", 'Title cannot be blank, #NA, or N/A.' AS message FROM o WHERE m = 1
+UNION ALL SELECT k, 'title_category', 'Title category is blank or not in the approved list.' FROM o WHERE m = 2
 UNION ALL SELECT k, 'genre', 'Genre is required for Movies and TV Shows.' FROM o WHERE m IN (1, 3)
-UNION ALL SELECT k, 'brand_set', 'Own titles need the own brand set.' FROM o WHERE m = 3
-UNION ALL SELECT k, 'brand_set', 'Other titles need the view brand set.' FROM o WHERE m IN (1, 2)""")
+UNION ALL SELECT k, 'network', 'Network cannot be blank for Movies and TV Shows.' FROM o WHERE m = 1
+UNION ALL SELECT k, 'twitter_search_term_keywords', 'twitter_search_term_keywords cannot contain #VALUE!.' FROM o WHERE m = 2
+UNION ALL SELECT k, 'brand_set', 'DAR titles must include Own Brands in brand_set.' FROM o WHERE m = 3
+UNION ALL SELECT k, 'brand_set', 'Non-DAR titles must include View in brand_set.' FROM o WHERE m IN (1, 2)
+UNION ALL SELECT k, 'companies', 'Companies cannot be blank for non-DAR titles.' FROM o WHERE m = 2
+UNION ALL SELECT k, 'companies', 'DAR titles must include Own A, Own B, or Own C in companies.' FROM o WHERE m = 3)
+SELECT *, CASE WHEN contains(message, 'is required') THEN 'Needs Manual Review' ELSE 'Suspected Incorrect' END AS finding_category,
+CASE WHEN contains(message, 'cannot contain') THEN 'The URL format contains path segments reserved for personal timelines or page setup templates.' WHEN contains(message, 'is required') THEN 'Field is required according to rules but is currently blank.'
+WHEN contains(message, 'approved list') THEN 'Cell value is not in the list of approved classification tags.' ELSE '' END AS confidence_reason FROM f""")
 def default_rules(spark, sf_dir):
     m = F.col("o_orderkey") % 4
     rows = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("row_num"), F.when(m == 0, F.concat(F.lit("A"), "o_orderkey")).when(m == 1, "#na").when(m == 2, "B").otherwise("Own film - DAR").alias("title"),
         F.when(m == 0, "Talent").when(m == 2, "Nothing known").otherwise("Movies").alias("title_category"), F.when(m == 0, "Drama").otherwise("").alias("genre"), F.when(m == 0, " view ").otherwise("Other").alias("brand_set"),
+        F.when(m == 1, " ").otherwise("Net").alias("network"), F.when(m == 2, "#VALUE!").otherwise("word").alias("twitter_search_term_keywords"), F.when(m == 2, "n/a").otherwise("Some").alias("companies"),
     )
-    return rules.validate(rows, PACK, sheet="titles").select("row_num", "column", "message")
+    found = rules.validate(rows, PACK, sheet="titles")
+    return found.select("row_num", "column", "message", rules.finding(F.col("message")).alias("f")).select("row_num", "column", "message", "f.finding_category", "f.confidence_reason")
 
 
 @query("full_qa_counts", """

@@ -24,7 +24,7 @@ def query(name: str, oracle: str | None = None):
 
 def _load() -> None:
     """Import the modules whose queries register themselves."""
-    from . import comparisons, more, profiles, reference_checks, texts, validation  # noqa: F401
+    from . import comparisons, metadata, more, profiles, reference_checks, texts, validation  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -16,7 +18,7 @@ from ..operators import taxonomy as Y
 from ..operators import tickets as K
 from ..sources import files
 from ..streaming import queries as Z
-from .common import scratch_dir, table
+from .common import scratch_dir, table, with_checkpoints
 from .registry import query
 
 
@@ -253,6 +255,30 @@ def apply_changes(spark, sf_dir):
     return changed.select("k", "title", "instagram_user", "last_reviewed")
 
 
+# a chain of two renames, a swap with the neighbour's title, and an addition that sets a title for the next one
+@query("rename_chains", """
+SELECT c_custkey AS k, CASE c_custkey % 8 WHEN 1 THEN 'third ' || c_custkey WHEN 2 THEN n(c_custkey + 1) WHEN 3 THEN n(c_custkey - 1) WHEN 4 THEN 'set ' || c_custkey ELSE c_name END AS title,
+CASE WHEN c_custkey % 8 = 4 THEN 'later' END AS instagram_user FROM customer""".replace("n(c_custkey + 1)", "coalesce((SELECT c_name FROM customer d WHERE d.c_custkey = customer.c_custkey + 1), 'free ' || c_custkey)").replace("n(c_custkey - 1)", "(SELECT c_name FROM customer d WHERE d.c_custkey = customer.c_custkey - 1)"))
+def rename_chains(spark, sf_dir):
+    with_checkpoints(spark)
+    customers = table(spark, sf_dir, "customer")
+    k, name = F.col("c_custkey"), F.col("c_name")
+    rows = customers.select(k.alias("k"), name.alias("title"), F.lit(None).cast("string").alias("instagram_user"))
+    line = lambda kind, i, *parts: customers.filter(k % 8 == kind).select((k * 4 + i).alias("seq"), F.concat_ws(" | ", *parts).alias("line"))
+    text = lambda word: F.concat(F.lit(word + " "), k)
+    # the one with the next key gives its title for free first
+    near = customers.select((k - 1).alias("c_custkey"), name.alias("next"))
+    swaps = customers.filter(k % 8 == 2).join(near, "c_custkey", "left")
+    swap = lambda i, a, b: swaps.select((k * 4 + i).alias("seq"), F.concat_ws(" | ", F.lit("RENAME"), a, b).alias("line"))
+    parts = [
+        line(1, 0, F.lit("RENAME"), name, text("second")), line(1, 1, F.lit("RENAME"), text("second"), text("third")),
+        swap(0, name, text("free")), swap(1, F.col("next"), name), swap(2, text("free"), F.col("next")),
+        line(4, 0, F.lit("ADD"), name, F.lit("title"), text("set")), line(4, 1, F.lit("ADD"), text("set"), F.lit("ig"), F.lit("@later")),
+    ]
+    changes = C.parse_change_list(reduce(DataFrame.unionByName, parts))
+    return C.apply_changes(rows, changes, row_col="k", fields=["instagram_user", "title"], today="2024-01-01")[0]
+
+
 @query("genre_style_set_check", """SELECT p_partkey, p_partkey % 3 <> 0 AS same FROM part""")
 def genre_style_set_check(spark, sf_dir):
     want = F.array(F.lit("science fiction"), F.lit("drama"))

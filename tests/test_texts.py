@@ -4,6 +4,7 @@ import datetime
 import gzip
 import io
 import json
+import random
 import zipfile
 
 import pytest
@@ -17,6 +18,7 @@ from tallyweave.operators import references as R
 from tallyweave.operators import scoring as S
 from tallyweave.operators import taxonomy as Y
 from tallyweave.operators import tickets as K
+from tallyweave.plans.common import scratch_dir
 from tallyweave.sources import files
 from tallyweave.streaming import queries as Z
 
@@ -217,3 +219,29 @@ def test_reference_checks(spark):
 def test_url_helpers(spark):
     df = spark.createDataFrame([("HTTP://WWW.Example.com/A/?q=1#x",), ("https://m.site.org",), ("nothing",), (None,)], "u string")
     assert [r.c for r in df.select(T.canonical_url(F.col("u")).alias("c")).collect()] == ["https://example.com/A", "https://site.org", None, None]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_changes_are_sequential(spark, seed):
+    """Chains, cycles, swaps and titles that additions set, against one instruction after the other."""
+    rng = random.Random(seed)
+    spark.sparkContext.setCheckpointDir(scratch_dir(spark))
+    names = [f"t{i}" for i in range(14)]
+    rows = [(i, rng.choice([*names[:9], "Other", "T1 - DAR", None]), f"h{i}") for i in range(30)]
+    lines = ["RENAME | t1 | t2", "RENAME | t2 | t1", "RENAME | t1 | t9", "RENAME | t9 | t10", "RENAME | t10 | t9", "ADD | t3 | title | t11", "ADD | t11 | ig | @late", "REMOVE | t4 | title", "ADD | t4 | ig | next", "RENAME | t5 | t5"]
+    for _ in range(25):
+        a, b = rng.choice(names), rng.choice(names)
+        lines.append(rng.choice([f"RENAME | {a} | {b}", f"ADD | {a} | ig | x{len(lines)}", f"ADD | {a} | title | {b}", f"REMOVE | {a} | ig", f"RENAME | {a} | new{len(lines)}"]))
+    changes = C.parse_change_list(spark.createDataFrame(list(enumerate(lines)), "seq int, line string"))
+    bare = lambda t: (t or "").strip().lower().replace(" - dar", "")
+    table, meant = {i: [t, h] for i, t, h in rows}, {}
+    for c in sorted(changes.collect(), key=lambda c: (C.KIND_ORDER[c.kind], c.seq)):
+        row = meant[c.seq] = next((i for i in sorted(table) if table[i][0] is not None and bare(table[i][0]) == bare(c.target)), None)
+        if row is None:
+            continue
+        place = 0 if c.kind == "RENAME" or c.field == "title" else 1
+        table[row][place] = None if c.kind == "REMOVE" else c.value.lstrip("@") if place else c.value
+    df = spark.createDataFrame(rows, "row_id int, title string, instagram_user string")
+    changed, log = C.apply_changes(df, changes, row_col="row_id", fields=["instagram_user", "title"], today="2026-05-01")
+    assert {r.seq: r.row_id for r in log.collect()} == meant
+    assert {r.row_id: [r.title, r.instagram_user] for r in changed.collect()} == table
