@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import datetime
 import html as html_lib
+import json
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,10 +19,33 @@ DATE_IN_TEXT = rf"(?i)\b({MONTHS})\s+(\d{{1,2}})(?:,?\s+(\d{{4}}))?"
 RENT_BUY = ["rent/buy", "rent / buy", "rent or buy", "vod"]
 
 
-@F.pandas_udf(StringType())
-def unescape(texts: pd.Series) -> pd.Series:
-    """Character references decoded."""
-    return pd.Series([None if t is None else html_lib.unescape(t) for t in texts], dtype=object)
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+def unescape(c: Column) -> Column:
+    """Character references decoded, as the HTML standard says; the names are those of the standard library's table."""
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    # names that count without a semicolon, the longest first, and what numbers below 160 stand for
+    bare = "^&(" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
+    low = F.from_json(F.lit(json.dumps([html_lib.unescape(f"&#{n};") for n in range(160)])), "array<string>")
+
+    def character(number: Column) -> Column:
+        gone = number.between(0xFDD0, 0xFDEF) | (number.bitwiseAND(0xFFFE) == 0xFFFE)
+        plain = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        return F.when(number.isNull() | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF), "\ufffd").when(number < 160, F.get(low, number.cast("int"))).when(gone, "").otherwise(plain)
+
+    def decoded(ref: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_replace(ref, "^&#[xX]?0*|;$", ""), "^$", "0")  # nine digits are beyond every character
+        number = F.when(F.length(digits) < 10, F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits)).cast("long")
+        prefix = F.regexp_extract(ref, bare, 1)
+        named = F.when(prefix != "", F.concat(F.try_element_at(names, prefix), F.substring(ref, F.length(prefix) + 2, F.length(ref)))).otherwise(ref)
+        return F.when(ref.startswith("&#"), character(number)).otherwise(F.coalesce(F.try_element_at(names, F.substring(ref, F.lit(2), F.length(ref))), named))
+
+    def whole(text: Column) -> Column:
+        between, refs = F.split(text, REFERENCE, -1), F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), decoded)
+        return F.when(text.contains("&"), F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.get(refs, i), F.lit("")))), "")).otherwise(text)
+
+    return F.get(F.transform(F.array(c), whole), F.lit(0))  # the text is worked out once
 
 
 @F.pandas_udf(StringType())
@@ -71,40 +95,53 @@ def rolled_dates(rows: DataFrame, page_id: str, base_year: str) -> DataFrame:
     """Add ``release_date``: month, day and optional year in page order, years rolling over.
 
     Without an explicit year, a date before the last one by six months or more
-    (or January after December) is in the next year.  The year carries from row
-    to row, so pages are dealt out and their rows read in order, one at a time.
+    (or January after December) is in the next year.  As the last one has the
+    year that a row would have, month and day alone tell whether the year rolls
+    over: a row's year is the last explicit one (or the first row's ``base_year``) and
+    the number of times it rolled over since, running counts of the page.  Only
+    pages with a 29 February without a year are folded, as what
+    follows depends on whether there is such a day.
     """
-    months = {m.lower(): i + 1 for i, m in enumerate(MONTHS.split("|"))}
-
-    def dated(month, day, explicit, year, last):
-        y = int(explicit) if explicit not in (None, "") else year
-        now = datetime.date(y, months[month.lower()], int(day))
-        if explicit in (None, "") and last is not None and now < last and (last.month - now.month >= 6 or (last.month, now.month) == (12, 1)):
-            now = now.replace(year=y + 1)
-        return now
-
-    def fold(batches):
-        """Rows in page order; a page's year and last date are carried from row to row, over batches too."""
-        page, year, last = None, None, None
-        for batch in batches:
-            out = []
-            for page_id, month, day, explicit, base in zip(*(batch[c].tolist() for c in ("page_id", "month", "day", "year", "base_year")), strict=True):
-                if page_id != page:
-                    page, year, last = page_id, None if base is None or base != base else int(base), None
-                now = None
-                if isinstance(month, str) and month.lower() in months:
-                    try:
-                        now = dated(month, day, explicit, year, last)
-                        year, last = now.year, now
-                    except (ValueError, TypeError):  # no such day, or no year to start from
-                        now = None
-                out.append(None if now is None else now.isoformat())
-            yield pd.DataFrame({"page_id": batch["page_id"], "pos": batch["pos"], "release_date": pd.Series(out, dtype=object, index=batch.index)})
-
-    given = rows.select(F.col(page_id).cast("string").alias("page_id"), "pos", "month", "day", "year", F.col(base_year).alias("base_year"))
-    ordered = given.repartition("page_id").sortWithinPartitions("page_id", "pos")
-    dates = ordered.mapInPandas(fold, "page_id string, pos int, release_date string")
-    return rows.join(dates, (rows[page_id].cast("string") == dates["page_id"]) & (rows["pos"] == dates["pos"]), "left").drop(dates["page_id"]).drop(dates["pos"])
+    order = Window.partitionBy(page_id).orderBy("pos")
+    run, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    number = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS.lower().split("|")) for x in (m, i + 1)])
+    names = [f"__{n}" for n in ("m", "d", "y", "base", "leap", "seen", "rolled", "turns", "from", "date")]
+    m, d, y, base, leap, seen, rolled, turns, start, date = names
+    day = lambda year, month, day: F.to_date(F.try_make_timestamp(year, month, day, F.lit(0), F.lit(0), F.lit(0.0)))
+    given = rows.withColumns({
+        m: F.try_element_at(number, F.lower("month")), d: F.col("day").try_cast("int"), y: F.nullif(F.col("year").cast("string"), F.lit("")).try_cast("int"), base: F.first(F.col(base_year)).over(order.rowsBetween(Window.unboundedPreceding, 0)),
+    })
+    is_leap = F.col(y).isNull() & (F.col(m) == 2) & (F.col(d) == 29)
+    # a day that exists: in its year, or in any year that isn't a leap year
+    known = (day(F.coalesce(y, F.lit(2001)), F.col(m), F.col(d))).isNotNull() & (F.nullif(F.coalesce(F.col("year").cast("string"), F.lit("")), F.lit("")).isNull() | F.col(y).isNotNull())
+    mark = F.when(known, F.struct(F.col(m).alias("m"), F.col(d).alias("d")))
+    marked = given.withColumns({leap: F.max(F.coalesce(is_leap, F.lit(False))).over(Window.partitionBy(page_id)), seen: mark}).withColumn("__last", F.last(seen, ignorenulls=True).over(before))
+    last = F.col("__last")
+    over = F.col(y).isNull() & F.col(seen).isNotNull() & (F.col(seen) < last) & (last["m"] - F.col(m) >= 6)
+    counted = marked.withColumn(rolled, F.coalesce(over.cast("int"), F.lit(0))).withColumn(turns, F.sum(rolled).over(run))
+    held = F.last(F.when(F.col(seen).isNotNull() & F.col(y).isNotNull(), F.struct(F.col(y).alias("y"), F.col(turns).alias("t"))), ignorenulls=True).over(run)
+    own = counted.withColumn(start, held)
+    year = F.when(F.col(start).isNotNull(), F.col(start)["y"] + F.col(turns) - F.col(start)["t"]).otherwise(F.col(base).cast("int") + F.col(turns))
+    found = own.withColumn(date, F.when(F.col(seen).isNotNull(), day(year.cast("int"), F.col(m), F.col(d))))
+    found = found.withColumn("release_date", F.date_format(F.coalesce(F.when(~F.col(leap), F.col(date)), folded_date(found, page_id, *names[:5])), "yyyy-MM-dd"))
+    return found.drop(*names, "__last")
+
+
+def folded_date(rows: DataFrame, page_id: str, m: str, d: str, y: str, base: str, leap: str) -> Column:
+    """The dates of pages with a 29 February without a year: a fold over the page's rows up to each one."""
+    upto = Window.partitionBy(page_id).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.collect_list(F.when(F.col(leap), F.struct(F.col(m).alias("m"), F.col(d).alias("d"), F.col(y).alias("y"), F.col("year").cast("string").alias("said")))).over(upto)
+    empty = F.struct(F.col(base).cast("int").alias("year"), F.lit(None).cast("date").alias("last"), F.lit(None).cast("date").alias("now"))
+    day = lambda year, x: F.to_date(F.try_make_timestamp(year, x["m"], x["d"], F.lit(0), F.lit(0), F.lit(0.0)))
+
+    def step(state: Column, x: Column) -> Column:
+        said = F.coalesce(x["said"], F.lit("")) != ""
+        first = day(F.when(said, x["y"]).otherwise(state["year"]), x)
+        over = ~said & (first < state["last"]) & (F.month(state["last"]) - F.month(first) >= 6)
+        now = F.when(F.coalesce(over, F.lit(False)), day(F.year(first) + 1, x)).otherwise(first)
+        return F.struct(F.coalesce(F.year(now), state["year"]).alias("year"), F.coalesce(now, state["last"]).alias("last"), now.alias("now"))
+
+    return F.when(F.col(leap), F.aggregate(seen, empty, step, lambda s: s["now"]))
 
 
 def premiere_items(pages: DataFrame, *, page_id: str = "page_id", section: str = "section", body: str = "body", base_year: str = "base_year") -> DataFrame:
@@ -118,7 +155,7 @@ def premiere_items(pages: DataFrame, *, page_id: str = "page_id", section: str =
     h2_year = F.when(low == "<h2", F.regexp_extract("block", r"\b((?:19|20)\d{2})\b", 1))
     rows = blocks.withColumns({"heading": carried(heading, page_id), "h2_year": carried(F.when(h2_year != "", h2_year), page_id)}).filter(low == "<tr")
     cells = F.regexp_extract_all("block", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1))
-    rows = rows.withColumn("cells", cells).filter(F.size("cells") >= 2).withColumns({"meta": F.col("cells")[0], "data": F.col("cells")[1]})
+    rows = rows.withColumn("cells", cells).filter(F.size("cells") >= 2).withColumns({"meta": F.get("cells", F.lit(0)), "data": F.get("cells", F.lit(1))})
     rows = rows.withColumn("availability", plain_text(F.try_element_at("cells", F.lit(3))))
     rows = rows.withColumn("lines", plain_text(F.col("data"), lines=True))
     link = F.regexp_extract("data", r"(?is)<a[^>]*href=[\"']([^\"']+)[\"'][^>]*>", 1)
@@ -127,11 +164,11 @@ def premiere_items(pages: DataFrame, *, page_id: str = "page_id", section: str =
     title = F.coalesce(F.when(plain_text(F.regexp_extract("data", r"(?is)<(?:a|strong|b)[^>]*>(.*?)</(?:a|strong|b)>", 1)) != "", plain_text(F.regexp_extract("data", r"(?is)<(?:a|strong|b)[^>]*>(.*?)</(?:a|strong|b)>", 1))), F.get_json_object(code, "$.title"), first)
     rows = rows.withColumns({"title": title, "url": F.when(link.startswith("/"), F.concat(F.lit("https://www.metacritic.com"), link)).otherwise(link), "metascore": F.get_json_object(code, "$.metaScore").try_cast("int")}).filter("title IS NOT NULL AND title <> ''")
     games = F.col(section) == "games"
-    tail = F.array_join(F.slice("lines", 2, 100), " | ")
+    tail = F.array_join(F.slice("lines", 2, 2**31 - 1), " | ")
     dated = F.when(games & tail.rlike(DATE_IN_TEXT), tail).otherwise(F.coalesce("heading", F.lit("")))
     rows = rows.withColumns({
         "provider": F.when(games, F.regexp_replace(F.replace(F.coalesce(first, F.lit("")), F.col("title"), F.lit("")), r"^[\s\-]+|[\s\-]+$", "")).otherwise(F.regexp_replace(F.coalesce(F.try_element_at("lines", F.lit(2)), F.lit("")), r"^\((.*)\)\z", "$1")),
-        "details": F.when(games, F.regexp_replace(F.regexp_replace(tail, DATE_IN_TEXT, ""), r"^[\s\-|]+|[\s\-|]+$", "")).otherwise(F.array_join(F.slice("lines", 3, 100), " | ")),
+        "details": F.when(games, F.regexp_replace(F.regexp_replace(tail, DATE_IN_TEXT, ""), r"^[\s\-|]+|[\s\-|]+$", "")).otherwise(F.array_join(F.slice("lines", 3, 2**31 - 1), " | ")),
         "month": F.regexp_extract(dated, DATE_IN_TEXT, 1), "day": F.regexp_extract(dated, DATE_IN_TEXT, 2),
         "year": F.coalesce(F.when(F.regexp_extract(dated, DATE_IN_TEXT, 3) != "", F.regexp_extract(dated, DATE_IN_TEXT, 3)), F.lit("")),
         "base_year": F.coalesce(F.col("h2_year").cast("int"), F.col(base_year)),
@@ -155,7 +192,7 @@ def box_office_items(pages: DataFrame, *, page_id: str = "page_id", html: str =
     date = F.date_format(F.try_to_date(plain_text(F.col("block")), "MMMM d, yyyy"), "yyyy-MM-dd")
     rows = rows.withColumn("release_date", carried(F.when(label, date), page_id)).filter(~label)
     cells = F.regexp_extract_all("block", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1))
-    rows = rows.withColumn("cells", cells).filter(F.size("cells") >= 1).withColumn("cell", F.col("cells")[0])
+    rows = rows.withColumn("cells", cells).filter(F.size("cells") >= 1).withColumn("cell", F.get("cells", F.lit(0)))
     title = plain_text(F.coalesce(F.when(F.col("cell").rlike("(?i)<h3"), F.regexp_extract("cell", r"(?is)<h3[^>]*>(.*?)</h3>", 1)), F.regexp_extract("cell", r"(?is)<a[^>]*href=[\"'][^\"']*/release/[^\"']*[\"'][^>]*>(.*?)</a>", 1)))
     path = F.regexp_extract("cell", r"(?is)href=[\"'](/release/[^\"'?]*)", 1)
     rows = rows.withColumns({"title": title, "url": F.when(path != "", F.concat(F.lit("https://www.boxofficemojo.com"), path)).otherwise(""), "lines": plain_text(F.regexp_replace("cell", r"(?i)</(?:h3|a|div|span|p)>", "<br>"), lines=True)}).filter("title <> ''")
@@ -165,7 +202,7 @@ def box_office_items(pages: DataFrame, *, page_id: str = "page_id", html: str =
     rows = rows.withColumn("own", own)
     rest = F.filter("own", lambda x: ~x.startswith("With:") & ~x.rlike(runtime))
     plain = F.filter(rest, lambda x: ~note(x))
-    notes = F.concat(F.filter(rest, note), F.slice(plain, 2, 100))
+    notes = F.concat(F.filter(rest, note), F.slice(plain, 2, 2**31 - 1))
     return rows.select(
         page_id, "pos", "title", "url", "release_date", F.coalesce(F.try_element_at(plain, F.lit(1)), F.lit("")).alias("genres"),
         F.coalesce(F.regexp_replace(F.try_element_at(F.filter("own", lambda x: x.startswith("With:")), F.lit(1)), r"^With:\s*", ""), F.lit("")).alias("cast"),
@@ -273,9 +310,9 @@ def tv_classification(pages: DataFrame, *, page_id: str = "page_id", body: str =
     year = F.regexp_extract("block", r"\b(20\d{2})\b", 1)
     rows = blocks.withColumns({"heading": carried(F.when(kind == "<h3", plain_text(F.col("block"))), page_id), "own_year": carried(F.when((kind == "<h2") & (year != ""), year), page_id)}).filter(kind == "<tr")
     cells = F.regexp_extract_all("block", F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1))
-    rows = rows.withColumn("cells", cells).filter(F.size("cells") >= 2).withColumns({"data": F.col("cells")[1], "network_cell": F.coalesce(F.try_element_at("cells", F.lit(3)), F.lit(""))})
+    rows = rows.withColumn("cells", cells).filter(F.size("cells") >= 2).withColumns({"data": F.get("cells", F.lit(1)), "network_cell": F.coalesce(F.try_element_at("cells", F.lit(3)), F.lit(""))})
     rows = rows.withColumns({"lines": plain_text(F.col("data"), lines=True), "network_lines": plain_text(F.col("network_cell"), lines=True)})
-    code = F.replace(F.regexp_extract(F.col("cells")[0], r'(?is)<shortcode[^>]*api="([^"]*)"', 1), F.lit("&quot;"), F.lit('"'))
+    code = F.replace(F.regexp_extract(F.get("cells", F.lit(0)), r'(?is)<shortcode[^>]*api="([^"]*)"', 1), F.lit("&quot;"), F.lit('"'))
     strong = plain_text(F.regexp_extract("data", r"(?is)<(?:strong|b|a)\b[^>]*>(.*?)</(?:strong|b|a)>", 1))
     link = F.regexp_extract("data", r"(?is)<a [^>]*href=[\"']([^\"']+)[\"']", 1)
     rows = rows.withColumns({

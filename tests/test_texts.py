@@ -2,6 +2,8 @@
 
 import datetime
 import gzip
+import html
+import html.entities
 import io
 import json
 import random
@@ -245,3 +247,44 @@ def test_changes_are_sequential(spark, seed):
     changed, log = C.apply_changes(df, changes, row_col="row_id", fields=["instagram_user", "title"], today="2026-05-01")
     assert {r.seq: r.row_id for r in log.collect()} == meant
     assert {r.row_id: [r.title, r.instagram_user] for r in changed.collect()} == table
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_rolled_dates_equal_a_fold(spark, seed):
+    rng = random.Random(seed)
+    months = X.MONTHS.split("|")
+    rows = []
+    for page in range(60):
+        leap, base = page % 3 == 0, rng.choice([2019, 2023, 2024, None])
+        for pos in range(rng.randint(1, 25)):
+            month, day = rng.choice([*months, "march", "Smarch", "", None]), rng.choice([1, 15, 28, 30, 31, "x", None])
+            if leap and rng.random() < 0.3:
+                month, day = rng.choice([("February", 29), ("July", 1), ("January", 5)])
+            rows.append((page, pos, month, None if day is None else str(day), rng.choice(["", "", "", "", None, "2024", "2030"]), base))
+    want = {}
+    for page in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == page]
+        year, last = mine[0][5], None
+        for _, pos, month, day, explicit, _ in mine:
+            now = None
+            try:
+                number = [m.lower() for m in months].index(month.lower()) + 1
+                now = datetime.date(int(explicit) if explicit else year, number, int(day))
+                if not explicit and last is not None and now < last and last.month - now.month >= 6:
+                    now = now.replace(year=now.year + 1)
+                year, last = now.year, now
+            except (ValueError, TypeError, AttributeError):
+                now = None
+            want[page, pos] = now and now.isoformat()
+    got = X.rolled_dates(spark.createDataFrame(rows, "page_id int, pos int, month string, day string, year string, base_year int"), "page_id", "base_year").collect()
+    assert {(r.page_id, r.pos): r.release_date for r in got} == want
+
+
+def test_character_references_equal_the_standard_library(spark):
+    rng = random.Random(4)
+    names = sorted(html.entities.html5)
+    texts = ["&" + n for n in names] + ["&" + n.rstrip(";") + "x" for n in names] + [f"&#{n};" for n in [*range(300), 0xD7FF, 0xD800, 0xFDD0, 0xFFFE, 0x1F600, 0x10FFFF, 0x110000, 10**12]]
+    texts += ["&#x1F600", "&#X41;b", "&#x;", "&#;", "&", "&&amp;&", "a & b &lt;c&gt", "&notit;", "&amp;lt;", "&#000000000000065;", None, ""]
+    texts += ["".join(rng.choice(["&", "#", ";", "x", "amp", "lt", "1", "65", " ", "é", "😀", "&nbsp;", "<"]) for _ in range(12)) for _ in range(300)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.unescape(F.col("t")).alias("u")).collect()
+    assert [(t, u) for t, u in zip(texts, [r.u for r in sorted(got)], strict=True) if u != (t if t is None else html.unescape(t))] == []
