@@ -249,13 +249,32 @@ def page_identity(pages: DataFrame, *, page_id: str = "page_id", html: str = "ht
     return pages.select(page_id, title.alias("title"), F.when(year != "", year.cast("int")).alias("year"))
 
 
-def search_results(pages: DataFrame, *, page_id: str = "page_id", html: str = "html", most: int = 10) -> DataFrame:
-    """Result links of search pages: title, unwrapped URL, position."""
-    link = page_blocks(pages, r'(?is)<a[^>]*class="[^"]*result__a[^"]*"[^>]*>.*?</a>', page_id, html).filter(F.col("pos") < most)
-    href = F.regexp_extract("block", r'(?is)href="([^"]*)"', 1)
-    inner = F.regexp_extract(href, r"[?&]uddg=([^&]*)", 1)
-    url = F.when(inner != "", F.try_url_decode(inner)).otherwise(href)
-    return link.select(page_id, (F.col("pos") + 1).alias("position"), plain_text(F.col("block")).alias("title"), url.alias("url")).filter("title <> '' AND url LIKE 'http%'")
+def spaced_text(c: Column) -> Column:
+    """HTML with its tags as spaces, references decoded, white space squeezed."""
+    return F.trim(F.regexp_replace(unescape(F.regexp_replace(c, r"(?s)<[^>]+>", " ")), r"(?U)\s+", " "))
+
+
+def search_results(pages: DataFrame, *, page_id: str = "page_id", html: str = "html", most: int = 10, reach: int = 2000) -> DataFrame:
+    """Results of search pages: position, title, unwrapped URL, its host, and the snippet.
+
+    The snippet is the first one in the ``reach`` characters after the result's
+    anchor; positions count all anchors, and those without an address of a page are left out.
+    """
+    anchor = r'(?is)<a[^>]*class="[^"]*result__a[^"]*"[^>]*>.*?</a>'
+    snippet = r'(?is)<a[^>]+class="result__snippet"[^>]*>(.*?)</a>|<div[^>]+class="result__snippet"[^>]*>(.*?)</div>'
+    found = pages.select(page_id, F.coalesce(html, F.lit("")).alias("raw")).select(page_id, "raw", F.slice(F.regexp_extract_all("raw", F.lit(anchor), F.lit(0)), 1, most).alias("links"), F.transform(F.split("raw", anchor, most + 1), F.length).alias("gaps"))
+    # where each anchor ends: all that is before it and the anchors up to it
+    ends = F.transform(F.sequence(F.lit(1), F.size("links")), lambda i: F.aggregate(F.slice("gaps", 1, i), F.lit(0), lambda s, x: s + x) + F.aggregate(F.slice("links", 1, i), F.lit(0), lambda s, x: s + F.length(x)))
+    rest = F.transform(ends, lambda end: F.substring(F.col("raw"), end + 1, F.lit(reach)))
+    link = found.filter(F.size("links") > 0).select(page_id, F.posexplode(F.arrays_zip("links", rest.alias("rest"))).alias("pos", "r"))
+    href = unescape(F.regexp_extract("r.links", r'(?is)href="([^"]*)"', 1))
+    full = F.when(href.startswith("//"), F.concat(F.lit("https:"), href)).otherwise(href)
+    inner = F.regexp_extract(full, r"[?&]uddg=([^&]*)", 1)
+    url = F.when(inner != "", F.try_url_decode(inner)).otherwise(full)
+    said = F.coalesce(F.nullif(F.regexp_extract("r.rest", snippet, 1), F.lit("")), F.regexp_extract("r.rest", snippet, 2))
+    host = F.lower(F.regexp_extract("url", r"^https?://([^/?#]*)", 1))
+    made = link.select(page_id, (F.col("pos") + 1).alias("position"), spaced_text(F.col("r.links")).alias("title"), url.alias("url"), spaced_text(said).alias("snippet"))
+    return made.filter("title <> '' AND url LIKE 'http%'").withColumn("source_domain", host)
 
 
 def media_rows(pages: DataFrame, kind: str, *, page_id: str = "page_id", html: str = "html") -> DataFrame:

@@ -269,3 +269,60 @@ def links_from_pages(pages: DataFrame, *, page_id: str = "page_id", url_col: str
     links = href.withColumn("link", full).filter("link IS NOT NULL").withColumn("host", T.host(F.col("link")))
     platform = F.coalesce(*[F.when((F.col("host") == d) | F.col("host").endswith("." + d), p) for d, p in LINK_HOSTS.items()])
     return links.select(page_id, "link", "host", platform.alias("platform")).distinct()
+
+
+# Properties of a knowledge-base item that hold an account or id, and the addresses they make.
+CLAIM_LINKS = [
+    ("P2013", "facebook", "https://www.facebook.com/", "Username from Wikidata"), ("P2003", "instagram", "https://www.instagram.com/", "Username from Wikidata"), ("P2002", "twitter", "https://x.com/", "Username from Wikidata"),
+    ("P7085", "tiktok", "https://www.tiktok.com/@", "Username from Wikidata"), ("P2397", "youtube", "https://www.youtube.com/channel/", "Channel id from Wikidata"), ("P345", "imdb", "https://www.imdb.com/", "IMDb id from Wikidata"),
+]
+WEBSITE_CLAIM = "P856"
+ID_PATHS = {"tt": "title/", "nm": "name/", "co": "company/"}
+CLAIMS_SCHEMA = "map<string,array<struct<mainsnak:struct<datavalue:struct<type:string,value:string>>>>>"
+
+
+def claim_values(claims: Column) -> Column:
+    """Map of property to its first text value, from the claims of an item as JSON; other values don't count."""
+    parsed = F.from_json(claims, CLAIMS_SCHEMA)
+    held = lambda c: F.when(F.coalesce(c["mainsnak"]["datavalue"]["type"] == "string", ~c["mainsnak"]["datavalue"]["value"].startswith("{")), c["mainsnak"]["datavalue"]["value"])
+    texts = F.transform_values(parsed, lambda _, v: F.filter(F.transform(v, held), lambda x: x.isNotNull()))
+    return F.transform_values(F.map_filter(texts, lambda k, v: F.size(v) > 0), lambda _, v: F.get(v, F.lit(0)))
+
+
+def profile_url(url: Column) -> Column:
+    """Scheme, host in lower case without www., path without slashes at its end."""
+    scheme = F.coalesce(F.nullif(F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)), F.lit("")), F.lit("https"))
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), r"^www\.", "")
+    path = F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), r"/+$", "")
+    return F.concat(scheme, F.lit("://"), host, path)
+
+
+def account_of(url: Column) -> Column:
+    """The account in a profile address: its first path segment, the second after words like channel; null without one."""
+    parts = F.filter(F.split(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/"), lambda x: x != "")
+    typed = F.get(parts, F.lit(0)).isin("channel", "user", "c", "title", "name", "company") & (F.size(parts) > 1)
+    return F.when(typed, F.get(parts, F.lit(1))).otherwise(F.get(parts, F.lit(0)))
+
+
+def links_from_claims(items: DataFrame, *, key: str, claims: str = "claims", page_url: str | None = None) -> DataFrame:
+    """Profile links of knowledge-base items: key, platform, url, handle, evidence, official_website.
+
+    ``claims`` is the items' JSON of properties; each property's first text value
+    counts.  With ``page_url``, pages of the encyclopedia are links as well.  Links that are
+    equal in any case are given once; items without links have no rows.
+    """
+    held = items.select(key, claim_values(F.col(claims)).alias("v"), *([F.col(page_url).alias("page")] if page_url else []))
+
+    def link(prop: str, platform: str, start: str, evidence: str) -> Column:
+        value = F.nullif(F.try_element_at("v", F.lit(prop)), F.lit(""))
+        if platform == "tiktok":
+            value = F.regexp_replace(value, "^@+", "")
+        if platform == "imdb":
+            value = F.concat(F.coalesce(*[F.when(value.startswith(p), path) for p, path in ID_PATHS.items()], F.lit("")), value)
+        return F.when(value.isNotNull(), F.struct(F.lit(platform).alias("platform"), profile_url(F.concat(F.lit(start), value)).alias("url"), F.lit(evidence).alias("evidence")))
+
+    made = [link(*x) for x in CLAIM_LINKS]
+    if page_url:
+        made.append(F.when(T.host(F.col("page")).endswith("wikipedia.org"), F.struct(F.lit("wikipedia").alias("platform"), profile_url(F.col("page")).alias("url"), F.lit("Canonical Wikipedia page").alias("evidence"))))
+    rows = held.select(key, F.try_element_at("v", F.lit(WEBSITE_CLAIM)).alias("official_website"), F.inline(F.filter(F.array(*made), lambda x: x.isNotNull())))
+    return rows.select(key, "platform", "url", account_of(F.col("url")).alias("handle"), "evidence", "official_website")

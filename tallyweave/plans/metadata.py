@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import extract as X
 from ..operators import metadata as M
+from ..operators import scoring as S
 from .common import table
 from .registry import query
 
@@ -79,3 +81,37 @@ def unified_metadata(spark, sf_dir):
     dated = releases(rows).withColumn("date", F.when(F.col("date") != "soon", F.col("date")).otherwise("soon"))
     made = M.assemble_metadata(primary, secondary, releases=dated, videos=videos, names=names(rows))
     return made.select("id", "title", "title_type", "year", "runtime_minutes", F.array_join("genres", "|").alias("genres"), "networks", "theatrical_release_date", "trailer_url", "trailer_release_date")
+
+
+@query("links_from_claims", """
+WITH c AS (SELECT c_custkey AS k, c_name AS n, replace(c_name, '#', '') AS h FROM customer),
+l AS (SELECT k, 'facebook' AS platform, 'https://facebook.com/' || h AS url, h AS handle, 'Username from Wikidata' AS evidence FROM c WHERE k % 2 = 0
+UNION ALL SELECT k, 'tiktok', 'https://tiktok.com/@' || h, '@' || h, 'Username from Wikidata' FROM c WHERE k % 3 = 0
+UNION ALL SELECT k, 'imdb', 'https://imdb.com/' || CASE WHEN k % 2 = 0 THEN 'title/tt' ELSE 'name/nm' END || k, CASE WHEN k % 2 = 0 THEN 'tt' ELSE 'nm' END || k, 'IMDb id from Wikidata' FROM c WHERE k % 5 <> 0
+UNION ALL SELECT k, 'wikipedia', 'https://en.wikipedia.org/wiki/' || h, 'wiki', 'Canonical Wikipedia page' FROM c WHERE k % 7 = 0)
+SELECT k, platform, url, handle, evidence, CASE WHEN k % 4 = 0 THEN 'https://' || k || '.example.org' END AS official_website FROM l""")
+def links_from_claims(spark, sf_dir):
+    k, account = F.col("c_custkey"), F.replace("c_name", F.lit("#"), F.lit(""))
+    value = lambda v, kind="string": F.struct(F.struct(F.struct(F.lit(kind).alias("type"), v.alias("value")).alias("datavalue")).alias("mainsnak"))
+    # an item's id stands before the text value, which is the one that counts
+    held = lambda test, v: F.when(test, F.array(value(F.lit('{"id": "Q1"}'), "wikibase-entityid"), value(v), value(F.lit("later"))))
+    claims = F.struct(
+        held(k % 2 == 0, account).alias("P2013"), held(k % 3 == 0, F.concat(F.lit("@"), account)).alias("P7085"), held(k % 5 != 0, F.concat(F.when(k % 2 == 0, "tt").otherwise("nm"), k)).alias("P345"),
+        held(k % 4 == 0, F.concat(F.lit("https://"), k, F.lit(".example.org"))).alias("P856"), held(k > 0, F.lit("x")).alias("P31"),
+    )
+    items = table(spark, sf_dir, "customer").select(k.alias("k"), F.to_json(claims).alias("claims"), F.when(k % 7 == 0, F.concat(F.lit("https://EN.wikipedia.org/wiki/"), account, F.lit("?a=b"))).alias("page"))
+    return S.links_from_claims(items, key="k", page_url="page")
+
+
+# of three results the second has no address of a page; the last one's snippet is too far away where the key is even
+@query("search_snippets", """
+WITH p AS (SELECT p_partkey AS k, p_name AS n FROM part)
+SELECT k AS page_id, 1 AS position, n || ' & more' AS title, 'https://site' || k % 10 || '.org/a b' AS url, 'About ' || n AS snippet, 'site' || k % 10 || '.org' AS source_domain FROM p
+UNION ALL SELECT k, 3, 'Last', 'http://Last.org/?q=' || k, CASE WHEN k % 2 = 0 THEN '' ELSE 'Near' END, 'last.org' FROM p""")
+def search_snippets(spark, sf_dir):
+    k, name = F.col("p_partkey"), F.col("p_name")
+    html = F.concat(
+        F.lit('<a rel=x class="result__a" href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fsite'), k % 10, F.lit('.org%2Fa%20b&amp;rut=1"><b>'), name, F.lit('</b> &amp; more</a> <a class="result__snippet" href="y">About  <i>'), name,
+        F.lit('</i></a><a class="result__a" href="/local">Local</a><a class="result__a" href="http://Last.org/?q='), k, F.lit('">Last</a>'), F.when(k % 2 == 0, F.repeat(F.lit("."), 2100)).otherwise(""), F.lit('<div class="result__snippet">Near</div>'),
+    )
+    return X.search_results(table(spark, sf_dir, "part").select(k.alias("page_id"), html.alias("html")))

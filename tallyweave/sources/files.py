@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import io
+import itertools
 import re
 import zipfile
 from xml.etree import ElementTree
@@ -21,16 +23,62 @@ DATASETS = {
 PREFERRED_VALUE_COLUMNS = ["imdb_id", "imdb id", "id", "title", "name", "primary title", "primary name", "person", "value"]
 
 
-def read_sheet_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """A CSV sheet as text columns plus ``row_num`` (header on row 1) in file order.
+#: Encodings in which a sheet is tried to be read, in this order.
+ENCODINGS = ("utf-8-sig", "utf-8", "cp1252")
 
-    Each file is one partition when its rows may span lines, so the numbers
-    follow the file.
+
+def decoded_sheet(content: bytes, encodings: tuple[str, ...]) -> tuple[str, str]:
+    """The encoding that fits first, strictly, and the text."""
+    for encoding in encodings:
+        try:
+            return encoding, content.decode(encoding)
+        except UnicodeDecodeError:
+            continue
+    raise ValueError(f"the file could not be decoded as {', '.join(encodings)}")
+
+
+def read_csv_rows(spark: SparkSession, path: str, encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
+    """All rows of the CSV sheets in a folder: path, encoding, row_num (from 1), cells.
+
+    Each file is read once, in the first of ``encodings`` that fits all of its bytes; a
+    file that fits none is an error with its name.  Rows keep the cells they have, however
+    many, and empty lines count.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def rows(batches):
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    encoding, text = decoded_sheet(bytes(content), encodings)
+                except ValueError as error:
+                    raise ValueError(f"{name}: {error}") from None
+                sheet = enumerate(csv.reader(io.StringIO(text, newline="")), 1)
+                while part := list(itertools.islice(sheet, 10_000)):
+                    yield pd.DataFrame([(name, encoding, n, cells) for n, cells in part], columns=["path", "encoding", "row_num", "cells"])
+
+    return files.mapInPandas(rows, "path string, encoding string, row_num long, cells array<string>")
+
+
+def read_sheet_csv(spark: SparkSession, path: str, encoding: str | None = None, header_row: int = 1) -> DataFrame:
+    """CSV sheets as text columns plus ``row_num``, in file order.
+
+    The header is that of the first file by path; every file must have the same one.
+    Without an ``encoding`` each file is read in the first of ``ENCODINGS``
+    that fits.  Short rows end in nulls, cells beyond the header are left out,
+    empty cells are null, and a header without a name is ``column_N``; of equal names later ones get their number.
     """
-    raw = spark.read.csv(path, header=True, multiLine=True, encoding=encoding, escape='"', mode="PERMISSIVE")
-    place = F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id())
-    numbered = raw.select("*", F.col("_metadata.file_path").alias("__file"), place.alias("__at"))
-    return numbered.withColumn("row_num", F.row_number().over(Window.partitionBy("__file").orderBy("__at")) + 1).drop("__file", "__at")
+    rows = read_csv_rows(spark, path, (encoding,) if encoding else ENCODINGS)
+    heads = rows.filter(F.col("row_num") == header_row).select("path", "cells")
+    if heads.select("cells").distinct().limit(2).count() > 1:
+        raise ValueError(f"the sheets in {path} have different headers")
+    first = heads.orderBy("path").first()
+    names: list[str] = []
+    for i, name in enumerate(first.cells if first else [], 1):
+        name = name.strip() or f"column_{i}"
+        names.append(f"{name}_{i}" if name.lower() in {n.lower() for n in [*names, "row_num"]} else name)
+    cells = [F.nullif(F.get("cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)]
+    return rows.filter(F.col("row_num") > header_row).select(*cells, "row_num")
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:

@@ -288,3 +288,40 @@ def test_character_references_equal_the_standard_library(spark):
     texts += ["".join(rng.choice(["&", "#", ";", "x", "amp", "lt", "1", "65", " ", "é", "😀", "&nbsp;", "<"]) for _ in range(12)) for _ in range(300)]
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.unescape(F.col("t")).alias("u")).collect()
     assert [(t, u) for t, u in zip(texts, [r.u for r in sorted(got)], strict=True) if u != (t if t is None else html.unescape(t))] == []
+
+
+def test_sheets_in_several_encodings(spark, tmp_path):
+    head, folder = "title,note\n", tmp_path / "sheets"
+    folder.mkdir()
+    (folder / "a.csv").write_bytes(b"\xef\xbb\xbf" + (head + "Été,\"two\nlines\"\n").encode())
+    (folder / "b.csv").write_bytes((head + "naïve\n\nlong,row,with more\n").encode())
+    (folder / "c.csv").write_bytes((head + "café – “x”,y\n").encode("cp1252"))
+    (folder / "d.csv").write_bytes(head.replace("\n", "\r\n").encode())
+    rows = files.read_csv_rows(spark, str(folder)).collect()
+    assert {(r.path[-5:], r.encoding, r.row_num, tuple(r.cells)) for r in rows if r.row_num > 1} == {
+        ("a.csv", "utf-8-sig", 2, ("Été", "two\nlines")), ("b.csv", "utf-8-sig", 2, ("naïve",)), ("b.csv", "utf-8-sig", 3, ()), ("b.csv", "utf-8-sig", 4, ("long", "row", "with more")), ("c.csv", "cp1252", 2, ("café – “x”", "y")),
+    }
+    got = {(r.title, r.note, r.row_num) for r in files.read_sheet_csv(spark, str(folder)).collect()}
+    assert got == {("Été", "two\nlines", 2), ("naïve", None, 2), (None, None, 3), ("long", "row", 4), ("café – “x”", "y", 2)}
+    (folder / "e.csv").write_bytes(b"title,note\n\x81,\x8d\n")
+    with pytest.raises(Exception, match="e.csv.*could not be decoded"):
+        files.read_csv_rows(spark, str(folder)).collect()
+
+
+def test_snippets_of_search_pages(spark):
+    near = '<a class="result__snippet" href=x>First &amp; <b>best</b></a>'
+    far = "x" * 2100 + '<div class="result__snippet">too far</div>'
+    page = f'<a class="result__a" href="//duckduckgo.com/l/?uddg=https%3A%2F%2FA.org%2Fx&amp;rut=1">One</a>{near}<a class="result__a" href="https://b.org">T<i>wo</i></a><a class="result__a" href="/local">Three</a><div class="result__snippet">Third</div><a class="result__a" href="http://d.org/">Four</a>{far}'
+    got = X.search_results(spark.createDataFrame([(1, page), (2, None), (3, "<p>none")], "page_id int, html string")).orderBy("position").collect()
+    assert [(r.position, r.title, r.url, r.snippet, r.source_domain) for r in got] == [(1, "One", "https://A.org/x", "First & best", "a.org"), (2, "T wo", "https://b.org", "Third", "b.org"), (4, "Four", "http://d.org/", "", "d.org")]
+
+
+def test_links_from_claims(spark):
+    claim = lambda *values: [{"mainsnak": {"datavalue": {"value": v, "type": "string" if isinstance(v, str) else "wikibase-entityid"}}} for v in values]
+    claims = {"P2013": claim({"id": "Q1"}, "Brand/"), "P2002": claim("brand_x", "other"), "P7085": claim("@tok"), "P2397": claim("UC1"), "P345": claim("nm12"), "P856": claim("https://brand.org"), "P31": claim({"id": "Q5"}), "P2003": [{"mainsnak": {}}]}
+    rows = [("a", json.dumps(claims), "https://EN.wikipedia.org/wiki/Brand?x=1"), ("b", "{}", "https://brand.org"), ("c", None, None), ("d", "not json", "https://de.wikipedia.org/")]
+    got = S.links_from_claims(spark.createDataFrame(rows, "k string, claims string, page string"), key="k", page_url="page").collect()
+    assert {(r.k, r.platform, r.url, r.handle, r.official_website) for r in got} == {
+        ("a", "facebook", "https://facebook.com/Brand", "Brand", "https://brand.org"), ("a", "twitter", "https://x.com/brand_x", "brand_x", "https://brand.org"), ("a", "tiktok", "https://tiktok.com/@tok", "@tok", "https://brand.org"),
+        ("a", "youtube", "https://youtube.com/channel/UC1", "UC1", "https://brand.org"), ("a", "imdb", "https://imdb.com/name/nm12", "nm12", "https://brand.org"), ("a", "wikipedia", "https://en.wikipedia.org/wiki/Brand", "wiki", "https://brand.org"), ("d", "wikipedia", "https://de.wikipedia.org", None, None),
+    }
