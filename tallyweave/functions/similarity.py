@@ -252,6 +252,12 @@ def jaro_winkler_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     """
     spark = texts.sparkSession
     units, dealt = make_units(kinds_of_text(texts))
+    if len(units) == 1 and units[0].blocks == 1:
+
+        def among(group: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame(near_jaro_winkler(group["v"].tolist(), None, threshold), columns=["a", "b", "similarity"])
+
+        return dealt.groupBy("unit").applyInPandas(among, "a string, b string, similarity double")
     # without a common first letter there is no prefix; with all four, Jaro need only reach (t - 0.4) / 0.6
     least = {False: 3 * threshold - 2, True: 3 * (threshold - 0.4) / 0.6 - 2}
     one, two = meet(dealt, dealt, unit_pairs(spark, units, units, lambda ratio, first: ratio >= least[first] - 1e-9, True), True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as html_lib
 import json
+from collections.abc import Callable
 from html.entities import html5
 
 import pandas as pd
@@ -105,43 +106,40 @@ def rolled_dates(rows: DataFrame, page_id: str, base_year: str) -> DataFrame:
     order = Window.partitionBy(page_id).orderBy("pos")
     run, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
     number = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS.lower().split("|")) for x in (m, i + 1)])
-    names = [f"__{n}" for n in ("m", "d", "y", "base", "leap", "seen", "rolled", "turns", "from", "date")]
-    m, d, y, base, leap, seen, rolled, turns, start, date = names
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # of one order, so that windows share a pass
+    new = {n: f"__{n}" for n in ("m", "d", "y", "seen", "base", "leap", "last", "turns", "days", "from")}
+    c = lambda n: F.col(new[n])
     day = lambda year, month, day: F.to_date(F.try_make_timestamp(year, month, day, F.lit(0), F.lit(0), F.lit(0.0)))
-    given = rows.withColumns({
-        m: F.try_element_at(number, F.lower("month")), d: F.col("day").try_cast("int"), y: F.nullif(F.col("year").cast("string"), F.lit("")).try_cast("int"), base: F.first(F.col(base_year)).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-    })
-    is_leap = F.col(y).isNull() & (F.col(m) == 2) & (F.col(d) == 29)
+    said = F.coalesce(F.col("year").cast("string"), F.lit("")) != ""
+    given = rows.withColumns({new["m"]: F.try_element_at(number, F.lower("month")), new["d"]: F.col("day").try_cast("int"), new["y"]: F.when(said, F.col("year").cast("string").try_cast("int"))})
     # a day that exists: in its year, or in any year that isn't a leap year
-    known = (day(F.coalesce(y, F.lit(2001)), F.col(m), F.col(d))).isNotNull() & (F.nullif(F.coalesce(F.col("year").cast("string"), F.lit("")), F.lit("")).isNull() | F.col(y).isNotNull())
-    mark = F.when(known, F.struct(F.col(m).alias("m"), F.col(d).alias("d")))
-    marked = given.withColumns({leap: F.max(F.coalesce(is_leap, F.lit(False))).over(Window.partitionBy(page_id)), seen: mark}).withColumn("__last", F.last(seen, ignorenulls=True).over(before))
-    last = F.col("__last")
-    over = F.col(y).isNull() & F.col(seen).isNotNull() & (F.col(seen) < last) & (last["m"] - F.col(m) >= 6)
-    counted = marked.withColumn(rolled, F.coalesce(over.cast("int"), F.lit(0))).withColumn(turns, F.sum(rolled).over(run))
-    held = F.last(F.when(F.col(seen).isNotNull() & F.col(y).isNotNull(), F.struct(F.col(y).alias("y"), F.col(turns).alias("t"))), ignorenulls=True).over(run)
-    own = counted.withColumn(start, held)
-    year = F.when(F.col(start).isNotNull(), F.col(start)["y"] + F.col(turns) - F.col(start)["t"]).otherwise(F.col(base).cast("int") + F.col(turns))
-    found = own.withColumn(date, F.when(F.col(seen).isNotNull(), day(year.cast("int"), F.col(m), F.col(d))))
-    found = found.withColumn("release_date", F.date_format(F.coalesce(F.when(~F.col(leap), F.col(date)), folded_date(found, page_id, *names[:5])), "yyyy-MM-dd"))
-    return found.drop(*names, "__last")
-
-
-def folded_date(rows: DataFrame, page_id: str, m: str, d: str, y: str, base: str, leap: str) -> Column:
-    """The dates of pages with a 29 February without a year: a fold over the page's rows up to each one."""
-    upto = Window.partitionBy(page_id).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.collect_list(F.when(F.col(leap), F.struct(F.col(m).alias("m"), F.col(d).alias("d"), F.col(y).alias("y"), F.col("year").cast("string").alias("said")))).over(upto)
-    empty = F.struct(F.col(base).cast("int").alias("year"), F.lit(None).cast("date").alias("last"), F.lit(None).cast("date").alias("now"))
-    day = lambda year, x: F.to_date(F.try_make_timestamp(year, x["m"], x["d"], F.lit(0), F.lit(0), F.lit(0.0)))
+    known = day(F.coalesce(c("y"), F.lit(2001)), c("m"), c("d")).isNotNull() & (~said | c("y").isNotNull())
+    given = given.withColumn(new["seen"], F.when(known, F.struct(c("m").alias("m"), c("d").alias("d"))))
+    marked = given.withColumns({
+        new["base"]: F.first(F.col(base_year)).over(run), new["leap"]: F.max(F.coalesce(~said & (c("m") == 2) & (c("d") == 29), F.lit(False))).over(whole), new["last"]: F.last(c("seen"), ignorenulls=True).over(before),
+    })
+    over = c("y").isNull() & c("seen").isNotNull() & (c("seen") < c("last")) & (c("last")["m"] - c("m") >= 6)
+    # only pages with a 29 February without a year keep their days for the fold
+    days = F.when(c("leap"), F.struct(c("m").alias("m"), c("d").alias("d"), c("y").alias("y"), said.alias("said")))
+    counted = marked.withColumns({new["turns"]: F.sum(F.coalesce(over.cast("int"), F.lit(0))).over(run), new["days"]: F.collect_list(days).over(run)})
+    held = F.last(F.when(c("seen").isNotNull() & c("y").isNotNull(), F.struct(c("y").alias("y"), c("turns").alias("t"))), ignorenulls=True).over(run)
+    found = counted.withColumn(new["from"], held)
+    year = F.when(c("from").isNotNull(), c("from")["y"] + c("turns") - c("from")["t"]).otherwise(c("base").cast("int") + c("turns"))
+    date = F.when(c("leap"), folded_date(c("days"), c("base"), day)).when(c("seen").isNotNull(), day(year.cast("int"), c("m"), c("d")))
+    return found.withColumn("release_date", F.date_format(date, "yyyy-MM-dd")).drop(*new.values())
+
+
+def folded_date(days: Column, base: Column, day: Callable[[Column, Column, Column], Column]) -> Column:
+    """The date of the last of some days of a page, read one after the other."""
+    empty = F.struct(base.cast("int").alias("year"), F.lit(None).cast("date").alias("last"), F.lit(None).cast("date").alias("now"))
 
     def step(state: Column, x: Column) -> Column:
-        said = F.coalesce(x["said"], F.lit("")) != ""
-        first = day(F.when(said, x["y"]).otherwise(state["year"]), x)
-        over = ~said & (first < state["last"]) & (F.month(state["last"]) - F.month(first) >= 6)
-        now = F.when(F.coalesce(over, F.lit(False)), day(F.year(first) + 1, x)).otherwise(first)
+        first = day(F.when(x["said"], x["y"]).otherwise(state["year"]), x["m"], x["d"])
+        over = ~x["said"] & (first < state["last"]) & (F.month(state["last"]) - F.month(first) >= 6)
+        now = F.when(F.coalesce(over, F.lit(False)), day(F.year(first) + 1, x["m"], x["d"])).otherwise(first)
         return F.struct(F.coalesce(F.year(now), state["year"]).alias("year"), F.coalesce(now, state["last"]).alias("last"), now.alias("now"))
 
-    return F.when(F.col(leap), F.aggregate(seen, empty, step, lambda s: s["now"]))
+    return F.aggregate(days, empty, step, lambda s: s["now"])
 
 
 def premiere_items(pages: DataFrame, *, page_id: str = "page_id", section: str = "section", body: str = "body", base_year: str = "base_year") -> DataFrame:
