@@ -145,7 +145,7 @@ def landmarks(prints: str) -> Column:
     return F.filter(places, lambda p: (p["at"] == 0) | (F.get(prints, p["at"] - 1) != p["word"]))
 
 
-def align(prints: DataFrame, is_query, *, id_col: str = "id", least_votes: int = 1, least_overlap: int = 24, max_error: float = 0.14, flips: int = 1) -> DataFrame:
+def align(prints: DataFrame, is_query, *, id_col: str = "id", least_votes: int = 1, least_overlap: int = 16, max_error: float = 0.2, flips: int = 2) -> DataFrame:
     """Align query recordings with all recordings by their integers.
 
     ``prints`` has an id and ``prints``; ``is_query`` is a condition on it.  One
@@ -156,8 +156,8 @@ def align(prints: DataFrame, is_query, *, id_col: str = "id", least_votes: int =
 
     An integer of a query votes for an offset with every integer of other
     recordings that differs in at most ``flips`` bits.  A link without such a pair
-    is missed: of links up to an error of 0.14 one flip finds over 0.9, and of those up to
-    0.2 two flips do (sixteen times as many probes).  At each offset with
+    is missed: of links up to an error of 0.2 two flips find over 0.9, and of those up to
+    0.14 one flip does (a sixteenth of the probes).  At each offset with
     ``least_votes`` or more, classes link if at least
     ``least_overlap`` integers overlap there and at most ``max_error`` of their
     bits differ; the offset with least errors counts.  Recordings with equal integers are compared once, as a class,
@@ -177,14 +177,18 @@ def align(prints: DataFrame, is_query, *, id_col: str = "id", least_votes: int =
     sought = asked.select(F.col("c").alias("qc"), F.inline(landmarks("prints")))
     sought = sought.select("qc", F.col("at").alias("q_at"), F.explode(ball("word", 32, flips)).alias("word"))
     votes = words.join(sought, "word").filter("c <> qc").groupBy("c", "qc", (F.col("at") - F.col("q_at")).alias("shift")).agg(F.count("*").alias("votes"))
-    voted = votes.filter(F.col("votes") >= least_votes)
-    both = voted.join(classes.select("c", F.col("prints").alias("x"), "class_id"), "c").join(asked.select(F.col("c").alias("qc"), F.col("prints").alias("y"), "queries", "query_id"), "qc")
-    overlap = F.least(F.size("x"), F.size("y") + F.col("shift")) - F.greatest(F.lit(0), F.col("shift"))
-    both = both.withColumn("overlap", overlap).filter(F.col("overlap") >= least_overlap)
-    aligned = F.zip_with(F.slice("x", F.greatest(F.col("shift"), F.lit(0)) + 1, F.col("overlap")), F.slice("y", F.greatest(-F.col("shift"), F.lit(0)) + 1, F.col("overlap")), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
-    both = both.withColumn("bit_error", F.aggregate(aligned, F.lit(0), lambda n, x: n + x) / (32.0 * F.col("overlap"))).filter(F.col("bit_error") <= max_error)
-    least = F.min(F.struct("bit_error", (-F.col("overlap")).alias("less"), F.abs("shift").alias("far"), "shift")).alias("b")
-    both = both.groupBy("c", "qc").agg(least, F.first("queries").alias("queries"), F.first("query_id").alias("query_id")).select("c", "qc", "b.shift", (-F.col("b.less")).alias("overlap"), "b.bit_error", "queries", "query_id")
+    # the integers of a pair of classes meet once, for all of its offsets
+    voted = votes.filter(F.col("votes") >= least_votes).groupBy("c", "qc").agg(F.collect_list("shift").alias("shifts"))
+    both = voted.join(classes.select("c", F.col("prints").alias("x")), "c").join(asked.select(F.col("c").alias("qc"), F.col("prints").alias("y"), "queries", "query_id"), "qc")
+
+    def at(shift: Column) -> Column:
+        overlap = F.least(F.size("x"), F.size("y") + shift) - F.greatest(F.lit(0), shift)
+        aligned = F.zip_with(F.slice("x", F.greatest(shift, F.lit(0)) + 1, overlap), F.slice("y", F.greatest(-shift, F.lit(0)) + 1, overlap), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+        error = F.aggregate(aligned, F.lit(0), lambda n, x: n + x) / (32.0 * overlap)
+        return F.when(overlap >= least_overlap, F.struct(error.alias("bit_error"), (-overlap).alias("less"), F.abs(shift).alias("far"), shift.alias("shift")))
+
+    best = F.array_min(F.filter(F.transform("shifts", at), lambda x: x["bit_error"] <= max_error))  # the fewest errors
+    both = both.withColumn("b", best).filter("b IS NOT NULL").select("c", "qc", "b.shift", (-F.col("b.less")).alias("overlap"), "b.bit_error", "queries", "query_id")
     own = asked.select("c", F.col("c").alias("qc"), F.lit(0).alias("shift"), F.size("prints").alias("overlap"), F.lit(0.0).alias("bit_error"), "queries", "query_id")
     linked = both.select("c", "qc", "shift", "overlap", "bit_error", "queries", "query_id").unionByName(own)
     found = linked.groupBy("c").agg(

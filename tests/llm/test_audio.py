@@ -90,16 +90,16 @@ def test_recall_of_distorted_recordings(spark):
         made |= {50 * k: x, 50 * k + 1: y / abs(y).max()}
     made |= {7: np.zeros(40_000), 8: np.zeros(30_000), 9: np.sin(np.arange(50_000) * 0.7), 50 * 60: np.zeros(35_000)}
     prints = audio.with_fingerprint(spark.createDataFrame([(i, wav(s)) for i, s in made.items()], "id long, audio binary")).cache()
-    got = [{r.id: r for r in audio.align(prints, F.col("id") % 50 == 0, max_error=e, flips=n).collect()} for e, n in ((0.14, 1), (0.2, 2))]
+    got = [{r.id: r for r in audio.align(prints, F.col("id") % 50 == 0, **o).collect()} for o in ({"max_error": 0.14, "flips": 1}, {})]
     ints = {r.id: np.array(r.prints, np.int64) for r in prints.collect()}
     least = {}
     for i, a in ints.items():
         for q, b in ints.items():
             if q % 50 == 0 and q != i:
-                for s in range(24 - len(b), len(a) - 23):
+                for s in range(16 - len(b), len(a) - 15):
                     u, v = a[max(s, 0) :], b[max(-s, 0) :]
                     n = min(len(u), len(v))
-                    if n >= 24:
+                    if n >= 16:
                         least[i, q] = min(least.get((i, q), 1), np.bitwise_count(u[:n] ^ v[:n]).sum() / 32 / n)
     for most, found in zip((0.14, 0.2), got):
         links = {pair for pair, e in least.items() if e <= most}
