@@ -145,6 +145,15 @@ def landmarks(prints: str) -> Column:
     return F.filter(places, lambda p: (p["at"] == 0) | (F.get(prints, p["at"] - 1) != p["word"]))
 
 
+def signed(prints: Column) -> Column:
+    """The integers in four bytes each, the highest bit turned: two of them differ in the same bits."""
+    return F.transform(prints, lambda x: (x - 2**31).cast("int"))
+
+
+#: Integers of all queries that are broadcast to where the votes are counted; more are met by a shuffle.
+MOST_INTEGERS = 8_000_000
+
+
 def align(prints: DataFrame, is_query, *, id_col: str = "id", least_votes: int = 1, least_overlap: int = 16, max_error: float = 0.2, flips: int = 2) -> DataFrame:
     """Align query recordings with all recordings by their integers.
 
@@ -179,11 +188,13 @@ def align(prints: DataFrame, is_query, *, id_col: str = "id", least_votes: int =
     votes = words.join(sought, "word").filter("c <> qc").groupBy("c", "qc", (F.col("at") - F.col("q_at")).alias("shift")).agg(F.count("*").alias("votes"))
     # the integers of a pair of classes meet once, for all of its offsets
     voted = votes.filter(F.col("votes") >= least_votes).groupBy("c", "qc").agg(F.collect_list("shift").alias("shifts"))
-    both = voted.join(classes.select("c", F.col("prints").alias("x")), "c").join(asked.select(F.col("c").alias("qc"), F.col("prints").alias("y"), "queries", "query_id"), "qc")
+    integers = asked.agg(F.sum(F.size("prints"))).first()[0] or 0
+    theirs = asked.select(F.col("c").alias("qc"), signed(F.col("prints")).alias("y"), "queries", "query_id")
+    both = voted.join(classes.select("c", signed(F.col("prints")).alias("x")), "c").join(F.broadcast(theirs) if integers <= MOST_INTEGERS else theirs, "qc")
 
     def at(shift: Column) -> Column:
         overlap = F.least(F.size("x"), F.size("y") + shift) - F.greatest(F.lit(0), shift)
-        aligned = F.zip_with(F.slice("x", F.greatest(shift, F.lit(0)) + 1, overlap), F.slice("y", F.greatest(-shift, F.lit(0)) + 1, overlap), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+        aligned = F.zip_with(F.slice("x", F.greatest(shift, F.lit(0)) + 1, overlap), F.slice("y", F.greatest(-shift, F.lit(0)) + 1, overlap), lambda a, b: F.bit_count(a.bitwiseXOR(b).cast("long").bitwiseAND(F.lit(2**32 - 1))))
         error = F.aggregate(aligned, F.lit(0), lambda n, x: n + x) / (32.0 * overlap)
         return F.when(overlap >= least_overlap, F.struct(error.alias("bit_error"), (-overlap).alias("less"), F.abs(shift).alias("far"), shift.alias("shift")))
 

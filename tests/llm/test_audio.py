@@ -125,5 +125,13 @@ def test_melodies_tell_vectors_apart():
     assert len(audio.melody(None, 1)) == len(audio.melody([], 1)) == 0 and len(audio.melody([0.0, np.nan], None)) == 2 * audio.HOP
 
 
+def test_many_queries_are_met_by_a_shuffle(spark, monkeypatch):
+    made = {0: tune(1, 60), 50: tune(1, 60)[2000:], 3: tune(1, 60)[9000:], 4: tune(2, 60)}
+    prints = audio.with_fingerprint(spark.createDataFrame([(i, wav(x)) for i, x in made.items()], "id long, audio binary"))
+    want = sorted(audio.align(prints, F.col("id") % 50 == 0).collect())
+    monkeypatch.setattr(audio, "MOST_INTEGERS", 10)
+    assert sorted(audio.align(prints, F.col("id") % 50 == 0).collect()) == want and any(r.n_links for r in want)
+
+
 def test_empty_table(spark):
     assert audio.align(audio.with_fingerprint(spark.createDataFrame([], SCHEMA)), F.col("id") % 50 == 0).count() == 0
