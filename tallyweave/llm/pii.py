@@ -76,7 +76,7 @@ def occurrences(text: Column, number: int, pattern: str, hint: str | None) -> Co
     pieces = F.transform(F.split(text, pattern, -1), lambda p: F.struct(F.length(p).alias("n"), F.substring(p, -LEFT, LEFT).alias("tail"), F.substring(p, 1, RIGHT).alias("head")))
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     cells = F.transform(
-        F.arrays_zip(matches.alias("m"), pieces.alias("p"), F.slice(pieces, 2, 2**31 - 1).alias("q")),
+        F.arrays_zip(matches.alias("m"), pieces.alias("p"), F.slice(pieces, 2, F.size(pieces)).alias("q")),
         lambda x, i: F.struct(F.lit(number).alias("pattern"), i.alias("i"), x["p"]["n"].alias("gap"), x["m"].alias("text"), x["p"]["tail"].alias("left"), x["q"]["head"].alias("right")),
     )
     there = text.rlike(pattern) if hint is None else text.contains(hint) & text.rlike(pattern)

@@ -149,3 +149,10 @@ def test_empty_table_redaction_and_digest(spark, tmp_path):
     spans = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end")) for k, a, b in [("email", 2, 10), ("ip", 12, 19), ("x", 15, 21)]])
     row = docs.limit(1).select(redact(F.col("text"), spans).alias("t"), span_list(spans).alias("s")).first()
     assert row.t == "é [email], [ip]nd" and row.s == "email:2:10,ip:12:19,x:15:21"
+
+
+def test_context_on_both_sides_votes(spark):
+    texts = ["a 4242424242424242abc", "a 4242424242424242 abc", "order 4242424242424242", "my card is 4242424242424242."]
+    found = pii.candidates(pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), "text")).filter("base").sort("row").collect()
+    assert [r.cells[3] for r in found] == [9, 10, 10, 10] and [r.cells[2] for r in found] == [8, 8, 6, 7]
+    assert len({found[0].f3, found[1].f3}) == 2
