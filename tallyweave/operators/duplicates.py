@@ -57,14 +57,19 @@ def duplicate_conflicts(df: DataFrame, title_col: str = "title", handle_columns:
     return parts.join(groups, ["column", "kind", "key"]).select("row_num", "column", "kind", "value", (F.col("n") - 1).alias("others"))
 
 
-def conflict_messages(df: DataFrame, conflicts: DataFrame, most: int = 20) -> DataFrame:
-    """A message per conflict that lists other rows; long groups are listed by their first ``most`` rows."""
+def conflict_messages(df: DataFrame, conflicts: DataFrame, most: int | None = 20) -> DataFrame:
+    """A message per conflict that lists the other rows: the first ``most``, or all of them with None.
+
+    All messages of a group of n rows together name n * n rows, so long groups are cut unless asked for.
+    """
     key = F.lower(F.trim("value"))
     rows = conflicts.withColumn("key", key)
     rank = F.row_number().over(Window.partitionBy("column", "kind", "key").orderBy("row_num"))
-    listed = rows.withColumn("r", rank).filter(F.col("r") <= most + 1).groupBy("column", "kind", "key").agg(F.array_sort(F.collect_list("row_num")).alias("rows"))
+    some = rows if most is None else rows.withColumn("r", rank).filter(F.col("r") <= most + 1)
+    listed = some.groupBy("column", "kind", "key").agg(F.array_sort(F.collect_list("row_num")).alias("rows"))
     joined = rows.join(listed, ["column", "kind", "key"])
-    others = F.array_join(F.transform(F.slice(F.array_except("rows", F.array("row_num")), 1, most), lambda x: x.cast("string")), ", ")
+    rest = F.array_except("rows", F.array("row_num"))
+    others = F.array_join(F.transform(rest if most is None else F.slice(rest, 1, most), lambda x: x.cast("string")), ", ")
     return joined.select("row_num", "column", F.concat(F.col("kind"), F.lit(": '"), "value", F.lit("' also on row(s): "), others).alias("message"))
 
 

@@ -24,7 +24,7 @@ def export_site_rows(queries: DataFrame, hits: DataFrame, *, query_id: str = "qu
     """
     ranked = F.array_sort(F.collect_list(F.when(F.col("url").isNotNull(), F.struct("rank", "url", "result_title", "score"))))
     sites = hits.groupBy(query_id, "site").agg(F.max("status").alias("status"), ranked.alias("h"), F.max("notes").alias("site_notes"))
-    first, rest = F.try_element_at("h", F.lit(1)), F.transform(F.slice("h", 2, 1_000_000), lambda x: x["url"])
+    first, rest = F.try_element_at("h", F.lit(1)), F.transform(F.slice("h", 2, 2**30), lambda x: x["url"])
     none = F.array().cast("array<string>")
     return queries.join(sites, query_id).select(
         query_id, F.col("title").alias("input_title"), F.col("year").alias("input_year"), F.col("title_type").alias("input_type"), "site", "status",

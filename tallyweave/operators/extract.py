@@ -162,11 +162,11 @@ def premiere_items(pages: DataFrame, *, page_id: str = "page_id", section: str =
     title = F.coalesce(F.when(plain_text(F.regexp_extract("data", r"(?is)<(?:a|strong|b)[^>]*>(.*?)</(?:a|strong|b)>", 1)) != "", plain_text(F.regexp_extract("data", r"(?is)<(?:a|strong|b)[^>]*>(.*?)</(?:a|strong|b)>", 1))), F.get_json_object(code, "$.title"), first)
     rows = rows.withColumns({"title": title, "url": F.when(link.startswith("/"), F.concat(F.lit("https://www.metacritic.com"), link)).otherwise(link), "metascore": F.get_json_object(code, "$.metaScore").try_cast("int")}).filter("title IS NOT NULL AND title <> ''")
     games = F.col(section) == "games"
-    tail = F.array_join(F.slice("lines", 2, 2**31 - 1), " | ")
+    tail = F.array_join(F.slice("lines", 2, 2**30), " | ")
     dated = F.when(games & tail.rlike(DATE_IN_TEXT), tail).otherwise(F.coalesce("heading", F.lit("")))
     rows = rows.withColumns({
         "provider": F.when(games, F.regexp_replace(F.replace(F.coalesce(first, F.lit("")), F.col("title"), F.lit("")), r"^[\s\-]+|[\s\-]+$", "")).otherwise(F.regexp_replace(F.coalesce(F.try_element_at("lines", F.lit(2)), F.lit("")), r"^\((.*)\)\z", "$1")),
-        "details": F.when(games, F.regexp_replace(F.regexp_replace(tail, DATE_IN_TEXT, ""), r"^[\s\-|]+|[\s\-|]+$", "")).otherwise(F.array_join(F.slice("lines", 3, 2**31 - 1), " | ")),
+        "details": F.when(games, F.regexp_replace(F.regexp_replace(tail, DATE_IN_TEXT, ""), r"^[\s\-|]+|[\s\-|]+$", "")).otherwise(F.array_join(F.slice("lines", 3, 2**30), " | ")),
         "month": F.regexp_extract(dated, DATE_IN_TEXT, 1), "day": F.regexp_extract(dated, DATE_IN_TEXT, 2),
         "year": F.coalesce(F.when(F.regexp_extract(dated, DATE_IN_TEXT, 3) != "", F.regexp_extract(dated, DATE_IN_TEXT, 3)), F.lit("")),
         "base_year": F.coalesce(F.col("h2_year").cast("int"), F.col(base_year)),
@@ -200,7 +200,7 @@ def box_office_items(pages: DataFrame, *, page_id: str = "page_id", html: str =
     rows = rows.withColumn("own", own)
     rest = F.filter("own", lambda x: ~x.startswith("With:") & ~x.rlike(runtime))
     plain = F.filter(rest, lambda x: ~note(x))
-    notes = F.concat(F.filter(rest, note), F.slice(plain, 2, 2**31 - 1))
+    notes = F.concat(F.filter(rest, note), F.slice(plain, 2, 2**30))
     return rows.select(
         page_id, "pos", "title", "url", "release_date", F.coalesce(F.try_element_at(plain, F.lit(1)), F.lit("")).alias("genres"),
         F.coalesce(F.regexp_replace(F.try_element_at(F.filter("own", lambda x: x.startswith("With:")), F.lit(1)), r"^With:\s*", ""), F.lit("")).alias("cast"),

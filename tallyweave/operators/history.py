@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 # Days before and after the anchor of each window.
@@ -70,6 +70,19 @@ def window_counts(flagged: DataFrame) -> DataFrame:
     return flagged.groupBy("window_flag").agg(F.count("*").alias("items"))
 
 
+def observed_window(items: DataFrame, date: Column, start: datetime.date, end: datetime.date, skip: dict[str, Column] | None = None, name: str = "window") -> tuple[DataFrame, Observation | None]:
+    """The items of a window and an observation of how many were kept and skipped, by reason.
+
+    The counters are filled by whatever action reads the items, in the same
+    pass.  On a stream they are in each batch's progress, as ``observedMetrics[name]``,
+    and the observation is None.
+    """
+    flagged = window_flags(items, date, start, end, skip)
+    counters = [F.count_if(F.col("window_flag") == flag).alias(flag) for flag in [*(skip or {}), "no_date", "outside", "kept"]]
+    watch = None if items.isStreaming else Observation(name)
+    return flagged.observe(watch or name, *counters).filter("window_flag = 'kept'").drop("window_flag"), watch
+
+
 def release_report(items: DataFrame, start: datetime.date, end: datetime.date, *, date: str, title: str, keys: list[str]) -> DataFrame:
     """Items of a window, the first of equal keys, in order of date and title."""
     kept = window_flags(items, F.col(date), start, end).filter("window_flag = 'kept'").drop("window_flag")

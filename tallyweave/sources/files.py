@@ -152,6 +152,18 @@ def read_dataset_tsv(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return out.withColumn("__turn", turn).filter("__turn = 1").drop("__turn", "__at")
 
 
+def write_lookup_table(df: DataFrame, name: str, key: str, *, buckets: int, path: str | None = None) -> DataFrame:
+    """Save a reference table in buckets of a key, sorted within them, and read it back.
+
+    Look-ups by that key then read the table where it lies: only the queries are
+    shuffled, into as many partitions.  Write one table for each key that is looked up, such as
+    a dataset's id and its normalised name.  ``path`` makes it an external table.
+    """
+    writer = df.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def parse_query_lines(lines: DataFrame, fields: list[str], defaults: dict[str, str] | None = None, line: str = "value") -> DataFrame:
     """Lines of fields separated by | as a query table; blank lines dropped, missing fields by default."""
     parts = F.transform(F.split(line, r"\|"), lambda x: F.regexp_replace(x, T.EDGES, ""))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,23 @@ def validate_stream(stream: DataFrame, rules: list[R.Rule], **options) -> DataFr
     return R.validate(stream, rules, **options)
 
 
+def validate_with_tables(stream: DataFrame, rules: list[R.Rule], tables: Callable[[], dict], folder: str, **options) -> None:
+    """All issues of a stream, look-ups in reference tables too: ``folder``/out, a folder per batch.
+
+    ``tables`` gives the ``refs`` of ``rules.validate`` (see ``references.table_checks``)
+    and is asked for each batch, so that a batch meets the tables as they
+    are then: reading them by path in it takes a new version in.  A batch that is run again
+    replaces its own folder.  ``unique`` needs ``unique_stream``.
+    """
+    if any(r.check == "unique" for r in rules):
+        raise ValueError("unique is a stateful check: use unique_stream")
+
+    def check(batch: DataFrame, number: int) -> None:
+        R.validate(batch, rules, refs=tables(), **options).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    stream.writeStream.foreachBatch(check).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+
+
 def activity_windows(stream: DataFrame, *, at: str, kind: str, length: str = "1 day", slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Events per kind and window; later events than the watermark are dropped."""
     w = F.window(at, length, slide) if slide else F.window(at, length)

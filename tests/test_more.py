@@ -1,5 +1,7 @@
 """Operators that have no query of their own: look-ups by id, candidates, page parsers, sources, small helpers."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from tallyweave.functions import text as T
@@ -11,6 +13,7 @@ from tallyweave.operators import history as H
 from tallyweave.operators import lookup as L
 from tallyweave.operators import references as R
 from tallyweave.operators import scoring as S
+from tallyweave.operators import tickets as K
 from tallyweave.sources import files
 from tallyweave.streaming import queries as Z
 
@@ -139,3 +142,69 @@ def test_chart_entries_against_a_roster(spark):
     assert R.chart_totals(got).first() == (3, 1)
 
 
+
+
+def test_taxonomy_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(K, "MOST_CATEGORIES", 3)
+    taxonomy = one(spark, "category string, position int", *[(f"kind {c}", i) for i, c in enumerate("zyxwvutsrq")], ("Talent", 10), ("Movies and TV", 11), ("TV", 12))
+    df = one(spark, "r int, c string", (1, "talent"), (2, "tv"), (3, "movies"), (4, "kind"), (5, "some kind q here"), (6, "none"), (7, None), (8, "TV shows"))
+    assert {r.r: r.aligned for r in K.align_to_taxonomy(df, taxonomy, "c").collect()} == {1: "Talent", 2: "TV", 3: "Movies and TV", 4: "kind z", 5: "kind q", 6: "Other", 7: "Other", 8: "TV"}
+
+
+def test_all_rows_of_a_conflict(spark):
+    df = one(spark, "row_num long, title string", *[(i, "Same") for i in range(30)])
+    found = D.duplicate_conflicts(df)
+    all_of = {r.row_num: r.message for r in D.conflict_messages(df, found, most=None).collect()}
+    assert all_of[3].endswith(", ".join(str(i) for i in range(30) if i != 3))
+    assert D.conflict_messages(df, found).filter("row_num = 3").first().message.endswith(", 19, 20")
+
+
+def test_window_counters_in_the_same_pass(spark, tmp_path):
+    day = datetime.date
+    rows = [(1, day(2026, 5, 1), "a"), (2, day(2026, 6, 1), "a"), (3, None, "b"), (4, day(2026, 5, 2), "skip")]
+    items = one(spark, "i int, d date, k string", *rows)
+    skip = {"special": F.col("k") == "skip"}
+    kept, watch = H.observed_window(items, F.col("d"), day(2026, 5, 1), day(2026, 5, 31), skip)
+    assert [r.i for r in kept.collect()] == [1]
+    counts = {r.window_flag: r["items"] for r in H.window_counts(H.window_flags(items, F.col("d"), day(2026, 5, 1), day(2026, 5, 31), skip)).collect()}
+    assert {k: v for k, v in watch.get.items() if v} == counts
+    items.write.parquet(str(tmp_path / "in"))
+    stream, none = H.observed_window(spark.readStream.schema(items.schema).parquet(str(tmp_path / "in")), F.col("d"), day(2026, 5, 1), day(2026, 5, 31), skip)
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    seen = [p["observedMetrics"]["window"] for p in query.recentProgress if p["numInputRows"]]
+    assert none is None and sum(m["kept"] for m in seen) == 1 and sum(m["special"] for m in seen) == 1 and spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_stream_meets_reference_tables_as_they_are(spark, tmp_path):
+    from tallyweave.operators import rules as Q
+
+    rules = Q.parse_rules([{"column": "imdb_id", "check": "reference_lookup_match", "platform": "imdb"}, {"column": "title", "check": "required"}])
+    schema = "row_num long, title string, title_category string, imdb_id string"
+    reference = lambda *titles: one(spark, "platform string, ref_id string, titles array<string>, wikidata_id string, type string", *[("imdb", f"tt000000{i}", [t], None, "movie") for i, t in enumerate(titles)]).write.mode("overwrite").parquet(str(tmp_path / "ref"))
+    tables = lambda: R.table_checks("row_num", references=spark.read.parquet(str(tmp_path / "ref")))
+    stream = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    batches = [one(spark, schema, (1, "Old", "Movies", "tt0000000"), (2, "", "Movies", "tt0000001")), one(spark, schema, (3, "Old", "Movies", "tt0000000"), (4, "New", "Movies", "tt0000000"))]
+    want = set()
+    for batch, titles in zip(batches, (("Old", "Two"), ("New", "Two")), strict=True):
+        reference(*titles)
+        batch.write.mode("append").parquet(str(tmp_path / "in"))
+        Z.validate_with_tables(stream(), rules, tables, str(tmp_path / "run"))
+        want |= {(r.row_num, r.column, r.message) for r in Q.validate(batch, rules, refs=tables()).collect()}
+    got = {(r.row_num, r.column, r.message) for r in spark.read.parquet(str(tmp_path / "run" / "out")).collect()}
+    assert got == want and {r[0] for r in got} == {2, 3}
+
+
+def test_lookup_tables_stay_where_they_are(spark, tmp_path):
+    titles = spark.range(2000).select(F.concat(F.lit("tt"), "id").alias("tconst"), F.concat(F.lit("name "), F.col("id") % 700).alias("norm"))
+    queries = spark.range(3000).select("id", F.concat(F.lit("name "), F.col("id") % 900).alias("norm"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = files.write_lookup_table(titles, "titles_by_norm", "norm", buckets=4, path=str(tmp_path / "titles"))
+        joined = queries.join(table, "norm")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan and joined.count() == queries.join(titles, "norm").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE IF EXISTS titles_by_norm")
