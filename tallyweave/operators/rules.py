@@ -13,7 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, fields
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -316,9 +316,26 @@ def run_metrics(issues: DataFrame) -> DataFrame:
     return issues.rollup("sheet", "rule").agg(F.count("*").alias("issues"), F.count_distinct("row_num").alias("flagged_rows"))
 
 
+PASSED = "All checks passed."
+
+
+def passed_row(issues: DataFrame) -> DataFrame:
+    """A single row, with the columns of issues, that says that all checks passed."""
+    one = issues.sparkSession.range(1)
+    return one.select(*[F.lit(PASSED if c == "message" else None).cast(t).alias(c) for c, t in issues.dtypes])
+
+
 def with_passed_row(issues: DataFrame, spark_range: DataFrame) -> DataFrame:
-    """The issues, or a single row that says that all checks passed."""
-    passed = spark_range.limit(1).select(F.lit("All checks passed.").alias("m"))
-    none = passed.join(issues.limit(1).select(F.lit(1).alias("some")), F.lit(True), "left").filter("some IS NULL")
-    row = none.select(*[F.col("m").alias(c) if c == "message" else F.lit(None).cast(t).alias(c) for c, t in issues.dtypes])
-    return issues.unionByName(row)
+    """The issues, or a single row that says that all checks passed; the checks run twice (see :func:`write_issues`)."""
+    none = passed_row(issues).join(issues.limit(1).select(F.lit(1).alias("some")), F.lit(True), "left").filter("some IS NULL").drop("some")
+    return issues.unionByName(none)
+
+
+def write_issues(issues: DataFrame, path: str) -> int:
+    """Write the issues as Parquet in one pass over the checks, or the row that says that all passed; returns their number."""
+    watch = Observation("issues")
+    issues.observe(watch, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    found = watch.get["n"]
+    if not found:
+        passed_row(issues).write.mode("append").parquet(path)
+    return found

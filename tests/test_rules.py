@@ -98,3 +98,13 @@ def test_reference_checks_run_on_tables_and_skip_without(spark):
     assert issues(df, rules) == []
     labels = spark.createDataFrame([("@heatmovie", "Heat"), ("youtube.com/c/other", "Heat"), ("", "Heat"), ("youtube.com/channel/UC1", "Heat")], "v string, t string")
     assert [r.f for r in labels.select(references.youtube_label_fits(F.col("v"), F.col("t")).alias("f")).collect()] == [True, False, True, True]
+
+
+def test_issues_are_written_in_one_pass(spark, tmp_path):
+    rules = R.parse_rules([{"column": "name", "check": "required"}])
+    bad, good = (spark.createDataFrame(rows, "row_num long, name string, n int") for rows in ([(1, "", 1), (2, "x", 1), (3, None, 1)], [(1, "x", 1)]))
+    assert R.write_issues(R.validate(bad, rules), str(tmp_path / "out")) == 2
+    assert {r.row_num for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1, 3}
+    assert R.write_issues(R.validate(good, rules), str(tmp_path / "out")) == 0
+    [r] = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert r.message == R.PASSED and r.row_num is None
