@@ -154,7 +154,7 @@ def signed(prints: Column) -> Column:
 MOST_INTEGERS = 8_000_000
 
 
-def align(prints: DataFrame, is_query, *, id_col: str = "id", least_votes: int = 1, least_overlap: int = 16, max_error: float = 0.2, flips: int = 2) -> DataFrame:
+def align(prints: DataFrame, is_query, *, id_col: str = "id", least_votes: int = 2, least_overlap: int = 16, max_error: float = 0.2, flips: int = 2) -> DataFrame:
     """Align query recordings with all recordings by their integers.
 
     ``prints`` has an id and ``prints``; ``is_query`` is a condition on it.  One
@@ -164,9 +164,9 @@ def align(prints: DataFrame, is_query, *, id_col: str = "id", least_votes: int =
     (frames by which the query starts later in it), ``overlap`` and ``bit_error``.
 
     An integer of a query votes for an offset with every integer of other
-    recordings that differs in at most ``flips`` bits.  A link without such a pair
-    is missed: of links up to an error of 0.2 two flips find over 0.9, and of those up to
-    0.14 one flip does (a sixteenth of the probes).  At each offset with
+    recordings that differs in at most ``flips`` bits: twice if at most one does.  A
+    link without ``least_votes`` at an offset is missed: of links up to an error of 0.2
+    two flips find over 0.9, and of those up to 0.14 one flip does (a sixteenth of the probes).  At each offset with
     ``least_votes`` or more, classes link if at least
     ``least_overlap`` integers overlap there and at most ``max_error`` of their
     bits differ; the offset with least errors counts.  Recordings with equal integers are compared once, as a class,
@@ -182,10 +182,13 @@ def align(prints: DataFrame, is_query, *, id_col: str = "id", least_votes: int =
     classes = cut(classes, "print-classes")
     # votes per pair and offset; a class that is compared with itself needs none
     asked = classes.filter("queries > 0")
-    words = classes.select("c", F.inline(landmarks("prints")))
-    sought = asked.select(F.col("c").alias("qc"), F.inline(landmarks("prints")))
-    sought = sought.select("qc", F.col("at").alias("q_at"), F.explode(ball("word", 32, flips)).alias("word"))
-    votes = words.join(sought, "word").filter("c <> qc").groupBy("c", "qc", (F.col("at") - F.col("q_at")).alias("shift")).agg(F.count("*").alias("votes"))
+    words = classes.select("c", F.size("prints").alias("n"), F.inline(landmarks("prints"))).withColumnRenamed("word", "x")
+    sought = asked.select(F.col("c").alias("qc"), F.size("prints").alias("q_n"), F.inline(landmarks("prints")))
+    sought = sought.select("qc", "q_n", F.col("at").alias("q_at"), F.col("word").alias("y"), F.explode(ball("word", 32, flips)).alias("x"))
+    shift = F.col("at") - F.col("q_at")
+    overlap = F.least(F.col("n"), F.col("q_n") + shift) - F.greatest(F.lit(0), shift)
+    near = F.when(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) < 2, 2).otherwise(1)
+    votes = words.join(sought, "x").filter(F.col("c") != F.col("qc")).filter(overlap >= least_overlap).groupBy("c", "qc", shift.alias("shift")).agg(F.sum(near).alias("votes"))
     # the integers of a pair of classes meet once, for all of its offsets
     voted = votes.filter(F.col("votes") >= least_votes).groupBy("c", "qc").agg(F.collect_list("shift").alias("shifts"))
     integers = asked.agg(F.sum(F.size("prints"))).first()[0] or 0
