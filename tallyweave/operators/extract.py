@@ -7,10 +7,8 @@ import json
 from collections.abc import Callable
 from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions import text as T
 
@@ -44,26 +42,33 @@ def unescape(c: Column) -> Column:
 
     def whole(text: Column) -> Column:
         between, refs = F.split(text, REFERENCE, -1), F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), decoded)
-        return F.when(text.contains("&"), F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.get(refs, i), F.lit("")))), "")).otherwise(text)
+        return F.when(text.contains("&"), F.array_join(F.zip_with(between, refs, lambda x, ref: F.concat(x, F.coalesce(ref, F.lit("")))), "")).otherwise(text)
 
     return F.get(F.transform(F.array(c), whole), F.lit(0))  # the text is worked out once
 
 
-@F.pandas_udf(StringType())
-def repair_mojibake(texts: pd.Series) -> pd.Series:
-    """UTF-8 that was read as Latin-1 or Windows-1252, read again; other text stays."""
+# The characters of Windows-1252 that Latin-1 lacks, and the Latin-1 characters of the same bytes.
+ONLY_1252 = {bytes([n]).decode("cp1252"): chr(n) for n in range(0x80, 0xA0) if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
-    def mend(t):
-        if t is None or not any(mark in t for mark in ("Ã", "Â", "â€")):
-            return t
-        for code in ("cp1252", "latin-1"):
-            try:
-                return t.encode(code).decode("utf-8")
-            except UnicodeError:
-                pass
-        return t
 
-    return pd.Series([mend(t) for t in texts], dtype=object)
+def repair_mojibake(c: Column | str) -> Column:
+    """UTF-8 that was read as Latin-1 or Windows-1252, read again; other text stays.
+
+    Built-in functions only: a Python function on decoded references is one that Spark
+    at times leaves in the plan, where it can't be run.
+    """
+    special = "".join(ONLY_1252)
+
+    def read_again(text: Column) -> Column:
+        raw = F.encode(F.translate(text, special, "".join(ONLY_1252.values())), "ISO-8859-1").cast("string")
+        return F.when(F.is_valid_utf8(raw), raw)
+
+    def mend(t: Column) -> Column:
+        by_1252 = F.when(~t.rlike(rf"[^\x00-\x7f\u00a0-\u00ff{special}]"), read_again(t))
+        by_latin = F.when(~t.rlike(r"[^\x00-\u00ff]"), read_again(t))
+        return F.when(t.rlike("Ã|Â|â€"), F.coalesce(by_1252, by_latin, t)).otherwise(t)
+
+    return F.get(F.transform(F.array(c), mend), F.lit(0))  # the text is worked out once
 
 
 def plain_text(c: Column, lines: bool = False) -> Column:

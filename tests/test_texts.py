@@ -104,6 +104,26 @@ def test_identity_and_mojibake(spark):
     assert [r.t for r in df.select(X.repair_mojibake("t").alias("t")).collect()] == ["café", "café", None]
 
 
+def test_mojibake_after_references_equals_python(spark, tmp_path):
+    def mend(t):
+        for code in ("cp1252", "latin-1") if any(mark in t for mark in ("Ã", "Â", "â€")) else ():
+            try:
+                return t.encode(code).decode("utf-8")
+            except UnicodeError:
+                pass
+        return t
+
+    rng = random.Random(5)
+    good = ["café – naïve", "“quoted” it’s", "€ 5 ½", "\x81Ã©", "Ã", "Â\x80Ã©", "Ã© 漢", "日本 é", "ÂÃ", "<b>a &amp; b</b>", "&eacute;Ã©", "Ã\udc80".encode("utf-8", "replace").decode()]
+    texts = [t.encode("utf-8").decode(code, "ignore") for t in good for code in ("utf-8", "cp1252", "latin-1")] + ["\x9dÃ©", "Ã\x81", "â€\x9d", "â€œ", "", "Ã" * 100_000, "Ã©" * 100_000]
+    texts += ["".join(rng.choice(["Ã", "Â", "â", "€", "©", "\x80", "\x9d", "™", "œ", "a", "é", "漢", "\xa0"]) for _ in range(rng.randint(2, 6))) for _ in range(500)]
+    spark.createDataFrame(list(enumerate(texts)), "i int, t string").write.parquet(f"{tmp_path}/texts")
+    for _ in range(6):  # plans with a Python function failed at times
+        got = spark.read.parquet(f"{tmp_path}/texts").select("i", X.repair_mojibake("t").alias("m"), X.repair_mojibake(X.unescape(F.col("t"))).alias("u")).collect()
+        assert [(t, r.m) for t, r in zip(texts, sorted(got), strict=True) if r.m != mend(t)] == []
+        assert [(t, r.u) for t, r in zip(texts, sorted(got), strict=True) if r.u != mend(html.unescape(t))] == []
+
+
 def test_tickets(spark):
     texts = ["Ticket #90210\nFrom: Borealis\nPlease add the creator https://instagram.com/a. and https://tiktok.com/@b", "brand set upload attached #555", "hello", "new influencer please #777", None]
     got = K.ticket_qa(K.validate_tickets(K.classify_tickets(K.parse_tickets(spark.createDataFrame(list(enumerate(texts)), "i int, raw_text string"))))).orderBy("i").collect()
