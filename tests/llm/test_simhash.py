@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -98,3 +99,33 @@ def test_components_with_hot_nodes(spark, monkeypatch):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = plain_components(edges, nodes)
     assert got == {n: c for n, c in want.items() if any(n in e and e[0] != e[1] for e in edges)}
+
+
+def test_rounds_of_small_graphs_are_few_stages(spark):
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 400)] + [(rng.randint(500, 900), rng.randint(500, 900)) for _ in range(200)]
+    sc = spark.sparkContext
+    sc.setJobGroup("small graph", "")
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    sc.setJobGroup("rest", "")
+    tracker = sc.statusTracker()
+    stages = {i for job in tracker.getJobIdsForGroup("small graph") for i in tracker.getJobInfo(job).stageIds}
+    nodes = {x for e in edges if e[0] != e[1] for x in e}
+    want = plain_components([e for e in edges if e[0] != e[1]], nodes)
+    assert got == {n: want[n] for n in nodes}
+    assert len(stages) <= 120  # 184 with joins
+
+
+def test_components_of_large_graphs(spark, monkeypatch):
+    from tallyweave.llm import components
+
+    for most in (0, 700, 100_000):  # by joins, by windows, and first the one and then the other
+        monkeypatch.setattr(components, "SMALL", most)
+        monkeypatch.setattr(components, "FEW", 3)
+        monkeypatch.setattr(components, "HOT", 20)
+        rng = random.Random(most)
+        edges = [(0, i) for i in range(1, 300)] + [(rng.randint(300, 700), rng.randint(300, 700)) for _ in range(150)] + [(5000 + i, i) for i in range(200)] + [(9000, 8000 + i) for i in range(200)]
+        nodes = {x for e in edges if e[0] != e[1] for x in e}
+        want = plain_components([e for e in edges if e[0] != e[1]], nodes)
+        got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {n: want[n] for n in nodes}
