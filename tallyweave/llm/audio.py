@@ -2,8 +2,8 @@
 
 Audio becomes frames of energy in the twelve pitch classes.  Filters that
 compare areas of this image, read off an integral image, give two bits each,
-packed into one 32-bit integer per frame.  Recordings that share integers, up to
-a bit, vote for offsets in a histogram; at these offsets the bit errors decide.
+packed into one 32-bit integer per frame.  Recordings that share the upper bits of
+two integers, up to two bits, vote for offsets in a histogram; at these offsets the bit errors decide.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ LOWEST, HIGHEST = 110.0, 1760.0
 #: Filter outputs are cut at these values into four levels, Gray-coded.
 LEVELS = (-0.15, 0.0, 0.15)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
+#: The upper bits of the filters: whether an output is above the middle level.
+UPPER = 0xAAAAAAAA
 #: Sixteen filters (kind, first pitch class, pitch classes, frames): all kinds, over growing areas.
 FILTERS = [(i % 6, (5 * i) % (13 - h), h, w) for i, (h, w) in enumerate((h, w) for w in (4, 8, 12, 16) for h in (3, 6, 9, 12))]
 
@@ -145,6 +147,16 @@ def landmarks(prints: str) -> Column:
     return F.filter(places, lambda p: (p["at"] == 0) | (F.get(prints, p["at"] - 1) != p["word"]))
 
 
+def pairs(prints: str, gap: int, name: int = 0) -> Column:
+    """Keys of the upper bits of two integers ``gap`` frames apart, 32 together, below a ``name``; with the place of the first, where a run of equal pairs starts."""
+    if not gap:
+        return landmarks(prints)
+    upper = lambda x: x.bitwiseAND(F.lit(UPPER))
+    places = F.transform(F.slice(prints, gap + 1, F.size(prints)), lambda y, i: F.struct(i.alias("at"), upper(F.get(prints, i)).bitwiseOR(F.shiftright(upper(y), 1)).bitwiseOR(F.lit(name << 32)).alias("word")))
+    moved = lambda at: F.get(prints, at - 1) != F.get(prints, at)
+    return F.filter(places, lambda p: (p["at"] == 0) | moved(p["at"]) | moved(p["at"] + gap))
+
+
 def signed(prints: Column) -> Column:
     """The integers in four bytes each, the highest bit turned: two of them differ in the same bits."""
     return F.transform(prints, lambda x: (x - 2**31).cast("int"))
@@ -154,7 +166,7 @@ def signed(prints: Column) -> Column:
 MOST_INTEGERS = 8_000_000
 
 
-def align(prints: DataFrame, is_query, *, id_col: str = "id", least_votes: int = 2, least_overlap: int = 16, max_error: float = 0.2, flips: int = 2) -> DataFrame:
+def align(prints: DataFrame, is_query, *, id_col: str = "id", least_votes: int = 1, least_overlap: int = 16, max_error: float = 0.2, flips: int = 2) -> DataFrame:
     """Align query recordings with all recordings by their integers.
 
     ``prints`` has an id and ``prints``; ``is_query`` is a condition on it.  One
@@ -163,8 +175,10 @@ def align(prints: DataFrame, is_query, *, id_col: str = "id", least_votes: int =
     query class that fits best ``best_query`` (its smallest query id), ``shift``
     (frames by which the query starts later in it), ``overlap`` and ``bit_error``.
 
-    An integer of a query votes for an offset with every integer of other
-    recordings that differs in at most ``flips`` bits: twice if at most one does.  A
+    Two integers of a query, half of ``least_overlap`` and all of it apart, vote
+    for an offset with every such two of other recordings whose upper bits differ in at
+    most ``flips`` of 32: links agree in these bits far more often than in the lower
+    ones, and integers so far apart share few frames.  A
     link without ``least_votes`` at an offset is missed: of links up to an error of 0.2
     two flips find over 0.9, and of those up to 0.14 one flip does (a sixteenth of the probes).  At each offset with
     ``least_votes`` or more, classes link if at least
@@ -182,13 +196,15 @@ def align(prints: DataFrame, is_query, *, id_col: str = "id", least_votes: int =
     classes = cut(classes, "print-classes")
     # votes per pair and offset; a class that is compared with itself needs none
     asked = classes.filter("queries > 0")
-    words = classes.select("c", F.size("prints").alias("n"), F.inline(landmarks("prints"))).withColumnRenamed("word", "x")
-    sought = asked.select(F.col("c").alias("qc"), F.size("prints").alias("q_n"), F.inline(landmarks("prints")))
-    sought = sought.select("qc", "q_n", F.col("at").alias("q_at"), F.col("word").alias("y"), F.explode(ball("word", 32, flips)).alias("x"))
+    gaps = sorted({least_overlap // 2, least_overlap - 1})
+    keys = F.concat(*[pairs("prints", gap, name) for name, gap in enumerate(gaps)])
+    words = classes.select("c", F.size("prints").alias("n"), F.inline(keys)).withColumnRenamed("word", "x")
+    sought = asked.select(F.col("c").alias("qc"), F.size("prints").alias("q_n"), F.inline(keys))
+    sought = sought.select("qc", "q_n", F.col("at").alias("q_at"), F.explode(ball("word", 32, flips)).alias("x"))
     shift = F.col("at") - F.col("q_at")
     overlap = F.least(F.col("n"), F.col("q_n") + shift) - F.greatest(F.lit(0), shift)
-    near = F.when(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) < 2, 2).otherwise(1)
-    votes = words.join(sought, "x").filter(F.col("c") != F.col("qc")).filter(overlap >= least_overlap).groupBy("c", "qc", shift.alias("shift")).agg(F.sum(near).alias("votes"))
+    # the probes are many times their table, which Spark would broadcast by its size
+    votes = words.join(sought.hint("merge"), "x").filter(F.col("c") != F.col("qc")).filter(overlap >= least_overlap).groupBy("c", "qc", shift.alias("shift")).agg(F.count("*").alias("votes"))
     # the integers of a pair of classes meet once, for all of its offsets
     voted = votes.filter(F.col("votes") >= least_votes).groupBy("c", "qc").agg(F.collect_list("shift").alias("shifts"))
     integers = asked.agg(F.sum(F.size("prints"))).first()[0] or 0

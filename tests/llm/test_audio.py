@@ -109,6 +109,40 @@ def test_recall_of_distorted_recordings(spark):
     prints.unpersist()
 
 
+def test_recall_of_unlike_melodies(spark):
+    # errors near the limit all along, as between the query's own recordings
+    rng = np.random.default_rng(5)
+    ints, links = {}, set()
+    for k in range(200):
+        x = rng.normal(size=64)
+        a, b = (audio.fingerprint(audio.chroma(audio.melody(*v))).astype(np.int64) for v in ((x, 0), (x + rng.normal(0, 0.2, 64), k)))
+        ints |= {50 * k: a, 50 * k + 1: b}
+        for s in range(16 - len(a), len(b) - 15):
+            u, v = b[max(s, 0) :], a[max(-s, 0) :]
+            n = min(len(u), len(v))
+            if n >= 16 and np.bitwise_count(u[:n] ^ v[:n]).sum() <= 0.2 * 32 * n:
+                links.add(50 * k + 1)
+    prints = spark.createDataFrame([(i, a.tolist()) for i, a in ints.items()], "id long, prints array<long>")
+    got = {r.id: r.n_links for r in audio.align(prints, F.col("id") % 50 == 0).collect()}
+    assert len(links) > 50 and sum(got[i] > 0 for i in links) >= 0.9 * len(links)
+
+
+def test_lower_bits_may_differ_everywhere(spark):
+    a = np.random.default_rng(6).integers(0, 2**32, 30)
+    rows = [(50, a), (1, a ^ 0x00010155), (2, a[9:] ^ 0x00010155), (3, a[:16] ^ 0x00010155), (4, a[:15])]
+    prints = spark.createDataFrame([(i, x.tolist()) for i, x in rows], "id long, prints array<long>")
+    got = {r.id: r for r in audio.align(prints, F.col("id") % 50 == 0).collect()}
+    assert [got[i].n_links for i in (50, 1, 2, 3, 4)] == [0, 1, 1, 1, 0]
+    assert (got[2].shift, got[2].overlap, got[2].bit_error) == (-9, 21, 6 / 32)
+
+
+def test_pairs_start_runs(spark):
+    rows = spark.createDataFrame([(1, [5, 5, 5, 7, 7, 2**31 + 1]), (2, [5])], "id int, prints array<long>")
+    got = {r.id: [(m["at"], m.word) for m in r.m] for r in rows.select("id", audio.pairs("prints", 2).alias("m")).collect()}
+    upper = lambda x, y: x & audio.UPPER | (y & audio.UPPER) >> 1
+    assert got == {1: [(0, upper(5, 5)), (1, upper(5, 7)), (3, upper(7, 2**31 + 1))], 2: []}
+
+
 def test_landmarks_start_runs(spark):
     rows = spark.createDataFrame([(1, [5, 5, 5, 7, 7, 5])], "id int, prints array<long>")
     got = rows.select(audio.landmarks("prints").alias("m")).first().m
