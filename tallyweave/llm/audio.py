@@ -175,10 +175,11 @@ def align(prints: DataFrame, is_query, *, id_col: str = "id", least_votes: int =
     query class that fits best ``best_query`` (its smallest query id), ``shift``
     (frames by which the query starts later in it), ``overlap`` and ``bit_error``.
 
-    Two integers of a query, half of ``least_overlap`` and all of it apart, vote
+    Two integers of a query, three quarters of ``least_overlap`` and all of it apart, vote
     for an offset with every such two of other recordings whose upper bits differ in at
     most ``flips`` of 32: links agree in these bits far more often than in the lower
-    ones, and integers so far apart share few frames.  A
+    ones, and integers so far apart share few frames.  Single integers vote for those
+    that differ in a bit less.  A
     link without ``least_votes`` at an offset is missed: of links up to an error of 0.2
     two flips find over 0.9, and of those up to 0.14 one flip does (a sixteenth of the probes).  At each offset with
     ``least_votes`` or more, classes link if at least
@@ -196,11 +197,11 @@ def align(prints: DataFrame, is_query, *, id_col: str = "id", least_votes: int =
     classes = cut(classes, "print-classes")
     # votes per pair and offset; a class that is compared with itself needs none
     asked = classes.filter("queries > 0")
-    gaps = sorted({least_overlap // 2, least_overlap - 1})
+    gaps = sorted({0, least_overlap * 3 // 4, least_overlap - 1})
     keys = F.concat(*[pairs("prints", gap, name) for name, gap in enumerate(gaps)])
     words = classes.select("c", F.size("prints").alias("n"), F.inline(keys)).withColumnRenamed("word", "x")
     sought = asked.select(F.col("c").alias("qc"), F.size("prints").alias("q_n"), F.inline(keys))
-    sought = sought.select("qc", "q_n", F.col("at").alias("q_at"), F.explode(ball("word", 32, flips)).alias("x"))
+    sought = sought.select("qc", "q_n", F.col("at").alias("q_at"), F.explode(F.when(F.col("word") < 2**32, ball("word", 32, max(flips - 1, 0))).otherwise(ball("word", 32, flips))).alias("x"))
     shift = F.col("at") - F.col("q_at")
     overlap = F.least(F.col("n"), F.col("q_n") + shift) - F.greatest(F.lit(0), shift)
     # the probes are many times their table, which Spark would broadcast by its size
