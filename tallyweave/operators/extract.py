@@ -21,8 +21,12 @@ RENT_BUY = ["rent/buy", "rent / buy", "rent or buy", "vod"]
 REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
 
-def unescape(c: Column) -> Column:
-    """Character references decoded, as the HTML standard says; the names are those of the standard library's table."""
+def unescape(c: Column, strict: bool = False) -> Column:
+    """Character references decoded, as the HTML standard says; the names are those of the standard library's table.
+
+    With ``strict`` a reference counts only with its semicolon, as in XML; others stay as they are.
+    """
+    reference = REFERENCE.replace(";?", ";") if strict else REFERENCE
     names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
     # names that count without a semicolon, the longest first, and what numbers below 160 stand for
     bare = "^&(" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
@@ -37,11 +41,11 @@ def unescape(c: Column) -> Column:
         digits = F.regexp_replace(F.regexp_replace(ref, "^&#[xX]?0*|;$", ""), "^$", "0")  # nine digits are beyond every character
         number = F.when(F.length(digits) < 10, F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits)).cast("long")
         prefix = F.regexp_extract(ref, bare, 1)
-        named = F.when(prefix != "", F.concat(F.try_element_at(names, prefix), F.substring(ref, F.length(prefix) + 2, F.length(ref)))).otherwise(ref)
+        named = ref if strict else F.when(prefix != "", F.concat(F.try_element_at(names, prefix), F.substring(ref, F.length(prefix) + 2, F.length(ref)))).otherwise(ref)
         return F.when(ref.startswith("&#"), character(number)).otherwise(F.coalesce(F.try_element_at(names, F.substring(ref, F.lit(2), F.length(ref))), named))
 
     def whole(text: Column) -> Column:
-        between, refs = F.split(text, REFERENCE, -1), F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), decoded)
+        between, refs = F.split(text, reference, -1), F.transform(F.regexp_extract_all(text, F.lit(reference), F.lit(0)), decoded)
         return F.when(text.contains("&"), F.array_join(F.zip_with(between, refs, lambda x, ref: F.concat(x, F.coalesce(ref, F.lit("")))), "")).otherwise(text)
 
     return F.get(F.transform(F.array(c), whole), F.lit(0))  # the text is worked out once
@@ -242,12 +246,15 @@ def episode_dates(pages: DataFrame, *, page_id: str = "page_id", html: str = "ht
     return pages.select(page_id, F.array_sort(F.array_distinct(F.when(F.size(good) > 0, good).otherwise(seen))).alias("dates"))
 
 
-def page_identity(pages: DataFrame, *, page_id: str = "page_id", html: str = "html") -> DataFrame:
-    """Title (from JSON-LD, else the title element, without the site's name) and release year of pages."""
+def page_identity(pages: DataFrame, *, page_id: str = "page_id", html: str = "html", strict: bool = False) -> DataFrame:
+    """Title (from JSON-LD, else the title element, without the site's name) and release year of pages.
+
+    With ``strict`` a title that was cut inside a character reference keeps what is left of it.
+    """
     raw = F.coalesce(html, F.lit(""))
     data = F.regexp_extract(raw, r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>', 1)
     title = F.coalesce(F.get_json_object(data, "$.name"), F.regexp_extract(raw, r"(?is)<title[^>]*>(.*?)</title>", 1))
-    title = F.regexp_replace(unescape(T.squeeze(title)), r"(?i)\s*[\-|–—]\s*(?:imdb|wikipedia|metacritic|rotten tomatoes)\s*\z", "")
+    title = F.regexp_replace(unescape(T.squeeze(title), strict), r"(?i)\s*[\-|–—]\s*(?:imdb|wikipedia|metacritic|rotten tomatoes)\s*\z", "")
     year = F.regexp_extract(F.coalesce(F.get_json_object(data, "$.datePublished"), title), r"\b((?:19|20)\d{2})\b", 1)
     return pages.select(page_id, title.alias("title"), F.when(year != "", year.cast("int")).alias("year"))
 

@@ -310,6 +310,12 @@ def test_character_references_equal_the_standard_library(spark):
     assert [(t, u) for t, u in zip(texts, [r.u for r in sorted(got)], strict=True) if u != (t if t is None else html.unescape(t))] == []
 
 
+def test_strict_references_need_their_semicolon(spark):
+    texts = {"&amp;&amp": "&&amp", "&notit;": "&notit;", "&#65&#65;&#x41": "&#65A&#x41", "&hellip;&hellip": "…&hellip", "a & b; &&lt;": "a & b; &<", "&amp;lt;": "&lt;", "": ""}
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.unescape(F.col("t"), strict=True).alias("u")).collect()
+    assert dict(zip(texts, [r.u for r in sorted(got)], strict=True)) == texts
+
+
 def test_sheets_in_several_encodings(spark, tmp_path):
     head, folder = "title,note\n", tmp_path / "sheets"
     folder.mkdir()
