@@ -189,10 +189,11 @@ def title_kind_of_page(url: Column, text: Column, site: Column) -> Column:
     return F.coalesce(by_path, by_words)
 
 
-def score_title_pages(results: DataFrame, *, query_id: str, least: float = 35) -> DataFrame:
+def score_title_pages(results: DataFrame, *, query_id: str, least: float = 35, id_paths: tuple[str, ...] = ()) -> DataFrame:
     """Pages of (query title, title_type, year) among (site, url, page_title, snippet, position), best per page.
 
-    Order within a query and site: score, then URL.
+    Order within a query and site: score, then URL.  Paths of the sites ``id_paths``
+    hold ids and no names: they give no points, as "it" in "/title/" would.
     """
     site, want = F.col("site"), T.norm_lookup(F.regexp_replace("query_title", "&", " "))
     made = results.withColumn("page_url", site_url(F.col("url"), site)).filter("page_url IS NOT NULL")
@@ -204,6 +205,8 @@ def score_title_pages(results: DataFrame, *, query_id: str, least: float = 35) -
     share = lambda c: _share(F.array_intersect(words, F.array_distinct(F.split(c, " "))), words)
     name = F.when(want == shown, 72.0).when(shown.contains(want), 58.0).when(everything.contains(want), 46.0).otherwise(share(everything) * 34)
     path = F.when(slug.contains(want), 18.0).otherwise(share(slug) * 10)
+    if id_paths:
+        path = F.when(site.isin(*id_paths), 0.0).otherwise(path)
     place = F.when(F.coalesce("position", F.lit(0)) > 0, F.greatest(F.lit(0), 11 - F.col("position"))).otherwise(0)
     years = F.regexp_extract_all(F.concat_ws(" ", title, "snippet", "page_url"), F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1))
     asked = F.coalesce(F.col("year").cast("string"), F.lit(""))

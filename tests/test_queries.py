@@ -37,13 +37,16 @@ def test_equals_duckdb(spark, database, name):
 
 
 # titles that the small tables lack, by query
-TITLES = {"page_identity": ["and&&amp;&amp", "a &quot", "b &gt", "c &am", "d &", "&amp;amp", "&amp;quot;", "A&amp;B &quot;x&quot; 1999"]}
+TITLES = {
+    "page_identity": ["and&&amp;&amp", "a &quot", "b &gt", "c &am", "d &", "&amp;amp", "&amp;quot;", "A&amp;B &quot;x&quot; 1999"],
+    "title_page_scores": ["It.", "Le***", "E.T.", "0", "The title", "title", "tt0000012", "Born in 1999", "+1 (875) 555-1999", "Great reviews", "Ça Details ", "Some - IMDb", "Ç Ç", "a &amp", "TV film"],
+}
 
 
 @pytest.mark.parametrize("name", TITLES)
 def test_odd_titles_equal_duckdb(spark, tmp_path, name):
     pages = [(i, f"https://a.org/{i}", f"<html><title>{t}</title></html>") for i, t in enumerate(t for t in TITLES[name] for _ in range(2))]
-    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(pages + pages[:2], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     database = duckdb.connect()
     database.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
     got, want = registry.queries()[name](spark, str(tmp_path)), database.execute(registry.oracle_sql()[name])

@@ -51,6 +51,13 @@ def test_title_pages(spark):
     assert best == {"imdb": "https://imdb.com/title/tt0000002", "metacritic": "https://metacritic.com/movie/night-of-glass"}
 
 
+def test_title_pages_with_ids_in_their_paths(spark):
+    schema = "q int, query_title string, title_type string, year int, site string, url string, page_title string, snippet string, position int"
+    rows = [(1, "It", "any", None, "imdb", "https://imdb.com/title/tt0000001", "It", "", 0), (1, "It", "any", None, "metacritic", "https://metacritic.com/movie/it", "It", "", 0)]
+    scores = lambda **more: {r.site: r.score for r in S.score_title_pages(spark.createDataFrame(rows, schema), query_id="q", **more).collect()}
+    assert scores() == {"imdb": 100.0, "metacritic": 100.0} and scores(id_paths=("imdb",)) == {"imdb": 82.0, "metacritic": 100.0}
+
+
 def test_profile_candidates_and_links(spark):
     rows = [(1, 1, "https://www.facebook.com/brand/", "Brand | Facebook", "official"), (1, 2, "https://m.facebook.com/Brand?x=1", "Brand", ""), (1, 3, "https://facebook.com/p/brand", "Brand", ""), (1, 4, "https://x.com/brand", "Brand", ""), (1, 5, "https://facebook.com/brandfan", "Brand fan page", "unofficial")]
     got = S.profile_candidates(spark.createDataFrame(rows, "q int, o int, url string, title string, snippet string"), "facebook", "q", "o").orderBy("o").collect()
